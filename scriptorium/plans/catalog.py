@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import lexical
+from scriptorium.operators import lexical, merge, search
 from scriptorium.plans import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,98 @@ def q_freq_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.freq_max(tf).select(_r6("freq_max"))
 
 
+# --- merge and search -------------------------------------------------------
+
+PAPER_OUT = ("doi", "title", "first_author", "authors", "publication", "year", "abstract", "source")
+
+
+def _csv_edge(df: DataFrame, cols=PAPER_OUT) -> DataFrame:
+    """Arrays joined by "|", NULL -> "" (the reference's output convention)."""
+    return merge.null_to_blank(merge.join_multi(df)).select(*cols)
+
+
+def q_merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + A2 + P4 + O1: merge the records of all engines by DOI (one scan, one shuffle)."""
+    return _csv_edge(merge.merge_duplicates(fx.papers(spark, sf_dir)))
+
+
+def q_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 + U3: three engines stacked in arrival order (CrossRef without abstracts), then merged."""
+    p = fx.papers(spark, sf_dir)
+    frames = [
+        p.where(F.col("priority") == 0).drop("priority"),
+        p.where(F.col("priority") == 1).drop("priority", "abstract"),
+        p.where(F.col("priority") == 2).drop("priority"),
+    ]
+    return _csv_edge(merge.merge_duplicates(merge.union_sources(frames)))
+
+
+def q_append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + U2: first load (even seq) stored as is, second load (odd seq) merged in, old first."""
+    p = fx.papers(spark, sf_dir)
+    first = merge.append_results(None, p.where(F.col("seq") % 2 == 0))
+    both = merge.append_results(first, p.where(F.col("seq") % 2 == 1))
+    return _csv_edge(both)
+
+
+def q_search_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 + P7 + W9 + A1: default engines, all terms, 2003-2018, 5 per engine and year, merged."""
+    hits = search.search_papers(fx.papers(spark, sf_dir), "the of", 2003, 2018, max_per_year=5)
+    return _csv_edge(merge.merge_duplicates(hits.drop("period")), ("doi", "title", "first_author", "year", "source", "query"))
+
+
+def q_cap_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 orders of every year (exact, skew-safe two-phase top-n)."""
+    o = fx.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderdate", "o_totalprice", F.year("o_orderdate").alias("year")
+    )
+    capped = search.cap_per_year(o, 50, order_cols=("o_orderdate", "o_orderkey"))
+    return capped.select("o_orderkey", "year", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+def q_distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: first record per non-blank title in arrival order."""
+    p = fx.papers(spark, sf_dir).where(F.col("title") != "").select("title", "doi", "year", "source", "priority", "seq")
+    return merge.distinct_titles(p).select("title", "doi", "year", "source", "seq")
+
+
+def q_exclude_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PubMed records whose id another engine already gave (here: labelled ids) are skipped."""
+    p = fx.papers(spark, sf_dir).where(F.col("source") == "pubmed")
+    known = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"))
+    return search.exclude_keys(p, known, "seq").select("seq", "doi", "year")
+
+
+def q_filter_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: records whose DOI is in a list (DOIs of the good-quality labelled documents)."""
+    p = fx.papers(spark, sf_dir)
+    good = fx.table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    docs = fx.table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi")
+    dois = docs.select(F.concat(F.lit("10.1/"), F.md5("text")).alias("doi"))
+    return search.filter_keys(p, dois, "doi").select("doi", "seq", "year", "source")
+
+
+def q_year_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search periods per document source (closed range) and per language (open range)."""
+    d = fx.documents_with_year(spark, sf_dir)
+    closed = d.groupBy(F.col("source").alias("key")).agg(F.min("year").alias("min_year"), F.max("year").alias("max_year"))
+    open_ = d.groupBy(F.col("lang").alias("key")).agg(F.min("year").alias("min_year")).withColumn(
+        "max_year", F.lit(None).cast("int")
+    )
+    return search.year_periods(closed.unionByName(open_)).select("key", "since", "until", "label")
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "term_frequency": q_term_frequency,
         "freq_max": q_freq_max,
+        "merge_duplicates": q_merge_duplicates,
+        "union_sources": q_union_sources,
+        "append_results": q_append_results,
+        "search_papers": q_search_papers,
+        "cap_per_year": q_cap_per_year,
+        "distinct_titles": q_distinct_titles,
+        "exclude_keys": q_exclude_keys,
+        "filter_dois": q_filter_dois,
+        "year_periods": q_year_periods,
     }

@@ -70,8 +70,138 @@ SELECT round(max(freq), 6) AS freq_max FROM tf
 """
 
 
+# --- merge and search -------------------------------------------------------
+
+PAPERS_CTE = """
+papers AS (
+  SELECT
+    CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE '10.1/' || md5(d.text) END AS doi,
+    CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE split_part(d.text, chr(10), 1) END AS title,
+    CASE WHEN d.doc_id % 4 = 1 THEN '' ELSE d.source END AS first_author,
+    d.source || '|' || d.lang AS authors,
+    CASE WHEN d.doc_id % 6 = 0 THEN '' ELSE d.lang END AS publication,
+    CAST(2000 + d.doc_id % 25 AS INTEGER) AS year,
+    CASE WHEN d.doc_id % 2 = 0 THEN '' ELSE d.text END AS abstract,
+    CASE d.doc_id % 3 WHEN 0 THEN 'scopus' WHEN 1 THEN 'crossref' ELSE 'pubmed' END AS source,
+    CAST(d.doc_id % 3 AS INTEGER) AS priority,
+    d.doc_id AS seq
+  FROM documents d)"""
+
+
+def _first_non_null(cols, ord_expr, text_cols=None):
+    out = []
+    for c in cols:
+        v = f"arg_min({c}, {ord_expr}) FILTER (WHERE {c} IS NOT NULL)"
+        if text_cols is None or c in text_cols:
+            v = f"coalesce({v}, '')"
+        out.append(f"{v} AS {c}")
+    return ",\n  ".join(out)
+
+
+_SOURCE_SET = "coalesce(array_to_string(list_sort(list_distinct(flatten(list(string_split(source, '|'))))), '|'), '') AS source"
+_BLANKED = """SELECT nullif(doi, '') AS doi, nullif(title, '') AS title, nullif(first_author, '') AS first_author,
+    nullif(authors, '') AS authors, nullif(publication, '') AS publication, year, nullif(abstract, '') AS abstract,
+    nullif(source, '') AS source, priority, seq"""
+_STR_COLS = ("title", "first_author", "authors", "publication", "abstract")
+
+MERGE_DUPLICATES = f"""
+WITH {PAPERS_CTE},
+b AS ({_BLANKED} FROM papers)
+SELECT doi,
+  {_first_non_null(("title", "first_author", "authors", "publication", "year", "abstract"), "priority * 10000000000 + seq", _STR_COLS)},
+  {_SOURCE_SET}
+FROM b WHERE doi IS NOT NULL GROUP BY doi
+"""
+
+# CrossRef (priority 1) has no abstract column: its abstracts are missing.
+UNION_SOURCES = f"""
+WITH {PAPERS_CTE},
+b AS ({_BLANKED.replace("nullif(abstract, '') AS abstract", "CASE WHEN priority = 1 THEN NULL ELSE nullif(abstract, '') END AS abstract")} FROM papers)
+SELECT doi,
+  {_first_non_null(("title", "first_author", "authors", "publication", "year", "abstract"), "priority * 10000000000 + seq", _STR_COLS)},
+  {_SOURCE_SET}
+FROM b WHERE doi IS NOT NULL GROUP BY doi
+"""
+
+APPEND_RESULTS = f"""
+WITH {PAPERS_CTE},
+b AS ({_BLANKED}, seq % 2 AS batch FROM papers)
+SELECT doi,
+  {_first_non_null(("title", "first_author", "authors", "publication", "year", "abstract"), "batch * 100000000000000 + priority * 10000000000 + seq", _STR_COLS)},
+  {_SOURCE_SET}
+FROM b WHERE doi IS NOT NULL GROUP BY doi
+"""
+
+SEARCH_PAPERS = f"""
+WITH {PAPERS_CTE},
+hits AS (
+  SELECT * FROM papers
+  WHERE source IN ('scopus', 'pubmed')
+    AND instr(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), 'the') > 0
+    AND instr(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), 'of') > 0
+    AND year >= 2003 AND year <= 2018
+    AND doi IS NOT NULL AND doi <> '' AND title IS NOT NULL AND title <> ''
+    AND first_author IS NOT NULL AND first_author <> ''),
+capped AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY source, CAST(year AS VARCHAR) ORDER BY priority, seq) AS rn FROM hits)
+  WHERE rn <= 5),
+b AS (SELECT nullif(doi, '') AS doi, nullif(title, '') AS title, nullif(first_author, '') AS first_author, year,
+             nullif(source, '') AS source, 'the of' AS query, priority, seq FROM capped)
+SELECT doi,
+  {_first_non_null(("title", "first_author", "year", "query"), "priority * 10000000000 + seq", ("title", "first_author", "query"))},
+  {_SOURCE_SET}
+FROM b WHERE doi IS NOT NULL GROUP BY doi
+"""
+
+CAP_PER_YEAR = """
+SELECT o_orderkey, year, round(o_totalprice, 2) AS o_totalprice FROM (
+  SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year,
+         row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS rn
+  FROM orders) WHERE rn <= 50
+"""
+
+DISTINCT_TITLES = f"""
+WITH {PAPERS_CTE}
+SELECT title, doi, year, source, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY title ORDER BY priority, seq) AS rn FROM papers WHERE title <> '')
+WHERE rn = 1
+"""
+
+EXCLUDE_KEYS = f"""
+WITH {PAPERS_CTE}
+SELECT seq, doi, year FROM papers
+WHERE source = 'pubmed' AND seq NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)
+"""
+
+FILTER_DOIS = f"""
+WITH {PAPERS_CTE},
+dois AS (SELECT '10.1/' || md5(text) AS doi FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
+SELECT doi, seq, year, source FROM papers WHERE doi IN (SELECT doi FROM dois)
+"""
+
+YEAR_PERIODS = """
+WITH d AS (SELECT source, lang, CAST(2000 + doc_id % 25 AS INTEGER) AS year FROM documents),
+closed AS (SELECT source AS key, min(year) AS min_year, max(year) AS max_year FROM d GROUP BY source),
+opened AS (SELECT lang AS key, min(year) AS min_year FROM d GROUP BY lang)
+SELECT key, y AS since, y AS until, CAST(y AS VARCHAR) AS label
+FROM closed, (SELECT unnest(range(min_year, max_year + 1)) AS y) AS t
+UNION ALL
+SELECT key, min_year AS since, CAST(NULL AS INTEGER) AS until, CAST(min_year AS VARCHAR) || '-' AS label FROM opened
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "term_frequency": TERM_FREQUENCY,
         "freq_max": FREQ_MAX,
+        "merge_duplicates": MERGE_DUPLICATES,
+        "union_sources": UNION_SOURCES,
+        "append_results": APPEND_RESULTS,
+        "search_papers": SEARCH_PAPERS,
+        "cap_per_year": CAP_PER_YEAR,
+        "distinct_titles": DISTINCT_TITLES,
+        "exclude_keys": EXCLUDE_KEYS,
+        "filter_dois": FILTER_DOIS,
+        "year_periods": YEAR_PERIODS,
     }
