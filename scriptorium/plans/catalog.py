@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import lexical, merge, search
+from scriptorium.operators import library as libops
 from scriptorium.plans import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -121,8 +122,66 @@ def q_year_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.year_periods(closed.unionByName(open_)).select("key", "since", "until", "label")
 
 
+# --- reference library ------------------------------------------------------
+
+
+def q_fetch_item_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 + J12: the title of every item of the default library."""
+    return libops.fetch_item_field(fx.library(spark, sf_dir), "title")
+
+
+def q_fetch_item_field_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 + J12: DOIs of the items of one collection of a named group library."""
+    return libops.fetch_item_field(fx.library(spark, sf_dir), "DOI", library="Shared Group", collection="screened")
+
+
+def q_fetch_item_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 + F3: doi, title, abstract and year side by side (one scan + pivot)."""
+    return libops.fetch_item_fields(fx.library(spark, sf_dir), ["doi", "title", "abstract", "year"])
+
+
+def q_list_local_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + W2 + F9 + F10: attachments with storage paths, PDF preferred (documented rule)."""
+    return libops.list_local_path(fx.library(spark, sf_dir), fx.LIBRARY_ROOT, prefer="pdf")
+
+
+def q_list_local_path_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + W1 + W2: HTML preferred, the code's rule (any item with several attachments)."""
+    return libops.list_local_path(fx.library(spark, sf_dir), fx.LIBRARY_ROOT, prefer="html", strict=True, library="Shared Group")
+
+
+def _paper_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.papers(spark, sf_dir).select("doi").where(F.col("doi").isNotNull())
+
+
+def q_has_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is each searched DOI already in the library (any field, any library)."""
+    return libops.has_doi(fx.library(spark, sf_dir), _paper_dois(spark, sf_dir))
+
+
+def q_has_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content type of a local attachment for each searched DOI."""
+    return libops.has_local(fx.library(spark, sf_dir), _paper_dois(spark, sf_dir))
+
+
+def q_missing_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 + O3: the work list of DOIs not yet in the library."""
+    lib = fx.library(spark, sf_dir)
+    known = libops.fetch_item_field(lib, "DOI").select(F.col("DOI").alias("doi"))
+    known = known.unionByName(libops.fetch_item_field(lib, "DOI", library="Shared Group").select(F.col("DOI").alias("doi")))
+    return search.missing_dois(_paper_dois(spark, sf_dir), known, seed=7)
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "fetch_item_field": q_fetch_item_field,
+        "fetch_item_field_collection": q_fetch_item_field_collection,
+        "fetch_item_fields": q_fetch_item_fields,
+        "list_local_path": q_list_local_path,
+        "list_local_path_strict": q_list_local_path_strict,
+        "has_doi": q_has_doi,
+        "has_local": q_has_local,
+        "missing_dois": q_missing_dois,
         "term_frequency": q_term_frequency,
         "freq_max": q_freq_max,
         "merge_duplicates": q_merge_duplicates,

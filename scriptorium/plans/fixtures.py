@@ -61,3 +61,98 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 3).cast("int").alias("priority"),
         i.alias("seq"),
     )
+
+
+# --- reference library -------------------------------------------------------
+
+# Field dictionary, group libraries and collection names of the
+# derived library.  Field ids follow the usual numbering of the desktop app.
+LIBRARY_FIELDS = ((1, "title"), (2, "abstractNote"), (8, "date"), (13, "ISSN"), (59, "DOI"))
+LIBRARY_GROUPS = ((2, "Shared Group"),)
+COLLECTION_NAMES = ("reading", "screened", "archive")
+LIBRARY_ROOT = "/data/library"
+ATTACHMENT_BASE = 1_000_000_000
+
+
+def _lpad(c: Column, n: int) -> Column:
+    return F.lpad(c.cast("string"), n, "0")
+
+
+def library(spark: SparkSession, sf_dir: str):
+    """A reference library derived from conversations (items) and documents (DOIs).
+
+    * every conversation is an item (library 2 when ``conv_id % 3 = 2``, else 1);
+      its title is the first line of turn 0, its abstract turn 1, its date is
+      built from the id (``n.d.`` every 11th, ``Spring YYYY`` every 13th), and its
+      DOI is the DOI of the document with the same id (missing every 5th);
+    * every turn is an attachment item: user -> PDF, assistant -> HTML,
+      system -> plain text; the path is missing when ``(conv_id + turn) % 6 = 5``;
+    * collection ``(conv_id div 3) % 3`` of its library.
+    """
+    from scriptorium.sources.library import Library
+
+    conv = table(spark, sf_dir, "conversations")
+    docs = table(spark, sf_dir, "documents")
+    cid = F.col("conv_id")
+    lib_id = F.when(cid % 3 == 2, F.lit(2)).otherwise(F.lit(1)).cast("long")
+    parents = conv.where(F.col("turn") == 0).select(
+        (cid + 1).cast("long").alias("itemID"), F.concat(F.lit("P"), _lpad(cid, 7)).alias("key"), lib_id.alias("libraryID"), "conv_id", "text"
+    )
+    att_id = (F.lit(ATTACHMENT_BASE) + cid * 1000 + F.col("turn")).cast("long")
+    attach = conv.select(
+        att_id.alias("itemID"),
+        F.concat(F.lit("A"), _lpad(cid, 7), F.lit("_"), F.col("turn").cast("string")).alias("key"),
+        lib_id.alias("libraryID"),
+        (cid + 1).cast("long").alias("parentItemID"),
+        F.when(F.col("role") == "user", F.lit("application/pdf"))
+        .when(F.col("role") == "assistant", F.lit("text/html"))
+        .otherwise(F.lit("text/plain"))
+        .alias("contentType"),
+        F.when((cid + F.col("turn")) % 6 == 5, F.lit(None).cast("string"))
+        .otherwise(
+            F.concat(
+                F.lit("storage:turn"),
+                F.col("turn").cast("string"),
+                F.when(F.col("role") == "user", F.lit(".pdf")).when(F.col("role") == "assistant", F.lit(".html")).otherwise(F.lit(".txt")),
+            )
+        )
+        .alias("path"),
+    )
+    items = parents.select("itemID", "key", "libraryID").unionByName(attach.select("itemID", "key", "libraryID"))
+    year = (F.lit(2000) + cid % 25).cast("string")
+    date = (
+        F.when(cid % 11 == 0, F.lit("n.d."))
+        .when(cid % 13 == 0, F.concat(F.lit("Spring "), year))
+        .otherwise(F.concat(year, F.lit("-"), _lpad(F.lit(1) + cid % 9, 2), F.lit("-15")))
+    )
+    title_v = parents.select("itemID", F.lit(1).cast("long").alias("fieldID"), first_line(F.col("text")).alias("value"))
+    date_v = parents.select("itemID", F.lit(8).cast("long").alias("fieldID"), date.alias("value"))
+    abstract_v = conv.where(F.col("turn") == 1).select(
+        (cid + 1).cast("long").alias("itemID"), F.lit(2).cast("long").alias("fieldID"), F.col("text").alias("value")
+    )
+    doi_v = (
+        parents.where(cid % 5 != 4)
+        .join(docs.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("dtext")), "conv_id")
+        .select("itemID", F.lit(59).cast("long").alias("fieldID"), F.concat(F.lit("10.1/"), F.md5("dtext")).alias("value"))
+    )
+    data = title_v.unionByName(date_v).unionByName(abstract_v).unionByName(doi_v).withColumn(
+        "valueID", F.col("itemID") * 100 + F.col("fieldID")
+    )
+    spark_ = docs.sparkSession
+    fields_df = spark_.createDataFrame(list(LIBRARY_FIELDS), "fieldID long, fieldName string")
+    groups = spark_.createDataFrame(list(LIBRARY_GROUPS), "libraryID long, name string")
+    colls = spark_.createDataFrame(
+        [(lib * 10 + k, lib, name) for lib in (1, 2) for k, name in enumerate(COLLECTION_NAMES)],
+        "collectionID long, libraryID long, collectionName string",
+    )
+    coll_items = parents.select(((F.col("libraryID") * 10) + F.floor(cid / 3) % 3).cast("long").alias("collectionID"), "itemID")
+    return Library(
+        items=items,
+        itemData=data.select("itemID", "fieldID", "valueID"),
+        itemDataValues=data.select("valueID", "value"),
+        fieldsCombined=fields_df,
+        collections=colls,
+        collectionItems=coll_items,
+        groups=groups,
+        itemAttachments=attach.select("itemID", "parentItemID", "contentType", "path"),
+    )

@@ -191,8 +191,136 @@ SELECT key, min_year AS since, CAST(NULL AS INTEGER) AS until, CAST(min_year AS
 """
 
 
+# --- reference library ------------------------------------------------------
+
+LIB_CTE = """
+parents AS (
+  SELECT conv_id + 1 AS itemID, 'P' || lpad(CAST(conv_id AS VARCHAR), 7, '0') AS key,
+         CASE WHEN conv_id % 3 = 2 THEN 2 ELSE 1 END AS libraryID, conv_id, text
+  FROM conversations WHERE turn = 0),
+attach AS (
+  SELECT 1000000000 + conv_id * 1000 + turn AS itemID,
+         'A' || lpad(CAST(conv_id AS VARCHAR), 7, '0') || '_' || CAST(turn AS VARCHAR) AS key,
+         CASE WHEN conv_id % 3 = 2 THEN 2 ELSE 1 END AS libraryID,
+         conv_id + 1 AS parentItemID,
+         CASE role WHEN 'user' THEN 'application/pdf' WHEN 'assistant' THEN 'text/html' ELSE 'text/plain' END AS contentType,
+         CASE WHEN (conv_id + turn) % 6 = 5 THEN NULL
+              ELSE 'storage:turn' || CAST(turn AS VARCHAR) ||
+                   CASE role WHEN 'user' THEN '.pdf' WHEN 'assistant' THEN '.html' ELSE '.txt' END END AS path
+  FROM conversations),
+items AS (SELECT itemID, key, libraryID FROM parents UNION ALL SELECT itemID, key, libraryID FROM attach),
+vals AS (
+  SELECT itemID, 1 AS fieldID, split_part(text, chr(10), 1) AS value FROM parents
+  UNION ALL
+  SELECT itemID, 8, CASE WHEN conv_id % 11 = 0 THEN 'n.d.'
+                         WHEN conv_id % 13 = 0 THEN 'Spring ' || CAST(2000 + conv_id % 25 AS VARCHAR)
+                         ELSE CAST(2000 + conv_id % 25 AS VARCHAR) || '-' || lpad(CAST(1 + conv_id % 9 AS VARCHAR), 2, '0') || '-15' END
+  FROM parents
+  UNION ALL
+  SELECT conv_id + 1, 2, text FROM conversations WHERE turn = 1
+  UNION ALL
+  SELECT p.itemID, 59, '10.1/' || md5(d.text) FROM parents p JOIN documents d ON d.doc_id = p.conv_id WHERE p.conv_id % 5 <> 4),
+itemData AS (SELECT itemID, fieldID, itemID * 100 + fieldID AS valueID FROM vals),
+itemDataValues AS (SELECT itemID * 100 + fieldID AS valueID, value FROM vals),
+collectionItems AS (SELECT libraryID * 10 + (conv_id // 3) % 3 AS collectionID, itemID FROM parents)"""
+
+
+def _field_query(field_id, field_name, library_id, collection_id=None):
+    coll = ""
+    if collection_id is not None:
+        coll = f" AND i.itemID IN (SELECT itemID FROM collectionItems WHERE collectionID = {collection_id})"
+    return f"""
+WITH {LIB_CTE}
+SELECT i.key AS zoteroID, v.value AS {field_name}
+FROM items i JOIN itemData d ON i.itemID = d.itemID JOIN itemDataValues v ON d.valueID = v.valueID
+WHERE i.libraryID = {library_id} AND d.fieldID = {field_id}{coll}
+"""
+
+
+FETCH_ITEM_FIELD = _field_query(1, "title", 1)
+FETCH_ITEM_FIELD_COLLECTION = _field_query(59, "DOI", 2, 21)
+
+FETCH_ITEM_FIELDS = f"""
+WITH {LIB_CTE},
+f AS (
+  SELECT i.key AS zoteroID, d.fieldID, v.value
+  FROM items i JOIN itemData d ON i.itemID = d.itemID JOIN itemDataValues v ON d.valueID = v.valueID
+  WHERE i.libraryID = 1 AND d.fieldID IN (1, 2, 8, 59))
+SELECT zoteroID,
+  max(value) FILTER (WHERE fieldID = 59) AS doi,
+  max(value) FILTER (WHERE fieldID = 1) AS title,
+  max(value) FILTER (WHERE fieldID = 2) AS abstract,
+  CAST(nullif(regexp_extract(max(value) FILTER (WHERE fieldID = 8), '([0-9]{{4}})', 1), '') AS INTEGER) AS year
+FROM f GROUP BY zoteroID
+"""
+
+
+def _local_path(library_id, prefer_drop_mime, strict):
+    keep = (
+        f"NOT (n > 1 AND contentType = '{prefer_drop_mime}')"
+        if strict
+        else f"NOT (has_pdf AND has_html AND contentType = '{prefer_drop_mime}')"
+    )
+    return f"""
+WITH {LIB_CTE},
+j AS (
+  SELECT i.key AS zoteroID, t.value AS title, dv.value AS doi, a.contentType, a.path, ai.key AS storageID
+  FROM items i
+  JOIN itemData it ON i.itemID = it.itemID AND it.fieldID = 1 JOIN itemDataValues t ON it.valueID = t.valueID
+  JOIN itemData id2 ON i.itemID = id2.itemID AND id2.fieldID = 59 JOIN itemDataValues dv ON id2.valueID = dv.valueID
+  JOIN attach a ON i.itemID = a.parentItemID
+  JOIN items ai ON a.itemID = ai.itemID
+  WHERE i.libraryID = {library_id}),
+f AS (
+  SELECT *, count(*) OVER (PARTITION BY zoteroID) AS n,
+         bool_or(contentType = 'application/pdf') OVER (PARTITION BY zoteroID) AS has_pdf,
+         bool_or(contentType = 'text/html') OVER (PARTITION BY zoteroID) AS has_html
+  FROM j)
+SELECT zoteroID, title, doi,
+  CASE contentType WHEN 'application/pdf' THEN 'pdf' WHEN 'text/html' THEN 'html' END AS content_type,
+  CASE WHEN path IS NULL THEN NULL ELSE '/data/library/storage/' || storageID || '/' || substr(path, 9) END AS path
+FROM f WHERE {keep}
+"""
+
+
+LIST_LOCAL_PATH = _local_path(1, "text/html", False)
+LIST_LOCAL_PATH_STRICT = _local_path(2, "application/pdf", True)
+
+PAPER_DOIS = f"""{PAPERS_CTE},
+keys AS (SELECT DISTINCT doi FROM papers WHERE doi IS NOT NULL)"""
+
+HAS_DOI = f"""
+WITH {LIB_CTE}, {PAPER_DOIS}
+SELECT doi, doi IN (SELECT value FROM itemDataValues WHERE value IS NOT NULL) AS in_library FROM keys
+"""
+
+HAS_LOCAL = f"""
+WITH {LIB_CTE}, {PAPER_DOIS},
+local AS (
+  SELECT v.value AS doi, min(a.contentType) AS content_type
+  FROM itemData d JOIN itemDataValues v ON d.valueID = v.valueID JOIN attach a ON a.parentItemID = d.itemID
+  WHERE d.fieldID = 59 GROUP BY v.value)
+SELECT keys.doi, local.content_type FROM keys LEFT JOIN local ON keys.doi = local.doi
+"""
+
+MISSING_DOIS = f"""
+WITH {LIB_CTE}, {PAPER_DOIS}
+SELECT doi FROM keys WHERE doi NOT IN (
+  SELECT v.value FROM items i JOIN itemData d ON i.itemID = d.itemID JOIN itemDataValues v ON d.valueID = v.valueID
+  WHERE d.fieldID = 59 AND i.libraryID IN (1, 2) AND v.value IS NOT NULL)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "fetch_item_field": FETCH_ITEM_FIELD,
+        "fetch_item_field_collection": FETCH_ITEM_FIELD_COLLECTION,
+        "fetch_item_fields": FETCH_ITEM_FIELDS,
+        "list_local_path": LIST_LOCAL_PATH,
+        "list_local_path_strict": LIST_LOCAL_PATH_STRICT,
+        "has_doi": HAS_DOI,
+        "has_local": HAS_LOCAL,
+        "missing_dois": MISSING_DOIS,
         "term_frequency": TERM_FREQUENCY,
         "freq_max": FREQ_MAX,
         "merge_duplicates": MERGE_DUPLICATES,
