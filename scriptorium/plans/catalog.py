@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import lexical, merge, search
 from scriptorium.operators import library as libops
+from scriptorium.operators import sections as secops
 from scriptorium.plans import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -172,8 +173,43 @@ def q_missing_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.missing_dois(_paper_dois(spark, sf_dir), known, seed=7)
 
 
+# --- sections ---------------------------------------------------------------
+
+
+def _refs_joined(df: DataFrame) -> DataFrame:
+    return df.select(*[F.array_join(c, "|").alias(c) if c in secops.REF_COLS else F.col(c) for c in df.columns])
+
+
+def q_flag_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections whose (heading, num) occurs more than once in their paper."""
+    s = secops.flag_duplicates(fx.sections(spark, sf_dir).repartition("item_key"))
+    return s.select("item_key", "pos", "is_duplicated")
+
+
+def q_drop_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 + F12: near-duplicate sections removed (longest of a group kept)."""
+    s = secops.drop_near_duplicates(fx.sections(spark, sf_dir).repartition("item_key"))
+    return s.select("item_key", "pos", "heading", "num")
+
+
+def q_classify_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3-W8 + A10-A12 + F6 + F13 + F17 + F18: the whole section pipeline."""
+    out = secops.classify_sections(fx.sections(spark, sf_dir))
+    return _refs_joined(out.select("item_key", "sec_idx", "heading", "num", "text", *secops.REF_COLS, "type"))
+
+
+def q_merge_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections of each paper merged under its first heading."""
+    out = secops.merge_section_list(fx.sections(spark, sf_dir))
+    return _refs_joined(out.select("item_key", "heading", "num", "text", *secops.REF_COLS))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "flag_duplicates": q_flag_duplicates,
+        "drop_near_duplicates": q_drop_near_duplicates,
+        "classify_sections": q_classify_sections,
+        "merge_sections": q_merge_sections,
         "fetch_item_field": q_fetch_item_field,
         "fetch_item_field_collection": q_fetch_item_field_collection,
         "fetch_item_fields": q_fetch_item_fields,

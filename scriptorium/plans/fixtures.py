@@ -156,3 +156,72 @@ def library(spark: SparkSession, sf_dir: str):
         groups=groups,
         itemAttachments=attach.select("itemID", "parentItemID", "contentType", "path"),
     )
+
+
+# --- sections ------------------------------------------------------------------
+
+# Headings given to the derived sections.
+SECTION_HEADS = (
+    "Introduction",
+    "Related work",
+    "Materials and methods",
+    "Experiments and results",
+    "Discussion",
+    "Conclusion and future work",
+    "Appendix",
+)
+SUB_HEADS = ("Data", "Setup", "Analysis", "Details")
+
+
+def _pick(values, idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed sections: every line of a document is a section (``pos`` = line number).
+
+    Line ``pos`` is main section ``m = pos div 5`` (sub-section ``k = pos % 5``
+    when ``k > 0``); the numbering scheme is ``doc_id % 4``:
+    0 numbered (``1.``/``1.1``; ``1``/``1.1`` when ``doc_id % 8 = 0``; every 5th
+    row unnumbered), 1 roman (``IV. Discussion``), 2 capitals (``RELATED work``),
+    3 plain headings (main rows only).  Headings repeat every 7 main sections,
+    so near-duplicate and repeated-key rules fire on long documents.
+    """
+    from scriptorium.functions.text import int_to_roman
+
+    d = table(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    i = F.col("doc_id")
+    pos = F.col("pos")
+    m = F.floor(pos / 5)
+    k = pos % 5
+    head = _pick(SECTION_HEADS, m % 7)
+    sub = _pick(SUB_HEADS, k - 1)
+    scheme = i % 4
+    n_main = (m + 1).cast("string")
+    num = F.when(
+        scheme == 0,
+        F.when(k == 0, F.concat(n_main, F.when(i % 8 == 0, F.lit("")).otherwise(F.lit("."))))
+        .when(k == 4, F.lit(""))
+        .otherwise(F.concat(n_main, F.lit("."), k.cast("string"))),
+    ).otherwise(F.lit(""))
+    first = F.substring_index(head, " ", 1)
+    capital = F.when(m % 2 == 0, F.upper(head)).otherwise(F.concat(F.upper(first), F.expr("substring(_head, length(_first) + 1)")))
+    heading = (
+        F.when(scheme == 0, F.when(k == 0, head).when(k == 4, F.lit("")).otherwise(sub))
+        .when(scheme == 1, F.when(k == 0, F.concat(int_to_roman(m + 1), F.lit(". "), head)).otherwise(sub))
+        .when(scheme == 2, F.when(k == 0, F.col("_capital")).otherwise(sub))
+        .otherwise(F.when(k == 0, head).otherwise(F.lit("")))
+    )
+    empty = F.array().cast("array<string>")
+    staged = lines.withColumn("_head", head).withColumn("_first", first).withColumn("_capital", capital)
+    return staged.select(
+        i.alias("item_key"),
+        pos.cast("int").alias("pos"),
+        heading.alias("heading"),
+        num.alias("num"),
+        "text",
+        F.when(pos % 3 == 0, F.array(F.concat(F.lit("b"), pos.cast("string")))).otherwise(empty).alias("publication_refs"),
+        F.when(k == 1, F.array(F.concat(F.lit("fig"), m.cast("string")))).otherwise(empty).alias("figure_refs"),
+        F.when((k == 2) & (m % 2 == 1), F.array(F.concat(F.lit("tab"), m.cast("string")))).otherwise(empty).alias("table_refs"),
+    )
