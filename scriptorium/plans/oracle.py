@@ -311,8 +311,219 @@ SELECT doi FROM keys WHERE doi NOT IN (
 """
 
 
+# --- sections ---------------------------------------------------------------
+from scriptorium.functions import text as _tx  # noqa: E402
+from scriptorium.plans import fixtures as _fx  # noqa: E402
+
+WS = _tx.WS_CLASS
+STRIP = _tx.STRIP_PATTERN
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(_q(v) for v in values) + "]"
+
+
+def _sql_roman(x: str) -> str:
+    def place(d, one, five, ten):
+        return (
+            f"(CASE WHEN {d} = 9 THEN '{one}{ten}' WHEN {d} >= 5 THEN '{five}' || repeat('{one}', CAST({d} - 5 AS INTEGER)) "
+            f"WHEN {d} = 4 THEN '{one}{five}' ELSE repeat('{one}', CAST({d} AS INTEGER)) END)"
+        )
+
+    return (
+        f"(repeat('M', CAST(({x}) // 1000 AS INTEGER)) || {place(f'(({x}) // 100) % 10', 'C', 'D', 'M')} || "
+        f"{place(f'(({x}) // 10) % 10', 'X', 'L', 'C')} || {place(f'({x}) % 10', 'I', 'V', 'X')})"
+    )
+
+
+SECTIONS_CTE = f"""
+lines AS (
+  SELECT doc_id, unnest(arr) AS text, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS pos
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents)),
+lv AS (
+  SELECT doc_id, pos, text, pos // 5 AS m, pos % 5 AS k, doc_id % 4 AS scheme,
+         {_list(_fx.SECTION_HEADS)}[pos // 5 % 7 + 1] AS head,
+         CASE WHEN pos % 5 > 0 THEN {_list(_fx.SUB_HEADS)}[pos % 5] END AS sub
+  FROM lines),
+sections AS (
+  SELECT doc_id AS item_key, pos,
+    CASE scheme
+      WHEN 0 THEN CASE WHEN k = 0 THEN head WHEN k = 4 THEN '' ELSE sub END
+      WHEN 1 THEN CASE WHEN k = 0 THEN {_sql_roman('m + 1')} || '. ' || head ELSE sub END
+      WHEN 2 THEN CASE WHEN k = 0 THEN CASE WHEN m % 2 = 0 THEN upper(head)
+                       ELSE upper(split_part(head, ' ', 1)) || substr(head, length(split_part(head, ' ', 1)) + 1) END
+                  ELSE sub END
+      ELSE CASE WHEN k = 0 THEN head ELSE '' END END AS heading,
+    CASE WHEN scheme = 0 THEN
+      CASE WHEN k = 0 THEN CAST(m + 1 AS VARCHAR) || CASE WHEN doc_id % 8 = 0 THEN '' ELSE '.' END
+           WHEN k = 4 THEN '' ELSE CAST(m + 1 AS VARCHAR) || '.' || CAST(k AS VARCHAR) END
+    ELSE '' END AS num,
+    text,
+    CASE WHEN pos % 3 = 0 THEN ['b' || CAST(pos AS VARCHAR)] ELSE []::VARCHAR[] END AS publication_refs,
+    CASE WHEN k = 1 THEN ['fig' || CAST(m AS VARCHAR)] ELSE []::VARCHAR[] END AS figure_refs,
+    CASE WHEN k = 2 AND m % 2 = 1 THEN ['tab' || CAST(m AS VARCHAR)] ELSE []::VARCHAR[] END AS table_refs
+  FROM lv)"""
+
+_NEAR_DUP = """
+d1 AS (
+  SELECT *, count(*) OVER g AS n_grp, first_value(pos) OVER gl AS lpos, first_value(wk) OVER gl AS lkey
+  FROM (SELECT *, substr(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g'), 1, 100) AS wk FROM sections)
+  WINDOW g AS (PARTITION BY item_key, heading, num),
+         gl AS (PARTITION BY item_key, heading, num ORDER BY length(text) DESC, pos)),
+dedup AS (SELECT * FROM d1 WHERE n_grp = 1 OR pos = lpos OR wk <> lkey)"""
+
+FLAG_DUPLICATES = f"""
+WITH {SECTIONS_CTE}
+SELECT item_key, pos, count(*) OVER (PARTITION BY item_key, heading, num) > 1 AS is_duplicated FROM sections
+"""
+
+DROP_NEAR_DUPLICATES = f"""
+WITH {SECTIONS_CTE}, {_NEAR_DUP}
+SELECT item_key, pos, heading, num FROM dedup
+"""
+
+_UPPER_W = "(w = upper(w) AND w <> lower(w))"
+_ROMAN_CASE = (
+    "CASE lower(split_part(heading, '.', 1)) WHEN '' THEN 0 WHEN 'i' THEN 1 WHEN 'ii' THEN 2 WHEN 'iii' THEN 3 "
+    "WHEN 'iv' THEN 4 WHEN 'v' THEN 5 WHEN 'vi' THEN 6 WHEN 'vii' THEN 7 WHEN 'viii' THEN 8 WHEN 'ix' THEN 9 END"
+)
+
+CLASSIFY_SECTIONS = f"""
+WITH {SECTIONS_CTE}, {_NEAR_DUP},
+c AS (
+  SELECT item_key, pos, regexp_replace(heading, '{STRIP}', '', 'g') AS heading,
+         regexp_replace(num, '{STRIP}', '', 'g') AS num, text, publication_refs, figure_refs, table_refs
+  FROM dedup),
+st1 AS (
+  SELECT *,
+    max(CASE WHEN contains(lower(heading), 'introduction') THEN 1 ELSE 0 END) OVER p AS has_intro,
+    max(CASE WHEN num IN ('1', '1.') THEN 1 ELSE 0 END) OVER p AS has_n,
+    max(CASE WHEN starts_with(lower(heading), 'i. ') THEN 1 ELSE 0 END) OVER p AS has_r,
+    max(CASE WHEN heading <> '' AND heading = upper(heading) AND heading <> lower(heading) THEN 1 ELSE 0 END) OVER p AS has_c,
+    min(CASE WHEN num IN ('1', '1.') THEN pos END) OVER p AS first_one
+  FROM c WINDOW p AS (PARTITION BY item_key)),
+st AS (
+  SELECT *,
+    CASE WHEN has_n = 1 THEN 'N' WHEN has_r = 1 THEN 'R' WHEN has_c = 1 THEN 'C' ELSE 'H' END AS strategy,
+    max(CASE WHEN pos = first_one AND num = '1' THEN 1 ELSE 0 END) OVER (PARTITION BY item_key) = 1 AS no_dot,
+    string_split_regex(heading, '{WS}+') AS words
+  FROM st1),
+mk AS (
+  SELECT *,
+    heading <> '' AND words[1] = upper(words[1]) AND words[1] <> lower(words[1]) AS main_c,
+    CAST({_ROMAN_CASE} AS VARCHAR) || '.' AS roman_num,
+    substr(heading, instr(heading, '.') + 1) AS after_dot,
+    CASE WHEN list_position(list_transform(words, lambda w: {_UPPER_W}), false) IS NULL THEN len(words)
+         ELSE list_position(list_transform(words, lambda w: {_UPPER_W}), false) - 1 END AS lead_n
+  FROM st),
+mk2 AS (
+  SELECT *,
+    CASE strategy
+      WHEN 'N' THEN num <> '' AND CASE WHEN no_dot THEN regexp_matches(num, '^\\p{{Nd}}+$') ELSE regexp_matches(num, '^\\p{{Nd}}+\\.$') END
+      WHEN 'R' THEN regexp_matches(lower(heading), '^(?:ix|iv|v?i{{0,3}})\\.')
+      WHEN 'C' THEN main_c
+      ELSE heading <> '' END AS is_main,
+    sum(CASE WHEN main_c THEN 1 ELSE 0 END) OVER (PARTITION BY item_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS cap_idx
+  FROM mk),
+mk3 AS (
+  SELECT *,
+    CASE WHEN is_main THEN CASE strategy WHEN 'R' THEN roman_num WHEN 'C' THEN CAST(cap_idx AS VARCHAR) || '.' ELSE num END END AS m_num,
+    CASE WHEN is_main THEN CASE strategy WHEN 'R' THEN lower(after_dot)
+                                         WHEN 'C' THEN lower(array_to_string(words[1:lead_n], ' '))
+                                         ELSE lower(heading) END END AS m_title
+  FROM mk2),
+ff AS (
+  SELECT *, last_value(m_num IGNORE NULLS) OVER w AS c_num, last_value(m_title IGNORE NULLS) OVER w AS c_title
+  FROM mk3 WINDOW w AS (PARTITION BY item_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+kk AS (
+  SELECT *,
+    coalesce(c_num, '') AS key_num,
+    coalesce(c_title, CASE WHEN has_intro = 1 THEN '' ELSE 'Introduction' END) AS key_title,
+    CASE WHEN is_main THEN 'section'
+         WHEN strategy = 'N' THEN CASE WHEN num = '' THEN '' WHEN starts_with(num, coalesce(c_num, '')) THEN 'subsection' ELSE '' END
+         WHEN strategy IN ('R', 'C') THEN 'subsection' ELSE '' END AS kind,
+    CASE WHEN strategy = 'R' AND is_main THEN roman_num ELSE num END AS rnum,
+    CASE WHEN strategy = 'R' AND is_main THEN regexp_replace(after_dot, '{STRIP}', '', 'g') ELSE heading END AS rheading
+  FROM ff),
+rp AS (
+  SELECT *, min(pos) OVER g AS first_pos, max(CASE WHEN is_main THEN pos END) OVER g AS last_main
+  FROM kk WINDOW g AS (PARTITION BY item_key, key_num, key_title)),
+kept AS (SELECT * FROM rp WHERE NOT (strategy IN ('N', 'R') AND last_main IS NOT NULL AND pos < last_main)),
+pc AS (
+  SELECT *, coalesce(max(CASE WHEN kind <> 'section' OR text <> '' THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY item_key, key_num, key_title ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS has_prev
+  FROM kept),
+pieces AS (
+  SELECT *,
+    CASE kind
+      WHEN 'section' THEN CASE WHEN text <> '' THEN (CASE WHEN has_prev THEN chr(10) ELSE '' END) || text ELSE '' END
+      WHEN 'subsection' THEN (CASE WHEN has_prev THEN chr(10) ELSE '' END) || chr(10) || (rnum || ' ' || rheading) || chr(10)
+                             || repeat('-', CAST(length(rnum || ' ' || rheading) AS INTEGER))
+                             || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END
+      ELSE rheading || ' ' || text || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END END AS piece
+  FROM pc),
+merged AS (
+  SELECT item_key, key_num, key_title, first_pos, string_agg(piece, '' ORDER BY pos) AS text,
+    flatten(list(publication_refs ORDER BY pos)) AS publication_refs,
+    flatten(list(figure_refs ORDER BY pos)) AS figure_refs,
+    flatten(list(table_refs ORDER BY pos)) AS table_refs
+  FROM pieces GROUP BY item_key, key_num, key_title, first_pos),
+idx AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_key ORDER BY first_pos) - 1 AS INTEGER) AS sec_idx FROM merged),
+cl0 AS (
+  SELECT *, lower(key_title) AS t,
+    coalesce(min(CASE WHEN regexp_matches(lower(key_title), 'introduction|background') THEN sec_idx END) OVER (PARTITION BY item_key), 0) AS intro_idx
+  FROM idx),
+cl1 AS (
+  SELECT *, CASE WHEN regexp_matches(t, 'experiments|results|validation|evaluation') THEN 'evaluation'
+                 WHEN regexp_matches(t, 'discussion|conclusion|future work') THEN 'conclusion'
+                 WHEN regexp_matches(t, 'related work|previous work|literature review') THEN 'related work'
+                 WHEN sec_idx = intro_idx THEN 'introduction' ELSE '' END AS c0
+  FROM cl0),
+cl2 AS (
+  SELECT *, contains(t, 'method') AND c0 = '' AS is_m,
+         max(CASE WHEN contains(t, 'method') AND c0 = '' THEN 1 ELSE 0 END) OVER (PARTITION BY item_key) = 1 AS any_m
+  FROM cl1),
+cl3 AS (SELECT *, CASE WHEN any_m AND is_m THEN 'method' WHEN NOT any_m AND sec_idx = intro_idx + 1 THEN 'method' ELSE c0 END AS c1 FROM cl2),
+cl4 AS (
+  SELECT *, min(CASE WHEN c1 = 'conclusion' THEN sec_idx END) OVER (PARTITION BY item_key) AS first_concl,
+    coalesce(last_value(nullif(c1, '') IGNORE NULLS) OVER (PARTITION BY item_key ORDER BY sec_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS filled
+  FROM cl3)
+SELECT item_key, sec_idx, key_title AS heading, key_num AS num, text,
+  array_to_string(publication_refs, '|') AS publication_refs,
+  array_to_string(figure_refs, '|') AS figure_refs,
+  array_to_string(table_refs, '|') AS table_refs,
+  CASE WHEN first_concl IS NOT NULL AND sec_idx > first_concl THEN c1 ELSE filled END AS type
+FROM cl4
+"""
+
+MERGE_SECTIONS = f"""
+WITH {SECTIONS_CTE},
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY pos) = 1 AS is_first,
+         CASE WHEN num <> '' THEN num || ' ' || heading ELSE heading END AS sub
+  FROM sections),
+e AS (
+  SELECT *, (CASE WHEN NOT is_first AND heading <> '' THEN [sub || chr(10) || repeat('-', CAST(length(sub) AS INTEGER))] ELSE []::VARCHAR[] END)
+            || (CASE WHEN text <> '' THEN [text] ELSE []::VARCHAR[] END) AS els
+  FROM r)
+SELECT item_key, arg_min(heading, pos) AS heading, arg_min(num, pos) AS num,
+  array_to_string(flatten(list(els ORDER BY pos)), chr(10)) AS text,
+  array_to_string(flatten(list(publication_refs ORDER BY pos)), '|') AS publication_refs,
+  array_to_string(flatten(list(figure_refs ORDER BY pos)), '|') AS figure_refs,
+  array_to_string(flatten(list(table_refs ORDER BY pos)), '|') AS table_refs
+FROM e GROUP BY item_key
+"""
+
+_ORACLE_SECTIONS = {
+    "flag_duplicates": FLAG_DUPLICATES,
+    "drop_near_duplicates": DROP_NEAR_DUPLICATES,
+    "classify_sections": CLASSIFY_SECTIONS,
+    "merge_sections": MERGE_SECTIONS,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    out = {
         "fetch_item_field": FETCH_ITEM_FIELD,
         "fetch_item_field_collection": FETCH_ITEM_FIELD_COLLECTION,
         "fetch_item_fields": FETCH_ITEM_FIELDS,
@@ -333,3 +544,5 @@ def oracle_sql() -> dict[str, str]:
         "filter_dois": FILTER_DOIS,
         "year_periods": YEAR_PERIODS,
     }
+    out.update(_ORACLE_SECTIONS)
+    return out
