@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import lexical, merge, search
 from scriptorium.operators import library as libops
 from scriptorium.operators import sections as secops
+from scriptorium.operators import segments as segops
 from scriptorium.plans import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -204,8 +205,21 @@ def q_merge_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refs_joined(out.select("item_key", "heading", "num", "text", *secops.REF_COLS))
 
 
+def q_text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 + F14-F17 + W12: per paper, section texts by class, table captions and headings, figure captions."""
+    classified = secops.classify_sections(fx.sections(spark, sf_dir))
+    return segops.text_segments(fx.paper_keys(spark, sf_dir), classified, fx.tables(spark, sf_dir), fx.figures(spark, sf_dir))
+
+
+def q_pretty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the human-readable dump of each paper's classified sections."""
+    return secops.pretty_text(secops.classify_sections(fx.sections(spark, sf_dir)))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "text_segments": q_text_segments,
+        "pretty_text": q_pretty_text,
         "flag_duplicates": q_flag_duplicates,
         "drop_near_duplicates": q_drop_near_duplicates,
         "classify_sections": q_classify_sections,

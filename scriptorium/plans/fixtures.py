@@ -225,3 +225,48 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 1, F.array(F.concat(F.lit("fig"), m.cast("string")))).otherwise(empty).alias("figure_refs"),
         F.when((k == 2) & (m % 2 == 1), F.array(F.concat(F.lit("tab"), m.cast("string")))).otherwise(empty).alias("table_refs"),
     )
+
+
+# --- tables and figures --------------------------------------------------------
+
+
+def paper_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_key"))
+
+
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of papers built from ``part``: part ``p`` is table ``p % 2`` of paper ``p div 2``.
+
+    Header row ``[Method|'', brand, size]``, then ``[name, price, size]``, then
+    ``[type, '0.5']`` (ragged ``[type]`` when ``p % 7 = 0``); no cells when ``p % 11 = 0``.
+    """
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pos = (k % 2).cast("int")
+    header = F.array(F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("Method")), F.col("p_brand"), F.lit("size"))
+    body = F.array(F.col("p_name"), F.col("p_retailprice").cast("string"), F.col("p_size").cast("string"))
+    last = F.when(k % 7 == 0, F.array(F.col("p_type"))).otherwise(F.array(F.col("p_type"), F.lit("0.5")))
+    cells = F.when(k % 11 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(header, body, last))
+    return p.select(
+        F.floor(k / 2).alias("item_key"),
+        pos.alias("pos"),
+        F.concat(F.lit("Table "), (pos + 1).cast("string")).alias("label"),
+        F.concat(F.lit("Table "), (pos + 1).cast("string"), F.lit(": "), F.col("p_name")).alias("caption"),
+        F.concat(F.lit("tab"), k.cast("string")).alias("figure_id"),
+        cells.alias("cells"),
+    )
+
+
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of papers: every document line with ``pos % 10 = 7`` is a figure caption."""
+    d = table(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("line") % 10 == 7)
+    n = (F.floor(F.col("line") / 10) + 1).cast("string")
+    return lines.select(
+        F.col("doc_id").alias("item_key"),
+        F.col("line").cast("int").alias("pos"),
+        F.concat(F.lit("Figure "), n).alias("label"),
+        F.col("text").alias("caption"),
+        F.lit("figure").alias("type"),
+        F.concat(F.lit("fig"), F.col("line").cast("string")).alias("figure_id"),
+    )

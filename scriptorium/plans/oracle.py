@@ -546,3 +546,65 @@ def oracle_sql() -> dict[str, str]:
     }
     out.update(_ORACLE_SECTIONS)
     return out
+
+
+# --- segments ---------------------------------------------------------------
+
+TABLES_CTE = """
+tabs AS (
+  SELECT p_partkey // 2 AS item_key, CAST(p_partkey % 2 AS INTEGER) AS pos,
+    'Table ' || CAST(p_partkey % 2 + 1 AS VARCHAR) || ': ' || p_name AS caption,
+    CASE WHEN p_partkey % 11 = 0 THEN []::VARCHAR[][]
+         ELSE [[CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'Method' END, p_brand, 'size'],
+               [p_name, CAST(p_retailprice AS VARCHAR), CAST(p_size AS VARCHAR)],
+               CASE WHEN p_partkey % 7 = 0 THEN [p_type] ELSE [p_type, '0.5'] END] END AS cells
+  FROM part),
+figs AS (
+  SELECT doc_id AS item_key, pos, text AS caption FROM (
+    SELECT doc_id, unnest(arr) AS text, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS pos
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents)) WHERE pos % 10 = 7)"""
+
+_KEEP = "(h IS NOT NULL AND h <> '' AND NOT regexp_matches(replace(h, '.', ''), '^\\p{N}+$'))"
+
+TABLE_HEADINGS_CTE = f"""
+th0 AS (
+  SELECT item_key, pos,
+    list_filter(list_transform(cells, lambda r: r[1]), lambda h: {_KEEP}) AS col,
+    list_filter(coalesce(cells[1], []::VARCHAR[]), lambda h: {_KEEP}) AS rw
+  FROM tabs),
+th AS (
+  SELECT item_key, pos,
+    CASE WHEN len(col) > 0 THEN CASE WHEN len(rw) > 0 THEN array_to_string(col, ' ; ') || ' | ' || array_to_string(rw[2:], ' ; ')
+                                     ELSE array_to_string(col, ' ; ') END
+         ELSE array_to_string(rw, ' ; ') END AS headings
+  FROM th0)"""
+
+
+def _seg(kind: str) -> str:
+    return f"regexp_replace(coalesce(string_agg(text, chr(10) ORDER BY sec_idx) FILTER (WHERE type = '{kind}'), ''), '{STRIP}', '', 'g') AS {kind.replace(' ', '_')}"
+
+
+TEXT_SEGMENTS = f"""
+WITH cls AS ({CLASSIFY_SECTIONS}),
+{TABLES_CTE}, {TABLE_HEADINGS_CTE},
+sec AS (SELECT item_key, {", ".join(_seg(k) for k in ("introduction", "related work", "method", "evaluation", "conclusion"))} FROM cls GROUP BY item_key),
+tc AS (SELECT item_key, string_agg(caption, chr(10) ORDER BY pos) AS table_captions FROM tabs GROUP BY item_key),
+thh AS (SELECT item_key, string_agg(headings, chr(10) ORDER BY pos) AS table_headings FROM th WHERE headings <> '' GROUP BY item_key),
+fc AS (SELECT item_key, string_agg(caption, chr(10) ORDER BY pos) AS figure_captions FROM figs GROUP BY item_key)
+SELECT d.doc_id AS item_key,
+  coalesce(sec.introduction, '') AS introduction, coalesce(sec.related_work, '') AS related_work,
+  coalesce(sec.method, '') AS method, coalesce(sec.evaluation, '') AS evaluation, coalesce(sec.conclusion, '') AS conclusion,
+  coalesce(tc.table_captions, '') AS table_captions, coalesce(thh.table_headings, '') AS table_headings,
+  coalesce(fc.figure_captions, '') AS figure_captions
+FROM documents d LEFT JOIN sec ON sec.item_key = d.doc_id LEFT JOIN tc ON tc.item_key = d.doc_id
+  LEFT JOIN thh ON thh.item_key = d.doc_id LEFT JOIN fc ON fc.item_key = d.doc_id
+"""
+
+PRETTY_TEXT = f"""
+WITH cls AS ({CLASSIFY_SECTIONS})
+SELECT item_key, string_agg(num || ' | ' || upper(heading) || CASE WHEN type <> '' THEN ' [' || type || ']' ELSE '' END
+                            || chr(10) || text, chr(10) || chr(10) || '==============================' || chr(10) || chr(10) ORDER BY sec_idx) AS pretty_text
+FROM cls GROUP BY item_key
+"""
+
+_ORACLE_SECTIONS.update({"text_segments": TEXT_SEGMENTS, "pretty_text": PRETTY_TEXT})
