@@ -17,6 +17,7 @@ from scriptorium.operators import library as libops
 from scriptorium.operators import sections as secops
 from scriptorium.operators import segments as segops
 from scriptorium.plans import fixtures as fx
+from scriptorium.sources import tei
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -216,8 +217,46 @@ def q_pretty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secops.pretty_text(secops.classify_sections(fx.sections(spark, sf_dir)))
 
 
+# --- TEI ------------------------------------------------------------------------
+
+
+def _shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tei.shred_tei(fx.tei_documents(spark, sf_dir))
+
+
+def q_shred_tei_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + S11: title, abstract and child counts of every shredded TEI paper."""
+    s = _shredded(spark, sf_dir)
+    return s.select(
+        "item_key", "title", "abstract",
+        F.size("sections").alias("n_sections"), F.size("tables").alias("n_tables"), F.size("figures").alias("n_figures"),
+        F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
+def q_shred_tei_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + P15: sections of the shredded TEI (divs with neither heading nor text are skipped)."""
+    return _refs_joined(tei.tei_sections(_shredded(spark, sf_dir)))
+
+
+def q_shred_tei_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of the shredded TEI with their cells (rows joined by ';', cells by '|')."""
+    t = tei.tei_tables(_shredded(spark, sf_dir))
+    cells = F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), ";")
+    return t.select("item_key", "pos", "label", "caption", "figure_id", cells.alias("cells"))
+
+
+def q_shred_tei_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the shredded TEI (caption = all text of the figure element)."""
+    return tei.tei_figures(_shredded(spark, sf_dir))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "shred_tei_papers": q_shred_tei_papers,
+        "shred_tei_sections": q_shred_tei_sections,
+        "shred_tei_tables": q_shred_tei_tables,
+        "shred_tei_figures": q_shred_tei_figures,
         "text_segments": q_text_segments,
         "pretty_text": q_pretty_text,
         "flag_duplicates": q_flag_duplicates,

@@ -270,3 +270,20 @@ def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("figure").alias("type"),
         F.concat(F.lit("fig"), F.col("line").cast("string")).alias("figure_id"),
     )
+
+
+def tei_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TEI text per document built from the derived sections, tables and figures.
+
+    Title = first line of the document; abstract = its second line ("" if none).
+    """
+    from scriptorium.sources.tei import build_tei
+
+    d = table(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+    papers_ = d.select(
+        F.col("doc_id").alias("item_key"),
+        F.element_at(lines, 1).alias("title"),
+        F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("abstract"),
+    )
+    return build_tei(papers_, sections(spark, sf_dir), tables(spark, sf_dir), figures(spark, sf_dir))

@@ -608,3 +608,54 @@ FROM cls GROUP BY item_key
 """
 
 _ORACLE_SECTIONS.update({"text_segments": TEXT_SEGMENTS, "pretty_text": PRETTY_TEXT})
+
+
+# --- TEI round trip ------------------------------------------------------------
+
+def _py_strip(expr: str) -> str:
+    return f"regexp_replace({expr}, '{STRIP}', '', 'g')"
+
+SHRED_TEI_PAPERS = f"""
+WITH {SECTIONS_CTE}, {TABLES_CTE},
+ns AS (SELECT item_key, count(*) AS n FROM sections
+       WHERE NOT (heading = '' AND {_py_strip('text')} = '') GROUP BY item_key),
+nt AS (SELECT item_key, count(*) AS n FROM tabs GROUP BY item_key),
+nf AS (SELECT item_key, count(*) AS n FROM figs GROUP BY item_key)
+SELECT d.doc_id AS item_key, {_py_strip("split_part(d.text, chr(10), 1)")} AS title,
+  {_py_strip("split_part(d.text, chr(10), 2)")} AS abstract,
+  CAST(coalesce(ns.n, 0) AS INTEGER) AS n_sections, CAST(coalesce(nt.n, 0) AS INTEGER) AS n_tables,
+  CAST(coalesce(nf.n, 0) AS INTEGER) AS n_figures, '' AS error
+FROM documents d LEFT JOIN ns ON ns.item_key = d.doc_id LEFT JOIN nt ON nt.item_key = d.doc_id LEFT JOIN nf ON nf.item_key = d.doc_id
+"""
+
+SHRED_TEI_SECTIONS = f"""
+WITH {SECTIONS_CTE},
+kept AS (SELECT *, {_py_strip('text')} AS stext FROM sections WHERE NOT (heading = '' AND {_py_strip('text')} = ''))
+SELECT item_key, CAST(row_number() OVER (PARTITION BY item_key ORDER BY pos) - 1 AS INTEGER) AS pos, heading, num, stext AS text,
+  array_to_string(publication_refs, '|') AS publication_refs, array_to_string(figure_refs, '|') AS figure_refs,
+  array_to_string(table_refs, '|') AS table_refs
+FROM kept
+"""
+
+SHRED_TEI_TABLES = f"""
+WITH {TABLES_CTE}
+SELECT t.item_key, CAST(row_number() OVER (PARTITION BY t.item_key ORDER BY t.pos) - 1 AS INTEGER) AS pos,
+  'Table ' || CAST(t.pos + 1 AS VARCHAR) AS label, t.caption, 'tab' || CAST(t.item_key * 2 + t.pos AS VARCHAR) AS figure_id,
+  array_to_string(list_transform(t.cells, lambda r: array_to_string(r, '|')), ';') AS cells
+FROM tabs t
+"""
+
+SHRED_TEI_FIGURES = f"""
+WITH {TABLES_CTE}
+SELECT item_key, CAST(row_number() OVER (PARTITION BY item_key ORDER BY pos) - 1 AS INTEGER) AS pos,
+  'Figure ' || CAST(pos // 10 + 1 AS VARCHAR) AS label,
+  'Figure ' || CAST(pos // 10 + 1 AS VARCHAR) || caption AS caption, 'figure' AS type, 'fig' || CAST(pos AS VARCHAR) AS figure_id
+FROM figs
+"""
+
+_ORACLE_SECTIONS.update({
+    "shred_tei_papers": SHRED_TEI_PAPERS,
+    "shred_tei_sections": SHRED_TEI_SECTIONS,
+    "shred_tei_tables": SHRED_TEI_TABLES,
+    "shred_tei_figures": SHRED_TEI_FIGURES,
+})
