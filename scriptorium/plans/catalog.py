@@ -17,7 +17,9 @@ from scriptorium.operators import library as libops
 from scriptorium.operators import sections as secops
 from scriptorium.operators import segments as segops
 from scriptorium.plans import fixtures as fx
-from scriptorium.sources import tei
+from scriptorium.operators import export as expops
+from scriptorium.sources import corpus, tei
+from scriptorium.session import scratch_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -251,8 +253,35 @@ def q_shred_tei_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tei.tei_figures(_shredded(spark, sf_dir))
 
 
+# --- corpus export --------------------------------------------------------------
+
+
+def _export(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
+    return expops.export_parsed(
+        spark, fx.library(spark, sf_dir), fx.tei_by_path(spark, sf_dir), out, fx.LIBRARY_ROOT, fx.library_listing(spark, sf_dir)
+    )
+
+
+def q_export_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + S8 + S9 + F22 + J11 + P11 + P12: export library papers as XML, read the corpus back, add the year."""
+    out = scratch_dir(spark, "corpus")
+    _export(spark, sf_dir, out)
+    lib = fx.library(spark, sf_dir)
+    years = libops.fetch_item_fields(lib, ["year"]).withColumnRenamed("zoteroID", "item_key")
+    return corpus.read_corpus(spark, out).join(years, "item_key")
+
+
+def q_export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 + A13: exporting the same input twice; the second run exports nothing and skips all."""
+    out = scratch_dir(spark, "corpus")
+    _export(spark, sf_dir, out)
+    return _export(spark, sf_dir, out)
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "export_corpus": q_export_corpus,
+        "export_report": q_export_report,
         "shred_tei_papers": q_shred_tei_papers,
         "shred_tei_sections": q_shred_tei_sections,
         "shred_tei_tables": q_shred_tei_tables,

@@ -287,3 +287,25 @@ def tei_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("abstract"),
     )
     return build_tei(papers_, sections(spark, sf_dir), tables(spark, sf_dir), figures(spark, sf_dir))
+
+
+def library_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files present in library storage: attachments with a path, except when
+    ``(conv_id + turn) % 4 = 1`` (those files are missing)."""
+    conv = table(spark, sf_dir, "conversations")
+    cid, turn = F.col("conv_id"), F.col("turn")
+    ext = F.when(F.col("role") == "user", F.lit(".pdf")).when(F.col("role") == "assistant", F.lit(".html")).otherwise(F.lit(".txt"))
+    key = F.concat(F.lit("A"), _lpad(cid, 7), F.lit("_"), turn.cast("string"))
+    has_path = (cid + turn) % 6 != 5
+    return conv.where(has_path & ((cid + turn) % 4 != 1)).select(
+        F.concat(F.lit(LIBRARY_ROOT + "/storage/"), key, F.lit("/turn"), turn.cast("string"), ext).alias("path")
+    )
+
+
+def tei_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TEI of each PDF attachment: a conversation's PDFs hold the TEI of the document with the same id."""
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    cid, turn = F.col("conv_id"), F.col("turn")
+    path = F.concat(F.lit(LIBRARY_ROOT + "/storage/A"), _lpad(cid, 7), F.lit("_"), turn.cast("string"), F.lit("/turn"), turn.cast("string"), F.lit(".pdf"))
+    pdfs = conv.select(F.col("conv_id").alias("item_key"), path.alias("path"))
+    return pdfs.join(tei_documents(spark, sf_dir), "item_key").select("path", "content")

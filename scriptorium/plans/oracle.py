@@ -659,3 +659,75 @@ _ORACLE_SECTIONS.update({
     "shred_tei_tables": SHRED_TEI_TABLES,
     "shred_tei_figures": SHRED_TEI_FIGURES,
 })
+
+
+# --- corpus export ----------------------------------------------------------------
+
+SHREDDED_SECTIONS_CTE = SECTIONS_CTE.replace("\nsections AS (", "\nraw_sections AS (") + f""",
+sections AS (
+  SELECT item_key, pos, heading, num, {_py_strip('text')} AS text, publication_refs, figure_refs, table_refs
+  FROM raw_sections WHERE NOT (heading = '' AND {_py_strip('text')} = ''))"""
+
+_EXPORT_CANDIDATES = f"""
+{LIB_CTE},
+j AS (
+  SELECT i.key AS zoteroID, p.conv_id, t.value AS title, dv.value AS doi, a.contentType,
+         CASE WHEN a.path IS NULL THEN NULL ELSE '/data/library/storage/' || ai.key || '/' || substr(a.path, 9) END AS path
+  FROM items i JOIN parents p ON p.itemID = i.itemID
+  JOIN itemData it ON i.itemID = it.itemID AND it.fieldID = 1 JOIN itemDataValues t ON it.valueID = t.valueID
+  JOIN itemData id2 ON i.itemID = id2.itemID AND id2.fieldID = 59 JOIN itemDataValues dv ON id2.valueID = dv.valueID
+  JOIN attach a ON i.itemID = a.parentItemID
+  JOIN items ai ON a.itemID = ai.itemID
+  WHERE i.libraryID = 1),
+listing AS (
+  SELECT '/data/library/storage/A' || lpad(CAST(conv_id AS VARCHAR), 7, '0') || '_' || CAST(turn AS VARCHAR) || '/turn' || CAST(turn AS VARCHAR)
+         || CASE role WHEN 'user' THEN '.pdf' WHEN 'assistant' THEN '.html' ELSE '.txt' END AS path
+  FROM conversations WHERE (conv_id + turn) % 6 <> 5 AND (conv_id + turn) % 4 <> 1),
+ex AS (SELECT * FROM j WHERE path IS NOT NULL AND path IN (SELECT path FROM listing)),
+pf AS (
+  SELECT *, bool_or(contentType = 'application/pdf') OVER (PARTITION BY zoteroID) AS has_pdf,
+            bool_or(contentType = 'text/html') OVER (PARTITION BY zoteroID) AS has_html
+  FROM ex),
+cand AS (SELECT * FROM pf WHERE NOT (has_pdf AND has_html AND contentType = 'text/html') AND contentType = 'application/pdf'),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zoteroID ORDER BY path) AS rk FROM cand) WHERE rk = 1)"""
+
+EXPORT_REPORT = f"""
+WITH {_EXPORT_CANDIDATES}
+SELECT 'exported' AS status, CAST(0 AS BIGINT) AS n
+UNION ALL
+SELECT 'skipped' AS status, count(*) AS n FROM cand
+"""
+
+_SHREDDED_CLASSIFY = CLASSIFY_SECTIONS.replace(SECTIONS_CTE, SHREDDED_SECTIONS_CTE)
+
+
+EXPORT_CORPUS = f"""
+WITH {_EXPORT_CANDIDATES},
+cls AS ({_SHREDDED_CLASSIFY}),
+{TABLES_CTE}, {TABLE_HEADINGS_CTE},
+sec AS (SELECT item_key, {", ".join(_seg(k) for k in ("introduction", "related work", "method", "evaluation", "conclusion"))} FROM cls GROUP BY item_key),
+tc AS (SELECT item_key, string_agg(caption, chr(10) ORDER BY pos) AS v FROM tabs GROUP BY item_key),
+thh AS (SELECT item_key, string_agg(headings, chr(10) ORDER BY pos) AS v FROM th WHERE headings <> '' GROUP BY item_key),
+fc AS (SELECT item_key, string_agg('Figure ' || CAST(pos // 10 + 1 AS VARCHAR) || caption, chr(10) ORDER BY pos) AS v FROM figs GROUP BY item_key),
+yr AS (
+  SELECT i.key AS zoteroID, CAST(nullif(regexp_extract(v.value, '([0-9]{{4}})', 1), '') AS INTEGER) AS year
+  FROM items i JOIN itemData d ON i.itemID = d.itemID JOIN itemDataValues v ON d.valueID = v.valueID
+  WHERE i.libraryID = 1 AND d.fieldID = 8)
+SELECT f.zoteroID AS item_key, f.doi, f.title, f.path,
+  {_py_strip("coalesce(split_part(doc.text, chr(10), 2), '')")} AS abstract,
+  {_py_strip("coalesce(sec.introduction, '')")} AS introduction,
+  {_py_strip("coalesce(sec.related_work, '')")} AS related_work,
+  {_py_strip("coalesce(sec.method, '')")} AS method,
+  {_py_strip("coalesce(sec.evaluation, '')")} AS evaluation,
+  {_py_strip("coalesce(sec.conclusion, '')")} AS conclusion,
+  {_py_strip("coalesce(tc.v, '')")} AS table_captions,
+  {_py_strip("coalesce(thh.v, '')")} AS table_headings,
+  {_py_strip("coalesce(fc.v, '')")} AS figure_captions,
+  yr.year
+FROM firsts f JOIN documents doc ON doc.doc_id = f.conv_id
+  JOIN yr ON yr.zoteroID = f.zoteroID
+  LEFT JOIN sec ON sec.item_key = f.conv_id LEFT JOIN tc ON tc.item_key = f.conv_id
+  LEFT JOIN thh ON thh.item_key = f.conv_id LEFT JOIN fc ON fc.item_key = f.conv_id
+"""
+
+_ORACLE_SECTIONS.update({"export_corpus": EXPORT_CORPUS, "export_report": EXPORT_REPORT})

@@ -28,7 +28,7 @@ SECTION_STRUCT = (
 TABLE_STRUCT = "struct<pos:int, label:string, caption:string, figure_id:string, cells:array<array<string>>>"
 FIGURE_STRUCT = "struct<pos:int, label:string, caption:string, type:string, figure_id:string>"
 SHREDDED_SCHEMA = (
-    f"item_key long, title string, abstract string, sections array<{SECTION_STRUCT}>, "
+    f"item_key {{key_type}}, title string, abstract string, sections array<{SECTION_STRUCT}>, "
     f"tables array<{TABLE_STRUCT}>, figures array<{FIGURE_STRUCT}>, references array<string>, "
     "formulas array<string>, error string"
 )
@@ -156,8 +156,9 @@ def _shred_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def shred_tei(tei: DataFrame) -> DataFrame:
     """``item_key, content`` -> one row per paper with nested sections, tables,
     figures, references and formulas (see ``SHREDDED_SCHEMA``)."""
-    slim = tei.select(F.col("item_key").cast("long"), "content")
-    return slim.mapInPandas(_shred_batches, SHREDDED_SCHEMA)
+    slim = tei.select("item_key", "content")
+    key_type = slim.schema["item_key"].dataType.simpleString()
+    return slim.mapInPandas(_shred_batches, SHREDDED_SCHEMA.format(key_type=key_type))
 
 
 def tei_sections(shredded: DataFrame) -> DataFrame:
