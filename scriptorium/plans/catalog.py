@@ -18,6 +18,7 @@ from scriptorium.operators import sections as secops
 from scriptorium.operators import segments as segops
 from scriptorium.plans import fixtures as fx
 from scriptorium.operators import export as expops
+from scriptorium.operators import geo
 from scriptorium.sources import corpus, tei
 from scriptorium.session import scratch_dir
 
@@ -278,8 +279,31 @@ def q_export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _export(spark, sf_dir, out)
 
 
+# --- countries and terms ----------------------------------------------------------
+
+
+def q_publications_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 + F2 + A16: distinct papers per ISO country and year (orders as papers)."""
+    return geo.publications_by_country(fx.order_records(spark, sf_dir))
+
+
+def q_unknown_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """affiliation texts no country rule recognises, counted."""
+    return geo.unknown_countries(fx.order_records(spark, sf_dir))
+
+
+def q_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15 + O6: the 20 most frequent terms of each language (word-cloud input)."""
+    docs = fx.table(spark, sf_dir, "documents")
+    counts = lexical.term_counts(docs, "text", ["lang"])
+    return lexical.top_terms(counts, 20, ["lang"]).select("lang", "term", "n", "term_rank")
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "publications_by_country": q_publications_by_country,
+        "unknown_countries": q_unknown_countries,
+        "top_terms": q_top_terms,
         "export_corpus": q_export_corpus,
         "export_report": q_export_report,
         "shred_tei_papers": q_shred_tei_papers,

@@ -309,3 +309,32 @@ def tei_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit(LIBRARY_ROOT + "/storage/A"), _lpad(cid, 7), F.lit("_"), turn.cast("string"), F.lit("/turn"), turn.cast("string"), F.lit(".pdf"))
     pdfs = conv.select(F.col("conv_id").alias("item_key"), path.alias("path"))
     return pdfs.join(tei_documents(spark, sf_dir), "item_key").select("path", "content")
+
+
+# --- countries -------------------------------------------------------------------
+
+# The affiliation country text of each nation key 0..24.
+NATION_COUNTRIES = (
+    "Hong Kong", "South Korea", "Ciudad de México, DF", "Atlantis", "Boston, USA",
+    "Paris, France", "Montréal, Canada", "Berlin, Germany", "London", "Tokyo, Japan",
+    "Isfahan Iran", "Durban South Africa", "Kolkata, West Bengal", "Saudia Arabia", "Zürich, Switzerland",
+    "Algérie", "Lima, Peru", "china", "Brno, Czechia", "Cardiff, Wales",
+    "P. O. Box Saudi Arabia", "Sydney, Australia", "Seoul", "Narnia", "U.S.A",
+)
+
+
+def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as papers: key, ISO date text, and the affiliation countries of
+    the customer's nation (plus a second nation for every third order)."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    names = F.array(*[F.lit(x) for x in NATION_COUNTRIES])
+    first = F.element_at(names, (F.col("c_nationkey") + 1).cast("int"))
+    second = F.element_at(names, ((F.col("c_nationkey") + F.col("o_orderkey")) % 25 + 1).cast("int"))
+    countries = F.when(F.col("o_orderkey") % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    return j.select(
+        F.concat(F.lit("10.2/"), F.col("o_orderkey").cast("string")).alias("doi"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        countries.alias("affiliation_country"),
+    )

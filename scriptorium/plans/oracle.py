@@ -731,3 +731,49 @@ FROM firsts f JOIN documents doc ON doc.doc_id = f.conv_id
 """
 
 _ORACLE_SECTIONS.update({"export_corpus": EXPORT_CORPUS, "export_report": EXPORT_REPORT})
+
+
+# --- countries and terms ------------------------------------------------------------
+from scriptorium.functions.countries import COUNTRY_RULES  # noqa: E402
+
+
+def _country_case(x: str) -> str:
+    whens = []
+    for iso, kind, pats in COUNTRY_RULES:
+        tests = [f"contains({x}, {_q(p)})" if kind == "contains" else f"ends_with({x}, {_q(p)})" for p in pats]
+        whens.append(f"WHEN {' OR '.join(tests)} THEN '{iso}'")
+    return f"CASE WHEN {x} IS NULL THEN NULL {' '.join(whens)} ELSE '' END"
+
+
+ORDER_RECORDS_CTE = f"""
+rec AS (
+  SELECT '10.2/' || CAST(o.o_orderkey AS VARCHAR) AS doi, strftime(o.o_orderdate, '%Y-%m-%d') AS date,
+    CASE WHEN o.o_orderkey % 3 = 0 THEN [{_list(_fx.NATION_COUNTRIES)}[c.c_nationkey + 1], {_list(_fx.NATION_COUNTRIES)}[(c.c_nationkey + o.o_orderkey) % 25 + 1]]
+         ELSE [{_list(_fx.NATION_COUNTRIES)}[c.c_nationkey + 1]] END AS affiliation_country
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+ex AS (SELECT doi, date, unnest(affiliation_country) AS country FROM rec)"""
+
+PUBLICATIONS_BY_COUNTRY = f"""
+WITH {ORDER_RECORDS_CTE}
+SELECT {_country_case('country')} AS iso, CAST(nullif(regexp_extract(date, '^([0-9]{{4}})', 1), '') AS INTEGER) AS year,
+  count(DISTINCT doi) AS n_papers
+FROM ex GROUP BY ALL
+"""
+
+UNKNOWN_COUNTRIES = f"""
+WITH {ORDER_RECORDS_CTE}
+SELECT country, count(*) AS n FROM ex WHERE {_country_case('country')} = '' GROUP BY country
+"""
+
+TOP_TERMS = """
+WITH t AS (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS term FROM documents),
+c AS (SELECT lang, term, count(*) AS n FROM t WHERE term <> '' GROUP BY lang, term)
+SELECT lang, term, n, CAST(rn AS INTEGER) AS term_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rn FROM c) WHERE rn <= 20
+"""
+
+_ORACLE_SECTIONS.update({
+    "publications_by_country": PUBLICATIONS_BY_COUNTRY,
+    "unknown_countries": UNKNOWN_COUNTRIES,
+    "top_terms": TOP_TERMS,
+})
