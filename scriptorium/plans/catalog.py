@@ -19,7 +19,7 @@ from scriptorium.operators import segments as segops
 from scriptorium.plans import fixtures as fx
 from scriptorium.operators import export as expops
 from scriptorium.operators import geo
-from scriptorium.sources import corpus, tei
+from scriptorium.sources import corpus, records, tei
 from scriptorium.session import scratch_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -299,8 +299,56 @@ def q_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_terms(counts, 20, ["lang"]).select("lang", "term", "n", "term_rank")
 
 
+# --- landed search results ---------------------------------------------------------
+
+RECORD_OUT = ("doi", "title", "first_author", "authors", "publication", "publication_type", "year",
+              "citations_count", "abstract", "issn", "source", "query")
+
+
+def q_import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + P1-P3 + P5 + F7 + F8 + J9: a Publish-or-Perish CSV written, read back, DOIs filled from works."""
+    path = scratch_dir(spark, "pop-csv")
+    (fx.pop_export(spark, sf_dir).write.options(**records.CSV_OPTIONS)
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").mode("overwrite").csv(path))
+    df = records.read_search_csv(spark, path, source="pop", query="imported", works=fx.works(spark, sf_dir))
+    return df.select(*RECORD_OUT)
+
+
+def q_results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 + O1: merged results exported as CSV (doi first, multi-values joined) and read back as text."""
+    path = scratch_dir(spark, "results-csv")
+    merged = merge.merge_duplicates(fx.papers(spark, sf_dir)).select(*[c for c in PAPER_OUT if c != "doi"], "doi")
+    records.write_results_csv(merge.order_results(merged), path, mode="overwrite")
+    back = spark.read.options(**records.CSV_OPTIONS).csv(path)
+    return back.select(*[F.col(c).alias(c) for c in back.columns]).withColumn("first_column", F.lit(back.columns[0]))
+
+
+def _land(spark: SparkSession, text_df: DataFrame, name: str) -> str:
+    path = scratch_dir(spark, name)
+    text_df.write.mode("overwrite").text(path)
+    return path
+
+
+def q_normalize_scopus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + F4 + F24 + A8: landed Scopus entries (JSON lines) to records."""
+    path = _land(spark, fx.scopus_json(spark, sf_dir), "scopus-json")
+    recs = records.normalize_scopus(records.read_json_records(spark, path, records.SCOPUS_ENTRY_SCHEMA))
+    return records.to_csv_edge(recs)
+
+
+def q_normalize_pubmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + F5 + F25 + A8: landed PubMed articles (JSON lines) to records."""
+    path = _land(spark, fx.pubmed_json(spark, sf_dir), "pubmed-json")
+    recs = records.normalize_pubmed(records.read_json_records(spark, path, records.PUBMED_ARTICLE_SCHEMA))
+    return records.to_csv_edge(recs)
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "import_csv": q_import_csv,
+        "results_csv": q_results_csv,
+        "normalize_scopus": q_normalize_scopus,
+        "normalize_pubmed": q_normalize_pubmed,
         "publications_by_country": q_publications_by_country,
         "unknown_countries": q_unknown_countries,
         "top_terms": q_top_terms,

@@ -338,3 +338,107 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
         countries.alias("affiliation_country"),
     )
+
+
+# --- landed search results ---------------------------------------------------------
+
+
+def _doc_doi(i: Column) -> Column:
+    return F.when(i % 7 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("10.1/"), F.md5("text")))
+
+
+def pop_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a Publish-or-Perish export (DOI missing every 7th row)."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    return d.select(
+        first_line(F.col("text")).alias("Title"),
+        F.concat(F.col("source"), F.lit(", "), F.col("lang")).alias("Authors"),
+        F.col("lang").alias("Source"),
+        F.when(i % 2 == 0, F.lit("Journal")).otherwise(F.lit("Book")).alias("Type"),
+        doc_year(i).alias("Year"),
+        _doc_doi(i).alias("DOI"),
+        F.col("text").alias("Abstract"),
+        _lpad(i, 8).alias("ISSN"),
+        (F.col("n_chars") % 97).alias("Cites"),
+        (F.col("n_chars") / 2.0).alias("CitesPerAuthor"),
+    )
+
+
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bibliographic works table (every second document): title, author, publication, year, DOI."""
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0)
+    return d.select(
+        first_line(F.col("text")).alias("title"),
+        F.col("source").alias("author"),
+        F.col("lang").alias("publication"),
+        doc_year(F.col("doc_id")).alias("year"),
+        F.concat(F.lit("10.1/"), F.md5("text")).alias("DOI"),
+    )
+
+
+def _docs_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    c = table(spark, sf_dir, "customer")
+    return d.join(c, d.doc_id == c.c_custkey, "left")
+
+
+def scopus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopus search entries as JSON text (documents of engine 0 + their customer)."""
+    j = _docs_customers(spark, sf_dir).where(F.col("doc_id") % 3 == 0)
+    i = F.col("doc_id")
+    line = first_line(F.col("text"))
+    country = F.element_at(F.array(*[F.lit(x) for x in NATION_COUNTRIES]), (F.col("c_nationkey") + 1).cast("int"))
+    aff = F.when(
+        F.col("c_custkey").isNotNull(),
+        F.array(
+            F.struct(F.col("c_name").alias("affilname"), country.alias("affiliation-country")),
+            F.struct(F.col("c_mktsegment").alias("affilname"), F.lit(None).cast("string").alias("affiliation-country")),
+        ),
+    )
+    entry = F.struct(
+        _doc_doi(i).alias("prism:doi"),
+        line.alias("dc:title"),
+        F.when(i % 11 != 0, F.col("source")).alias("dc:creator"),
+        F.array(F.struct(F.col("source").alias("authname")), F.struct(F.col("lang").alias("authname"))).alias("author"),
+        F.col("lang").alias("prism:publicationName"),
+        F.when(i % 2 == 0, F.lit("Journal")).alias("prism:aggregationType"),
+        F.when(i % 9 != 0, F.concat(doc_year(i).cast("string"), F.lit("-0"), (F.lit(1) + i % 9).cast("string"), F.lit("-01"))).alias("prism:coverDate"),
+        F.concat(F.lit("SCOPUS_ID:"), i.cast("string")).alias("dc:identifier"),
+        F.when(i % 2 == 0, i.cast("string")).alias("pubmed-id"),
+        F.col("text").alias("dc:description"),
+        F.slice(F.split(F.lower(line), " "), 1, 3).alias("authkeywords"),
+        (F.col("n_chars") % 50).cast("string").alias("citedby-count"),
+        aff.alias("affiliation"),
+    )
+    return j.select(F.to_json(entry).alias("value"))
+
+
+def pubmed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PubMed articles as JSON text (documents of engine 2 + their customer)."""
+    j = _docs_customers(spark, sf_dir).where(F.col("doc_id") % 3 == 2)
+    i = F.col("doc_id")
+    line = first_line(F.col("text"))
+    types = F.when(i % 4 != 3, F.create_map(F.lit("D016428"), F.lit("Journal Article"), F.lit("D016454"), F.lit("Review")))
+    affs = F.when(
+        F.col("c_custkey").isNotNull(),
+        F.array(
+            F.struct(F.array(F.col("c_name"), F.concat(F.lit("Dept "), F.col("c_mktsegment"))).alias("affiliations")),
+            F.struct(F.array(F.col("c_name")).alias("affiliations")),
+        ),
+    ).otherwise(F.array().cast("array<struct<affiliations:array<string>>>"))
+    art = F.struct(
+        _doc_doi(i).alias("doi"),
+        line.alias("title"),
+        F.array(F.col("source"), F.col("lang")).alias("authors"),
+        F.col("lang").alias("journal"),
+        types.alias("publication_types"),
+        doc_year(i).cast("string").alias("year"),
+        F.struct(F.when(i % 5 != 0, F.concat(doc_year(i).cast("string"), F.lit("-0"), (F.lit(1) + i % 9).cast("string"), F.lit("-15"))).alias("accepted")).alias("history"),
+        F.col("text").alias("abstract"),
+        F.slice(F.split(F.lower(line), " "), 1, 2).alias("keywords"),
+        affs.alias("author_list"),
+        i.cast("string").alias("pmid"),
+        F.when(i % 10 == 5, F.lit("Handbook")).alias("book"),
+    )
+    return j.select(F.to_json(art).alias("value"))

@@ -777,3 +777,78 @@ _ORACLE_SECTIONS.update({
     "unknown_countries": UNKNOWN_COUNTRIES,
     "top_terms": TOP_TERMS,
 })
+
+
+# --- landed search results ------------------------------------------------------------
+
+IMPORT_CSV = """
+WITH rec AS (
+  SELECT nullif(split_part(text, chr(10), 1), '') AS title, source || ', ' || lang AS authors,
+    nullif(split_part(source || ', ' || lang, ',', 1), '') AS first_author, nullif(lang, '') AS publication,
+    CASE WHEN doc_id % 2 = 0 THEN 'Journal' ELSE 'Book' END AS publication_type,
+    CAST(2000 + doc_id % 25 AS INTEGER) AS year, n_chars % 97 AS citations_count,
+    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '10.1/' || md5(text) END AS doi, nullif(text, '') AS abstract,
+    lpad(CAST(doc_id AS VARCHAR), 8, '0') AS issn
+  FROM documents),
+works AS (
+  SELECT lower(trim(split_part(text, chr(10), 1))) AS t, lower(trim(source)) AS a, CAST(2000 + doc_id % 25 AS INTEGER) AS y,
+         min('10.1/' || md5(text)) AS w
+  FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL)
+SELECT coalesce(rec.doi, works.w) AS doi, title, first_author, authors, publication, publication_type, year, citations_count,
+  abstract, issn, 'pop' AS source, 'imported' AS query
+FROM rec LEFT JOIN works ON rec.doi IS NULL AND works.t = lower(trim(rec.title)) AND works.a = lower(trim(rec.first_author)) AND works.y = rec.year
+"""
+
+RESULTS_CSV = f"""
+WITH {PAPERS_CTE},
+b AS ({_BLANKED} FROM papers),
+m AS (
+  SELECT doi,
+    {_first_non_null(("title", "first_author", "authors", "publication", "year", "abstract"), "priority * 10000000000 + seq", ())},
+    {_SOURCE_SET}
+  FROM b WHERE doi IS NOT NULL GROUP BY doi)
+SELECT doi, title, first_author, authors, publication, CAST(year AS VARCHAR) AS year, abstract, source, 'doi' AS first_column FROM m
+"""
+
+_DOCS_CUST = """
+j AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, split_part(d.text, chr(10), 1) AS line,
+         c.c_custkey, c.c_name, c.c_nationkey, c.c_mktsegment
+  FROM documents d LEFT JOIN customer c ON d.doc_id = c.c_custkey)"""
+
+NORMALIZE_SCOPUS = f"""
+WITH {_DOCS_CUST}
+SELECT '10.1/' || md5(text) AS doi, line AS title, source AS first_author, source || '|' || lang AS authors, lang AS publication,
+  CASE WHEN doc_id % 2 = 0 THEN 'Journal' ELSE '' END AS publication_type,
+  CASE WHEN doc_id % 9 <> 0 THEN CAST(2000 + doc_id % 25 AS INTEGER) END AS year,
+  CASE WHEN doc_id % 9 <> 0 THEN CAST(2000 + doc_id % 25 AS VARCHAR) || '-0' || CAST(1 + doc_id % 9 AS VARCHAR) || '-01' ELSE '' END AS date,
+  'SCOPUS_ID:' || CAST(doc_id AS VARCHAR) AS scopus_id,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS pmid,
+  text AS abstract,
+  array_to_string(string_split(lower(line), ' ')[1:3], '|') AS keywords,
+  n_chars % 50 AS citations_count,
+  CASE WHEN c_custkey IS NULL THEN '' ELSE array_to_string(list_sort(list_distinct([c_name, c_mktsegment])), '|') END AS affiliation,
+  CASE WHEN c_custkey IS NULL THEN ''
+       ELSE array_to_string(list_sort(list_distinct([{_list(_fx.NATION_COUNTRIES)}[c_nationkey + 1], ''])), '|') END AS affiliation_country
+FROM j WHERE doc_id % 3 = 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0
+"""
+
+NORMALIZE_PUBMED = f"""
+WITH {_DOCS_CUST}
+SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '10.1/' || md5(text) END AS doi, line AS title, source AS first_author,
+  source || '|' || lang AS authors, lang AS publication,
+  CASE WHEN doc_id % 10 = 5 THEN 'book' WHEN doc_id % 4 <> 3 THEN 'Journal Article' ELSE 'other' END AS publication_type,
+  CAST(2000 + doc_id % 25 AS INTEGER) AS year,
+  CASE WHEN doc_id % 5 <> 0 THEN CAST(2000 + doc_id % 25 AS VARCHAR) || '-0' || CAST(1 + doc_id % 9 AS VARCHAR) || '-15' END AS date,
+  CAST(doc_id AS VARCHAR) AS pmid, text AS abstract,
+  array_to_string(string_split(lower(line), ' ')[1:2], '|') AS keywords,
+  CASE WHEN c_custkey IS NULL THEN '' ELSE array_to_string(list_sort(list_distinct([c_name, 'Dept ' || c_mktsegment])), '|') END AS affiliation
+FROM j WHERE doc_id % 3 = 2
+"""
+
+_ORACLE_SECTIONS.update({
+    "import_csv": IMPORT_CSV,
+    "results_csv": RESULTS_CSV,
+    "normalize_scopus": NORMALIZE_SCOPUS,
+    "normalize_pubmed": NORMALIZE_PUBMED,
+})
