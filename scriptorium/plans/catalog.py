@@ -19,6 +19,7 @@ from scriptorium.operators import segments as segops
 from scriptorium.plans import fixtures as fx
 from scriptorium.operators import export as expops
 from scriptorium.operators import geo
+from scriptorium.operators import screening as scr
 from scriptorium.sources import corpus, records, tei
 from scriptorium.session import scratch_dir
 
@@ -343,8 +344,46 @@ def q_normalize_pubmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_csv_edge(recs)
 
 
+# --- screening ---------------------------------------------------------------------
+
+SCREEN_OUT = ("doi", "title", *scr.ANSWER_COLUMNS, *scr.FLAG_COLUMNS, "error")
+
+
+def _articles(spark: SparkSession, sf_dir: str, collection: str | None = None) -> DataFrame:
+    """J4 + P13 + A4: doi, title and abstract of library items, complete rows, one per title."""
+    lib = fx.library(spark, sf_dir)
+    arts = libops.fetch_item_fields(lib, ["doi", "title", "abstract"], collection=collection).na.drop(subset=["doi", "title", "abstract"])
+    return merge.distinct_titles(arts, order_cols=("zoteroID",))
+
+
+def q_build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + O4: the user-paper message of every article (title + last 300 words)."""
+    return scr.build_prompt(_articles(spark, sf_dir)).select("doi", "user_paper")
+
+
+def _read_answers(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.options(**records.CSV_OPTIONS).csv(path)
+    for c in scr.FLAG_COLUMNS:
+        df = df.withColumn(c, F.col(c).try_cast("boolean"))
+    return df
+
+
+def q_screen_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2-M4 + F23 + J10 + S10 + P14: screen one collection, save, then the whole
+    library resuming from the saved answers (only pending articles reach the model)."""
+    first = scr.analyse_abstracts(_articles(spark, sf_dir, collection="reading"), None, fx.rule_model_factory)
+    p1 = scratch_dir(spark, "screening")
+    first.select(*SCREEN_OUT).write.options(**records.CSV_OPTIONS).mode("overwrite").csv(p1)
+    second = scr.analyse_abstracts(_articles(spark, sf_dir), _read_answers(spark, p1), fx.rule_model_factory)
+    p2 = scratch_dir(spark, "screening")
+    second.select(*SCREEN_OUT).write.options(**records.CSV_OPTIONS).mode("overwrite").csv(p2)
+    return _read_answers(spark, p2).select(*SCREEN_OUT)
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "build_prompt": q_build_prompt,
+        "screen_abstracts": q_screen_abstracts,
         "import_csv": q_import_csv,
         "results_csv": q_results_csv,
         "normalize_scopus": q_normalize_scopus,

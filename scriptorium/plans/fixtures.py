@@ -442,3 +442,36 @@ def pubmed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 10 == 5, F.lit("Handbook")).alias("book"),
     )
     return j.select(F.to_json(art).alias("value"))
+
+
+# --- screening model -------------------------------------------------------------
+
+
+def rule_model(messages: list[dict]) -> str:
+    """A deterministic stand-in for a text model: answers from the user paper's words.
+
+    ``n`` = number of words of the (last-300-words) abstract; abstracts of fewer
+    than 5 words raise, to exercise per-row error capture.
+    """
+    paper = next(m["content"] for m in reversed(messages) if m["role"] == "user" and m["content"].startswith("USER PAPER:"))
+    abstract = paper.split("\n", 1)[1] if "\n" in paper else ""
+    n = len([w for w in abstract.split(" ") if w])
+    if n < 5:
+        raise ValueError("abstract too short")
+    question = messages[-1]["content"].split("\n", 1)[0]
+    pad = f" {abstract} "
+    if question.startswith("Which language"):
+        if " the " in pad:
+            return "English"
+        return "German, mostly" if (" und " in pad or " der " in pad) else "Spanish or French."
+    if question.startswith("Which type of images"):
+        return ("It uses color fundus photographs.", "OCT or OCTA", '"Other".')[n % 3]
+    if question.startswith("Which sentence"):
+        return ("novel segmentation method", "A novel artery and vein classification method.", "review other research papers", "Hmm.")[n % 4]
+    if question.startswith("Which structure"):
+        return "retinal vessels" if n % 2 == 0 else "The optic disc"
+    return "other"
+
+
+def rule_model_factory():
+    return rule_model

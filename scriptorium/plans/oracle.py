@@ -852,3 +852,56 @@ _ORACLE_SECTIONS.update({
     "normalize_scopus": NORMALIZE_SCOPUS,
     "normalize_pubmed": NORMALIZE_PUBMED,
 })
+
+
+# --- screening ----------------------------------------------------------------------
+
+_ARTICLES = f"""
+{LIB_CTE},
+f AS (
+  SELECT i.key AS zoteroID,
+    max(v.value) FILTER (WHERE d.fieldID = 59) AS doi, max(v.value) FILTER (WHERE d.fieldID = 1) AS title,
+    max(v.value) FILTER (WHERE d.fieldID = 2) AS abstract
+  FROM items i JOIN itemData d ON i.itemID = d.itemID JOIN itemDataValues v ON d.valueID = v.valueID
+  WHERE i.libraryID = 1 AND d.fieldID IN (1, 2, 59) GROUP BY i.key),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY zoteroID) AS rn FROM f
+                     WHERE doi IS NOT NULL AND title IS NOT NULL AND abstract IS NOT NULL) WHERE rn = 1),
+w AS (SELECT *, list_filter(string_split(replace(abstract, chr(9), ''), ' '), lambda x: x <> '') AS words FROM a),
+x AS (SELECT *, array_to_string(CASE WHEN len(words) <= 300 THEN words ELSE list_slice(words, len(words) - 299, len(words)) END, ' ') AS abs300,
+             least(len(words), 300) AS n FROM w)"""
+
+BUILD_PROMPT = f"""
+WITH {_ARTICLES}
+SELECT doi, 'USER PAPER:' || title || '.' || chr(10) || abs300 AS user_paper FROM x
+"""
+
+SCREEN_ABSTRACTS = f"""
+WITH {_ARTICLES},
+r AS (
+  SELECT *, ' ' || abs300 || ' ' AS pad,
+    CASE WHEN contains(' ' || abs300 || ' ', ' the ') THEN 'English'
+         WHEN contains(' ' || abs300 || ' ', ' und ') OR contains(' ' || abs300 || ' ', ' der ') THEN 'German'
+         ELSE 'spanish or french' END AS m_lang,
+    CASE n % 3 WHEN 0 THEN 'color fundus' WHEN 1 THEN 'OCT or OCTA' ELSE 'other' END AS m_img,
+    CASE n % 4 WHEN 0 THEN 'novel segmentation method' WHEN 1 THEN 'novel artery and vein classification method'
+               WHEN 2 THEN 'review other research papers' ELSE 'hmm' END AS m_con,
+    CASE WHEN n % 2 = 0 THEN 'retinal vessels' ELSE 'optic disc' END AS m_str
+  FROM x),
+c AS (
+  SELECT *,
+    CASE WHEN n >= 5 THEN m_lang END AS language,
+    CASE WHEN n >= 5 AND contains(m_lang, 'English') THEN m_img END AS image
+  FROM r),
+c2 AS (SELECT *, CASE WHEN image IS NOT NULL AND contains(image, 'color fundus') THEN m_con END AS contribution FROM c),
+c3 AS (
+  SELECT *, CASE WHEN contribution IS NOT NULL AND NOT contains(contribution, 'artery and vein') AND contains(contribution, 'segmentation')
+                 THEN m_str END AS structure
+  FROM c2)
+SELECT doi, title, language, image, contribution, structure,
+  CASE WHEN n < 5 THEN NULL ELSE coalesce(contains(structure, 'vessels'), false) END AS fundus_vessel_segmentation,
+  CASE WHEN n < 5 THEN NULL ELSE coalesce(contains(contribution, 'artery and vein'), false) END AS fundus_vessel_classification,
+  CASE WHEN n < 5 THEN 'ValueError: abstract too short' END AS error
+FROM c3
+"""
+
+_ORACLE_SECTIONS.update({"build_prompt": BUILD_PROMPT, "screen_abstracts": SCREEN_ABSTRACTS})
