@@ -151,12 +151,11 @@ def append_results(
     """
     if old is None:
         return new
+    # merged rows carry set columns as arrays: bring them back to joined strings first
+    for c in set_cols:
+        if c in old.columns and not isinstance(old.schema[c].dataType, StringType):
+            old = old.withColumn(c, F.array_join(c, MULTI_SEPARATOR))
     stacked = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
-    if set_cols:
-        # old rows may carry arrays already: bring them back to joined strings first
-        for c in set_cols:
-            if c in stacked.columns and not isinstance(stacked.schema[c].dataType, StringType):
-                stacked = stacked.withColumn(c, F.array_join(c, MULTI_SEPARATOR))
     merged = merge_duplicates(stacked, key, ("_batch", *order_cols), set_cols, keep_order_cols=False)
     return merged.drop("_batch")
 

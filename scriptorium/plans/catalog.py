@@ -22,6 +22,7 @@ from scriptorium.operators import geo
 from scriptorium.operators import screening as scr
 from scriptorium.sources import corpus, records, tei
 from scriptorium.session import scratch_dir
+from scriptorium.streaming import incremental
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -380,8 +381,55 @@ def q_screen_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_answers(spark, p2).select(*SCREEN_OUT)
 
 
+# --- streaming ---------------------------------------------------------------------
+
+PAPER_SCHEMA = (
+    "doi string, title string, first_author string, authors string, publication string, year int, "
+    "abstract string, source string, priority int, seq long"
+)
+
+
+def _corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus rows of every document (sections classified, segments built)."""
+    d = fx.table(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+    meta = d.select(
+        F.col("doc_id").alias("item_key"), F.col("doc_id").cast("string").alias("zoteroID"),
+        F.concat(F.lit("10.1/"), F.md5("text")).alias("doi"), F.element_at(lines, 1).alias("title"),
+        F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"),
+    )
+    heads = d.select(F.col("doc_id").alias("item_key"), F.element_at(lines, 1).alias("title"),
+                     F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("abstract"))
+    classified = secops.classify_sections(fx.sections(spark, sf_dir))
+    segs = segops.text_segments(fx.paper_keys(spark, sf_dir), classified, fx.tables(spark, sf_dir), fx.figures(spark, sf_dir))
+    return corpus.paper_rows(meta, heads, classified, segs)
+
+
+def q_stream_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus files landing in three rounds, each picked up by an availableNow run."""
+    src, sink, ckpt = scratch_dir(spark, "corpus-src"), scratch_dir(spark, "corpus-sink"), scratch_dir(spark, "corpus-ckpt")
+    rows = _corpus_rows(spark, sf_dir).checkpoint()
+    for k in range(3):
+        corpus.write_corpus(rows.where(F.col("_zoteroID").cast("long") % 3 == k), src)
+        incremental.stream_corpus(spark, src, sink, ckpt).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def q_stream_append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + A3: each engine's records land, then an availableNow run merges them into the results."""
+    land, out, ckpt = scratch_dir(spark, "records-land"), scratch_dir(spark, "records-out"), scratch_dir(spark, "records-ckpt")
+    p = fx.papers(spark, sf_dir)
+    for k in range(len(fx.ENGINES)):
+        p.where(F.col("priority") == k).write.mode("append").json(land)
+        incremental.stream_append_results(spark, land, PAPER_SCHEMA, out, ckpt).awaitTermination()
+    final = incremental.latest_version(spark, out)
+    return _csv_edge(spark.read.parquet(final))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "stream_corpus": q_stream_corpus,
+        "stream_append_results": q_stream_append_results,
         "build_prompt": q_build_prompt,
         "screen_abstracts": q_screen_abstracts,
         "import_csv": q_import_csv,

@@ -905,3 +905,17 @@ FROM c3
 """
 
 _ORACLE_SECTIONS.update({"build_prompt": BUILD_PROMPT, "screen_abstracts": SCREEN_ABSTRACTS})
+
+
+# --- streaming ----------------------------------------------------------------------
+
+STREAM_CORPUS = f"""
+WITH segs AS ({TEXT_SEGMENTS})
+SELECT CAST(d.doc_id AS VARCHAR) AS item_key, '10.1/' || md5(d.text) AS doi, split_part(d.text, chr(10), 1) AS title,
+  '/corpus/' || CAST(d.doc_id AS VARCHAR) || '.pdf' AS path,
+  {_py_strip("split_part(d.text, chr(10), 2)")} AS abstract,
+  {", ".join(_py_strip(f"segs.{c}") + f" AS {c}" for c in ("introduction", "related_work", "method", "evaluation", "conclusion", "table_captions", "table_headings", "figure_captions"))}
+FROM documents d JOIN segs ON segs.item_key = d.doc_id
+"""
+
+_ORACLE_SECTIONS.update({"stream_corpus": STREAM_CORPUS, "stream_append_results": MERGE_DUPLICATES})
