@@ -42,7 +42,7 @@ WITH {_tf_cte()},
 c1 AS (SELECT *, pow(freq / (max(freq) OVER (PARTITION BY word_pos) + 0.001), 3) AS c FROM tf),
 c2 AS (SELECT *, c / (sum(c) OVER (PARTITION BY word_pos) + 0.001) AS p FROM c1),
 sc AS (SELECT word_pos, coalesce(sum(p * year), 0.0) AS chrono_score FROM c2 GROUP BY word_pos),
-rk AS (SELECT word_pos, chrono_score, row_number() OVER (ORDER BY chrono_score, word_pos) AS chrono_rank FROM sc),
+rk AS (SELECT word_pos, chrono_score, CAST(row_number() OVER (ORDER BY chrono_score, word_pos) AS INTEGER) AS chrono_rank FROM sc),
 nb AS (
   SELECT tf.*,
     row_number() OVER w AS i, count(*) OVER (PARTITION BY word_pos) AS n,
@@ -184,7 +184,7 @@ YEAR_PERIODS = """
 WITH d AS (SELECT source, lang, CAST(2000 + doc_id % 25 AS INTEGER) AS year FROM documents),
 closed AS (SELECT source AS key, min(year) AS min_year, max(year) AS max_year FROM d GROUP BY source),
 opened AS (SELECT lang AS key, min(year) AS min_year FROM d GROUP BY lang)
-SELECT key, y AS since, y AS until, CAST(y AS VARCHAR) AS label
+SELECT key, CAST(y AS INTEGER) AS since, CAST(y AS INTEGER) AS until, CAST(y AS VARCHAR) AS label
 FROM closed, (SELECT unnest(range(min_year, max_year + 1)) AS y) AS t
 UNION ALL
 SELECT key, min_year AS since, CAST(NULL AS INTEGER) AS until, CAST(min_year AS VARCHAR) || '-' AS label FROM opened
