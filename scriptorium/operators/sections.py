@@ -63,19 +63,23 @@ def flag_duplicates(df: DataFrame, keys=("heading", "num"), out_col: str = "is_d
 
 def drop_near_duplicates(sections: DataFrame) -> DataFrame:
     """In each group of equal raw (heading, num) keep the longest text (first on
-    ties) and drop the rows whose first 100 word characters equal its own."""
+    ties) and drop the rows whose first 100 word characters equal its own.
+
+    The word key (a regex over the text) is computed once, and only for rows
+    whose group has more than one member.
+    """
     grp = Window.partitionBy(KEY, "heading", "num")
-    by_len = grp.orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), F.col("pos").asc())
-    wkey = tx.word_key(F.coalesce(F.col("text"), F.lit("")))
-    flagged = sections.select(
+    by_len = grp.orderBy(F.col("_len").desc(), F.col("pos").asc())
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counted = sections.select("*", F.count(F.lit(1)).over(grp).alias("_n"), F.length(text).alias("_len"))
+    keyed = counted.withColumn("_key", F.when(F.col("_n") > 1, tx.word_key(text)))
+    flagged = keyed.select(
         "*",
-        F.count(F.lit(1)).over(grp).alias("_n"),
         F.first("pos").over(by_len).alias("_lpos"),
-        F.first(wkey).over(by_len).alias("_lkey"),
-        wkey.alias("_key"),
+        F.first("_key").over(by_len).alias("_lkey"),
     )
     keep = (F.col("_n") == 1) | (F.col("pos") == F.col("_lpos")) | (F.col("_key") != F.col("_lkey"))
-    return flagged.where(keep).drop("_n", "_lpos", "_lkey", "_key")
+    return flagged.where(keep).drop("_n", "_len", "_lpos", "_lkey", "_key")
 
 
 def clean_sections(sections: DataFrame) -> DataFrame:

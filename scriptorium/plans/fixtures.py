@@ -18,7 +18,10 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table, spread over the cluster when its files give fewer splits than cores."""
+    from scriptorium.sources.tables import read_table
+
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def doc_year(doc_id: Column) -> Column:
