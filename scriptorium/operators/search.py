@@ -88,21 +88,27 @@ def cap_per_group(
     group_cols: Sequence[str],
     order_cols: Sequence[str],
     salt_buckets: int = CAP_SALT_BUCKETS,
+    force_salt: bool = False,
 ) -> DataFrame:
     """At most ``n`` rows per group, the first ones in ``order_cols`` order. Exact.
 
-    Phase 1 ranks inside (group, salt) pieces and keeps n per piece, so a hot
-    group is sorted by many tasks; Spark also inserts a partial per-group limit
-    before each shuffle.  Phase 2 ranks the at most ``salt_buckets * n``
+    For ``n`` up to Spark's window-group-limit threshold, ``row_number() <= n``
+    gets a partial per-group limit before the shuffle, so a hot group sends at
+    most ``n`` rows per map task.  Above it, a first phase ranks inside
+    (group, salt) pieces (a hot group is sorted by many tasks) and keeps ``n``
+    per piece; the second phase ranks the at most ``salt_buckets * n``
     survivors of each group.  ``order_cols`` must make the order total.
     """
     if n is None:
         return df
     if n <= 0:
         return df.limit(0)
+    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n <= threshold and not force_salt:
+        return df.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= n).drop("_rn")
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in order_cols]), F.lit(salt_buckets))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
-    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
     phase1 = df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= n)
     return phase1.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= n).drop("_salt", "_rn")
 

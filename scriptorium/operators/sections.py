@@ -50,6 +50,7 @@ ROMAN_MAIN = r"^(?:ix|iv|v?i{0,3})\."
 ROMAN_FIRST = "i. "
 
 _UNB = Window.unboundedPreceding
+_UNF = Window.unboundedFollowing
 
 
 def _ordered(*cols) -> Window:
@@ -65,19 +66,18 @@ def drop_near_duplicates(sections: DataFrame) -> DataFrame:
     """In each group of equal raw (heading, num) keep the longest text (first on
     ties) and drop the rows whose first 100 word characters equal its own.
 
-    The word key (a regex over the text) is computed once, and only for rows
-    whose group has more than one member.
+    All windows share one ordering (length desc, pos), hence one sort; the
+    word key (a regex over the text) is computed once, and only for rows whose
+    group has more than one member.
     """
-    grp = Window.partitionBy(KEY, "heading", "num")
-    by_len = grp.orderBy(F.col("_len").desc(), F.col("pos").asc())
+    by_len = Window.partitionBy(KEY, "heading", "num").orderBy(F.col("_len").desc(), F.col("pos").asc())
+    whole = by_len.rowsBetween(_UNB, _UNF)
     text = F.coalesce(F.col("text"), F.lit(""))
-    counted = sections.select("*", F.count(F.lit(1)).over(grp).alias("_n"), F.length(text).alias("_len"))
-    keyed = counted.withColumn("_key", F.when(F.col("_n") > 1, tx.word_key(text)))
-    flagged = keyed.select(
-        "*",
-        F.first("pos").over(by_len).alias("_lpos"),
-        F.first("_key").over(by_len).alias("_lkey"),
+    counted = sections.select("*", F.length(text).alias("_len")).select(
+        "*", F.count(F.lit(1)).over(whole).alias("_n"), F.first("pos").over(whole).alias("_lpos")
     )
+    keyed = counted.withColumn("_key", F.when(F.col("_n") > 1, tx.word_key(text)))
+    flagged = keyed.withColumn("_lkey", F.first("_key").over(whole))
     keep = (F.col("_n") == 1) | (F.col("pos") == F.col("_lpos")) | (F.col("_key") != F.col("_lkey"))
     return flagged.where(keep).drop("_n", "_len", "_lpos", "_lkey", "_key")
 
@@ -97,7 +97,7 @@ def clean_sections(sections: DataFrame) -> DataFrame:
 
 def section_strategy(df: DataFrame) -> DataFrame:
     """Per paper: numbering scheme N (numbers), R (roman), C (capitals), H (headings)."""
-    wp = Window.partitionBy(KEY)
+    wp = _ordered().rowsBetween(_UNB, _UNF)
     h = F.lower("heading")
     is_one = F.col("num").isin("1", "1.")
     return df.select(
@@ -167,7 +167,7 @@ def assign_main_sections(df: DataFrame) -> DataFrame:
 
 def keep_current_lists(df: DataFrame) -> DataFrame:
     """Apply replace-on-repeat (schemes N and R) and record each key's first position."""
-    grp = Window.partitionBy(KEY, "key_num", "key_title")
+    grp = Window.partitionBy(KEY, "key_num", "key_title").orderBy("pos").rowsBetween(_UNB, _UNF)
     with_pos = df.select(
         "*",
         F.min("pos").over(grp).alias("first_pos"),
@@ -211,10 +211,10 @@ def _ordered_flatten(value: str) -> Column:
 def merge_subsections(df: DataFrame) -> DataFrame:
     """One row per (paper, main section): merged text and concatenated refs, with
     ``sec_idx`` = position of the section in the paper (first appearance)."""
-    merged = df.groupBy(KEY, "key_num", "key_title", "first_pos").agg(
+    merged = df.groupBy(KEY, "key_num", "key_title", F.col("first_pos").alias("_order")).agg(
         _ordered_concat("_piece").alias("text"), *[_ordered_flatten(c).alias(c) for c in REF_COLS]
     )
-    idx = F.row_number().over(Window.partitionBy(KEY).orderBy("first_pos")) - 1
+    idx = F.row_number().over(Window.partitionBy(KEY).orderBy("_order")) - 1
     return merged.select(
         KEY,
         idx.alias("sec_idx"),
@@ -222,6 +222,7 @@ def merge_subsections(df: DataFrame) -> DataFrame:
         F.col("key_num").alias("num"),
         "text",
         *REF_COLS,
+        "_order",
     )
 
 
@@ -235,8 +236,10 @@ def classify_merged(merged: DataFrame) -> DataFrame:
     whatever it was.  Classes are then carried forward until the first
     conclusion; sections after it keep their own class.
     """
-    wp = Window.partitionBy(KEY)
-    wo = Window.partitionBy(KEY).orderBy("sec_idx").rowsBetween(_UNB, 0)
+    # every window orders by the same key as sec_idx was numbered from: one sort
+    order = "_order" if "_order" in merged.columns else "sec_idx"
+    wp = Window.partitionBy(KEY).orderBy(order).rowsBetween(_UNB, _UNF)
+    wo = Window.partitionBy(KEY).orderBy(order).rowsBetween(_UNB, 0)
     t = F.lower("heading")
     intro_idx = F.coalesce(F.min(F.when(t.rlike(INTRO_PATTERN), F.col("sec_idx"))).over(wp), F.lit(0))
     base = (
@@ -258,7 +261,7 @@ def classify_merged(merged: DataFrame) -> DataFrame:
     first_concl = F.min(F.when(F.col("_c1") == CONCLUSION, F.col("sec_idx"))).over(wp)
     filled = F.coalesce(F.last(F.when(F.col("_c1") != "", F.col("_c1")), ignorenulls=True).over(wo), F.lit(""))
     typ = F.when(first_concl.isNotNull() & (F.col("sec_idx") > first_concl), F.col("_c1")).otherwise(filled)
-    return step3.withColumn("type", typ).drop("_intro", "_c0", "_m", "_any_m", "_c1")
+    return step3.withColumn("type", typ).drop("_intro", "_c0", "_m", "_any_m", "_c1", "_order")
 
 
 def classify_sections(sections: DataFrame, repartition: bool = True) -> DataFrame:

@@ -1,10 +1,10 @@
 """Text segments of papers: section texts by class, table captions and headings,
 figure captions.
 
-All children of a paper (classified sections, tables, figures) and the paper
-row itself are stacked into one narrow frame and reduced with ONE aggregate
-keyed by paper: no joins, one shuffle, and papers without children still get a
-row (with empty segments).
+Section texts are reduced per paper where they already live (the section
+pipeline leaves them hash-partitioned by paper), and the small per-paper
+table and figure aggregates are joined to them, so the text is never shuffled
+a second time.  Papers without children still get a row (empty segments).
 """
 
 from __future__ import annotations
@@ -62,9 +62,12 @@ def table_heading_lists(cells: Column) -> Column:
     return F.struct(F.filter(first_col, keep).alias("col_headings"), F.filter(first_row, keep).alias("row_headings"))
 
 
-def _ordered_join(kind: str, sep: str = "\n") -> Column:
-    items = F.collect_list(F.when(F.col("_kind") == kind, F.struct(F.col("_pos"), F.col("_text"))))
-    return F.array_join(F.transform(F.array_sort(items), lambda x: x["_text"]), sep)
+def _ordered_join(items: Column, sep: str = "\n") -> Column:
+    return F.array_join(F.transform(F.array_sort(items), lambda x: x["v"]), sep)
+
+
+def _collect(cond: Column, pos: str, text: Column) -> Column:
+    return F.collect_list(F.when(cond, F.struct(F.col(pos).cast("int").alias("p"), text.alias("v"))))
 
 
 def text_segments(papers: DataFrame, sections: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
@@ -72,23 +75,27 @@ def text_segments(papers: DataFrame, sections: DataFrame, tables: DataFrame, fig
 
     ``papers`` needs ``item_key``; ``sections`` ``item_key, sec_idx, text, type``;
     ``tables`` ``item_key, pos, caption, cells``; ``figures`` ``item_key, pos, caption``.
+
+    Sections (the bulk of the text) are reduced per paper where they are: when
+    they come from ``classify_sections`` they are already hash-partitioned by
+    paper, so this aggregate adds no shuffle.  The small per-paper table and
+    figure aggregates and the paper keys are joined to it, so only they move.
     """
-    rows = (
-        papers.select(KEY, F.lit("paper").alias("_kind"), F.lit(0).alias("_pos"), F.lit("").alias("_text"))
-        .unionByName(
-            sections.select(KEY, F.coalesce("type", F.lit("")).alias("_kind"), F.col("sec_idx").cast("int").alias("_pos"), F.coalesce("text", F.lit("")).alias("_text"))
-        )
-        .unionByName(tables.select(KEY, F.lit(TABLE_CAPTIONS).alias("_kind"), F.col("pos").cast("int").alias("_pos"), F.coalesce("caption", F.lit("")).alias("_text")))
-        .unionByName(
-            tables.select(KEY, F.lit(TABLE_HEADINGS).alias("_kind"), F.col("pos").cast("int").alias("_pos"), table_headings(F.col("cells")).alias("_text")).where(
-                F.col("_text") != ""
-            )
-        )
-        .unionByName(figures.select(KEY, F.lit(FIGURE_CAPTIONS).alias("_kind"), F.col("pos").cast("int").alias("_pos"), F.coalesce("caption", F.lit("")).alias("_text")))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    typ = F.coalesce(F.col("type"), F.lit(""))
+    sec = sections.groupBy(KEY).agg(
+        *[tx.strip(_ordered_join(_collect(typ == k, "sec_idx", t))).alias(segment_column(k)) for k in SECTION_TYPES]
+    )
+    heads = table_headings(F.col("cells"))
+    tab = tables.groupBy(KEY).agg(
+        _ordered_join(_collect(F.lit(True), "pos", F.coalesce(F.col("caption"), F.lit("")))).alias(TABLE_CAPTIONS),
+        _ordered_join(_collect(heads != "", "pos", heads)).alias(TABLE_HEADINGS),
+    )
+    fig = figures.groupBy(KEY).agg(
+        _ordered_join(_collect(F.lit(True), "pos", F.coalesce(F.col("caption"), F.lit("")))).alias(FIGURE_CAPTIONS)
     )
-    aggs = [tx.strip(_ordered_join(t)).alias(segment_column(t)) for t in SECTION_TYPES]
-    aggs += [_ordered_join(t).alias(t) for t in (TABLE_CAPTIONS, TABLE_HEADINGS, FIGURE_CAPTIONS)]
-    return rows.groupBy(KEY).agg(*aggs)
+    out = sec.join(papers.select(KEY).distinct(), KEY, "right").join(tab, KEY, "left").join(fig, KEY, "left")
+    return out.select(KEY, *[F.coalesce(F.col(segment_column(k)), F.lit("")).alias(segment_column(k)) for k in SEGMENT_TYPES])
 
 
 def segments_long(segments: DataFrame) -> DataFrame:

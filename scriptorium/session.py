@@ -30,6 +30,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     settings = dict(_DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is also the only executor
+        settings["spark.driver.memory"] = os.environ.get("SCRIPTORIUM_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})

@@ -1,22 +1,37 @@
 """Reading input tables.
 
 Large inputs arrive as many files and row groups, so the scan alone gives
-every core work.  A table stored as one unsplittable row group (small test
-data) would run every per-row stage in a single task; such a scan is spread
-round-robin over the default parallelism.  The decision uses only the
-planned number of input splits (file metadata, no data is read), and Catalyst
-still pushes filters and column pruning below the repartition into the scan.
+every core work.  A sizeable table stored as a single unsplittable row group
+(as the test data is) would run every per-row stage in one task; such a scan
+is spread round-robin over the default parallelism.  The decision uses only
+metadata (planned input splits and file sizes; no data is read), small tables
+are left alone, and Catalyst still pushes filters and column pruning below the
+repartition into the scan.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Inputs smaller than this are not worth a shuffle.
+SPREAD_MIN_BYTES = 8 << 20
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when the plan has fewer partitions than cores."""
+
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the files a DataFrame scans (file-system metadata only)."""
+    sc = df.sparkSession.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin repartition when a sizeable scan has fewer partitions than cores."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if df.rdd.getNumPartitions() < target and input_bytes(df) >= min_bytes:
         return df.repartition(target)
     return df
 
