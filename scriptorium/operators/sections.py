@@ -117,47 +117,42 @@ def assign_main_sections(df: DataFrame) -> DataFrame:
 
     Adds ``key_num``, ``key_title``, ``kind`` ('section', 'subsection', '').
     Roman main rows also get their number converted and heading cut.
+    Per-row tests are materialised once as columns and referenced afterwards.
     """
     s = F.col("strategy")
-    h = F.lower("heading")
-    digits_dot = F.col("num").rlike(r"^\p{Nd}+\.$")
-    digits = F.col("num").rlike(r"^\p{Nd}+$")
-    main_n = (F.col("num") != "") & F.when(F.col("_no_dot"), digits).otherwise(digits_dot)
-    main_r = h.rlike(ROMAN_MAIN)
-    main_c = (F.col("heading") != "") & tx.is_upper(tx.first_word(F.col("heading")))
-    main_h = F.col("heading") != ""
-    is_main = (
-        F.when(s == "N", main_n).when(s == "R", main_r).when(s == "C", main_c).otherwise(main_h)
-    )
-    after_dot = F.expr("substring(heading, instr(heading, '.') + 1)")
-    roman_num = F.concat(tx.roman_to_int(F.substring_index(F.col("heading"), ".", 1)).cast("string"), F.lit("."))
-    capitals_idx = F.sum(main_c.cast("int")).over(_ordered().rowsBetween(_UNB, 0)) - 1
-    key_num = (
-        F.when(s == "R", roman_num).when(s == "C", F.concat(capitals_idx.cast("string"), F.lit("."))).otherwise(F.col("num"))
-    )
-    key_title = (
-        F.when(s == "R", F.lower(after_dot)).when(s == "C", F.lower(tx.leading_upper_words(F.col("heading")))).otherwise(h)
-    )
-    marked = df.select(
+    num, heading = F.col("num"), F.col("heading")
+    tests = df.select(
         "*",
-        is_main.alias("_main"),
-        F.when(is_main, F.struct(key_num.alias("n"), key_title.alias("t"))).alias("_mkey"),
+        F.lower(heading).alias("_h"),
+        ((num != "") & F.when(F.col("_no_dot"), num.rlike(r"^\p{Nd}+$")).otherwise(num.rlike(r"^\p{Nd}+\.$"))).alias("_main_n"),
+        ((heading != "") & tx.is_upper(tx.first_word(heading))).alias("_main_c"),
+        F.expr("substring(heading, instr(heading, '.') + 1)").alias("_after_dot"),
+    )
+    h = F.col("_h")
+    is_main = (
+        F.when(s == "N", F.col("_main_n")).when(s == "R", h.rlike(ROMAN_MAIN)).when(s == "C", F.col("_main_c")).otherwise(heading != "")
     )
+    roman_num = F.when(s == "R", F.concat(tx.roman_to_int(F.substring_index(heading, ".", 1)).cast("string"), F.lit(".")))
+    capitals_idx = F.sum(F.col("_main_c").cast("int")).over(_ordered().rowsBetween(_UNB, 0)) - 1
+    key_title = F.when(s == "R", F.lower("_after_dot")).when(s == "C", F.lower(tx.leading_upper_words(heading))).otherwise(h)
+    marked = tests.select("*", is_main.alias("_main"), roman_num.alias("_roman"), capitals_idx.alias("_cap"), key_title.alias("_ktitle"))
+    key_num = F.when(s == "R", F.col("_roman")).when(s == "C", F.concat(F.col("_cap").cast("string"), F.lit("."))).otherwise(num)
+    mkey = F.when(F.col("_main"), F.struct(key_num.alias("n"), F.col("_ktitle").alias("t")))
     cur = F.last("_mkey", ignorenulls=True).over(_ordered().rowsBetween(_UNB, 0))
     initial = F.struct(F.lit("").alias("n"), F.when(F.col("_has_intro") == 1, F.lit("")).otherwise(F.lit(INITIAL_TITLE)).alias("t"))
-    keyed = marked.withColumn("_key", F.coalesce(cur, initial))
+    keyed = marked.withColumn("_mkey", mkey).withColumn("_key", F.coalesce(cur, initial))
     cur_num = F.col("_key.n")
     kind = (
         F.when(F.col("_main"), F.lit("section"))
-        .when(s == "N", F.when(F.col("num") == "", F.lit("")).when(F.col("num").startswith(cur_num), F.lit("subsection")).otherwise(F.lit("")))
+        .when(s == "N", F.when(num == "", F.lit("")).when(num.startswith(cur_num), F.lit("subsection")).otherwise(F.lit("")))
         .when(s.isin("R", "C"), F.lit("subsection"))
         .otherwise(F.lit(""))
     )
     roman_main = (s == "R") & F.col("_main")
     return keyed.select(
         *[c for c in df.columns if c not in ("num", "heading")],
-        F.when(roman_main, roman_num).otherwise(F.col("num")).alias("num"),
-        F.when(roman_main, tx.strip(after_dot)).otherwise(F.col("heading")).alias("heading"),
+        F.when(roman_main, F.col("_roman")).otherwise(num).alias("num"),
+        F.when(roman_main, tx.strip(F.col("_after_dot"))).otherwise(heading).alias("heading"),
         F.col("_key.n").alias("key_num"),
         F.col("_key.t").alias("key_title"),
         kind.alias("kind"),

@@ -194,13 +194,14 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "documents")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    i = F.col("doc_id")
     pos = F.col("pos")
-    m = F.floor(pos / 5)
-    k = pos % 5
-    head = _pick(SECTION_HEADS, m % 7)
-    sub = _pick(SUB_HEADS, k - 1)
-    scheme = i % 4
+    base = lines.select(
+        "doc_id", "pos", "text",
+        F.floor(pos / 5).alias("_m"), (pos % 5).alias("_k"), (F.col("doc_id") % 4).alias("_scheme"),
+    )
+    m, k, scheme, i = F.col("_m"), F.col("_k"), F.col("_scheme"), F.col("doc_id")
+    named = base.select("*", _pick(SECTION_HEADS, m % 7).alias("_head"), F.when(k > 0, _pick(SUB_HEADS, k - 1)).alias("_sub"))
+    head, sub = F.col("_head"), F.col("_sub")
     n_main = (m + 1).cast("string")
     num = F.when(
         scheme == 0,
@@ -209,16 +210,16 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(n_main, F.lit("."), k.cast("string"))),
     ).otherwise(F.lit(""))
     first = F.substring_index(head, " ", 1)
-    capital = F.when(m % 2 == 0, F.upper(head)).otherwise(F.concat(F.upper(first), F.expr("substring(_head, length(_first) + 1)")))
+    capital = F.when(m % 2 == 0, F.upper(head)).otherwise(F.concat(F.upper(first), F.expr("substring(_head, length(substring_index(_head, ' ', 1)) + 1)")))
+    roman = F.when((scheme == 1) & (k == 0), F.concat(int_to_roman(m + 1), F.lit(". "), head))
     heading = (
         F.when(scheme == 0, F.when(k == 0, head).when(k == 4, F.lit("")).otherwise(sub))
-        .when(scheme == 1, F.when(k == 0, F.concat(int_to_roman(m + 1), F.lit(". "), head)).otherwise(sub))
-        .when(scheme == 2, F.when(k == 0, F.col("_capital")).otherwise(sub))
+        .when(scheme == 1, F.when(k == 0, roman).otherwise(sub))
+        .when(scheme == 2, F.when(k == 0, capital).otherwise(sub))
         .otherwise(F.when(k == 0, head).otherwise(F.lit("")))
     )
     empty = F.array().cast("array<string>")
-    staged = lines.withColumn("_head", head).withColumn("_first", first).withColumn("_capital", capital)
-    return staged.select(
+    return named.select(
         i.alias("item_key"),
         pos.cast("int").alias("pos"),
         heading.alias("heading"),
@@ -230,9 +231,6 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- tables and figures --------------------------------------------------------
-
-
 def paper_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_key"))
 
