@@ -426,8 +426,42 @@ def q_stream_append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv_edge(spark.read.parquet(final))
 
 
+# --- storage round trips -------------------------------------------------------------
+
+
+def q_library_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library tables saved as Parquet and opened again; doi/title/year of the group library."""
+    from scriptorium.sources.library import load_library, save_library
+
+    path = scratch_dir(spark, "library")
+    save_library(fx.library(spark, sf_dir), path, mode="overwrite")
+    return libops.fetch_item_fields(load_library(spark, path), ["doi", "title", "year"], library="Shared Group")
+
+
+def q_paper_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shredded papers written as <paper> XML (tables with cells, figures) and read back."""
+    path = scratch_dir(spark, "papers-xml")
+    corpus.write_corpus(corpus.paper_xml_rows(_shredded(spark, sf_dir)), path, mode="overwrite")
+    back = corpus.read_paper_xml(spark, path)
+    tabs = back.select(F.col("_item_key").alias("item_key"), F.posexplode("tables.table").alias("pos", "t"))
+    cells = F.array_join(F.transform(F.coalesce(F.col("t.data.row"), F.array()), lambda r: F.array_join(F.coalesce(r["cell"], F.array().cast("array<string>")), "|")), ";")
+    return tabs.select("item_key", F.col("pos").cast("int").alias("pos"), F.col("t._label").alias("label"),
+                       F.col("t._caption").alias("caption"), F.col("t._figure_id").alias("figure_id"), cells.alias("cells"))
+
+
+def q_table_heading_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F14 + F16: column and row headings of every table (numeric cells dropped)."""
+    t = fx.tables(spark, sf_dir).where(F.size("cells") > 0)
+    h = segops.table_heading_lists(F.col("cells"))
+    return t.select("item_key", "pos", F.array_join(h["col_headings"], "|").alias("col_headings"),
+                    F.array_join(h["row_headings"], "|").alias("row_headings"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "library_roundtrip": q_library_roundtrip,
+        "paper_xml_roundtrip": q_paper_xml_roundtrip,
+        "table_heading_lists": q_table_heading_lists,
         "stream_corpus": q_stream_corpus,
         "stream_append_results": q_stream_append_results,
         "build_prompt": q_build_prompt,

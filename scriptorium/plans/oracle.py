@@ -919,3 +919,43 @@ FROM documents d JOIN segs ON segs.item_key = d.doc_id
 """
 
 _ORACLE_SECTIONS.update({"stream_corpus": STREAM_CORPUS, "stream_append_results": MERGE_DUPLICATES})
+
+
+# --- storage round trips -------------------------------------------------------------
+
+LIBRARY_ROUNDTRIP = f"""
+WITH {LIB_CTE},
+f AS (
+  SELECT i.key AS zoteroID, d.fieldID, v.value
+  FROM items i JOIN itemData d ON i.itemID = d.itemID JOIN itemDataValues v ON d.valueID = v.valueID
+  WHERE i.libraryID = 2 AND d.fieldID IN (1, 8, 59))
+SELECT zoteroID,
+  max(value) FILTER (WHERE fieldID = 59) AS doi,
+  max(value) FILTER (WHERE fieldID = 1) AS title,
+  CAST(nullif(regexp_extract(max(value) FILTER (WHERE fieldID = 8), '([0-9]{{4}})', 1), '') AS INTEGER) AS year
+FROM f GROUP BY zoteroID
+"""
+
+PAPER_XML_ROUNDTRIP = f"""
+WITH {TABLES_CTE}
+SELECT CAST(t.item_key AS VARCHAR) AS item_key, CAST(row_number() OVER (PARTITION BY t.item_key ORDER BY t.pos) - 1 AS INTEGER) AS pos,
+  'Table ' || CAST(t.pos + 1 AS VARCHAR) AS label, t.caption, 'tab' || CAST(t.item_key * 2 + t.pos AS VARCHAR) AS figure_id,
+  array_to_string(list_transform(t.cells, lambda r: array_to_string(r, '|')), ';') AS cells
+FROM tabs t
+"""
+
+TABLE_HEADING_LISTS = f"""
+WITH {TABLES_CTE},
+k AS (
+  SELECT item_key, pos,
+    list_filter(list_transform(cells, lambda r: r[1]), lambda h: h IS NOT NULL AND NOT regexp_matches(replace(h, '.', ''), '^\\p{{N}}+$')) AS col,
+    list_filter(cells[1], lambda h: h IS NOT NULL AND NOT regexp_matches(replace(h, '.', ''), '^\\p{{N}}+$')) AS rw
+  FROM tabs WHERE len(cells) > 0)
+SELECT item_key, pos, array_to_string(col, '|') AS col_headings, array_to_string(rw, '|') AS row_headings FROM k
+"""
+
+_ORACLE_SECTIONS.update({
+    "library_roundtrip": LIBRARY_ROUNDTRIP,
+    "paper_xml_roundtrip": PAPER_XML_ROUNDTRIP,
+    "table_heading_lists": TABLE_HEADING_LISTS,
+})

@@ -24,6 +24,50 @@ CORPUS_SCHEMA = (
 )
 
 
+PAPER_XML_SCHEMA = (
+    "_item_key string, title string, abstract string, "
+    f"sections struct<section:array<{SECTION_XML}>>, "
+    "references struct<reference:array<string>>, "
+    "figures struct<figure:array<struct<_label:string, _caption:string, _type:string, _figure_id:string>>>, "
+    "tables struct<table:array<struct<_label:string, _caption:string, _figure_id:string, "
+    "data:struct<row:array<struct<cell:array<string>>>>>>>, "
+    "formulas struct<formula:array<string>>"
+)
+
+
+def paper_xml_rows(shredded: DataFrame) -> DataFrame:
+    """Shredded papers (see ``tei.SHREDDED_SCHEMA``) as nested rows for ``<paper>`` XML.
+
+    Tables keep their cells as ``data/row/cell``; figures, tables and sections
+    carry their fields as attributes.
+    """
+    sections = F.transform(
+        "sections", lambda s: F.struct(s["heading"].alias("_heading"), s["num"].alias("_num"), F.lit(None).cast("string").alias("_type"), s["text"].alias("text"))
+    )
+    figures = F.transform(
+        "figures", lambda f: F.struct(f["label"].alias("_label"), f["caption"].alias("_caption"), f["type"].alias("_type"), f["figure_id"].alias("_figure_id"))
+    )
+    tables = F.transform(
+        "tables",
+        lambda t: F.struct(
+            t["label"].alias("_label"), t["caption"].alias("_caption"), t["figure_id"].alias("_figure_id"),
+            F.struct(F.transform(t["cells"], lambda r: F.struct(r.alias("cell"))).alias("row")).alias("data"),
+        ),
+    )
+    return shredded.select(
+        F.col("item_key").cast("string").alias("_item_key"), "title", "abstract",
+        F.struct(sections.alias("section")).alias("sections"),
+        F.struct(F.col("references").alias("reference")).alias("references"),
+        F.struct(figures.alias("figure")).alias("figures"),
+        F.struct(tables.alias("table")).alias("tables"),
+        F.struct(F.col("formulas").alias("formula")).alias("formulas"),
+    )
+
+
+def read_paper_xml(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", ROW_TAG).schema(PAPER_XML_SCHEMA).load(path)
+
+
 def paper_rows(meta: DataFrame, shredded: DataFrame, classified: DataFrame, segments: DataFrame) -> DataFrame:
     """Assemble corpus rows.
 
