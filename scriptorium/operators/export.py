@@ -9,7 +9,7 @@ run over the same input writes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import library as libops
@@ -23,15 +23,22 @@ def export_candidates(
     lib: Library, root: str, listing: DataFrame, filter_dois: DataFrame | None = None, library: str | None = "",
     collection: str | None = None,
 ) -> DataFrame:
-    """PDF attachments with an existing file: ``zoteroID, title, doi, path, dup_rank``.
-
-    ``dup_rank`` > 1 marks further PDFs of an item already covered by its first.
-    """
+    """PDF attachments with an existing file: ``zoteroID, title, doi, path``."""
     df = libops.list_local_path(lib, root, prefer="pdf", check_exists=True, listing=listing, library=library, collection=collection)
     df = df.where(F.col("content_type") == "pdf")
     if filter_dois is not None:
         df = df.join(filter_dois.select("doi").where(F.col("doi").isNotNull()).distinct(), "doi", "left_semi")
-    return df.withColumn("dup_rank", F.row_number().over(Window.partitionBy("zoteroID").orderBy("path")))
+    return df
+
+
+def first_per_item(cand: DataFrame) -> DataFrame:
+    """The first PDF (smallest path) of each item; an item's further PDFs count as skipped.
+
+    A map-side-combined ``min_by`` aggregate, so an item with very many
+    attachments costs one partial row per map task.
+    """
+    picked = cand.groupBy("zoteroID").agg(F.min_by(F.struct("title", "doi", "path"), F.col("path")).alias("_r"))
+    return picked.select("zoteroID", "_r.title", "_r.doi", "_r.path")
 
 
 def export_parsed(
@@ -53,7 +60,7 @@ def export_parsed(
     part files; readers keep the newest by taking the last written).
     """
     cand = export_candidates(lib, root, listing, filter_dois, library, collection)
-    firsts = cand.where(F.col("dup_rank") == 1).drop("dup_rank")
+    firsts = first_per_item(cand)
     done = None if overwrite else corpus.exported_keys(spark, out_path)
     todo = firsts if done is None else firsts.join(done.select(F.col("item_key").alias("zoteroID")), "zoteroID", "left_anti")
     todo = todo.checkpoint()
