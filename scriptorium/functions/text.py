@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # White space as Unicode defines it (tab..CR, NEL, separators),
 # and a word character (letter, number, underscore).
 WS_CLASS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
+NON_WS_RUN = r"[^\t\n\x0B\f\r\x{85}\p{Z}]+"
 STRIP_PATTERN = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 NON_WORD = r"[^\p{L}\p{N}_]"
 WORD_KEY_LEN = 100
@@ -24,8 +25,12 @@ def strip(c: Column) -> Column:
 
 
 def split_ws(c: Column) -> Column:
-    """Words of an already stripped text, split on runs of white space."""
-    return F.split(c, f"{WS_CLASS}+")
+    """Words of a text: its maximal runs of non-white-space characters.
+
+    (``regexp_extract_all`` compiles its pattern once; ``split`` with a regex
+    recompiles it for every row.)
+    """
+    return F.regexp_extract_all(c, F.lit(NON_WS_RUN), 0)
 
 
 def word_key(c: Column, n: int = WORD_KEY_LEN) -> Column:
@@ -47,7 +52,8 @@ def leading_upper_words(title: Column) -> Column:
 
 
 def first_word(title: Column) -> Column:
-    return F.element_at(split_ws(title), 1)
+    """First word of a title; NULL when it has none."""
+    return F.try_element_at(split_ws(title), F.lit(1))
 
 
 # Values of the roman digits.

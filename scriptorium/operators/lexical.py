@@ -166,7 +166,7 @@ def freq_max(tf: DataFrame) -> DataFrame:
 
 
 # Fixed value: a term is a maximal run of letters, digits or underscore.
-TERM_SPLIT = r"[^\p{L}\p{N}_]+"
+TERM_PATTERN = r"[\p{L}\p{N}_]+"
 
 
 def term_counts(df: DataFrame, column: str = "text", group_cols: Sequence[str] = ()) -> DataFrame:
@@ -175,9 +175,7 @@ def term_counts(df: DataFrame, column: str = "text", group_cols: Sequence[str] =
     The explode stays inside the scan stage and ``groupBy`` combines map-side, so
     a hot group or term never ships more than one partial row per map task.
     """
-    terms = df.select(*group_cols, F.explode(F.split(F.lower(F.col(column)), TERM_SPLIT)).alias("term")).where(
-        F.col("term") != ""
-    )
+    terms = df.select(*group_cols, F.explode(F.regexp_extract_all(F.lower(F.col(column)), F.lit(TERM_PATTERN), 0)).alias("term"))
     return terms.groupBy(*group_cols, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
