@@ -45,7 +45,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a local one only when none is configured."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext, read the setting only
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        return root or tempfile.mkdtemp(prefix="scriptorium-ckpt-")
     root = sc.getCheckpointDir()
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)

@@ -29,10 +29,18 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Round-robin repartition when a sizeable scan has fewer partitions than cores."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target and input_bytes(df) >= min_bytes:
-        return df.repartition(target)
+    """Round-robin repartition when a sizeable scan has fewer partitions than cores.
+
+    Sessions without access to the planned partitions (Spark Connect) keep the
+    scan as it is.
+    """
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        small_split = df.rdd.getNumPartitions() < target
+        if small_split and input_bytes(df) >= min_bytes:
+            return df.repartition(target)
+    except Exception:  # noqa: BLE001 - no RDD / JVM access: leave the plan unchanged
+        pass
     return df
 
 
