@@ -193,3 +193,27 @@ def top_terms(counts: DataFrame, k: int, group_cols: Sequence[str] = ()) -> Data
             "term_rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("term")))
         )
     return counts.withColumn("term_rank", F.row_number().over(w)).where(F.col("term_rank") <= k)
+
+
+def token_frequency(
+    df: DataFrame, words: Sequence[str], column: str = "abstract", year_col: str = "year"
+) -> DataFrame:
+    """Share of documents per year containing each word as a whole lower-cased token.
+
+    The form for long word lists (thousands of words): instead of one regex
+    pass per word, each document's distinct tokens are exploded once and
+    joined to the word list (broadcast: its size is the caller's list), then
+    counted per (year, word) with map-side combine.  Pairs that never occur
+    are absent (sparse output).  Returns ``year, word, n_docs, freq``.
+    """
+    wl = sorted({w.lower() for w in words})
+    if not wl:
+        raise ValueError("at least one word is required")
+    base = df.select(F.col(year_col).cast("int").alias("year"), F.lower(F.col(column)).alias("_lc")).where(
+        F.col("year").isNotNull()
+    )
+    totals = base.where(F.col("_lc").isNotNull()).groupBy("year").agg(F.count(F.lit(1)).alias("_docs"))
+    tokens = base.select("year", F.explode(F.array_distinct(F.regexp_extract_all("_lc", F.lit(TERM_PATTERN), 0))).alias("word"))
+    word_df = df.sparkSession.createDataFrame([(w,) for w in wl], "word string")
+    hits = tokens.join(F.broadcast(word_df), "word").groupBy("year", "word").agg(F.count(F.lit(1)).alias("n_docs"))
+    return hits.join(totals, "year").select("year", "word", "n_docs", (F.col("n_docs") / F.col("_docs")).alias("freq"))

@@ -42,6 +42,17 @@ def q_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("word", "label", "year", _r6("freq"), _r6("smoothed"), _r6("chrono_score"), "chrono_rank")
 
 
+# The word list of the token-based frequency query.
+TOKEN_WORDS = ("the", "and", "of", "und", "der", "die", "que", "el", "los", "le", "la", "les", "des",
+               "license", "licensed", "secret", "password", "mit", "apache", "copyright")
+
+
+def q_token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 for long word lists: share of documents per year containing each whole token."""
+    docs = fx.documents_with_year(spark, sf_dir)
+    return lexical.token_frequency(docs, TOKEN_WORDS, column="text").select("year", "word", "n_docs", _r6("freq"))
+
+
 def q_freq_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overall maximum of the frequency table."""
     docs = fx.documents_with_year(spark, sf_dir)
@@ -495,6 +506,7 @@ def queries() -> dict[str, QueryFn]:
         "missing_dois": q_missing_dois,
         "term_frequency": q_term_frequency,
         "freq_max": q_freq_max,
+        "token_frequency": q_token_frequency,
         "merge_duplicates": q_merge_duplicates,
         "union_sources": q_union_sources,
         "append_results": q_append_results,

@@ -959,3 +959,17 @@ _ORACLE_SECTIONS.update({
     "paper_xml_roundtrip": PAPER_XML_ROUNDTRIP,
     "table_heading_lists": TABLE_HEADING_LISTS,
 })
+
+
+# --- token frequency -------------------------------------------------------------------
+
+TOKEN_FREQUENCY = f"""
+WITH d AS (SELECT doc_id, CAST(2000 + doc_id % 25 AS INTEGER) AS year, lower(text) AS lc FROM documents),
+totals AS (SELECT year, count(*) AS docs FROM d WHERE lc IS NOT NULL GROUP BY year),
+t AS (SELECT DISTINCT doc_id, year, unnest(regexp_extract_all(lc, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM d),
+w AS (SELECT unnest({_list(sorted(catalog.TOKEN_WORDS))}) AS word),
+h AS (SELECT year, word, count(*) AS n_docs FROM t WHERE word IN (SELECT word FROM w) GROUP BY year, word)
+SELECT h.year, h.word, h.n_docs, round(h.n_docs / totals.docs, 6) AS freq FROM h JOIN totals USING (year)
+"""
+
+_ORACLE_SECTIONS.update({"token_frequency": TOKEN_FREQUENCY})
