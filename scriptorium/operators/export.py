@@ -73,4 +73,5 @@ def export_parsed(
         segs = segops.text_segments(shredded.select("item_key"), classified, tei.tei_tables(shredded), tei.tei_figures(shredded))
         meta = todo.select(F.col("zoteroID").alias("item_key"), "zoteroID", "doi", "title", "path")
         corpus.write_corpus(corpus.paper_rows(meta, shredded, classified, segs), out_path, mode="append")
+        corpus.write_key_index(todo.select(F.col("zoteroID").alias("item_key")), out_path)
     return spark.createDataFrame([("exported", n_todo), ("skipped", n_total - n_todo)], "status string, n long")

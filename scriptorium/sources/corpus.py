@@ -134,11 +134,37 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*cols)
 
 
+KEY_INDEX = "_keys"
+
+
+def key_index_path(path: str) -> str:
+    """Folder of the key index kept next to a corpus (ignored by the XML reader's glob)."""
+    return f"{path.rstrip('/')}{KEY_INDEX}"
+
+
+def write_key_index(keys: DataFrame, path: str) -> None:
+    """Append the keys of a newly written corpus batch to the corpus key index."""
+    keys.select(F.col("item_key").cast("string")).write.mode("append").parquet(key_index_path(path))
+
+
+def _missing(e: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
+
+
 def exported_keys(spark: SparkSession, path: str) -> DataFrame | None:
-    """Keys already present below ``path`` (None when nothing was written yet)."""
+    """Keys already present below ``path`` (None when nothing was written yet).
+
+    Reads the small Parquet key index when there is one, so a rerun does not
+    parse the whole XML corpus; otherwise falls back to the corpus itself.
+    """
+    try:
+        return spark.read.parquet(key_index_path(path)).select("item_key")
+    except Exception as e:  # noqa: BLE001 - no index yet
+        if not _missing(e):
+            raise
     try:
         return read_corpus(spark, path).select("item_key")
     except Exception as e:  # noqa: BLE001 - a missing folder is the only expected failure
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+        if _missing(e):
             return None
         raise
