@@ -17,11 +17,24 @@ TABLES = (
 ).split()
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, spread over the cluster when its files give fewer splits than cores."""
+    """A test table, spread over the cluster when its files give fewer splits than cores.
+
+    DataFrames are immutable plans, so one per (session, file) is reused by all
+    fixtures of a query instead of probing the same files again.
+    """
     from scriptorium.sources.tables import read_table
 
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    hit = _TABLES.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, read_table(spark, path))
+        _TABLES[key] = hit
+    return hit[1]
 
 
 def doc_year(doc_id: Column) -> Column:
