@@ -62,36 +62,45 @@ def flag_duplicates(df: DataFrame, keys=("heading", "num"), out_col: str = "is_d
     return df.withColumn(out_col, F.count(F.lit(1)).over(Window.partitionBy(KEY, *keys)) > 1)
 
 
+def near_duplicate_keys(sections: DataFrame) -> DataFrame:
+    """Adds ``_len`` (text length) and ``_wkey`` (first 100 word characters)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return sections.select("*", F.length(text).alias("_len"), tx.word_key_fast(text).alias("_wkey"))
+
+
 def drop_near_duplicates(sections: DataFrame) -> DataFrame:
     """In each group of equal raw (heading, num) keep the longest text (first on
     ties) and drop the rows whose first 100 word characters equal its own.
 
-    All windows share one ordering (length desc, pos), hence one sort; the
-    word key (a regex over the text) is computed once, and only for rows whose
-    group has more than one member.
+    All windows share one ordering (length desc, pos), hence one sort.  Works
+    on rows that carry ``_len``/``_wkey`` instead of the text (see
+    ``classify_sections``); they are computed here when absent.
     """
+    if "_wkey" not in sections.columns:
+        sections = near_duplicate_keys(sections)
     by_len = Window.partitionBy(KEY, "heading", "num").orderBy(F.col("_len").desc(), F.col("pos").asc())
     whole = by_len.rowsBetween(_UNB, _UNF)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counted = sections.select("*", F.length(text).alias("_len")).select(
-        "*", F.count(F.lit(1)).over(whole).alias("_n"), F.first("pos").over(whole).alias("_lpos")
+    flagged = sections.select(
+        "*",
+        F.count(F.lit(1)).over(whole).alias("_n"),
+        F.first("pos").over(whole).alias("_lpos"),
+        F.first("_wkey").over(whole).alias("_lkey"),
     )
-    keyed = counted.withColumn("_key", F.when(F.col("_n") > 1, tx.word_key(text)))
-    flagged = keyed.withColumn("_lkey", F.first("_key").over(whole))
-    keep = (F.col("_n") == 1) | (F.col("pos") == F.col("_lpos")) | (F.col("_key") != F.col("_lkey"))
-    return flagged.where(keep).drop("_n", "_len", "_lpos", "_lkey", "_key")
+    keep = (F.col("_n") == 1) | (F.col("pos") == F.col("_lpos")) | (F.col("_wkey") != F.col("_lkey"))
+    return flagged.where(keep).drop("_n", "_len", "_lpos", "_lkey", "_wkey")
 
 
 def clean_sections(sections: DataFrame) -> DataFrame:
-    """NULL -> "", heading and num stripped of white space; refs default to []."""
+    """NULL -> "", heading and num stripped of white space; text and refs (when
+    present) default to "" and []."""
     out = sections.withColumn("num", tx.strip(F.coalesce(F.col("num"), F.lit("")))).withColumn(
         "heading", tx.strip(F.coalesce(F.col("heading"), F.lit("")))
-    ).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    )
+    if "text" in out.columns:
+        out = out.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     for c in REF_COLS:
         if c in out.columns:
             out = out.withColumn(c, F.coalesce(F.col(c), F.array().cast("array<string>")))
-        else:
-            out = out.withColumn(c, F.array().cast("array<string>"))
     return out
 
 
@@ -172,17 +181,28 @@ def keep_current_lists(df: DataFrame) -> DataFrame:
     return with_pos.where(~replaced).drop("_last_main")
 
 
+def piece_flags(df: DataFrame) -> DataFrame:
+    """``_has_prev``: did an earlier kept row of the same main section produce text?
+
+    Needs only ``kind`` and ``_has_text`` (not the text itself).
+    """
+    grp_prev = Window.partitionBy(KEY, "key_num", "key_title").orderBy("pos").rowsBetween(_UNB, -1)
+    produces = (F.col("kind") != "section") | F.col("_has_text")
+    return df.withColumn("_has_prev", F.coalesce(F.max(produces.cast("int")).over(grp_prev), F.lit(0)) == 1)
+
+
 def text_pieces(df: DataFrame) -> DataFrame:
     """One string per row such that concatenating a group's pieces in order gives
     the merged text: sections add their text, sub-sections an underlined title
     then their text, rows of kind '' extend the previous line then add their text.
     """
-    grp_prev = Window.partitionBy(KEY, "key_num", "key_title").orderBy("pos").rowsBetween(_UNB, -1)
+    if "_has_text" not in df.columns:
+        df = df.withColumn("_has_text", F.col("text") != "")
+    if "_has_prev" not in df.columns:
+        df = piece_flags(df)
     t = F.col("text")
-    has_text = t != ""
-    produces = (F.col("kind") != "section") | has_text
-    has_prev = F.coalesce(F.max(produces.cast("int")).over(grp_prev), F.lit(0)) == 1
-    sep = F.when(has_prev, F.lit("\n")).otherwise(F.lit(""))
+    has_text = F.col("_has_text")
+    sep = F.when(F.col("_has_prev"), F.lit("\n")).otherwise(F.lit(""))
     then_text = F.when(has_text, F.concat(F.lit("\n"), t)).otherwise(F.lit(""))
     sub_title = F.concat(F.col("num"), F.lit(" "), F.col("heading"))
     piece = (
@@ -260,10 +280,20 @@ def classify_merged(merged: DataFrame) -> DataFrame:
 
 
 def classify_sections(sections: DataFrame, repartition: bool = True) -> DataFrame:
-    """The whole pipeline: near duplicates, cleaning, scheme, tree, merge, classes."""
+    """The whole pipeline: near duplicates, cleaning, scheme, tree, merge, classes.
+
+    One shuffle by paper; every later window and the merge aggregate reuse it.
+    (Splitting the rows into a narrow window path and a text payload joined
+    back by ``(item_key, pos)`` was measured and rejected: column pruning gives
+    the two branches different exchanges, so the text would be scanned and
+    shuffled twice to save in-task sorts.)
+    """
     df = sections.repartition(KEY) if repartition else sections
     df = drop_near_duplicates(df)
     df = clean_sections(df)
+    for c in REF_COLS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.array().cast("array<string>"))
     df = section_strategy(df)
     df = assign_main_sections(df)
     df = keep_current_lists(df)
