@@ -105,11 +105,18 @@ def clean_sections(sections: DataFrame) -> DataFrame:
 
 
 def section_strategy(df: DataFrame) -> DataFrame:
-    """Per paper: numbering scheme N (numbers), R (roman), C (capitals), H (headings)."""
+    """Per paper: numbering scheme N (numbers), R (roman), C (capitals), H (headings).
+
+    Also the running count of capitalised main headings (``_cap``), which does
+    not depend on the scheme: same partition and order as the scheme
+    aggregates, so the same window operator evaluates both.
+    """
     wp = _ordered().rowsBetween(_UNB, _UNF)
+    upto = _ordered().rowsBetween(_UNB, 0)
     h = F.lower("heading")
     is_one = F.col("num").isin("1", "1.")
-    return df.select(
+    tests = df.withColumn("_main_c", (F.col("heading") != "") & tx.is_upper(tx.first_word(F.col("heading"))))
+    return tests.select(
         "*",
         F.max(h.contains(INTRO_HEADING).cast("int")).over(wp).alias("_has_intro"),
         F.when(F.max(is_one.cast("int")).over(wp) == 1, F.lit("N"))
@@ -118,6 +125,7 @@ def section_strategy(df: DataFrame) -> DataFrame:
         .otherwise(F.lit("H"))
         .alias("strategy"),
         (F.min_by(F.col("num"), F.when(is_one, F.col("pos"))).over(wp) == "1").alias("_no_dot"),
+        (F.sum(F.col("_main_c").cast("int")).over(upto) - 1).alias("_cap"),
     )
 
 
@@ -134,7 +142,6 @@ def assign_main_sections(df: DataFrame) -> DataFrame:
         "*",
         F.lower(heading).alias("_h"),
         ((num != "") & F.when(F.col("_no_dot"), num.rlike(r"^\p{Nd}+$")).otherwise(num.rlike(r"^\p{Nd}+\.$"))).alias("_main_n"),
-        ((heading != "") & tx.is_upper(tx.first_word(heading))).alias("_main_c"),
         F.expr("substring(heading, instr(heading, '.') + 1)").alias("_after_dot"),
     )
     h = F.col("_h")
@@ -142,9 +149,8 @@ def assign_main_sections(df: DataFrame) -> DataFrame:
         F.when(s == "N", F.col("_main_n")).when(s == "R", h.rlike(ROMAN_MAIN)).when(s == "C", F.col("_main_c")).otherwise(heading != "")
     )
     roman_num = F.when(s == "R", F.concat(tx.roman_to_int(F.substring_index(heading, ".", 1)).cast("string"), F.lit(".")))
-    capitals_idx = F.sum(F.col("_main_c").cast("int")).over(_ordered().rowsBetween(_UNB, 0)) - 1
     key_title = F.when(s == "R", F.lower("_after_dot")).when(s == "C", F.lower(tx.leading_upper_words(heading))).otherwise(h)
-    marked = tests.select("*", is_main.alias("_main"), roman_num.alias("_roman"), capitals_idx.alias("_cap"), key_title.alias("_ktitle"))
+    marked = tests.select("*", is_main.alias("_main"), roman_num.alias("_roman"), key_title.alias("_ktitle"))
     key_num = F.when(s == "R", F.col("_roman")).when(s == "C", F.concat(F.col("_cap").cast("string"), F.lit("."))).otherwise(num)
     mkey = F.when(F.col("_main"), F.struct(key_num.alias("n"), F.col("_ktitle").alias("t")))
     cur = F.last("_mkey", ignorenulls=True).over(_ordered().rowsBetween(_UNB, 0))
