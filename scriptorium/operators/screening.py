@@ -223,3 +223,52 @@ def analyse_abstracts(
     done = resumed.where(F.col("language").isNotNull())
     todo = resumed.where(F.col("language").isNull())
     return done.unionByName(screen_abstracts(todo, model_factory, few_shot=few_shot))
+
+
+MESSAGE_TYPE = "array<struct<role:string,content:string>>"
+
+
+def _message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def prompt_messages(
+    df: DataFrame, question: dict, title_col: str = "title", abstract_col: str = "abstract", few_shot=()
+) -> Column:
+    """The full chat prompt of one question as an ``array<struct<role, content>>`` column:
+    system messages and few-shot dialogues (literals), the user's paper (title +
+    last 300 words of the abstract), then the question."""
+    head = [system(SYSTEM_INTRO), system(SYSTEM_EXAMPLES)]
+    for dialogue in few_shot:
+        head += list(dialogue)
+    head += [system(SYSTEM_SEPARATOR), system(SYSTEM_READY)]
+    paper = F.concat(F.lit("USER PAPER:"), F.col(title_col), F.lit(".\n"), last_words(F.col(abstract_col)))
+    msgs = [_message(m["role"], F.lit(m["content"])) for m in head]
+    msgs += [_message("user", paper), _message(question["role"], F.lit(question["content"]))]
+    return F.array(*msgs)
+
+
+def answer_prompts(
+    df: DataFrame, model_factory: Callable[[], Callable[[list[dict]], str]], messages_col: str = "messages"
+) -> DataFrame:
+    """Adds ``response`` and ``error``: the model's answer to each row's prompt.
+
+    The model is built once per Python worker; a failing row gets ``error``.
+    """
+    fields = [f for f in df.schema.fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = _model(model_factory)
+        for pdf in batches:
+            responses, errors = [], []
+            for msgs in pdf[messages_col]:
+                try:
+                    responses.append(predict([{"role": m["role"], "content": m["content"]} for m in msgs]))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001 - reported per row
+                    responses.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(response=responses, error=errors)
+
+    return df.mapInPandas(run, f"{schema}, response string, error string")

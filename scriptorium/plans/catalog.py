@@ -373,6 +373,15 @@ def q_build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scr.build_prompt(_articles(spark, sf_dir)).select("doi", "user_paper")
 
 
+def q_answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + M2 + M4: the language question as a prompt column, answered by the model per row."""
+    arts = _articles(spark, sf_dir)
+    asked = arts.select("doi", scr.prompt_messages(arts, scr.ask_language()).alias("messages"))
+    return scr.answer_prompts(asked, fx.rule_model_factory).select(
+        "doi", F.size("messages").alias("n_messages"), "response", "error"
+    )
+
+
 def _read_answers(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.options(**records.CSV_OPTIONS).csv(path)
     for c in scr.FLAG_COLUMNS:
@@ -476,6 +485,7 @@ def queries() -> dict[str, QueryFn]:
         "stream_corpus": q_stream_corpus,
         "stream_append_results": q_stream_append_results,
         "build_prompt": q_build_prompt,
+        "answer_prompts": q_answer_prompts,
         "screen_abstracts": q_screen_abstracts,
         "import_csv": q_import_csv,
         "results_csv": q_results_csv,

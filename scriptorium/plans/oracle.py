@@ -973,3 +973,17 @@ SELECT h.year, h.word, h.n_docs, round(h.n_docs / totals.docs, 6) AS freq FROM h
 """
 
 _ORACLE_SECTIONS.update({"token_frequency": TOKEN_FREQUENCY})
+
+
+ANSWER_PROMPTS = f"""
+WITH {_ARTICLES}
+SELECT doi, 6 AS n_messages,
+  CASE WHEN n < 5 THEN NULL
+       WHEN contains(' ' || abs300 || ' ', ' the ') THEN 'English'
+       WHEN contains(' ' || abs300 || ' ', ' und ') OR contains(' ' || abs300 || ' ', ' der ') THEN 'German, mostly'
+       ELSE 'Spanish or French.' END AS response,
+  CASE WHEN n < 5 THEN 'ValueError: abstract too short' END AS error
+FROM x
+"""
+
+_ORACLE_SECTIONS.update({"answer_prompts": ANSWER_PROMPTS})

@@ -145,3 +145,17 @@ def test_year_periods_labels(spark):
     b = spark.createDataFrame([("a", 2000, 2001), ("b", 2005, None), ("c", None, 2003)], "k string, min_year int, max_year int")
     got = sorted((r.k, r.label) for r in search.year_periods(b).collect())
     assert got == [("a", "2000"), ("a", "2001"), ("b", "2005-"), ("c", "-2003")]
+
+
+def test_existing_paths_with_file_listing(spark, tmp_path):
+    from scriptorium.operators import library as lib
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.pdf").write_bytes(b"%PDF")
+    (tmp_path / "a" / "y.html").write_text("<html/>")
+    listing = lib.list_files(spark, str(tmp_path))
+    df = spark.createDataFrame(
+        [("k1", str(tmp_path / "a" / "x.pdf")), ("k2", str(tmp_path / "a" / "missing.pdf")), ("k3", None)],
+        "zoteroID string, path string",
+    )
+    assert [r.zoteroID for r in lib.existing_paths(df, listing).collect()] == ["k1"]
