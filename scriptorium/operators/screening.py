@@ -272,3 +272,13 @@ def answer_prompts(
             yield pdf.assign(response=responses, error=errors)
 
     return df.mapInPandas(run, f"{schema}, response string, error string")
+
+
+def screening_report(results: DataFrame) -> DataFrame:
+    """``status, n``: articles answered (``analysed``), failed (``error`` set), still pending."""
+    status = (
+        F.when(F.col("error").isNotNull(), F.lit("failed"))
+        .when(F.col("language").isNull(), F.lit("pending"))
+        .otherwise(F.lit("analysed"))
+    )
+    return results.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))

@@ -333,7 +333,7 @@ def q_results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = merge.merge_duplicates(fx.papers(spark, sf_dir)).select(*[c for c in PAPER_OUT if c != "doi"], "doi")
     records.write_results_csv(merge.order_results(merged), path, mode="overwrite")
     back = spark.read.options(**records.CSV_OPTIONS).csv(path)
-    return back.select(*[F.col(c).alias(c) for c in back.columns]).withColumn("first_column", F.lit(back.columns[0]))
+    return back.withColumn("first_column", F.lit(back.columns[0]))
 
 
 def _land(spark: SparkSession, text_df: DataFrame, name: str) -> str:
@@ -477,8 +477,15 @@ def q_table_heading_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(h["row_headings"], "|").alias("row_headings"))
 
 
+def q_screening_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13 (screening): analysed and failed articles of a full screening run."""
+    res = scr.analyse_abstracts(_articles(spark, sf_dir), None, fx.rule_model_factory)
+    return scr.screening_report(res)
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "screening_report": q_screening_report,
         "library_roundtrip": q_library_roundtrip,
         "paper_xml_roundtrip": q_paper_xml_roundtrip,
         "table_heading_lists": q_table_heading_lists,

@@ -987,3 +987,13 @@ FROM x
 """
 
 _ORACLE_SECTIONS.update({"answer_prompts": ANSWER_PROMPTS})
+
+
+SCREENING_REPORT = f"""
+WITH s AS ({SCREEN_ABSTRACTS})
+SELECT CASE WHEN error IS NOT NULL THEN 'failed' WHEN language IS NULL THEN 'pending' ELSE 'analysed' END AS status,
+  count(*) AS n
+FROM s GROUP BY 1
+"""
+
+_ORACLE_SECTIONS.update({"screening_report": SCREENING_REPORT})
