@@ -91,26 +91,22 @@ def roman_to_int(c: Column) -> Column:
     return F.aggregate(chars, init, step, lambda acc: acc["total"])
 
 
-# Roman digits of ones, tens and hundreds (rule: 1-3 repeats,
-# subtractive 4 and 9, 5-8 after the five-digit).
-_ROMAN_PLACES = (("I", "V", "X"), ("X", "L", "C"), ("C", "D", "M"))
+def _roman_digits(one: str, five: str, ten: str) -> list[str]:
+    """Numerals of 0..9 in one decimal place (rule: 1-3 repeats, subtractive 4
+    and 9, 5-8 after the five-digit)."""
+    return ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
 
 
-def _roman_place(d: Column, one: str, five: str, ten: str) -> Column:
-    return (
-        F.when(d == 9, F.lit(one + ten))
-        .when(d >= 5, F.concat(F.lit(five), F.repeat(F.lit(one), (d - 5).cast("int"))))
-        .when(d == 4, F.lit(one + five))
-        .otherwise(F.repeat(F.lit(one), d.cast("int")))
-    )
+# The digit letters of hundreds, tens and ones.
+_ROMAN_PLACES = (("C", "D", "M"), ("X", "L", "C"), ("I", "V", "X"))
 
 
 def int_to_roman(n: Column) -> Column:
-    """Positive int (< 4000) -> upper-case roman numeral."""
-    thousands = F.repeat(F.lit("M"), F.floor(n / 1000).cast("int"))
-    parts = [thousands]
-    for place, (one, five, ten) in reversed(list(enumerate(_ROMAN_PLACES))):
-        parts.append(_roman_place(F.floor(n / (10**place)) % 10, one, five, ten))
+    """Positive int (< 4000) -> upper-case roman numeral (one lookup per place)."""
+    parts = [F.repeat(F.lit("M"), F.floor(n / 1000).cast("int"))]
+    for place, (one, five, ten) in zip((100, 10, 1), _ROMAN_PLACES, strict=True):
+        table = F.array(*[F.lit(x) for x in _roman_digits(one, five, ten)])
+        parts.append(F.element_at(table, (F.floor(n / place) % 10 + 1).cast("int")))
     return F.concat(*parts)
 
 

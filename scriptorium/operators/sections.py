@@ -93,15 +93,16 @@ def drop_near_duplicates(sections: DataFrame) -> DataFrame:
 def clean_sections(sections: DataFrame) -> DataFrame:
     """NULL -> "", heading and num stripped of white space; text and refs (when
     present) default to "" and []."""
-    out = sections.withColumn("num", tx.strip(F.coalesce(F.col("num"), F.lit("")))).withColumn(
-        "heading", tx.strip(F.coalesce(F.col("heading"), F.lit("")))
-    )
-    if "text" in out.columns:
-        out = out.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    cols = {
+        "num": tx.strip(F.coalesce(F.col("num"), F.lit(""))),
+        "heading": tx.strip(F.coalesce(F.col("heading"), F.lit(""))),
+    }
+    if "text" in sections.columns:
+        cols["text"] = F.coalesce(F.col("text"), F.lit(""))
     for c in REF_COLS:
-        if c in out.columns:
-            out = out.withColumn(c, F.coalesce(F.col(c), F.array().cast("array<string>")))
-    return out
+        if c in sections.columns:
+            cols[c] = F.coalesce(F.col(c), F.array().cast("array<string>"))
+    return sections.withColumns(cols)
 
 
 def section_strategy(df: DataFrame) -> DataFrame:
