@@ -109,7 +109,11 @@ def fetch_item_fields(
     id_to_name = F.create_map(*[x for name, fid in ids.items() for x in (F.lit(fid), F.lit(name))])
     items = scoped_items(lib, library, collection).select("itemID", F.col("key").alias(key_col))
     vals = field_values(lib, list(ids.values())).withColumn("fieldName", F.element_at(id_to_name, F.col("fieldID")))
-    wide = items.join(vals, "itemID").groupBy(key_col).pivot("fieldName", list(ids.keys())).agg(F.max("value"))
+    # one value per (item, field); array_max(collect_list) keeps it deterministic
+    # otherwise and runs as a hash aggregate (max over strings would sort)
+    wide = items.join(vals, "itemID").groupBy(key_col).pivot("fieldName", list(ids.keys())).agg(
+        F.array_max(F.collect_list("value"))
+    )
     out = [F.col(key_col)]
     for f, src in stored.items():
         c = F.col(f"`{src}`")
@@ -242,5 +246,6 @@ def has_local(lib: Library, dois: DataFrame, doi_col: str = "doi") -> DataFrame:
     keys = dois.select(doi_col).where(F.col(doi_col).isNotNull()).distinct()
     vals = field_values(lib, [fid]).select("itemID", F.col("value").alias(doi_col)).join(keys, doi_col, "left_semi")
     att = lib.itemAttachments.select(F.col("parentItemID").alias("itemID"), "contentType")
-    local = vals.join(att, "itemID").groupBy(doi_col).agg(F.min("contentType").alias("content_type"))
+    # collect_set is bounded by the few distinct content types and hash-aggregates
+    local = vals.join(att, "itemID").groupBy(doi_col).agg(F.array_min(F.collect_set("contentType")).alias("content_type"))
     return keys.join(local, doi_col, "left")
