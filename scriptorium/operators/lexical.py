@@ -80,7 +80,9 @@ def chronology(tf: DataFrame) -> DataFrame:
     ``c = (f / (max f + 1e-3))^3``; ``p = c / (sum c + 1e-3)``; ``score = sum p * year``.
     A word that never occurs scores 0.
     """
-    w = Window.partitionBy("word_pos")
+    # ordered by year with a whole-partition frame: the same window spec (and
+    # sort) as the smoothing, so both run in one pass per word
+    w = Window.partitionBy("word_pos").orderBy("year").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     c = F.pow(F.col("freq") / (F.max("freq").over(w) + F.lit(CHRONO_EPS)), 3)
     with_c = tf.withColumn("_c", c)
     with_p = with_c.withColumn("_p", F.col("_c") / (F.sum("_c").over(w) + F.lit(CHRONO_EPS)))
@@ -127,7 +129,7 @@ def smooth(tf: DataFrame, value_col: str = "freq", out_col: str = "smoothed", cl
     lag = {k: F.lag(value_col, k).over(w) for k in range(1, 5)}
     lead = {k: F.lead(value_col, k).over(w) for k in range(1, 5)}
     i = F.row_number().over(w)
-    n = F.count(F.lit(1)).over(Window.partitionBy("word_pos"))
+    n = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     first = _weighted([f, lead[1], lead[2], lead[3], lead[4]], *SG_FIRST)
     second = _weighted([lag[1], f, lead[1], lead[2], lead[3]], *SG_SECOND)
     last = _weighted([f, lag[1], lag[2], lag[3], lag[4]], *SG_FIRST)
