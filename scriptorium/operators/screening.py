@@ -178,6 +178,9 @@ def screen_abstracts(
 
     Only the key and the two text columns cross into Python.
     """
+    from scriptorium.session import ship_package
+
+    ship_package(df.sparkSession)
     keep = [c for c in df.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in ANSWER_COLUMNS + FLAG_COLUMNS + ("error",))
     base = df.drop(*[c for c in ANSWER_COLUMNS + FLAG_COLUMNS + ("error",) if c in keep])
@@ -255,6 +258,9 @@ def answer_prompts(
 
     The model is built once per Python worker; a failing row gets ``error``.
     """
+    from scriptorium.session import ship_package
+
+    ship_package(df.sparkSession)
     fields = [f for f in df.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 

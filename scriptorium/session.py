@@ -67,3 +67,37 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if path.startswith("/") or path.startswith("file:"):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
     return path
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``scriptorium`` importable in Python workers (executors or local workers).
+
+    Python-worker stages (``mapInPandas``) pickle their functions by module
+    reference, so workers must import this package.  It is zipped once per
+    session on the driver and distributed with ``SparkContext.addPyFile``,
+    the same mechanism as ``--py-files``.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: packages are managed by the server
+        return
+    if id(sc) in _SHIPPED:
+        return
+    import zipfile
+
+    import scriptorium
+
+    pkg_dir = os.path.dirname(os.path.abspath(scriptorium.__file__))
+    base = os.path.dirname(pkg_dir)
+    target = os.path.join(tempfile.mkdtemp(prefix="scriptorium-pyfiles-"), "scriptorium.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(target)
+    _SHIPPED.add(id(sc))

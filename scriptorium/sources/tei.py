@@ -156,6 +156,9 @@ def _shred_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def shred_tei(tei: DataFrame) -> DataFrame:
     """``item_key, content`` -> one row per paper with nested sections, tables,
     figures, references and formulas (see ``SHREDDED_SCHEMA``)."""
+    from scriptorium.session import ship_package
+
+    ship_package(tei.sparkSession)
     slim = tei.select("item_key", "content")
     key_type = slim.schema["item_key"].dataType.simpleString()
     return slim.mapInPandas(_shred_batches, SHREDDED_SCHEMA.format(key_type=key_type))
