@@ -44,32 +44,37 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a local one only when none is configured."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    A folder of this machine is chosen only for a local master (tests), where
+    the driver is also the only executor; on a cluster a missing setting is an
+    error, because executors could not see such a folder.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext, read the setting only
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        return root or tempfile.mkdtemp(prefix="scriptorium-ckpt-")
+        if not configured:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share") from None
+        return configured
     root = sc.getCheckpointDir()
+    if root:
+        return root
+    root = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir() or root
-    return root
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
+    sc.setCheckpointDir(root)
+    return sc.getCheckpointDir() or root
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    path = f"{root.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("/") or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    """A fresh, unique path below the shared checkpoint folder; Spark's writers create it."""
+    return f"{checkpoint_root(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_SHIPPED: set = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -84,7 +89,7 @@ def ship_package(spark: SparkSession) -> None:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: packages are managed by the server
         return
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import zipfile
 
@@ -100,4 +105,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, base))
     sc.addPyFile(target)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
