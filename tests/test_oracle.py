@@ -5,11 +5,12 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry
+from scriptorium.plans import catalog, oracle
 from scriptorium.plans.fixtures import TABLES
 from tools.check_oracle import digest
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
