@@ -100,6 +100,15 @@ def q_search_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv_edge(merge.merge_duplicates(hits.drop("period")), ("doi", "title", "first_author", "year", "source", "query"))
 
 
+def q_search_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 + P9 + U1 + U3 + A1 + A3: one scan of all engines merged into the records of an earlier one."""
+    p = fx.papers(spark, sf_dir)
+    earlier = merge.merge_duplicates(p.where(F.col("seq") % 4 == 0))
+    known = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"))
+    frames = {e: p.where(F.col("source") == e).drop("priority") for e in fx.ENGINES}
+    return _csv_edge(search.search_scan(frames, "scan", known, "seq", earlier), (*PAPER_OUT, "query"))
+
+
 def q_cap_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 orders of every year (exact, skew-safe two-phase top-n)."""
     o = fx.table(spark, sf_dir, "orders").select(
@@ -116,8 +125,8 @@ def q_distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_exclude_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PubMed records whose id another engine already gave (here: labelled ids) are skipped."""
-    p = fx.papers(spark, sf_dir).where(F.col("source") == "pubmed")
+    """Records whose id another engine already gave (here: labelled ids) are skipped."""
+    p = fx.papers(spark, sf_dir)
     known = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"))
     return search.exclude_keys(p, known, "seq").select("seq", "doi", "year")
 
@@ -210,6 +219,12 @@ def q_drop_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("item_key", "pos", "heading", "num")
 
 
+def q_drop_near_duplicates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 + F12 on whole texts: near-duplicates are sections whose word characters are all equal."""
+    s = secops.drop_near_duplicates(fx.sections(spark, sf_dir).repartition("item_key"), n_word_chars=None)
+    return s.select("item_key", "pos", "heading", "num")
+
+
 def q_classify_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3-W8 + A10-A12 + F6 + F13 + F17 + F18: the whole section pipeline."""
     out = secops.classify_sections(fx.sections(spark, sf_dir))
@@ -270,19 +285,53 @@ def q_shred_tei_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- corpus export --------------------------------------------------------------
 
 
-def _export(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
+def _export(spark: SparkSession, sf_dir: str, out: str, damaged: bool = False, overwrite: bool = False) -> DataFrame:
     return expops.export_parsed(
-        spark, fx.library(spark, sf_dir), fx.tei_by_path(spark, sf_dir), out, fx.LIBRARY_ROOT, fx.library_listing(spark, sf_dir)
+        spark, fx.library(spark, sf_dir), fx.tei_by_path(spark, sf_dir, damaged), out, fx.LIBRARY_ROOT,
+        fx.library_listing(spark, sf_dir), overwrite=overwrite,
     )
 
 
+def _exported(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
+    years = libops.fetch_item_fields(fx.library(spark, sf_dir), ["year"]).withColumnRenamed("zoteroID", "item_key")
+    return corpus.read_corpus(spark, out).join(years, "item_key")
+
+
 def q_export_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 + S8 + S9 + F22 + J11 + P11 + P12: export library papers as XML, read the corpus back, add the year."""
     out = scratch_dir(spark, "corpus")
     _export(spark, sf_dir, out)
-    lib = fx.library(spark, sf_dir)
-    years = libops.fetch_item_fields(lib, ["year"]).withColumnRenamed("zoteroID", "item_key")
-    return corpus.read_corpus(spark, out).join(years, "item_key")
+    return _exported(spark, sf_dir, out)
+
+
+def q_export_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exporting again with ``overwrite`` replaces the papers; each key stays once."""
+    out = scratch_dir(spark, "corpus")
+    _export(spark, sf_dir, out)
+    _export(spark, sf_dir, out, overwrite=True)
+    return _exported(spark, sf_dir, out)
+
+
+def q_export_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + A13: papers without TEI, or with TEI that is cut off, are reported as failed."""
+    return _export(spark, sf_dir, scratch_dir(spark, "corpus"), damaged=True)
+
+
+def q_export_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + J8: the papers that failed in a first run are exported by the next one; each key is there once."""
+    out = scratch_dir(spark, "corpus")
+    _export(spark, sf_dir, out, damaged=True)
+    _export(spark, sf_dir, out)
+    return _exported(spark, sf_dir, out)
+
+
+def q_exported_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + S9: the classified sections of exported papers with their refs, read back from the corpus."""
+    out = scratch_dir(spark, "corpus")
+    _export(spark, sf_dir, out)
+    papers = corpus.papers_from_xml(corpus.read_corpus_raw(spark, out))
+    s = papers.select("item_key", F.explode("sections").alias("s")).select("item_key", "s.*")
+    return _refs_joined(s.select("item_key", "pos", "heading", "num", "type", *secops.REF_COLS))
 
 
 def q_export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +376,35 @@ def q_import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*RECORD_OUT)
 
 
+def q_import_generic_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + P5: a CSV with the record columns already in place; year and citations become numbers."""
+    path = scratch_dir(spark, "generic-csv")
+    p = fx.papers(spark, sf_dir)
+    year = F.when(F.col("seq") % 10 == 3, "in press").otherwise(F.col("year").cast("string"))
+    rows = p.select("doi", "title", "first_author", "publication", "authors", year.alias("year"), (F.col("seq") % 31).alias("citations_count"))
+    rows.write.options(**records.CSV_OPTIONS).mode("overwrite").csv(path)
+    df = records.read_search_csv(spark, path, source="generic")
+    return df.select("doi", "title", "first_author", "publication", "authors", "year", "citations_count", "source")
+
+
+def q_corrupt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1-S3 + S9: rows that cannot be read are kept apart and counted, in JSON, CSV and XML files."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    bad = F.col("doc_id") % 5 == 0
+    json = F.when(bad, F.concat(F.lit('{"doc_id": "'), F.col("doc_id"), F.lit('", "lang"'))).otherwise(F.to_json(F.struct("doc_id", "lang")))
+    csv = F.when(bad, F.concat(F.lit("x"), F.col("doc_id"), F.lit(",b"))).otherwise(F.concat_ws(",", "doc_id", "lang"))
+    xml = scratch_dir(spark, "corrupt-xml")
+    number = F.when(bad, "one").otherwise(F.col("doc_id").cast("string"))
+    d.select(number.alias("doc_id"), "lang").write.format("xml").option("rowTag", "doc").save(xml)
+    paths = {fmt: _land(spark, d.select(line.alias("value")), f"corrupt-{fmt}") for fmt, line in (("json", json), ("csv", csv))}
+    out = None
+    for fmt, path, options in (("json", paths["json"], {}), ("csv", paths["csv"], {}), ("xml", xml, {"rowTag": "doc"})):
+        read = records.read_landed(spark, path, "doc_id long, lang string", fmt, keep_corrupt=True, **options)
+        report = records.corrupt_report(read).withColumn("format", F.lit(fmt))
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
 def q_results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 + O1: merged results exported as CSV (doi first, multi-values joined) and read back as text."""
     path = scratch_dir(spark, "results-csv")
@@ -369,14 +447,32 @@ def _articles(spark: SparkSession, sf_dir: str, collection: str | None = None) -
 
 
 def q_build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1 + O4: the user-paper message of every article (title + last 300 words)."""
+    """M1: the user-paper message of every article (title + whole abstract)."""
     return scr.build_prompt(_articles(spark, sf_dir)).select("doi", "user_paper")
 
 
+def q_build_prompt_300(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + O4: the user-paper message with the last 300 words of the abstract."""
+    return scr.build_prompt(_articles(spark, sf_dir), n_words=300).select("doi", "user_paper")
+
+
+FEW_SHOT = (
+    scr.example_dialogue(1, "A first paper", "About roads.", [("language", "English"), ("image", "other")]),
+    scr.example_dialogue(2, "Vessels", "Eyes.", [("image", "color fundus"), ("structure", "retinal vessels")]),
+)
+
+
+def q_few_shot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the whole prompt of the contribution question, two example dialogues included."""
+    messages = scr.prompt_messages(scr.BY_COLUMN["contribution"].message(), few_shot=FEW_SHOT)
+    shown = F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return _articles(spark, sf_dir).select("doi", F.size(messages).alias("n_messages"), shown.alias("prompt"))
+
+
 def q_answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 + M2 + M4: the language question as a prompt column, answered by the model per row."""
     arts = _articles(spark, sf_dir)
-    asked = arts.select("doi", scr.prompt_messages(arts, scr.ask_language()).alias("messages"))
+    asked = arts.select("doi", scr.prompt_messages(scr.BY_COLUMN["language"].message()).alias("messages"))
     return scr.answer_prompts(asked, fx.rule_model_factory).select(
         "doi", F.size("messages").alias("n_messages"), "response", "error"
     )
@@ -418,8 +514,13 @@ def _corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("10.1/"), F.md5("text")).alias("doi"), F.element_at(lines, 1).alias("title"),
         F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"),
     )
-    heads = d.select(F.col("doc_id").alias("item_key"), F.element_at(lines, 1).alias("title"),
-                     F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("abstract"))
+    none = F.array().cast
+    heads = d.select(
+        F.col("doc_id").alias("item_key"), F.element_at(lines, 1).alias("title"),
+        F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("abstract"),
+        none(f"array<{tei.TABLE_STRUCT}>").alias("tables"), none(f"array<{tei.FIGURE_STRUCT}>").alias("figures"),
+        none("array<string>").alias("references"), none("array<string>").alias("formulas"),
+    )
     classified = secops.classify_sections(fx.sections(spark, sf_dir))
     segs = segops.text_segments(fx.paper_keys(spark, sf_dir), classified, fx.tables(spark, sf_dir), fx.figures(spark, sf_dir))
     return corpus.paper_rows(meta, heads, classified, segs)
@@ -442,8 +543,7 @@ def q_stream_append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(len(fx.ENGINES)):
         p.where(F.col("priority") == k).write.mode("append").json(land)
         incremental.stream_append_results(spark, land, PAPER_SCHEMA, out, ckpt).awaitTermination()
-    final = incremental.latest_version(spark, out)
-    return _csv_edge(spark.read.parquet(final))
+    return _csv_edge(incremental.read_results(spark, out))
 
 
 # --- storage round trips -------------------------------------------------------------
@@ -469,6 +569,27 @@ def q_paper_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("t._caption").alias("caption"), F.col("t._figure_id").alias("figure_id"), cells.alias("cells"))
 
 
+def q_paper_xml_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with their refs through <paper> XML and back."""
+    path = scratch_dir(spark, "papers-xml")
+    corpus.write_corpus(corpus.paper_xml_rows(_shredded(spark, sf_dir)), path, mode="overwrite")
+    back = corpus.papers_from_xml(corpus.read_paper_xml(spark, path))
+    s = back.select("item_key", F.explode("sections").alias("s")).select("item_key", "s.*")
+    return _refs_joined(s.select("item_key", "pos", "heading", "num", "text", *secops.REF_COLS))
+
+
+def q_paper_xml_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References, formulas and figures of each paper through <paper> XML and back."""
+    path = scratch_dir(spark, "papers-xml")
+    corpus.write_corpus(corpus.paper_xml_rows(_shredded(spark, sf_dir)), path, mode="overwrite")
+    back = corpus.papers_from_xml(corpus.read_paper_xml(spark, path))
+    labels = F.array_join(F.transform("figures", lambda f: f["label"]), "|")
+    return back.select(
+        "item_key", F.array_join("references", "|").alias("references"), F.array_join("formulas", "|").alias("formulas"),
+        F.size("figures").alias("n_figures"), labels.alias("figure_labels"),
+    )
+
+
 def q_table_heading_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F14 + F16: column and row headings of every table (numeric cells dropped)."""
     t = fx.tables(spark, sf_dir).where(F.size("cells") > 0)
@@ -485,6 +606,18 @@ def q_screening_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, QueryFn]:
     return {
+        "search_scan": q_search_scan,
+        "drop_near_duplicates_whole": q_drop_near_duplicates_whole,
+        "export_overwrite": q_export_overwrite,
+        "export_failed": q_export_failed,
+        "export_resume": q_export_resume,
+        "exported_sections": q_exported_sections,
+        "paper_xml_sections": q_paper_xml_sections,
+        "paper_xml_parts": q_paper_xml_parts,
+        "build_prompt_300": q_build_prompt_300,
+        "few_shot_prompt": q_few_shot_prompt,
+        "import_generic_csv": q_import_generic_csv,
+        "corrupt_records": q_corrupt_records,
         "screening_report": q_screening_report,
         "library_roundtrip": q_library_roundtrip,
         "paper_xml_roundtrip": q_paper_xml_roundtrip,

@@ -17,24 +17,12 @@ TABLES = (
 ).split()
 
 
-_TABLES: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, spread over the cluster when its files give fewer splits than cores.
-
-    DataFrames are immutable plans, so one per (session, file) is reused by all
-    fixtures of a query instead of probing the same files again.
-    """
-    from scriptorium.sources.tables import read_table
+    """A test table, in as many partitions as the session asks for (``tables.SCAN_PARTITIONS``)."""
+    from scriptorium.sources.tables import SCAN_PARTITIONS, read_table
 
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    hit = _TABLES.get(key)
-    if hit is None or hit[0] is not spark:
-        hit = (spark, read_table(spark, path))
-        _TABLES[key] = hit
-    return hit[1]
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", partitions=int(wanted) if wanted else None)
 
 
 def doc_year(doc_id: Column) -> Column:
@@ -272,14 +260,15 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of papers: every document line with ``pos % 10 = 7`` is a figure caption."""
+    """Figures of papers: every document line with ``pos % 10 = 7`` is a figure caption;
+    figures of lines with ``pos % 30 = 7`` have no head."""
     d = table(spark, sf_dir, "documents")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("line") % 10 == 7)
     n = (F.floor(F.col("line") / 10) + 1).cast("string")
     return lines.select(
         F.col("doc_id").alias("item_key"),
         F.col("line").cast("int").alias("pos"),
-        F.concat(F.lit("Figure "), n).alias("label"),
+        F.when(F.col("line") % 30 == 7, F.lit("")).otherwise(F.concat(F.lit("Figure "), n)).alias("label"),
         F.col("text").alias("caption"),
         F.lit("figure").alias("type"),
         F.concat(F.lit("fig"), F.col("line").cast("string")).alias("figure_id"),
@@ -290,6 +279,9 @@ def tei_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TEI text per document built from the derived sections, tables and figures.
 
     Title = first line of the document; abstract = its second line ("" if none).
+    Every seventh section stands in an annex wrapper (a div without namespace
+    declaration); the back matter cites source and language, and the size of
+    the document stands in a formula.
     """
     from scriptorium.sources.tei import build_tei
 
@@ -299,8 +291,11 @@ def tei_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("item_key"),
         F.element_at(lines, 1).alias("title"),
         F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("abstract"),
+        F.array("source", "lang").alias("references"),
+        F.array(F.concat(F.lit("n = "), F.col("n_chars").cast("string"))).alias("formulas"),
     )
-    return build_tei(papers_, sections(spark, sf_dir), tables(spark, sf_dir), figures(spark, sf_dir))
+    secs = sections(spark, sf_dir).withColumn("annex", F.col("pos") % 7 == 6)
+    return build_tei(papers_, secs, tables(spark, sf_dir), figures(spark, sf_dir), annex_col="annex")
 
 
 def library_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,13 +311,20 @@ def library_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tei_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TEI of each PDF attachment: a conversation's PDFs hold the TEI of the document with the same id."""
+def tei_by_path(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """TEI of each PDF attachment: a conversation's PDFs hold the TEI of the document with the same id.
+
+    ``damaged``: it is missing where ``conv_id % 4 = 1`` and cut off where ``conv_id % 4 = 2``.
+    """
     conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     cid, turn = F.col("conv_id"), F.col("turn")
     path = F.concat(F.lit(LIBRARY_ROOT + "/storage/A"), _lpad(cid, 7), F.lit("_"), turn.cast("string"), F.lit("/turn"), turn.cast("string"), F.lit(".pdf"))
     pdfs = conv.select(F.col("conv_id").alias("item_key"), path.alias("path"))
-    return pdfs.join(tei_documents(spark, sf_dir), "item_key").select("path", "content")
+    found = pdfs.join(tei_documents(spark, sf_dir), "item_key")
+    if damaged:
+        cut = F.when(F.col("item_key") % 4 == 2, F.left("content", F.lit(100))).otherwise(F.col("content"))
+        found = found.where(F.col("item_key") % 4 != 1).withColumn("content", cut)
+    return found.select("path", "content")
 
 
 # --- countries -------------------------------------------------------------------
@@ -398,8 +400,8 @@ def _docs_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scopus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scopus search entries as JSON text (documents of engine 0 + their customer)."""
-    j = _docs_customers(spark, sf_dir).where(F.col("doc_id") % 3 == 0)
+    """Scopus search entries as JSON text (every document + its customer)."""
+    j = _docs_customers(spark, sf_dir)
     i = F.col("doc_id")
     line = first_line(F.col("text"))
     country = F.element_at(F.array(*[F.lit(x) for x in NATION_COUNTRIES]), (F.col("c_nationkey") + 1).cast("int"))
@@ -421,7 +423,7 @@ def scopus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SCOPUS_ID:"), i.cast("string")).alias("dc:identifier"),
         F.when(i % 2 == 0, i.cast("string")).alias("pubmed-id"),
         F.col("text").alias("dc:description"),
-        F.slice(F.split(F.lower(line), " "), 1, 3).alias("authkeywords"),
+        F.split(F.lower(line), " ").alias("authkeywords"),
         (F.col("n_chars") % 50).cast("string").alias("citedby-count"),
         aff.alias("affiliation"),
     )
@@ -429,8 +431,8 @@ def scopus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pubmed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PubMed articles as JSON text (documents of engine 2 + their customer)."""
-    j = _docs_customers(spark, sf_dir).where(F.col("doc_id") % 3 == 2)
+    """PubMed articles as JSON text (every document + its customer)."""
+    j = _docs_customers(spark, sf_dir)
     i = F.col("doc_id")
     line = first_line(F.col("text"))
     types = F.when(i % 4 != 3, F.create_map(F.lit("D016428"), F.lit("Journal Article"), F.lit("D016454"), F.lit("Review")))
@@ -450,7 +452,7 @@ def pubmed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc_year(i).cast("string").alias("year"),
         F.struct(F.when(i % 5 != 0, F.concat(doc_year(i).cast("string"), F.lit("-0"), (F.lit(1) + i % 9).cast("string"), F.lit("-15"))).alias("accepted")).alias("history"),
         F.col("text").alias("abstract"),
-        F.slice(F.split(F.lower(line), " "), 1, 2).alias("keywords"),
+        F.split(F.lower(line), " ").alias("keywords"),
         affs.alias("author_list"),
         i.cast("string").alias("pmid"),
         F.when(i % 10 == 5, F.lit("Handbook")).alias("book"),
@@ -464,8 +466,8 @@ def pubmed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_model(messages: list[dict]) -> str:
     """A deterministic stand-in for a text model: answers from the user paper's words.
 
-    ``n`` = number of words of the (last-300-words) abstract; abstracts of fewer
-    than 5 words raise, to exercise per-row error capture.
+    ``n`` = number of words of the abstract; abstracts of fewer than 5 words
+    raise, to exercise per-row error capture.
     """
     paper = next(m["content"] for m in reversed(messages) if m["role"] == "user" and m["content"].startswith("USER PAPER:"))
     abstract = paper.split("\n", 1)[1] if "\n" in paper else ""
@@ -488,4 +490,4 @@ def rule_model(messages: list[dict]) -> str:
 
 
 def rule_model_factory():
-    return rule_model
+    return lambda prompts: [rule_model(messages) for messages in prompts]

@@ -154,6 +154,25 @@ SELECT doi,
 FROM b WHERE doi IS NOT NULL GROUP BY doi
 """
 
+# The records of an earlier scan (every fourth document) come first, then this scan's in engine order.
+SEARCH_SCAN = f"""
+WITH {PAPERS_CTE},
+e AS (
+  SELECT doi, {_first_non_null(("title", "first_author", "authors", "publication", "year", "abstract"), "priority * 10000000000 + seq", ())},
+         array_to_string(list_sort(list_distinct(list(source))), '|') AS source
+  FROM ({_BLANKED} FROM papers) WHERE doi IS NOT NULL AND seq % 4 = 0 GROUP BY doi),
+s AS (
+  SELECT doi, title, first_author, authors, publication, year, abstract, source, CAST(NULL AS VARCHAR) AS query, -1 AS ord FROM e
+  UNION ALL
+  SELECT doi, title, first_author, authors, publication, year, abstract, source, 'scan', priority * 10000000000 + seq
+  FROM ({_BLANKED} FROM papers)
+  WHERE doi IS NOT NULL AND (source <> 'pubmed' OR seq NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)))
+SELECT doi,
+  {_first_non_null(("title", "first_author", "authors", "publication", "year", "abstract", "query"), "ord", (*_STR_COLS, "query"))},
+  {_SOURCE_SET}
+FROM s GROUP BY doi
+"""
+
 CAP_PER_YEAR = """
 SELECT o_orderkey, year, round(o_totalprice, 2) AS o_totalprice FROM (
   SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year,
@@ -171,7 +190,7 @@ WHERE rn = 1
 EXCLUDE_KEYS = f"""
 WITH {PAPERS_CTE}
 SELECT seq, doi, year FROM papers
-WHERE source = 'pubmed' AND seq NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)
+WHERE seq NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)
 """
 
 FILTER_DOIS = f"""
@@ -377,6 +396,11 @@ WITH {SECTIONS_CTE}
 SELECT item_key, pos, count(*) OVER (PARTITION BY item_key, heading, num) > 1 AS is_duplicated FROM sections
 """
 
+DROP_NEAR_DUPLICATES_WHOLE = f"""
+WITH {SECTIONS_CTE}, {_NEAR_DUP.replace("substr(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g'), 1, 100)", "regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g')")}
+SELECT item_key, pos, heading, num FROM dedup
+"""
+
 DROP_NEAR_DUPLICATES = f"""
 WITH {SECTIONS_CTE}, {_NEAR_DUP}
 SELECT item_key, pos, heading, num FROM dedup
@@ -517,6 +541,7 @@ FROM e GROUP BY item_key
 _ORACLE_SECTIONS = {
     "flag_duplicates": FLAG_DUPLICATES,
     "drop_near_duplicates": DROP_NEAR_DUPLICATES,
+    "drop_near_duplicates_whole": DROP_NEAR_DUPLICATES_WHOLE,
     "classify_sections": CLASSIFY_SECTIONS,
     "merge_sections": MERGE_SECTIONS,
 }
@@ -539,6 +564,7 @@ def oracle_sql() -> dict[str, str]:
         "append_results": APPEND_RESULTS,
         "search_papers": SEARCH_PAPERS,
         "cap_per_year": CAP_PER_YEAR,
+        "search_scan": SEARCH_SCAN,
         "distinct_titles": DISTINCT_TITLES,
         "exclude_keys": EXCLUDE_KEYS,
         "filter_dois": FILTER_DOIS,
@@ -560,7 +586,8 @@ tabs AS (
                CASE WHEN p_partkey % 7 = 0 THEN [p_type] ELSE [p_type, '0.5'] END] END AS cells
   FROM part),
 figs AS (
-  SELECT doc_id AS item_key, pos, text AS caption FROM (
+  SELECT doc_id AS item_key, pos, text AS caption,
+         CASE WHEN pos % 30 = 7 THEN '' ELSE 'Figure ' || CAST(pos // 10 + 1 AS VARCHAR) END AS label FROM (
     SELECT doc_id, unnest(arr) AS text, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS pos
     FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents)) WHERE pos % 10 = 7)"""
 
@@ -648,8 +675,7 @@ FROM tabs t
 SHRED_TEI_FIGURES = f"""
 WITH {TABLES_CTE}
 SELECT item_key, CAST(row_number() OVER (PARTITION BY item_key ORDER BY pos) - 1 AS INTEGER) AS pos,
-  'Figure ' || CAST(pos // 10 + 1 AS VARCHAR) AS label,
-  'Figure ' || CAST(pos // 10 + 1 AS VARCHAR) || caption AS caption, 'figure' AS type, 'fig' || CAST(pos AS VARCHAR) AS figure_id
+  label, label || caption AS caption, 'figure' AS type, 'fig' || CAST(pos AS VARCHAR) AS figure_id
 FROM figs
 """
 
@@ -694,8 +720,17 @@ firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zoteroID ORD
 EXPORT_REPORT = f"""
 WITH {_EXPORT_CANDIDATES}
 SELECT 'exported' AS status, CAST(0 AS BIGINT) AS n
-UNION ALL
-SELECT 'skipped' AS status, count(*) AS n FROM cand
+UNION ALL SELECT 'failed', CAST(0 AS BIGINT)
+UNION ALL SELECT 'skipped', count(*) FROM firsts
+UNION ALL SELECT 'other_file', (SELECT count(*) FROM cand) - (SELECT count(*) FROM firsts)
+"""
+
+EXPORT_FAILED = f"""
+WITH {_EXPORT_CANDIDATES}
+SELECT 'exported' AS status, count(*) FILTER (WHERE conv_id % 4 NOT IN (1, 2)) AS n FROM firsts
+UNION ALL SELECT 'failed', count(*) FILTER (WHERE conv_id % 4 IN (1, 2)) FROM firsts
+UNION ALL SELECT 'skipped', CAST(0 AS BIGINT)
+UNION ALL SELECT 'other_file', (SELECT count(*) FROM cand) - (SELECT count(*) FROM firsts)
 """
 
 _SHREDDED_CLASSIFY = CLASSIFY_SECTIONS.replace(SECTIONS_CTE, SHREDDED_SECTIONS_CTE)
@@ -708,7 +743,7 @@ cls AS ({_SHREDDED_CLASSIFY}),
 sec AS (SELECT item_key, {", ".join(_seg(k) for k in ("introduction", "related work", "method", "evaluation", "conclusion"))} FROM cls GROUP BY item_key),
 tc AS (SELECT item_key, string_agg(caption, chr(10) ORDER BY pos) AS v FROM tabs GROUP BY item_key),
 thh AS (SELECT item_key, string_agg(headings, chr(10) ORDER BY pos) AS v FROM th WHERE headings <> '' GROUP BY item_key),
-fc AS (SELECT item_key, string_agg('Figure ' || CAST(pos // 10 + 1 AS VARCHAR) || caption, chr(10) ORDER BY pos) AS v FROM figs GROUP BY item_key),
+fc AS (SELECT item_key, string_agg(label || caption, chr(10) ORDER BY pos) AS v FROM figs GROUP BY item_key),
 yr AS (
   SELECT i.key AS zoteroID, CAST(nullif(regexp_extract(v.value, '([0-9]{{4}})', 1), '') AS INTEGER) AS year
   FROM items i JOIN itemData d ON i.itemID = d.itemID JOIN itemDataValues v ON d.valueID = v.valueID
@@ -730,19 +765,35 @@ FROM firsts f JOIN documents doc ON doc.doc_id = f.conv_id
   LEFT JOIN thh ON thh.item_key = f.conv_id LEFT JOIN fc ON fc.item_key = f.conv_id
 """
 
-_ORACLE_SECTIONS.update({"export_corpus": EXPORT_CORPUS, "export_report": EXPORT_REPORT})
+EXPORTED_SECTIONS = f"""
+WITH {_EXPORT_CANDIDATES}, cls AS ({_SHREDDED_CLASSIFY})
+SELECT f.zoteroID AS item_key, c.sec_idx AS pos, {_py_strip("c.heading")} AS heading, c.num, c.type,
+  c.publication_refs, c.figure_refs, c.table_refs
+FROM firsts f JOIN cls c ON c.item_key = f.conv_id
+"""
+
+_ORACLE_SECTIONS.update({
+    "export_corpus": EXPORT_CORPUS, "export_overwrite": EXPORT_CORPUS, "export_resume": EXPORT_CORPUS,
+    "export_report": EXPORT_REPORT, "export_failed": EXPORT_FAILED, "exported_sections": EXPORTED_SECTIONS,
+})
 
 
 # --- countries and terms ------------------------------------------------------------
-from scriptorium.functions.countries import COUNTRY_RULES  # noqa: E402
+
+# The ISO code expected for each affiliation text of the fixtures.
+EXPECTED_COUNTRIES = (
+    ("Hong Kong", "CHN"), ("South Korea", "KOR"), ("Ciudad de México, DF", "MEX"), ("Atlantis", ""), ("Boston, USA", "USA"),
+    ("Paris, France", "FRA"), ("Montréal, Canada", "CAN"), ("Berlin, Germany", "DEU"), ("London", "GBR"), ("Tokyo, Japan", "JPN"),
+    ("Isfahan Iran", "IRN"), ("Durban South Africa", "ZAF"), ("Kolkata, West Bengal", "IND"), ("Saudia Arabia", "SAU"),
+    ("Zürich, Switzerland", "CHE"), ("Algérie", "DZA"), ("Lima, Peru", "PER"), ("china", ""), ("Brno, Czechia", "CZE"),
+    ("Cardiff, Wales", "GBR"), ("P. O. Box Saudi Arabia", "SAU"), ("Sydney, Australia", "AUS"), ("Seoul", "KOR"), ("Narnia", ""),
+    ("U.S.A", "USA"),
+)
 
 
 def _country_case(x: str) -> str:
-    whens = []
-    for iso, kind, pats in COUNTRY_RULES:
-        tests = [f"contains({x}, {_q(p)})" if kind == "contains" else f"ends_with({x}, {_q(p)})" for p in pats]
-        whens.append(f"WHEN {' OR '.join(tests)} THEN '{iso}'")
-    return f"CASE WHEN {x} IS NULL THEN NULL {' '.join(whens)} ELSE '' END"
+    whens = " ".join(f"WHEN {_q(name)} THEN {_q(iso)}" for name, iso in EXPECTED_COUNTRIES)
+    return f"CASE {x} {whens} END"
 
 
 ORDER_RECORDS_CTE = f"""
@@ -825,12 +876,12 @@ SELECT '10.1/' || md5(text) AS doi, line AS title, source AS first_author, sourc
   'SCOPUS_ID:' || CAST(doc_id AS VARCHAR) AS scopus_id,
   CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS pmid,
   text AS abstract,
-  array_to_string(string_split(lower(line), ' ')[1:3], '|') AS keywords,
+  array_to_string(string_split(lower(line), ' '), '|') AS keywords,
   n_chars % 50 AS citations_count,
   CASE WHEN c_custkey IS NULL THEN '' ELSE array_to_string(list_sort(list_distinct([c_name, c_mktsegment])), '|') END AS affiliation,
   CASE WHEN c_custkey IS NULL THEN ''
        ELSE array_to_string(list_sort(list_distinct([{_list(_fx.NATION_COUNTRIES)}[c_nationkey + 1], ''])), '|') END AS affiliation_country
-FROM j WHERE doc_id % 3 = 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0
+FROM j WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0
 """
 
 NORMALIZE_PUBMED = f"""
@@ -841,12 +892,26 @@ SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '10.1/' || md5(text) END AS doi,
   CAST(2000 + doc_id % 25 AS INTEGER) AS year,
   CASE WHEN doc_id % 5 <> 0 THEN CAST(2000 + doc_id % 25 AS VARCHAR) || '-0' || CAST(1 + doc_id % 9 AS VARCHAR) || '-15' END AS date,
   CAST(doc_id AS VARCHAR) AS pmid, text AS abstract,
-  array_to_string(string_split(lower(line), ' ')[1:2], '|') AS keywords,
+  array_to_string(string_split(lower(line), ' '), '|') AS keywords,
   CASE WHEN c_custkey IS NULL THEN '' ELSE array_to_string(list_sort(list_distinct([c_name, 'Dept ' || c_mktsegment])), '|') END AS affiliation
-FROM j WHERE doc_id % 3 = 2
+FROM j
+"""
+
+IMPORT_GENERIC_CSV = f"""
+WITH {PAPERS_CTE}
+SELECT doi, nullif(title, '') AS title, nullif(first_author, '') AS first_author, nullif(publication, '') AS publication, authors,
+  CASE WHEN seq % 10 = 3 THEN NULL ELSE year END AS year, seq % 31 AS citations_count, 'generic' AS source
+FROM papers
+"""
+
+CORRUPT_RECORDS = """
+SELECT f.format, CASE WHEN doc_id % 5 = 0 THEN 'corrupt' ELSE 'read' END AS status, count(*) AS n
+FROM documents CROSS JOIN (VALUES ('json'), ('csv'), ('xml')) AS f(format) GROUP BY ALL
 """
 
 _ORACLE_SECTIONS.update({
+    "import_generic_csv": IMPORT_GENERIC_CSV,
+    "corrupt_records": CORRUPT_RECORDS,
     "import_csv": IMPORT_CSV,
     "results_csv": RESULTS_CSV,
     "normalize_scopus": NORMALIZE_SCOPUS,
@@ -867,20 +932,82 @@ f AS (
 a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY zoteroID) AS rn FROM f
                      WHERE doi IS NOT NULL AND title IS NOT NULL AND abstract IS NOT NULL) WHERE rn = 1),
 w AS (SELECT *, list_filter(string_split(replace(abstract, chr(9), ''), ' '), lambda x: x <> '') AS words FROM a),
-x AS (SELECT *, array_to_string(CASE WHEN len(words) <= 300 THEN words ELSE list_slice(words, len(words) - 299, len(words)) END, ' ') AS abs300,
-             least(len(words), 300) AS n FROM w)"""
+x AS (SELECT *, array_to_string(words, ' ') AS abs_all, len(words) AS n,
+             array_to_string(CASE WHEN len(words) <= 300 THEN words ELSE list_slice(words, len(words) - 299, len(words)) END, ' ') AS abs300
+      FROM w)"""
 
 BUILD_PROMPT = f"""
 WITH {_ARTICLES}
-SELECT doi, 'USER PAPER:' || title || '.' || chr(10) || abs300 AS user_paper FROM x
+SELECT doi, 'USER PAPER:' || title || '.' || chr(10) || abs_all AS user_paper FROM x
+"""
+
+BUILD_PROMPT_300 = BUILD_PROMPT.replace("abs_all AS user_paper", "abs300 AS user_paper")
+
+_FEW_SHOT_TEXT = """system: You are an accurate AI assistant answering Multiple-Choices questions on research papers. Your answers are always one of the provided choices.
+system: Here are some examples of conversations.
+user: EXAMPLE PAPER 1: A first paper
+About roads.
+user: Which language is mostly used in the paper?
+English
+Chinese
+German
+other
+agent: English
+user: Which type of images is mostly used in EXAMPLE PAPER 1?
+color fundus
+OCT or OCTA
+angiography or angiograms
+slit lamp
+ultrasound
+3D images
+MR
+CT
+other
+agent: other
+user: EXAMPLE PAPER 2: Vessels
+Eyes.
+user: Which type of images is mostly used in EXAMPLE PAPER 2?
+color fundus
+OCT or OCTA
+angiography or angiograms
+slit lamp
+ultrasound
+3D images
+MR
+CT
+other
+agent: color fundus
+user: Which structure is segmented by the method proposed in EXAMPLE PAPER 2?
+optic disc
+macula or fovea
+retinal vessels
+arteries and veins
+lesions
+microaneurysms or hemorrhages
+other
+agent: retinal vessels
+system: ---
+system: You are now ready to answer questions about the abstracts of research papers.
+user: USER PAPER:"""
+_CONTRIBUTION_TEXT = """
+user: Which sentence best describes the contribution of USER PAPER?
+review other research papers
+novel segmentation method
+novel artery and vein classification method
+novel diagnosis method
+other"""
+
+FEW_SHOT_PROMPT = f"""
+WITH {_ARTICLES}
+SELECT doi, 16 AS n_messages, {_q(_FEW_SHOT_TEXT)} || title || '.' || chr(10) || abs_all || {_q(_CONTRIBUTION_TEXT)} AS prompt FROM x
 """
 
 SCREEN_ABSTRACTS = f"""
 WITH {_ARTICLES},
 r AS (
-  SELECT *, ' ' || abs300 || ' ' AS pad,
-    CASE WHEN contains(' ' || abs300 || ' ', ' the ') THEN 'English'
-         WHEN contains(' ' || abs300 || ' ', ' und ') OR contains(' ' || abs300 || ' ', ' der ') THEN 'German'
+  SELECT *, ' ' || abs_all || ' ' AS pad,
+    CASE WHEN contains(' ' || abs_all || ' ', ' the ') THEN 'English'
+         WHEN contains(' ' || abs_all || ' ', ' und ') OR contains(' ' || abs_all || ' ', ' der ') THEN 'German'
          ELSE 'spanish or french' END AS m_lang,
     CASE n % 3 WHEN 0 THEN 'color fundus' WHEN 1 THEN 'OCT or OCTA' ELSE 'other' END AS m_img,
     CASE n % 4 WHEN 0 THEN 'novel segmentation method' WHEN 1 THEN 'novel artery and vein classification method'
@@ -904,7 +1031,10 @@ SELECT doi, title, language, image, contribution, structure,
 FROM c3
 """
 
-_ORACLE_SECTIONS.update({"build_prompt": BUILD_PROMPT, "screen_abstracts": SCREEN_ABSTRACTS})
+_ORACLE_SECTIONS.update({
+    "build_prompt": BUILD_PROMPT, "build_prompt_300": BUILD_PROMPT_300, "few_shot_prompt": FEW_SHOT_PROMPT,
+    "screen_abstracts": SCREEN_ABSTRACTS,
+})
 
 
 # --- streaming ----------------------------------------------------------------------
@@ -944,6 +1074,16 @@ SELECT CAST(t.item_key AS VARCHAR) AS item_key, CAST(row_number() OVER (PARTITIO
 FROM tabs t
 """
 
+PAPER_XML_SECTIONS = SHRED_TEI_SECTIONS.replace("SELECT item_key,", "SELECT CAST(item_key AS VARCHAR) AS item_key,")
+
+PAPER_XML_PARTS = f"""
+WITH {TABLES_CTE},
+f AS (SELECT item_key, count(*) AS n, string_agg(label, '|' ORDER BY pos) AS labels FROM figs GROUP BY item_key)
+SELECT CAST(d.doc_id AS VARCHAR) AS item_key, d.source || '|' || d.lang AS references, 'n = ' || CAST(d.n_chars AS VARCHAR) AS formulas,
+  CAST(coalesce(f.n, 0) AS INTEGER) AS n_figures, coalesce(f.labels, '') AS figure_labels
+FROM documents d LEFT JOIN f ON f.item_key = d.doc_id
+"""
+
 TABLE_HEADING_LISTS = f"""
 WITH {TABLES_CTE},
 k AS (
@@ -957,6 +1097,8 @@ SELECT item_key, pos, array_to_string(col, '|') AS col_headings, array_to_string
 _ORACLE_SECTIONS.update({
     "library_roundtrip": LIBRARY_ROUNDTRIP,
     "paper_xml_roundtrip": PAPER_XML_ROUNDTRIP,
+    "paper_xml_sections": PAPER_XML_SECTIONS,
+    "paper_xml_parts": PAPER_XML_PARTS,
     "table_heading_lists": TABLE_HEADING_LISTS,
 })
 
@@ -979,8 +1121,8 @@ ANSWER_PROMPTS = f"""
 WITH {_ARTICLES}
 SELECT doi, 6 AS n_messages,
   CASE WHEN n < 5 THEN NULL
-       WHEN contains(' ' || abs300 || ' ', ' the ') THEN 'English'
-       WHEN contains(' ' || abs300 || ' ', ' und ') OR contains(' ' || abs300 || ' ', ' der ') THEN 'German, mostly'
+       WHEN contains(' ' || abs_all || ' ', ' the ') THEN 'English'
+       WHEN contains(' ' || abs_all || ' ', ' und ') OR contains(' ' || abs_all || ' ', ' der ') THEN 'German, mostly'
        ELSE 'Spanish or French.' END AS response,
   CASE WHEN n < 5 THEN 'ValueError: abstract too short' END AS error
 FROM x

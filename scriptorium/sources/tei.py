@@ -1,10 +1,14 @@
-"""TEI full texts: read, shred into title/abstract/sections/tables/figures, and build.
+"""TEI full texts: shred into title/abstract/sections/tables/figures, and build.
 
-Shredding needs an XML parser that keeps mixed content in order and walks a
-variable number of nested ``div`` elements, which neither the XML data source
-nor ``xpath_*`` can do; it runs in ``mapInPandas`` (Arrow batches, stdlib
-ElementTree, one paper per row).  Everything after it is plain DataFrame work
-on the exploded children.
+A section is a ``div`` inside ``text`` that carries the TEI namespace
+declaration itself; wrapper divs (acknowledgements, annexes, the list of
+references) do not carry one and are no sections, though their children may be.
+
+Shredding needs an XML parser that keeps mixed content in order, walks a
+variable number of nested ``div`` elements and reports namespace declarations,
+which neither the XML data source nor ``xpath_*`` can do; it runs in
+``mapInPandas`` (Arrow batches, stdlib pull parser, one paper per row).
+Everything after it is plain DataFrame work on the exploded children.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the TEI namespace.
@@ -34,123 +38,122 @@ SHREDDED_SCHEMA = (
 )
 
 
-def read_tei(spark: SparkSession, path: str) -> DataFrame:
-    """One row per TEI file: ``item_key`` (file stem), ``path``, ``content``."""
-    df = spark.read.text(path, wholetext=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.tei)?\.xml$", 1)
-    return df.select(name.alias("item_key"), F.input_file_name().alias("path"), F.col("value").alias("content"))
-
-
 # --- shredding (runs inside the Python worker) -----------------------------------
 
+XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
+
 
 def _local(tag) -> str:
     return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
 
 def _text(el) -> str:
-    return "".join(el.itertext())
-
+    return "" if el is None else "".join(el.itertext())
+
+
+def _all(el, name):
+    return [e for e in el.iter() if _local(e.tag) == name] if el is not None else []
+
+
+def _first(el, name, **attrs):
+    return next((e for e in _all(el, name) if all(e.get(k) == v for k, v in attrs.items())), None)
+
+
+def parse_tei(content: str) -> tuple[ET.Element, list[ET.Element]]:
+    """(root, the divs that declare the TEI namespace themselves, in document order)."""
+    parser = ET.XMLPullParser(events=("start-ns", "start"))
+    parser.feed(content)
+    parser.close()
+    root, divs, declared = None, [], False
+    for event, value in parser.read_events():
+        if event == "start-ns":  # comes right before the start of the element that declares it
+            declared = declared or value[1] == TEI_NS
+            continue
+        if root is None:
+            root = value
+        if declared and _local(value.tag) == "div":
+            divs.append(value)
+        declared = False
+    return root, divs
+
+
+def _pieces(div: ET.Element) -> tuple[ET.Element | None, list[str]]:
+    """(head, stripped texts of the other children) of a div; blank text between children is no child."""
+    nodes: list = [div.text] if div.text and div.text.strip() else []
+    for child in div:
+        nodes.append(child)
+        if child.tail and child.tail.strip():
+            nodes.append(child.tail)
+    head = nodes.pop(0) if nodes and not isinstance(nodes[0], str) and _local(nodes[0].tag) == "head" else None
+    return head, [(n if isinstance(n, str) else _text(n)).strip() for n in nodes]
+
+
+def _section(div: ET.Element) -> dict | None:
+    head, texts = _pieces(div)
+    found = {"heading": _text(head), "num": "" if head is None else head.get("n", ""), "text": "\n".join(texts)}
+    if not found["heading"] and not found["text"]:
+        return None
+    targets = [(ref.get("type"), ref.get("target")) for ref in _all(div, "ref") if ref.get("target") is not None]
+    return found | {name: [t.lstrip("#") for kind_, t in targets if kind_ == kind] for kind, name in REF_KINDS.items()}
 
-def _find(el, name):
-    for e in el.iter():
-        if _local(e.tag) == name:
-            return e
-    return None
 
+def _figure_fields(fig: ET.Element) -> dict:
+    """Label (head, else label, else ""), id and kind of a figure element; its own label only."""
+    titles = _all(fig, "head") or _all(fig, "label")
+    return {
+        "label": _text(titles[0]) if titles else "",
+        "figure_id": fig.get(XML_ID) or "",
+        "type": fig.get("type") or "figure",
+    }
 
-def _find_all(el, name):
-    return [e for e in el.iter() if _local(e.tag) == name]
 
+def _table(fig: ET.Element) -> dict:
+    cells = [[_text(cell) for cell in _all(row, "cell")] for row in _all(_first(fig, "table"), "row")]
+    return _figure_fields(fig) | {"caption": _text(_first(fig, "figDesc")), "cells": cells}
 
-def _children(el):
-    """Element children plus non-blank text between them, in document order."""
-    out = []
-    if el.text and el.text.strip():
-        out.append(el.text)
-    for c in el:
-        out.append(c)
-        if c.tail and c.tail.strip():
-            out.append(c.tail)
-    return out
 
-
-def _section(div, pos):
-    kids = _children(div)
-    if not kids:
-        return None
-    heading, num = "", ""
-    if not isinstance(kids[0], str) and _local(kids[0].tag) == "head":
-        heading = _text(kids[0])
-        num = kids[0].get("n", "")
-        kids = kids[1:]
-    paras = [(k if isinstance(k, str) else _text(k)).strip() for k in kids]
-    text = "\n".join(paras)
-    if heading == "" and text == "":
-        return None
-    refs = {v: [] for v in REF_KINDS.values()}
-    for ref in _find_all(div, "ref"):
-        kind = REF_KINDS.get(ref.get("type", ""))
-        target = ref.get("target")
-        if kind and target is not None:
-            refs[kind].append(target.lstrip("#"))
-    return {"pos": pos, "heading": heading, "num": num, "text": text, **refs}
+def _numbered(items: list[dict]) -> list[dict]:
+    return [{"pos": pos, **item} for pos, item in enumerate(items)]
 
 
 def shred_one(content: str | None) -> dict:
     """Parse one TEI document.  Empty content gives an empty paper; malformed
     XML gives an empty paper with ``error`` set."""
-    empty = {"title": "", "abstract": "", "sections": [], "tables": [], "figures": [], "references": [], "formulas": [], "error": None}
+    paper = {"title": "", "abstract": "", "sections": [], "tables": [], "figures": [], "references": [], "formulas": [], "error": None}
     if content is None or not content.strip():
-        return empty
+        return paper
     try:
-        root = ET.fromstring(content)
+        root, divs = parse_tei(content)
     except ET.ParseError as e:
-        return {**empty, "error": f"ParseError: {e}"}
-    title_el = next((e for e in root.iter() if _local(e.tag) == "title" and e.get("type") == "main"), None)
-    title = _text(title_el).strip() if title_el is not None else ""
-    abstract_el = _find(root, "abstract")
-    abstract = ""
-    if abstract_el is not None:
-        paras = [_text(p).strip() for p in _find_all(abstract_el, "p")]
-        abstract = " ".join(paras) if paras else _text(abstract_el).strip()
-    body = _find(root, "text")
-    sections = []
-    if body is not None:
-        for div in _find_all(body, "div"):
-            s = _section(div, len(sections))
-            if s is not None:
-                sections.append(s)
-    tables, figures = [], []
-    label = ""  # a figure without head/label gets "" (not the previous figure's label)
-    for fig in _find_all(root, "figure"):
-        ftype = fig.get("type") or "figure"
-        fid = fig.get("{http://www.w3.org/XML/1998/namespace}id") or fig.get("xml:id") or ""
-        head, lab = _find(fig, "head"), _find(fig, "label")
-        label = _text(head) if head is not None else (_text(lab) if lab is not None else "")
-        if ftype == "table":
-            desc = _find(fig, "figDesc")
-            tab = _find(fig, "table")
-            cells = [[_text(c) for c in _find_all(r, "cell")] for r in _find_all(tab, "row")] if tab is not None else []
-            tables.append({"pos": len(tables), "label": label, "caption": _text(desc) if desc is not None else "", "figure_id": fid, "cells": cells})
-        else:
-            figures.append({"pos": len(figures), "label": label, "caption": _text(fig), "type": ftype, "figure_id": fid})
-    references = []
-    for bib in _find_all(root, "biblStruct"):
-        t = _find(bib, "title")
-        references.append(_text(t).strip() if t is not None else "")
-    formulas = [_text(f).strip() for f in _find_all(root, "formula")]
-    return {"title": title, "abstract": abstract, "sections": sections, "tables": tables, "figures": figures,
-            "references": references, "formulas": formulas, "error": None}
+        return {**paper, "error": f"ParseError: {e}"}
+    inside = set(map(id, _all(_first(root, "text"), "div")))
+    abstract = _first(root, "abstract")
+    paragraphs = [_text(p).strip() for p in _all(abstract, "p")]
+    figures = _all(root, "figure")
+    return paper | {
+        "title": _text(_first(root, "title", type="main")).strip(),
+        "abstract": " ".join(paragraphs) if paragraphs else _text(abstract).strip(),
+        "sections": _numbered([s for s in (_section(d) for d in divs if id(d) in inside) if s is not None]),
+        "tables": _numbered([_table(f) for f in figures if f.get("type") == "table"]),
+        "figures": _numbered([_figure_fields(f) | {"caption": _text(f)} for f in figures if f.get("type") != "table"]),
+        "references": [_text(_first(bib, "title")).strip() for bib in _all(root, "biblStruct")],
+        "formulas": [_text(f).strip() for f in _all(root, "formula")],
+    }
+
+
+# Papers parsed before their rows are handed on: bounds what a worker holds.
+PAPERS_AT_ONCE = 64
 
 
 def _shred_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = ["title", "abstract", "sections", "tables", "figures", "references", "formulas", "error"]
     for pdf in batches:
-        parsed = [shred_one(c) for c in pdf["content"]]
-        out = pd.DataFrame({c: [p[c] for p in parsed] for c in cols})
-        out.insert(0, "item_key", pdf["item_key"].values)
-        yield out
+        for start in range(0, len(pdf), PAPERS_AT_ONCE):
+            part = pdf.iloc[start : start + PAPERS_AT_ONCE]
+            parsed = [shred_one(c) for c in part["content"]]
+            out = pd.DataFrame({c: [p[c] for p in parsed] for c in cols})
+            out.insert(0, "item_key", part["item_key"].values)
+            yield out
 
 
 def shred_tei(tei: DataFrame) -> DataFrame:
@@ -199,50 +202,72 @@ def _refs_xml(col: str, kind: str) -> Column:
 
 
 def section_div(heading: Column, num: Column, text: Column) -> Column:
-    """``<div>`` of one section: ``<head n=..>`` (when heading or num is set) and one ``<p>``."""
+    """``<div xmlns=..>`` of one section: ``<head n=..>`` (when heading or num is set) and one ``<p>``."""
     head = F.when(
         (heading != "") | (num != ""),
         F.concat(F.lit('<head n="'), xml_escape(num), F.lit('">'), xml_escape(heading), F.lit("</head>")),
     ).otherwise(F.lit(""))
     refs = F.concat(*[_refs_xml(c, k) for k, c in REF_KINDS.items()])
-    return F.concat(F.lit("<div>"), head, F.lit("<p>"), xml_escape(text), refs, F.lit("</p></div>"))
+    return F.concat(F.lit(f'<div xmlns="{TEI_NS}">'), head, F.lit("<p>"), xml_escape(text), refs, F.lit("</p></div>"))
 
 
 def _ordered(items: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(items), lambda x: x["v"]), "")
 
 
-def build_tei(papers: DataFrame, sections: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
-    """``item_key, content``: a TEI document per paper (``papers``: item_key, title, abstract).
+def _head(label: Column) -> Column:
+    return F.when(label != "", F.concat(F.lit("<head>"), xml_escape(label), F.lit("</head>"))).otherwise(F.lit(""))
+
 
-    Children are stacked and reduced with one aggregate keyed by paper.
+def build_tei(
+    papers: DataFrame, sections: DataFrame, tables: DataFrame, figures: DataFrame, annex_col: str | None = None
+) -> DataFrame:
+    """``item_key, content``: a TEI document per paper.
+
+    ``papers``: item_key, title, abstract, and optionally ``references`` and
+    ``formulas`` (arrays of strings).  Sections where ``annex_col`` is true stand
+    in a wrapper div without namespace declaration; references stand in the back
+    matter inside one.  Children are stacked and reduced with one aggregate
+    keyed by paper.
     """
-    sec = sections.select("item_key", F.lit(1).alias("_k"), F.col("pos").cast("int").alias("_p"),
-                          section_div(F.col("heading"), F.col("num"), F.col("text")).alias("_x"))
-    cells = F.array_join(
-        F.transform("cells", lambda r: F.concat(F.lit("<row>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<cell>"), xml_escape(F.coalesce(c, F.lit(""))), F.lit("</cell>"))), ""), F.lit("</row>"))),
-        "",
-    )
-    tab = tables.select("item_key", F.lit(2).alias("_k"), F.col("pos").cast("int").alias("_p"), F.concat(
-        F.lit('<figure type="table" xml:id="'), xml_escape(F.col("figure_id")), F.lit('"><head>'), xml_escape(F.col("label")),
-        F.lit("</head><figDesc>"), xml_escape(F.col("caption")), F.lit("</figDesc><table>"), cells, F.lit("</table></figure>"),
-    ).alias("_x"))
-    fig = figures.select("item_key", F.lit(3).alias("_k"), F.col("pos").cast("int").alias("_p"), F.concat(
-        F.lit('<figure xml:id="'), xml_escape(F.col("figure_id")), F.lit('"><head>'), xml_escape(F.col("label")),
-        F.lit("</head><figDesc>"), xml_escape(F.col("caption")), F.lit("</figDesc></figure>"),
-    ).alias("_x"))
-    top = papers.select("item_key", F.lit(0).alias("_k"), F.lit(0).alias("_p"), F.concat(
-        F.lit(f'<teiHeader><fileDesc><titleStmt><title level="a" type="main">'), xml_escape(F.coalesce("title", F.lit(""))),
+
+    def part(df: DataFrame, kind: int, pos: Column, xml: Column) -> DataFrame:
+        return df.select("item_key", F.lit(kind).alias("_k"), pos.cast("int").alias("_p"), xml.alias("_x"))
+
+    def each(items: Column, before: str, after: str) -> Column:
+        return F.array_join(F.transform(items, lambda x: F.concat(F.lit(before), xml_escape(F.coalesce(x, F.lit(""))), F.lit(after))), "")
+
+    div = section_div(F.col("heading"), F.col("num"), F.col("text"))
+    if annex_col:
+        div = F.when(F.col(annex_col), F.concat(F.lit('<div type="annex">'), div, F.lit("</div>"))).otherwise(div)
+    sec = part(sections, 1, F.col("pos"), div)
+    rows_xml = F.array_join(F.transform("cells", lambda r: F.concat(F.lit("<row>"), each(r, "<cell>", "</cell>"), F.lit("</row>"))), "")
+    caption = F.concat(F.lit("<figDesc>"), xml_escape(F.col("caption")), F.lit("</figDesc>"))
+    tab = part(tables, 2, F.col("pos"), F.concat(
+        F.lit('<figure type="table" xml:id="'), xml_escape(F.col("figure_id")), F.lit('">'), _head(F.col("label")), caption,
+        F.lit("<table>"), rows_xml, F.lit("</table></figure>")))
+    fig = part(figures, 3, F.col("pos"), F.concat(
+        F.lit('<figure xml:id="'), xml_escape(F.col("figure_id")), F.lit('">'), _head(F.col("label")), caption, F.lit("</figure>")))
+    top = part(papers, 0, F.lit(0), F.concat(
+        F.lit('<teiHeader><fileDesc><titleStmt><title level="a" type="main">'), xml_escape(F.coalesce("title", F.lit(""))),
         F.lit("</title></titleStmt></fileDesc><profileDesc><abstract><p>"), xml_escape(F.coalesce("abstract", F.lit(""))),
-        F.lit("</p></abstract></profileDesc></teiHeader>"),
-    ).alias("_x"))
-    rows = top.unionByName(sec).unionByName(tab).unionByName(fig)
-    part = lambda k: F.collect_list(F.when(F.col("_k") == k, F.struct(F.col("_p").alias("p"), F.col("_x").alias("v"))))
-    agg = rows.groupBy("item_key").agg(
-        _ordered(part(0)).alias("_h"), _ordered(part(1)).alias("_s"), _ordered(part(2)).alias("_t"), _ordered(part(3)).alias("_f")
-    )
+        F.lit("</p></abstract></profileDesc></teiHeader>")))
+    parts = [top, sec, tab, fig]
+    if "formulas" in papers.columns:
+        parts.append(part(papers, 4, F.lit(0), each(F.col("formulas"), "<formula>", "</formula>")))
+    if "references" in papers.columns:
+        cited = each(F.col("references"), '<biblStruct><analytic><title level="a">', "</title></analytic></biblStruct>")
+        parts.append(part(papers, 5, F.lit(0), F.concat(F.lit('<div type="references"><listBibl>'), cited, F.lit("</listBibl></div>"))))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+
+    def gathered(kind: int) -> Column:
+        return _ordered(F.collect_list(F.when(F.col("_k") == kind, F.struct(F.col("_p").alias("p"), F.col("_x").alias("v")))))
+
+    agg = rows.groupBy("item_key").agg(*[gathered(k).alias(f"_{k}") for k in range(6)])
     content = F.concat(
-        F.lit(f'<?xml version="1.0" encoding="UTF-8"?><TEI xmlns="{TEI_NS}">'), F.col("_h"),
-        F.lit("<text><body>"), F.col("_s"), F.col("_f"), F.col("_t"), F.lit("</body></text></TEI>"),
+        F.lit(f'<?xml version="1.0" encoding="UTF-8"?><TEI xmlns="{TEI_NS}">'), F.col("_0"),
+        F.lit("<text><body>"), F.col("_1"), F.col("_4"), F.col("_3"), F.col("_2"), F.lit("</body><back>"), F.col("_5"), F.lit("</back></text></TEI>"),
     )
     return agg.select("item_key", content.alias("content"))
