@@ -16,6 +16,7 @@ WS_CLASS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
 NON_WS_RUN = r"[^\t\n\x0B\f\r\x{85}\p{Z}]+"
 STRIP_PATTERN = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 NON_WORD = r"[^\p{L}\p{N}_]"
+# Fixed value: word characters compared by the near-duplicate rule of sections.
 WORD_KEY_LEN = 100
 
 
@@ -33,20 +34,10 @@ def split_ws(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NON_WS_RUN), 0)
 
 
-def word_key(c: Column, n: int = WORD_KEY_LEN) -> Column:
-    """The first ``n`` word characters of a text (everything else removed)."""
-    return F.substring(F.regexp_replace(c, NON_WORD, ""), 1, n)
-
-
-def word_key_fast(c: Column, n: int = WORD_KEY_LEN, probe: int = 4 * WORD_KEY_LEN) -> Column:
-    """``word_key`` computed on a prefix when that is provably enough.
-
-    If the first ``probe`` characters already hold ``n`` word characters (or are
-    the whole text), the key is the same as over the whole text; otherwise the
-    whole text is used.  Exact in every case; long texts cost ``probe`` chars.
-    """
-    head = word_key(F.substring(c, 1, probe), n)
-    return F.when((F.length(head) >= n) | (F.length(c) <= probe), head).otherwise(word_key(c, n))
+def word_key(c: Column, n: int | None = WORD_KEY_LEN) -> Column:
+    """The first ``n`` word characters of a text (everything else removed); all of them if ``n`` is None."""
+    words = F.regexp_replace(c, NON_WORD, "")
+    return words if n is None else F.substring(words, 1, n)
 
 
 def is_upper(c: Column) -> Column:

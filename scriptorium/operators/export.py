@@ -2,9 +2,10 @@
 
 PDF attachments of the library (preferring PDF, existing files only,
 optionally a DOI list) whose key is not yet in the output are joined with
-their TEI text, shredded, classified, reduced to text segments and appended
-to the corpus.  Already exported keys are skipped with an anti join; a second
-run over the same input writes nothing.
+their TEI text, shredded, classified, reduced to text segments and written to
+the corpus.  Already exported keys are skipped with an anti join (or replaced,
+with ``overwrite``); papers without TEI, or with TEI that cannot be parsed, are
+reported as failed, stay out of the corpus, and are tried again by the next run.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import library as libops
 from scriptorium.operators import sections as secops
 from scriptorium.operators import segments as segops
+from scriptorium.session import checkpoint_root
 from scriptorium.sources import corpus, tei
 from scriptorium.sources.library import Library
 
@@ -32,7 +34,7 @@ def export_candidates(
 
 
 def first_per_item(cand: DataFrame) -> DataFrame:
-    """The first PDF (smallest path) of each item; an item's further PDFs count as skipped.
+    """The first PDF (smallest path) of each item; its further PDFs are reported as ``other_file``.
 
     A map-side-combined ``min_by`` aggregate, so an item with very many
     attachments costs one partial row per map task.
@@ -41,6 +43,9 @@ def first_per_item(cand: DataFrame) -> DataFrame:
     return picked.select("zoteroID", "_r.title", "_r.doi", "_r.path")
 
 
+STATUSES = ("exported", "failed", "skipped", "other_file")
+
+
 def export_parsed(
     spark: SparkSession,
     lib: Library,
@@ -53,25 +58,31 @@ def export_parsed(
     library: str | None = "",
     collection: str | None = None,
 ) -> DataFrame:
-    """Export new papers; returns the report ``status, n`` (exported / skipped).
+    """Export papers; returns the report ``status, n`` with one row per status:
 
-    ``tei_by_path``: ``path, content`` (TEI produced from each PDF).  With
-    ``overwrite`` the keys already present are exported again (appended as new
-    part files; readers keep the newest by taking the last written).
+    exported; failed (no TEI, or TEI that does not parse); skipped (already in
+    the corpus); other_file (an item's PDFs beyond its first).
+    ``tei_by_path``: ``path, content``, one row per PDF (empty content gives an
+    empty paper).  With ``overwrite`` papers already present are exported again
+    and replaced.
     """
-    cand = export_candidates(lib, root, listing, filter_dois, library, collection)
+    checkpoint_root(spark)
+    cand = export_candidates(lib, root, listing, filter_dois, library, collection).checkpoint()
     firsts = first_per_item(cand)
-    done = None if overwrite else corpus.exported_keys(spark, out_path)
-    todo = firsts if done is None else firsts.join(done.select(F.col("item_key").alias("zoteroID")), "zoteroID", "left_anti")
+    done = corpus.exported_keys(spark, out_path)
+    todo = firsts
+    if done is not None and not overwrite:
+        todo = firsts.join(done.select(F.col("item_key").alias("zoteroID")), "zoteroID", "left_anti")
     todo = todo.checkpoint()
-    n_total = cand.count()
-    n_todo = todo.count()
-    if n_todo:
-        content = todo.join(tei_by_path.select("path", "content"), "path").select(F.col("zoteroID").alias("item_key"), "content")
-        shredded = tei.shred_tei(content).checkpoint()
+    content = todo.join(tei_by_path.select("path", "content"), "path").select(F.col("zoteroID").alias("item_key"), "content")
+    shredded = tei.shred_tei(content.where(F.col("content").isNotNull())).where(F.col("error").isNull()).checkpoint()
+    counts = {"exported": shredded.count()}
+    n_todo, n_firsts = todo.count(), firsts.count()
+    if counts["exported"]:
         classified = secops.classify_sections(tei.tei_sections(shredded))
         segs = segops.text_segments(shredded.select("item_key"), classified, tei.tei_tables(shredded), tei.tei_figures(shredded))
         meta = todo.select(F.col("zoteroID").alias("item_key"), "zoteroID", "doi", "title", "path")
-        corpus.write_corpus(corpus.paper_rows(meta, shredded, classified, segs), out_path, mode="append")
-        corpus.write_key_index(todo.select(F.col("zoteroID").alias("item_key")), out_path)
-    return spark.createDataFrame([("exported", n_todo), ("skipped", n_total - n_todo)], "status string, n long")
+        rows = corpus.paper_rows(meta, shredded, classified, segs)
+        (corpus.add_papers if done is None or not overwrite else corpus.replace_papers)(rows, out_path)
+    counts |= {"failed": n_todo - counts["exported"], "skipped": n_firsts - n_todo, "other_file": cand.count() - n_firsts}
+    return spark.createDataFrame([(s, counts[s]) for s in STATUSES], "status string, n long")

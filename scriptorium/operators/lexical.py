@@ -95,7 +95,7 @@ def chrono_rank(tf: DataFrame, keep_order: bool = False) -> DataFrame:
     """Add ``chrono_rank`` (1-based): words ascending by chronology score, ties by position.
 
     The ranking window runs over one row per word (bounded by the caller's word
-    list), then the rank is joined back with a broadcast of that tiny table.
+    list), then the rank is joined back.
     """
     if keep_order:
         return tf.withColumn("chrono_rank", (F.col("word_pos") + 1).cast("int"))
@@ -103,7 +103,7 @@ def chrono_rank(tf: DataFrame, keep_order: bool = False) -> DataFrame:
     ranked = per_word.select(
         "word_pos", F.row_number().over(Window.orderBy("_score", "word_pos")).alias("chrono_rank")
     )
-    return tf.join(F.broadcast(ranked), "word_pos")
+    return tf.join(ranked, "word_pos")
 
 
 def _weighted(cols: Sequence[Column], weights: Sequence[int], denom: float) -> Column:
@@ -203,19 +203,20 @@ def token_frequency(
     """Share of documents per year containing each word as a whole lower-cased token.
 
     The form for long word lists (thousands of words): instead of one regex
-    pass per word, each document's distinct tokens are exploded once and
-    joined to the word list (broadcast: its size is the caller's list), then
-    counted per (year, word) with map-side combine.  Pairs that never occur
-    are absent (sparse output).  Returns ``year, word, n_docs, freq``.
+    pass per word, a document gives one row for each listed word among its
+    distinct tokens and one with an empty word, which no token is; counting
+    (year, word) with map-side combine then gives hits and totals in one scan.
+    Pairs that never occur are absent (sparse output).  Returns ``year, word,
+    n_docs, freq``.
     """
     wl = sorted({w.lower() for w in words})
     if not wl:
         raise ValueError("at least one word is required")
     base = df.select(F.col(year_col).cast("int").alias("year"), F.lower(F.col(column)).alias("_lc")).where(
-        F.col("year").isNotNull()
+        F.col("year").isNotNull() & F.col("_lc").isNotNull()
     )
-    totals = base.where(F.col("_lc").isNotNull()).groupBy("year").agg(F.count(F.lit(1)).alias("_docs"))
-    tokens = base.select("year", F.explode(F.array_distinct(F.regexp_extract_all("_lc", F.lit(TERM_PATTERN), 0))).alias("word"))
-    word_df = df.sparkSession.createDataFrame([(w,) for w in wl], "word string")
-    hits = tokens.join(F.broadcast(word_df), "word").groupBy("year", "word").agg(F.count(F.lit(1)).alias("n_docs"))
-    return hits.join(totals, "year").select("year", "word", "n_docs", (F.col("n_docs") / F.col("_docs")).alias("freq"))
+    tokens = F.array_distinct(F.regexp_extract_all("_lc", F.lit(TERM_PATTERN), 0))
+    hits = F.array_append(F.filter(tokens, lambda t: t.isin(wl)), "")
+    counts = base.select("year", F.explode(hits).alias("word")).groupBy("year", "word").agg(F.count(F.lit(1)).alias("n_docs"))
+    docs = F.max(F.when(F.col("word") == "", F.col("n_docs"))).over(Window.partitionBy("year"))
+    return counts.withColumn("freq", F.col("n_docs") / docs).where(F.col("word") != "")

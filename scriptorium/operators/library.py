@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dates import year_anywhere
@@ -109,11 +109,8 @@ def fetch_item_fields(
     id_to_name = F.create_map(*[x for name, fid in ids.items() for x in (F.lit(fid), F.lit(name))])
     items = scoped_items(lib, library, collection).select("itemID", F.col("key").alias(key_col))
     vals = field_values(lib, list(ids.values())).withColumn("fieldName", F.element_at(id_to_name, F.col("fieldID")))
-    # one value per (item, field); array_max(collect_list) keeps it deterministic
-    # otherwise and runs as a hash aggregate (max over strings would sort)
-    wide = items.join(vals, "itemID").groupBy(key_col).pivot("fieldName", list(ids.keys())).agg(
-        F.array_max(F.collect_list("value"))
-    )
+    # grouped by the item's id the pivot reuses the join's partitioning; a field has one value per item
+    wide = items.join(vals, "itemID").groupBy("itemID", key_col).pivot("fieldName", list(ids.keys())).agg(F.max("value"))
     out = [F.col(key_col)]
     for f, src in stored.items():
         c = F.col(f"`{src}`")
@@ -133,7 +130,7 @@ def storage_path(root: str, storage_key: Column, path: Column) -> Column:
     """``<root>/storage/<attachment key>/<path without its 8-char prefix>``; NULL path stays NULL."""
     return F.when(
         path.isNotNull(),
-        F.concat(F.lit(root.rstrip("/") + "/storage/"), storage_key, F.lit("/"), F.substring(path, len(STORAGE_PREFIX) + 1, 1 << 30)),
+        F.concat(F.lit(root.rstrip("/") + "/storage/"), storage_key, F.lit("/"), F.substr(path, F.lit(len(STORAGE_PREFIX) + 1))),
     )
 
 
@@ -162,12 +159,14 @@ def prefer_content(
     if prefer not in ("pdf", "html"):
         raise ValueError("prefer must be 'pdf', 'html' or None")
     drop_mime = HTML_MIME if prefer == "pdf" else PDF_MIME
-    per_item = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max((F.col(mime_col) == PDF_MIME).cast("int")).alias("_pdf"),
-        F.max((F.col(mime_col) == HTML_MIME).cast("int")).alias("_html"),
+    one_item = Window.partitionBy(key)
+    flagged = df.withColumns(
+        {
+            "_n": F.count(F.lit(1)).over(one_item),
+            "_pdf": F.max((F.col(mime_col) == PDF_MIME).cast("int")).over(one_item),
+            "_html": F.max((F.col(mime_col) == HTML_MIME).cast("int")).over(one_item),
+        }
     )
-    flagged = df.join(per_item, key, "left")
     several = (F.col("_n") > 1) if strict else ((F.col("_pdf") == 1) & (F.col("_html") == 1))
     drop = several & F.coalesce(F.col(mime_col) == drop_mime, F.lit(False))
     return flagged.where(~drop).drop("_n", "_pdf", "_html")
@@ -202,39 +201,42 @@ def list_local_path(
     """
     ids = resolve_fields(lib, ["title", "DOI"])
     items = scoped_items(lib, library, collection).select("itemID", F.col("key").alias("zoteroID"))
-    vals = field_values(lib, [ids["title"], ids["DOI"]])
-    title = vals.where(F.col("fieldID") == ids["title"]).select("itemID", F.col("value").alias("title"))
-    doi = vals.where(F.col("fieldID") == ids["DOI"]).select("itemID", F.col("value").alias("doi"))
-    att = lib.itemAttachments.select(
-        F.col("parentItemID").alias("itemID"), F.col("itemID").alias("_att"), "contentType", "path"
+    def value_of(name: str) -> Column:
+        return F.max(F.when(F.col("fieldID") == ids[name], F.col("value")))
+
+    # title and DOI in one pass; attachments with their storage key and path, then one join per item
+    named = field_values(lib, [ids["title"], ids["DOI"]]).groupBy("itemID").agg(
+        value_of("title").alias("title"), value_of("DOI").alias("doi")
     )
-    att_key = lib.items.select(F.col("itemID").alias("_att"), F.col("key").alias("storageID"))
-    j = items.join(title, "itemID").join(doi, "itemID").join(att, "itemID").join(att_key, "_att")
-    df = j.select(
-        "zoteroID", "title", "doi", F.col("contentType").alias("content_type"),
-        storage_path(root, F.col("storageID"), F.col("path")).alias("path"),
+    att = lib.itemAttachments.select(
+        F.col("parentItemID").alias("_parent"), "itemID", F.col("contentType").alias("content_type"), "path"
+    ).join(lib.items.select("itemID", F.col("key").alias("storageID")), "itemID")
+    att = att.select(
+        F.col("_parent").alias("itemID"), "content_type", storage_path(root, F.col("storageID"), F.col("path")).alias("path")
     )
     if check_exists:
         if listing is None:
             raise ValueError("check_exists needs a file listing")
-        df = existing_paths(df, listing)
-    df = prefer_content(df, prefer, strict=strict)
-    return df.withColumn("content_type", content_type_short(F.col("content_type"))).select(
-        "zoteroID", "title", "doi", "content_type", "path"
-    )
+        att = existing_paths(att, listing)
+    # an item is kept or dropped with all its attachments, so the preferred type can be chosen before the joins
+    att = prefer_content(att, prefer, key="itemID", strict=strict)
+    df = items.join(named.where("title IS NOT NULL AND doi IS NOT NULL"), "itemID").join(att, "itemID")
+    return df.select("zoteroID", "title", "doi", content_type_short(F.col("content_type")).alias("content_type"), "path")
 
 
 def has_doi(lib: Library, dois: DataFrame, doi_col: str = "doi", field: str | None = None) -> DataFrame:
-    """Flag each DOI that equals some stored value (any field unless ``field`` is given)."""
+    """Flag each DOI that equals some stored value (any field unless ``field`` is given).
+
+    Compared by SHA-256, so that long values (abstracts) never leave the scan.
+    """
     values = lib.itemDataValues
     if field is not None:
         fid = resolve_fields(lib, [field])[field]
         values = values.join(lib.itemData.where(F.col("fieldID") == fid).select("valueID"), "valueID", "left_semi")
     keys = dois.select(doi_col).where(F.col(doi_col).isNotNull()).distinct()
-    hits = values.select(F.col("value").alias(doi_col)).join(keys, doi_col, "left_semi").distinct()
-    return keys.join(hits.withColumn("in_library", F.lit(True)), doi_col, "left").select(
-        doi_col, F.coalesce("in_library", F.lit(False)).alias("in_library")
-    )
+    keys = keys.withColumn("_sha", F.sha2(doi_col, 256))
+    hits = values.select(F.sha2("value", 256).alias("_sha")).distinct().withColumn("in_library", F.lit(True))
+    return keys.join(hits, "_sha", "left").select(doi_col, F.coalesce("in_library", F.lit(False)).alias("in_library"))
 
 
 def has_local(lib: Library, dois: DataFrame, doi_col: str = "doi") -> DataFrame:

@@ -1,6 +1,6 @@
 """Union of record sources and merge of duplicate records by DOI.
 
-A merge is one hash aggregate keyed by DOI: every column takes its first
+A merge is one aggregate keyed by DOI: every column takes its first
 non-null value in arrival order (``min_by`` over an explicit order key, never
 ``first``), and the multi-value ``source`` column becomes the union of its
 ``|``-separated sets.  Both aggregates combine map-side, so a DOI held by a
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -176,10 +176,8 @@ def join_multi(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def distinct_titles(df: DataFrame, title_col: str = "title", order_cols: Sequence[str] = ("priority", "seq")) -> DataFrame:
     """Keep the first row per title in arrival order.
 
-    One hash aggregate with ``min_by(struct(row), order)``: partial per map
-    task, no sort, and a hot title costs one row per task in the shuffle.
+    ``row_number() = 1`` gets a partial limit of one row per title and map task
+    before the shuffle, so a hot title costs one row per task.
     """
-    others = [c for c in df.columns if c != title_col]
-    ord_key = F.struct(*[F.col(c) for c in order_cols])
-    picked = df.groupBy(title_col).agg(F.min_by(F.struct(*[F.col(c) for c in others]), ord_key).alias("_row"))
-    return picked.select(*[F.col(title_col) if c == title_col else F.col("_row")[c].alias(c) for c in df.columns])
+    first = F.row_number().over(Window.partitionBy(title_col).orderBy(*order_cols))
+    return df.withColumn("_rn", first).where(F.col("_rn") == 1).drop("_rn")

@@ -1,18 +1,22 @@
 """Abstract screening with a user-supplied text model: a multiple-choice cascade.
 
-Each article (title + the last 300 words of its abstract) is asked up to four
-questions; a question is only asked while the previous answers keep the paper
-in scope (English -> colour fundus images -> a segmentation or artery/vein
-classification method -> segmented structure).  The model is any callable
-``predict(messages) -> str``; it is built once per Python worker by a
-user-given factory and called inside ``mapInPandas`` (Arrow batches).  A
-failing row is reported in ``error`` and the others continue.  Earlier answers
-are brought back by DOI so only pending articles reach the model.
+A cascade is a declared list of questions.  Each step asks its question for all
+rows that are still open, in batches, and matches the answers against the
+choices with a column expression; the answer decides whether the row stays open
+for the next step.  Steps are cut by ``checkpoint()``: a row is asked a question
+once, and a worker holds one model at a time.
+
+The model is any callable ``predict(prompts) -> responses`` over a list of
+prompts (lists of role/content messages); a factory builds it at the start of
+each task.  Where a batch raises, its prompts are asked one by one, so a failing
+row is reported in ``error`` and the others go on.  Earlier answers are brought
+back by DOI so only pending articles reach the model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,180 +40,190 @@ CONTRIBUTIONS = (
     "novel diagnosis method",
 )
 STRUCTURES = ("optic disc", "macula or fovea", "retinal vessels", "arteries and veins", "lesions", "microaneurysms or hemorrhages")
-ABSTRACT_WORDS = 300
-MAX_NEW_TOKENS = 24
-ANSWER_COLUMNS = ("language", "image", "contribution", "structure")
 FLAG_COLUMNS = ("fundus_vessel_segmentation", "fundus_vessel_classification")
-RESULT_SCHEMA = (
-    "language string, image string, contribution string, structure string, "
-    "fundus_vessel_segmentation boolean, fundus_vessel_classification boolean, error string"
-)
-
-
-def user(*lines: str) -> dict:
-    return {"role": "user", "content": "\n".join(lines)}
-
-
-def system(text: str) -> dict:
-    return {"role": "system", "content": text}
 
+Message = dict[str, str]
+Model = Callable[[list[list[Message]]], list[str]]
 
-def agent(text: str) -> dict:
-    return {"role": "agent", "content": text}
 
+@dataclass(frozen=True)
+class Question:
+    """One step: its answer column, wording, choices, and what an answer leads to.
 
-def ask_language(name: str = "USER PAPER") -> dict:
-    return user(f"Which language is mostly used in the {name}?", *LANGUAGES)
-
+    A row stays open while its answer contains ``goes_on``, unless the answer
+    contains ``flag_word``, which sets ``flag`` and ends the row.
+    """
 
-def ask_image(name: str = "USER PAPER") -> dict:
-    return user(f"Which type of images is mostly used in {name}?", *IMAGE_TYPES, OTHER)
+    column: str
+    wording: str
+    choices: tuple[str, ...]
+    goes_on: str | None = None
+    flag: str | None = None
+    flag_word: str | None = None
+
+    def message(self, subject: str = "USER PAPER", wording: str | None = None) -> Message:
+        listed = (*(c for c in self.choices if c != OTHER), OTHER)
+        return {"role": "user", "content": "\n".join([(wording or self.wording).format(subject), *listed])}
+
+
+CASCADE = (
+    Question("language", "Which language is mostly used in the {}?", LANGUAGES, goes_on="English"),
+    Question("image", "Which type of images is mostly used in {}?", IMAGE_TYPES, goes_on="color fundus"),
+    Question(
+        "contribution", "Which sentence best describes the contribution of {}?", CONTRIBUTIONS,
+        goes_on="segmentation", flag="fundus_vessel_classification", flag_word="artery and vein",
+    ),
+    Question(
+        "structure", "Which structure is segmented by the method proposed in {}?", STRUCTURES,
+        flag="fundus_vessel_segmentation", flag_word="vessels",
+    ),
+)
+ANSWER_COLUMNS = tuple(q.column for q in CASCADE)
+BY_COLUMN = {q.column: q for q in CASCADE}
+# Fixed value: how an example asks for the language.
+EXAMPLE_LANGUAGE = "Which language is mostly used in the paper?"
+
+
+def example_dialogue(k: int, title: str, abstract: str, answers: Sequence[tuple[str, str]]) -> list[Message]:
+    """Few-shot example: the paper, then (answer column, answer) pairs in order."""
+    name = f"EXAMPLE PAPER {k}"
+    messages = [{"role": "user", "content": f"{name}: {title}\n{abstract}"}]
+    for column, answer in answers:
+        wording = EXAMPLE_LANGUAGE if column == "language" else None
+        messages += [BY_COLUMN[column].message(name, wording), {"role": "agent", "content": answer}]
+    return messages
 
 
-def ask_contribution(name: str = "USER PAPER") -> dict:
-    return user(f"Which sentence best describes the contribution of {name}?", *CONTRIBUTIONS, OTHER)
+def last_words(c: Column, n: int | None = None) -> Column:
+    """The space-separated words of a text (tabs removed, empty words dropped), the last ``n`` only if given."""
+    words = F.filter(F.split(F.replace(c, F.lit("\t"), F.lit("")), " "), lambda w: w != "")
+    if n is not None:
+        words = F.when(F.size(words) <= n, words).otherwise(F.slice(words, -n, n))
+    return F.array_join(words, " ")
 
 
-def ask_structure(name: str = "USER PAPER") -> dict:
-    return user(f"Which structure is segmented by the method proposed in {name}?", *STRUCTURES, OTHER)
+def match_choice(response: Column, choices: Sequence[str]) -> Column:
+    """First choice (list order, then ``other``) contained in the response, case-free;
+    else the lower-cased response stripped of quotes, dots and spaces."""
+    r = F.lower(response)
+    out = F.regexp_replace(r, r'^[". ]+|[". ]+$', "")
+    for c in reversed([*choices, OTHER]):
+        out = F.when(r.contains(c.lower()), F.lit(c)).otherwise(out)
+    return out
 
 
-def example_dialogue(k: int, title: str, abstract: str, answers: Sequence[tuple[str, str]]) -> list[dict]:
-    """Few-shot example: the paper, then (question kind, answer) pairs in order."""
-    name = f"EXAMPLE PAPER {k}"
-    questions = {
-        "language": user("Which language is mostly used in the paper?", *LANGUAGES),
-        "image": ask_image(name),
-        "contribution": ask_contribution(name),
-        "structure": ask_structure(name),
-    }
-    msgs = [user(f"{name}: {title}", abstract)]
-    for kind, answer in answers:
-        msgs += [questions[kind], agent(answer)]
-    return msgs
+def user_paper(title_col: str, abstract_col: str, n_words: int | None) -> Column:
+    return F.concat(F.lit("USER PAPER:"), F.col(title_col), F.lit(".\n"), last_words(F.col(abstract_col), n_words))
 
 
-def base_messages(title: str, abstract: str, few_shot: Sequence[list[dict]] = ()) -> list[dict]:
-    """System prompt, few-shot dialogues, then the user's paper."""
-    msgs = [system(SYSTEM_INTRO), system(SYSTEM_EXAMPLES)]
-    for dialogue in few_shot:
-        msgs += list(dialogue)
-    msgs += [system(SYSTEM_SEPARATOR), system(SYSTEM_READY), user("USER PAPER:" + title + ".", abstract)]
-    return msgs
+def build_prompt(
+    df: DataFrame, title_col: str = "title", abstract_col: str = "abstract", n_words: int | None = None
+) -> DataFrame:
+    """Adds ``user_paper``, the user message of the prompt: title and abstract, of
+    which the last ``n_words`` words only if given."""
+    return df.withColumn("user_paper", user_paper(title_col, abstract_col, n_words))
 
 
-def last_words_py(text: str, n: int = ABSTRACT_WORDS) -> str:
-    return " ".join([w for w in text.replace("\t", "").split(" ") if w][-n:])
+def prompt_messages(
+    question: Message, title_col: str = "title", abstract_col: str = "abstract", few_shot=(), n_words: int | None = None
+) -> Column:
+    """The full chat prompt of one question as an ``array<struct<role, content>>`` column:
+    system messages and few-shot dialogues (literals), the user's paper, then the question."""
 
+    def message(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
-def last_words(c: Column, n: int = ABSTRACT_WORDS) -> Column:
-    """The last ``n`` space-separated words (tabs removed, empty words dropped)."""
-    words = F.filter(F.split(F.replace(c, F.lit("\t"), F.lit("")), " "), lambda w: w != "")
-    return F.array_join(F.when(F.size(words) <= n, words).otherwise(F.slice(words, -n, n)), " ")
+    def fixed(*texts: str) -> list[Column]:
+        return [message("system", F.lit(t)) for t in texts]
 
+    examples = [message(m["role"], F.lit(m["content"])) for dialogue in few_shot for m in dialogue]
+    paper = message("user", user_paper(title_col, abstract_col, n_words))
+    asked = message(question["role"], F.lit(question["content"]))
+    return F.array(*fixed(SYSTEM_INTRO, SYSTEM_EXAMPLES), *examples, *fixed(SYSTEM_SEPARATOR, SYSTEM_READY), paper, asked)
 
-def match_choice_py(response: str, choices: Sequence[str]) -> str:
-    r = response.lower()
-    for c in list(choices) + [OTHER]:
-        if c.lower() in r:
-            return c
-    return r.strip('". ')
 
+def _ask(model: Model, prompts: list[list[Message]]) -> list[tuple[str | None, str | None]]:
+    """(response, error) of each prompt: the batch at once, or one by one where it raises."""
+    try:
+        return [(r, None) for r in model(prompts)]
+    except Exception as e:  # noqa: BLE001 - reported per row
+        if len(prompts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        return [_ask(model, [p])[0] for p in prompts]
 
-def match_choice(response: Column, choices: Sequence[str]) -> Column:
-    """First choice (list order, then ``other``) contained in the response, case-free;
-    else the lower-cased response stripped of quotes, dots and spaces."""
-    r = F.lower(response)
-    out = F.regexp_replace(r, r'^[". ]+|[". ]+$', "")
-    for c in reversed(list(choices) + [OTHER]):
-        out = F.when(r.contains(c.lower()), F.lit(c)).otherwise(out)
-    return out
 
+def answer_prompts(df: DataFrame, model_factory: Callable[[], Model], messages_col: str = "messages") -> DataFrame:
+    """Adds ``response`` and ``error``: the model's answer to each row's prompt."""
+    from scriptorium.session import ship_package
 
-def build_prompt(df: DataFrame, title_col: str = "title", abstract_col: str = "abstract") -> DataFrame:
-    """Adds ``abstract_300`` and ``user_paper`` (the user message of the prompt)."""
-    a = last_words(F.col(abstract_col))
-    return df.withColumn("abstract_300", a).withColumn(
-        "user_paper", F.concat(F.lit("USER PAPER:"), F.col(title_col), F.lit(".\n"), F.col("abstract_300"))
-    )
+    ship_package(df.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = model_factory()
+        for pdf in batches:
+            prompts = [[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf[messages_col]]
+            found = _ask(model, prompts) if prompts else []
+            yield pdf.assign(response=[r for r, _ in found], error=[e for _, e in found])
 
-_MODELS: dict = {}
-
-
-def _model(factory: Callable[[], Callable[[list[dict]], str]]):
-    key = id(factory)
-    if key not in _MODELS:
-        _MODELS[key] = factory()
-    return _MODELS[key]
-
-
-def screen_one(predict: Callable[[list[dict]], str], title: str, abstract: str, few_shot=()) -> dict:
-    """Ask the cascade for one article; returns the answer columns and flags."""
-    out = {"language": None, "image": None, "contribution": None, "structure": None,
-           "fundus_vessel_segmentation": False, "fundus_vessel_classification": False, "error": None}
-    msgs = base_messages(title, last_words_py(abstract), few_shot)
-    out["language"] = match_choice_py(predict(msgs + [ask_language()]), LANGUAGES)
-    if "English" not in out["language"]:
-        return out
-    out["image"] = match_choice_py(predict(msgs + [ask_image()]), IMAGE_TYPES)
-    if "color fundus" not in out["image"]:
-        return out
-    out["contribution"] = match_choice_py(predict(msgs + [ask_contribution()]), CONTRIBUTIONS)
-    if "artery and vein" in out["contribution"]:
-        out["fundus_vessel_classification"] = True
-        return out
-    if "segmentation" not in out["contribution"]:
-        return out
-    out["structure"] = match_choice_py(predict(msgs + [ask_structure()]), STRUCTURES)
-    if "vessels" in out["structure"]:
-        out["fundus_vessel_segmentation"] = True
-    return out
+    return df.mapInPandas(run, f"{schema}, response string, error string")
 
 
 def screen_abstracts(
     df: DataFrame,
-    model_factory: Callable[[], Callable[[list[dict]], str]],
+    model_factory: Callable[[], Model],
     title_col: str = "title",
     abstract_col: str = "abstract",
     few_shot=(),
+    n_words: int | None = None,
+    cascade: Sequence[Question] = CASCADE,
 ) -> DataFrame:
-    """Adds the answer columns, both flags and ``error`` to every row of ``df``.
+    """Adds the answer columns, the flags and ``error`` to every row of ``df``.
 
-    Only the key and the two text columns cross into Python.
+    A row whose question failed has an error and no answers.
     """
-    from scriptorium.session import ship_package
-
-    ship_package(df.sparkSession)
-    keep = [c for c in df.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in ANSWER_COLUMNS + FLAG_COLUMNS + ("error",))
-    base = df.drop(*[c for c in ANSWER_COLUMNS + FLAG_COLUMNS + ("error",) if c in keep])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = _model(model_factory)
-        for pdf in batches:
-            rows = []
-            for t, a in zip(pdf[title_col], pdf[abstract_col], strict=True):
-                try:
-                    rows.append(screen_one(predict, t, a, few_shot))
-                except Exception as e:  # noqa: BLE001 - reported per row, the rest continues
-                    rows.append({**{c: None for c in ANSWER_COLUMNS + FLAG_COLUMNS}, "error": f"{type(e).__name__}: {e}"})
-            res = pd.DataFrame(rows, columns=list(ANSWER_COLUMNS + FLAG_COLUMNS) + ["error"])
-            yield pd.concat([pdf.reset_index(drop=True), res], axis=1)
-
-    return base.mapInPandas(run, f"{schema}, {RESULT_SCHEMA}")
+    answers = [q.column for q in cascade]
+    flags = [q.flag for q in cascade if q.flag]
+    kept = [c for c in df.columns if c not in (*answers, *flags, "error")]
+    out = [*kept, *answers, *[c for c in FLAG_COLUMNS if c in flags], *[c for c in flags if c not in FLAG_COLUMNS], "error"]
+    rows = df.select(
+        *kept, *[F.lit(None).cast("string").alias(c) for c in answers], *[F.lit(False).alias(c) for c in flags]
+    )
+    done = []
+    for q in cascade:
+        prompt = prompt_messages(q.message(), title_col, abstract_col, few_shot, n_words)
+        asked = answer_prompts(rows.withColumn("_messages", prompt), model_factory, "_messages").checkpoint()
+        ok, answer = F.col("error").isNull(), match_choice(F.col("response"), q.choices)
+        flagged = F.lit(False) if q.flag is None else answer.contains(q.flag_word)
+        goes_on = F.lit(False) if q.goes_on is None else answer.contains(q.goes_on) & ~flagged
+        asked = asked.withColumn("_open", ok & goes_on).withColumn(q.column, F.when(ok, answer))
+        if q.flag:
+            asked = asked.withColumn(q.flag, F.coalesce(F.col(q.column).contains(q.flag_word), F.lit(False)))
+        closed = asked.where(~F.coalesce("_open", F.lit(False)))
+        done.append(closed.select(*[F.when(ok, F.col(c)).alias(c) if c in (*answers, *flags) else F.col(c) for c in out]))
+        rows = asked.where("_open").select(*rows.columns)
+    result = done[0]
+    for more in done[1:]:
+        result = result.unionByName(more)
+    return result
 
 
 def resume_screening(articles: DataFrame, previous: DataFrame | None, key: str = "doi") -> DataFrame:
-    """Bring earlier answers by key (missing answer columns are added as NULL)."""
-    cols = list(ANSWER_COLUMNS + FLAG_COLUMNS)
+    """Bring earlier answers by key (missing answer columns are added as NULL).
+
+    Of several earlier rows of a key an answered one wins, then the smallest in
+    order of its answers and flags.
+    """
+    cols = [*ANSWER_COLUMNS, *FLAG_COLUMNS]
+    kinds = {c: "boolean" if c in FLAG_COLUMNS else "string" for c in cols}
     if previous is None:
-        return articles.select("*", *[F.lit(None).cast("boolean" if c in FLAG_COLUMNS else "string").alias(c) for c in cols])
+        return articles.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in cols])
     prev = previous
     for c in cols:
         if c not in prev.columns:
-            prev = prev.withColumn(c, F.lit(None).cast("boolean" if c in FLAG_COLUMNS else "string"))
-    prev = prev.select(key, *cols).dropDuplicates([key])
+            prev = prev.withColumn(c, F.lit(None).cast(kinds[c]))
+    order = F.struct(F.col("language").isNull(), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    prev = prev.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_r")).select(key, "_r.*")
     return articles.drop(*[c for c in cols if c in articles.columns]).join(prev, key, "left")
 
 
@@ -219,65 +233,12 @@ def pending(df: DataFrame) -> DataFrame:
 
 
 def analyse_abstracts(
-    articles: DataFrame, previous: DataFrame | None, model_factory, key: str = "doi", few_shot=()
+    articles: DataFrame, previous: DataFrame | None, model_factory, key: str = "doi", few_shot=(), n_words: int | None = None
 ) -> DataFrame:
     """Resume, screen the pending articles, and return all articles with answers."""
     resumed = resume_screening(articles, previous, key).withColumn("error", F.lit(None).cast("string"))
     done = resumed.where(F.col("language").isNotNull())
-    todo = resumed.where(F.col("language").isNull())
-    return done.unionByName(screen_abstracts(todo, model_factory, few_shot=few_shot))
-
-
-MESSAGE_TYPE = "array<struct<role:string,content:string>>"
-
-
-def _message(role: str, content: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), content.alias("content"))
-
-
-def prompt_messages(
-    df: DataFrame, question: dict, title_col: str = "title", abstract_col: str = "abstract", few_shot=()
-) -> Column:
-    """The full chat prompt of one question as an ``array<struct<role, content>>`` column:
-    system messages and few-shot dialogues (literals), the user's paper (title +
-    last 300 words of the abstract), then the question."""
-    head = [system(SYSTEM_INTRO), system(SYSTEM_EXAMPLES)]
-    for dialogue in few_shot:
-        head += list(dialogue)
-    head += [system(SYSTEM_SEPARATOR), system(SYSTEM_READY)]
-    paper = F.concat(F.lit("USER PAPER:"), F.col(title_col), F.lit(".\n"), last_words(F.col(abstract_col)))
-    msgs = [_message(m["role"], F.lit(m["content"])) for m in head]
-    msgs += [_message("user", paper), _message(question["role"], F.lit(question["content"]))]
-    return F.array(*msgs)
-
-
-def answer_prompts(
-    df: DataFrame, model_factory: Callable[[], Callable[[list[dict]], str]], messages_col: str = "messages"
-) -> DataFrame:
-    """Adds ``response`` and ``error``: the model's answer to each row's prompt.
-
-    The model is built once per Python worker; a failing row gets ``error``.
-    """
-    from scriptorium.session import ship_package
-
-    ship_package(df.sparkSession)
-    fields = [f for f in df.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = _model(model_factory)
-        for pdf in batches:
-            responses, errors = [], []
-            for msgs in pdf[messages_col]:
-                try:
-                    responses.append(predict([{"role": m["role"], "content": m["content"]} for m in msgs]))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001 - reported per row
-                    responses.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(response=responses, error=errors)
-
-    return df.mapInPandas(run, f"{schema}, response string, error string")
+    return done.unionByName(screen_abstracts(pending(resumed), model_factory, few_shot=few_shot, n_words=n_words))
 
 
 def screening_report(results: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ landed as a table, with the same parameters and limits as a scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators.merge import valid_records
+from scriptorium.operators.merge import append_results, merge_duplicates, union_sources, valid_records
 
 # Engine names, and the engines used when none is given
 # (the code's default, two of the three).
@@ -88,25 +88,19 @@ def cap_per_group(
     group_cols: Sequence[str],
     order_cols: Sequence[str],
     salt_buckets: int = CAP_SALT_BUCKETS,
-    force_salt: bool = False,
 ) -> DataFrame:
     """At most ``n`` rows per group, the first ones in ``order_cols`` order. Exact.
 
-    For ``n`` up to Spark's window-group-limit threshold, ``row_number() <= n``
-    gets a partial per-group limit before the shuffle, so a hot group sends at
-    most ``n`` rows per map task.  Above it, a first phase ranks inside
-    (group, salt) pieces (a hot group is sorted by many tasks) and keeps ``n``
-    per piece; the second phase ranks the at most ``salt_buckets * n``
-    survivors of each group.  ``order_cols`` must make the order total.
+    A first phase ranks inside (group, salt) pieces, so a hot group is ranked by
+    many tasks, and keeps ``n`` per piece; the second phase ranks the at most
+    ``salt_buckets * n`` survivors of each group.  ``order_cols`` must make the
+    order total.  ``n`` of None or 0 means no cap; a negative one is an error.
     """
-    if n is None:
+    if n is not None and n < 0:
+        raise ValueError("a cap cannot be negative")
+    if not n:
         return df
-    if n <= 0:
-        return df.limit(0)
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n <= threshold and not force_salt:
-        return df.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= n).drop("_rn")
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in order_cols]), F.lit(salt_buckets))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
     phase1 = df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= n)
@@ -156,11 +150,31 @@ def search_papers(
     if hi is not None:
         cond = cond & (F.col("year") <= hi)
     hits = valid_records(records.where(cond)).withColumn("period", period_label(F.col("year"), lo, hi))
-    if max_per_year is not None:
+    if max_per_year:
         hits = cap_per_group(hits.withColumn("_p", F.coalesce("period", F.lit(""))), max_per_year, ["source", "_p"], order_cols).drop("_p")
     return hits.withColumn("query", F.lit(text))
 
 
+def search_scan(
+    frames: Mapping[str, DataFrame],
+    query: str,
+    known: DataFrame | None = None,
+    known_key: str = "pmid",
+    earlier: DataFrame | None = None,
+) -> DataFrame:
+    """One scan in one call: engines stacked in the given order, records of the last engine whose
+    ``known_key`` is known already left out, duplicates merged, the query noted, and all that merged
+    into the records of earlier scans."""
+    names = list(frames)
+    found = [frames[n] for n in names]
+    if known is not None:
+        found[-1] = exclude_keys(found[-1], known, known_key)
+    stacked = union_sources(found).withColumn("query", F.lit(query))
+    if earlier is None:
+        return merge_duplicates(stacked)
+    return append_results(earlier.withColumn("query", F.lit(None).cast("string")) if "query" not in earlier.columns else earlier, stacked)
+
+
 def exclude_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Drop rows whose key another source already gave (anti join)."""
     return df.join(keys.select(key).where(F.col(key).isNotNull()), key, "left_anti")

@@ -62,22 +62,18 @@ def flag_duplicates(df: DataFrame, keys=("heading", "num"), out_col: str = "is_d
     return df.withColumn(out_col, F.count(F.lit(1)).over(Window.partitionBy(KEY, *keys)) > 1)
 
 
-def near_duplicate_keys(sections: DataFrame) -> DataFrame:
-    """Adds ``_len`` (text length) and ``_wkey`` (first 100 word characters)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return sections.select("*", F.length(text).alias("_len"), tx.word_key_fast(text).alias("_wkey"))
-
-
-def drop_near_duplicates(sections: DataFrame) -> DataFrame:
+def drop_near_duplicates(sections: DataFrame, n_word_chars: int | None = tx.WORD_KEY_LEN) -> DataFrame:
     """In each group of equal raw (heading, num) keep the longest text (first on
-    ties) and drop the rows whose first 100 word characters equal its own.
+    ties) and drop the rows whose first ``n_word_chars`` word characters equal
+    its own (None: all word characters of the text).
 
-    All windows share one ordering (length desc, pos), hence one sort.  Works
-    on rows that carry ``_len``/``_wkey`` instead of the text (see
-    ``classify_sections``); they are computed here when absent.
+    All windows share one ordering (length desc, pos), hence one sort.
     """
-    if "_wkey" not in sections.columns:
-        sections = near_duplicate_keys(sections)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = tx.word_key(text, n_word_chars)
+    if n_word_chars is None:
+        key = F.sha2(key, 256)  # a whole text is compared by its digest, so windows do not carry it twice
+    sections = sections.select("*", F.length(text).alias("_len"), key.alias("_wkey"))
     by_len = Window.partitionBy(KEY, "heading", "num").orderBy(F.col("_len").desc(), F.col("pos").asc())
     whole = by_len.rowsBetween(_UNB, _UNF)
     flagged = sections.select(
@@ -286,17 +282,16 @@ def classify_merged(merged: DataFrame) -> DataFrame:
     return step3.withColumn("type", typ).drop("_intro", "_c0", "_m", "_any_m", "_c1", "_order")
 
 
-def classify_sections(sections: DataFrame, repartition: bool = True) -> DataFrame:
+def classify_sections(
+    sections: DataFrame, repartition: bool = True, n_word_chars: int | None = tx.WORD_KEY_LEN
+) -> DataFrame:
     """The whole pipeline: near duplicates, cleaning, scheme, tree, merge, classes.
 
     One shuffle by paper; every later window and the merge aggregate reuse it.
-    (Splitting the rows into a narrow window path and a text payload joined
-    back by ``(item_key, pos)`` was measured and rejected: column pruning gives
-    the two branches different exchanges, so the text would be scanned and
-    shuffled twice to save in-task sorts.)
+    ``n_word_chars``: see ``drop_near_duplicates``.
     """
     df = sections.repartition(KEY) if repartition else sections
-    df = drop_near_duplicates(df)
+    df = drop_near_duplicates(df, n_word_chars)
     df = clean_sections(df)
     for c in REF_COLS:
         if c not in df.columns:

@@ -1,9 +1,14 @@
 """The XML corpus: one ``<paper>`` element per exported paper.
 
 Written and read with Spark's XML data source (``rowTag = paper``).  Root
-attributes carry DOI, title, path and the library key; ``text_segments`` holds
-one ``<segments type=..>`` element per segment.  Explicit schemas everywhere:
-inference would read a section number ``1.`` as the double 1.0.
+attributes carry DOI, title, path and the library key; the element holds the
+whole paper: abstract, classified sections with their refs, references,
+figures, tables with cells, formulas, and ``text_segments`` with one ``<segments
+type=..>`` element per segment.  Explicit schemas everywhere: inference would
+read a section number ``1.`` as the double 1.0.
+
+A corpus that an export keeps up to date is partitioned by a hash of the key,
+so replacing papers rewrites only the buckets they are in.
 """
 
 from __future__ import annotations
@@ -12,38 +17,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.segments import SEGMENT_TYPES, segment_column
+from scriptorium.session import scratch_dir
 
 ROW_TAG = "paper"
 ROOT_TAG = "papers"
 ATTRS = ("DOI", "title", "path", "zoteroID")
-SECTION_XML = "struct<_heading:string, _num:string, _type:string, text:string>"
-CORPUS_SCHEMA = (
-    "_DOI string, _title string, _path string, _zoteroID string, title string, abstract string, "
-    f"sections struct<section:array<{SECTION_XML}>>, "
-    "text_segments struct<segments:array<struct<_type:string, _VALUE:string>>>"
-)
-
-
-PAPER_XML_SCHEMA = (
-    "_item_key string, title string, abstract string, "
-    f"sections struct<section:array<{SECTION_XML}>>, "
+REFS = ("publication_refs", "figure_refs", "table_refs")
+SECTION_XML = "struct<_heading:string, _num:string, _type:string, text:string, " + ", ".join(f"{c}:array<string>" for c in REFS) + ">"
+PARTS_XML = (
+    f"title string, abstract string, sections struct<section:array<{SECTION_XML}>>, "
     "references struct<reference:array<string>>, "
     "figures struct<figure:array<struct<_label:string, _caption:string, _type:string, _figure_id:string>>>, "
     "tables struct<table:array<struct<_label:string, _caption:string, _figure_id:string, "
     "data:struct<row:array<struct<cell:array<string>>>>>>>, "
     "formulas struct<formula:array<string>>"
 )
+CORPUS_SCHEMA = (
+    "_DOI string, _title string, _path string, _zoteroID string, "
+    f"{PARTS_XML}, text_segments struct<segments:array<struct<_type:string, _VALUE:string>>>"
+)
+PAPER_XML_SCHEMA = f"_item_key string, {PARTS_XML}"
+# Hash buckets an exported corpus is partitioned into.
+CORPUS_BUCKETS = 64
+BUCKET = "bucket"
 
 
-def paper_xml_rows(shredded: DataFrame) -> DataFrame:
-    """Shredded papers (see ``tei.SHREDDED_SCHEMA``) as nested rows for ``<paper>`` XML.
+def _texts(c: str):
+    return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
-    Tables keep their cells as ``data/row/cell``; figures, tables and sections
-    carry their fields as attributes.
-    """
-    sections = F.transform(
-        "sections", lambda s: F.struct(s["heading"].alias("_heading"), s["num"].alias("_num"), F.lit(None).cast("string").alias("_type"), s["text"].alias("text"))
-    )
+
+def _sections_xml(sections, section_type) -> F.Column:
+    return F.struct(
+        F.transform(
+            sections,
+            lambda s: F.struct(
+                s["heading"].alias("_heading"), s["num"].alias("_num"), section_type(s).alias("_type"), s["text"].alias("text"),
+                *[s[c].alias(c) for c in REFS],
+            ),
+        ).alias("section")
+    ).alias("sections")
+
+
+def _other_parts_xml() -> list[F.Column]:
+    """References, figures, tables with their cells, and formulas of shredded papers."""
     figures = F.transform(
         "figures", lambda f: F.struct(f["label"].alias("_label"), f["caption"].alias("_caption"), f["type"].alias("_type"), f["figure_id"].alias("_figure_id"))
     )
@@ -54,13 +70,55 @@ def paper_xml_rows(shredded: DataFrame) -> DataFrame:
             F.struct(F.transform(t["cells"], lambda r: F.struct(r.alias("cell"))).alias("row")).alias("data"),
         ),
     )
-    return shredded.select(
-        F.col("item_key").cast("string").alias("_item_key"), "title", "abstract",
-        F.struct(sections.alias("section")).alias("sections"),
-        F.struct(F.col("references").alias("reference")).alias("references"),
+    return [
+        F.struct(_texts("references").alias("reference")).alias("references"),
         F.struct(figures.alias("figure")).alias("figures"),
         F.struct(tables.alias("table")).alias("tables"),
-        F.struct(F.col("formulas").alias("formula")).alias("formulas"),
+        F.struct(_texts("formulas").alias("formula")).alias("formulas"),
+    ]
+
+
+def paper_xml_rows(shredded: DataFrame) -> DataFrame:
+    """Shredded papers (see ``tei.SHREDDED_SCHEMA``) as nested rows for ``<paper>`` XML."""
+    return shredded.select(
+        F.col("item_key").cast("string").alias("_item_key"), "title", "abstract",
+        _sections_xml(F.col("sections"), lambda s: F.lit(None).cast("string")), *_other_parts_xml(),
+    )
+
+
+def papers_from_xml(rows: DataFrame) -> DataFrame:
+    """``<paper>`` rows (corpus or single papers) back as shredded papers, sections with their type.
+
+    XML does not tell an empty text from a missing one: both come back as "".
+    """
+
+    def text(c) -> F.Column:
+        return F.coalesce(c, F.lit(""))
+
+    def numbered(items: str, fields) -> F.Column:
+        held = F.filter(F.coalesce(F.col(items), F.array()), lambda x: x.isNotNull())
+        return F.transform(held, lambda x, pos: F.struct(pos.alias("pos"), *fields(x)))
+
+    def strings(c) -> F.Column:
+        return F.coalesce(c, F.array().cast("array<string>"))
+
+    sections = numbered("sections.section", lambda s: [
+        text(s["_heading"]).alias("heading"), text(s["_num"]).alias("num"), text(s["_type"]).alias("type"), text(s["text"]).alias("text"),
+        *[strings(s[c]).alias(c) for c in REFS],
+    ])
+    figures = numbered("figures.figure", lambda f: [
+        text(f["_label"]).alias("label"), text(f["_caption"]).alias("caption"), text(f["_type"]).alias("type"), text(f["_figure_id"]).alias("figure_id"),
+    ])
+    tables = numbered("tables.table", lambda t: [
+        text(t["_label"]).alias("label"), text(t["_caption"]).alias("caption"), text(t["_figure_id"]).alias("figure_id"),
+        F.transform(F.coalesce(t["data"]["row"], F.array()), lambda r: F.transform(strings(r["cell"]), text)).alias("cells"),
+    ])
+    key = "_item_key" if "_item_key" in rows.columns else "_zoteroID"
+    return rows.select(
+        F.col(key).alias("item_key"), text(F.col("title")).alias("title"), text(F.col("abstract")).alias("abstract"),
+        sections.alias("sections"), tables.alias("tables"), figures.alias("figures"),
+        F.transform(strings(F.col("references.reference")), text).alias("references"),
+        F.transform(strings(F.col("formulas.formula")), text).alias("formulas"),
     )
 
 
@@ -72,19 +130,14 @@ def paper_rows(meta: DataFrame, shredded: DataFrame, classified: DataFrame, segm
     """Assemble corpus rows.
 
     ``meta``: item_key, zoteroID, doi, title, path (library side);
-    ``shredded``: item_key, title, abstract; ``classified``: merged sections;
-    ``segments``: wide text segments (one column per segment type).
+    ``shredded``: papers as ``tei.shred_tei`` gives them; ``classified``: merged
+    sections; ``segments``: wide text segments (one column per segment type).
     """
-    secs = classified.groupBy("item_key").agg(
-        F.array_sort(F.collect_list(F.struct("sec_idx", "heading", "num", "type", "text"))).alias("_s")
-    )
-    sec_xml = F.transform(
-        F.coalesce(F.col("_s"), F.array()),
-        lambda s: F.struct(s["heading"].alias("_heading"), s["num"].alias("_num"), s["type"].alias("_type"), s["text"].alias("text")),
-    )
+    fields = ("sec_idx", "heading", "num", "type", "text", *REFS)
+    secs = classified.groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_s"))
     seg = F.array(*[F.struct(F.lit(t).alias("_type"), F.col(segment_column(t)).alias("_VALUE")) for t in SEGMENT_TYPES])
-    j = meta.join(shredded.select("item_key", F.col("title").alias("_ptitle"), "abstract"), "item_key", "left")
-    j = j.join(secs, "item_key", "left").join(segments, "item_key", "left")
+    parts = shredded.select("item_key", F.col("title").alias("_ptitle"), "abstract", *_other_parts_xml())
+    j = meta.join(parts, "item_key").join(secs, "item_key", "left").join(segments, "item_key", "left")
     return j.select(
         F.col("doi").alias("_DOI"),
         F.col("title").alias("_title"),
@@ -92,7 +145,8 @@ def paper_rows(meta: DataFrame, shredded: DataFrame, classified: DataFrame, segm
         F.col("zoteroID").alias("_zoteroID"),
         F.coalesce("_ptitle", F.lit("")).alias("title"),
         F.coalesce("abstract", F.lit("")).alias("abstract"),
-        F.struct(sec_xml.alias("section")).alias("sections"),
+        _sections_xml(F.coalesce(F.col("_s"), F.array()), lambda s: s["type"]),
+        "references", "figures", "tables", "formulas",
         F.struct(seg.alias("segments")).alias("text_segments"),
     )
 
@@ -102,6 +156,37 @@ def write_corpus(papers: DataFrame, path: str, mode: str = "append") -> None:
     papers.write.format("xml").option("rowTag", ROW_TAG).option("rootTag", ROOT_TAG).mode(mode).save(path)
 
 
+def _bucketed(papers: DataFrame, buckets: int) -> DataFrame:
+    return papers.withColumn(BUCKET, F.pmod(F.xxhash64("_zoteroID"), F.lit(buckets)).cast("int"))
+
+
+def _write_buckets(papers: DataFrame, path: str, replace: bool) -> None:
+    writer = papers.write.format("xml").option("rowTag", ROW_TAG).option("rootTag", ROOT_TAG).partitionBy(BUCKET)
+    if replace:  # only the buckets that the rows are in
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite" if replace else "append").save(path)
+
+
+def add_papers(papers: DataFrame, path: str, buckets: int = CORPUS_BUCKETS) -> None:
+    """Append papers whose keys the corpus does not have yet."""
+    _write_buckets(_bucketed(papers, buckets), path, replace=False)
+
+
+def replace_papers(papers: DataFrame, path: str, buckets: int = CORPUS_BUCKETS) -> None:
+    """Write papers over those of the same key; other papers of their buckets are carried over.
+
+    The new buckets are written to the scratch folder first, since they are made from
+    the files they replace.
+    """
+    spark = papers.sparkSession
+    new = _bucketed(papers, buckets)
+    old = spark.read.format("xml").option("rowTag", ROW_TAG).schema(f"{CORPUS_SCHEMA}, {BUCKET} int").load(path)
+    kept = old.join(new.select(BUCKET).distinct(), BUCKET, "left_semi").join(new.select("_zoteroID"), "_zoteroID", "left_anti")
+    staged = scratch_dir(spark, "corpus-buckets")
+    kept.unionByName(new).write.parquet(staged)
+    _write_buckets(spark.read.parquet(staged), path, replace=True)
+
+
 def read_corpus_raw(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.format("xml").option("rowTag", ROW_TAG).schema(CORPUS_SCHEMA).load(path)
@@ -134,37 +219,14 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*cols)
 
 
-KEY_INDEX = "_keys"
-
-
-def key_index_path(path: str) -> str:
-    """Folder of the key index kept next to a corpus (ignored by the XML reader's glob)."""
-    return f"{path.rstrip('/')}{KEY_INDEX}"
-
-
-def write_key_index(keys: DataFrame, path: str) -> None:
-    """Append the keys of a newly written corpus batch to the corpus key index."""
-    keys.select(F.col("item_key").cast("string")).write.mode("append").parquet(key_index_path(path))
-
-
-def _missing(e: Exception) -> bool:
-    return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
-
-
 def exported_keys(spark: SparkSession, path: str) -> DataFrame | None:
     """Keys already present below ``path`` (None when nothing was written yet).
 
-    Reads the small Parquet key index when there is one, so a rerun does not
-    parse the whole XML corpus; otherwise falls back to the corpus itself.
+    Only the key attribute is asked of the reader; texts are skipped over.
     """
-    try:
-        return spark.read.parquet(key_index_path(path)).select("item_key")
-    except Exception as e:  # noqa: BLE001 - no index yet
-        if not _missing(e):
-            raise
-    try:
-        return read_corpus(spark, path).select("item_key")
-    except Exception as e:  # noqa: BLE001 - a missing folder is the only expected failure
-        if _missing(e):
-            return None
-        raise
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    raw = spark.read.format("xml").option("rowTag", ROW_TAG).schema("_zoteroID string").load(path)
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.xml$", "")
+    return raw.select(F.coalesce(F.col("_zoteroID"), stem).alias("item_key"))

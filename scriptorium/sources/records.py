@@ -14,21 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from scriptorium.functions.dates import iso_date, year_prefix
-from scriptorium.operators.merge import MULTI_SEPARATOR, MULTI_SPLIT, blank_to_null, tag_source
+from scriptorium.operators.merge import MULTI_SEPARATOR, blank_to_null, tag_source
+from scriptorium.session import checkpoint_root
 
-# The column marking a Publish-or-Perish export and its mapping.
+# Fixed value: the column marking a Publish-or-Perish export.
 POP_MARKER = "CitesPerAuthor"
-POP_COLUMNS = {
-    "Title": "title",
-    "Authors": "authors",
-    "Source": "publication",
-    "Type": "publication_type",
-    "Year": "year",
-    "Cites": "citations_count",
-    "DOI": "doi",
-    "Abstract": "abstract",
-    "ISSN": "issn",
-}
 REQUIRED_COLUMNS = ("doi", "title", "first_author", "publication", "authors")
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
@@ -61,6 +51,12 @@ def map_pop_columns(raw: DataFrame) -> DataFrame:
     )
 
 
+def typed_columns(raw: DataFrame) -> DataFrame:
+    """``year`` and ``citations_count`` of a generic CSV as numbers, where it has them; other text gives NULL."""
+    kinds = {"year": "int", "citations_count": "long"}
+    return raw.withColumns({c: F.col(c).try_cast(kind) for c, kind in kinds.items() if c in raw.columns})
+
+
 def read_search_csv(
     spark: SparkSession,
     path: str,
@@ -79,7 +75,7 @@ def read_search_csv(
     raw = spark.read.options(**CSV_OPTIONS).csv(path)
     if fmt == "auto":
         fmt = "PublishOrPerish" if POP_MARKER in raw.columns else None
-    df = map_pop_columns(raw) if fmt == "PublishOrPerish" else raw
+    df = map_pop_columns(raw) if fmt == "PublishOrPerish" else typed_columns(raw)
     df = blank_to_null(require_columns(df))
     df = tag_source(df, source, query)
     if works is not None:
@@ -105,9 +101,10 @@ def fill_missing_doi(df: DataFrame, works: DataFrame) -> DataFrame:
         .groupBy("_t", "_a", "_y")
         .agg(F.min("_doi").alias("_doi"))
     )
-    missing = df.where(F.col("doi").isNull()).select("*", *key)
-    filled = missing.join(best, ["_t", "_a", "_y"], "left").withColumn("doi", F.col("_doi")).drop("_t", "_a", "_y", "_doi")
-    return df.where(F.col("doi").isNotNull()).unionByName(filled)
+    # rows with a DOI, or without a whole key, go around the join (null keys would all meet in one task)
+    searched = df.select("*", *key).withColumn("_ask", F.expr("doi IS NULL AND _t IS NOT NULL AND _a IS NOT NULL AND _y IS NOT NULL"))
+    asked = searched.where("_ask").join(best, ["_t", "_a", "_y"], "left").withColumn("doi", F.col("_doi"))
+    return searched.where("NOT _ask").select(*df.columns).unionByName(asked.select(*df.columns))
 
 
 def to_csv_edge(df: DataFrame) -> DataFrame:
@@ -137,9 +134,36 @@ PUBMED_ARTICLE_SCHEMA = (
 )
 
 
-def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Landed JSON lines with an explicit schema (no inference pass)."""
-    return spark.read.schema(schema).json(path)
+CORRUPT = "_corrupt_record"
+
+
+def read_landed(spark: SparkSession, path: str, schema: str, fmt: str = "json", keep_corrupt: bool = False, **options) -> DataFrame:
+    """Landed files with an explicit schema (no inference pass).
+
+    ``keep_corrupt`` adds the column ``_corrupt_record`` with the text of rows
+    that cannot be read (null on good rows), so they can be counted and set
+    aside; without it such rows come as nulls, as Spark's readers give them.
+    """
+    if keep_corrupt:
+        schema, options = f"{schema}, {CORRUPT} string", {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return spark.read.schema(schema).options(**options).format(fmt).load(path)
+
+
+def read_json_records(spark: SparkSession, path: str, schema: str, keep_corrupt: bool = False) -> DataFrame:
+    """Landed JSON lines (see ``read_landed``)."""
+    return read_landed(spark, path, schema, keep_corrupt=keep_corrupt)
+
+
+def corrupt_report(df: DataFrame) -> DataFrame:
+    """``status, n``: rows read and rows that could not be read.
+
+    The rows are parsed whole and kept first: a reader that is asked for fewer
+    columns also finds fewer faults.
+    """
+    checkpoint_root(df.sparkSession)
+    rows = df.checkpoint()
+    status = F.when(F.col(CORRUPT).isNotNull(), "corrupt").otherwise("read")
+    return rows.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _set(values: Column) -> Column:
@@ -198,7 +222,3 @@ def normalize_pubmed(articles: DataFrame) -> DataFrame:
         _set(affs).alias("affiliation"),
     )
 
-
-def split_multi(c: Column) -> Column:
-    """``"a|b"`` -> ``[a, b]`` (CSV edge back to arrays)."""
-    return F.split(c, MULTI_SPLIT)

@@ -1,49 +1,19 @@
 """Reading input tables.
 
-Large inputs arrive as many files and row groups, so the scan alone gives
-every core work.  A sizeable table stored as a single unsplittable row group
-(as the test data is) would run every per-row stage in one task; such a scan
-is spread round-robin over the default parallelism.  The decision uses only
-metadata (planned input splits and file sizes; no data is read), small tables
-are left alone, and Catalyst still pushes filters and column pruning below the
-repartition into the scan.
+A scan is left as Spark plans it.  Only a caller who knows that an input comes
+in fewer splits than the cluster has cores (a single unsplittable row group,
+say) asks for more partitions, by number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs smaller than this are not worth a shuffle.
-SPREAD_MIN_BYTES = 8 << 20
+# Session setting with the number of partitions a table scan is dealt into; unset: as scanned.
+SCAN_PARTITIONS = "spark.scriptorium.scanPartitions"
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the files a DataFrame scans (file-system metadata only)."""
-    sc = df.sparkSession.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Round-robin repartition when a sizeable scan has fewer partitions than cores.
-
-    Sessions without access to the planned partitions (Spark Connect) keep the
-    scan as it is.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        small_split = df.rdd.getNumPartitions() < target
-        if small_split and input_bytes(df) >= min_bytes:
-            return df.repartition(target)
-    except Exception:  # noqa: BLE001 - no RDD / JVM access: leave the plan unchanged
-        pass
-    return df
-
-
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", spread_small: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", partitions: int | None = None) -> DataFrame:
+    """The table at ``path``, dealt round-robin into ``partitions`` only if asked for."""
     df = spark.read.format(fmt).load(path)
-    return spread(df) if spread_small else df
+    return df.repartition(partitions) if partitions else df

@@ -3,27 +3,30 @@
 * ``stream_corpus``: new corpus XML files only (file source + checkpoint),
   projected like the batch reader and appended to a Parquet table.
 * ``stream_append_results``: every micro-batch of landed records is merged
-  into the accumulated results (old values win); each batch writes a new
-  version folder and never overwrites the one it reads.
+  into the accumulated results (old values win).  Results are partitioned by a
+  hash of the DOI and a batch rewrites only the buckets its records are in.
 
 Both are meant to run with ``trigger(availableNow=True)`` after new files
-land; the checkpoint makes a rerun skip files already processed, and a
-restarted batch rewrites the same version folder (idempotent).
+land; the checkpoint makes a rerun skip files already processed.  The results
+keep a record of the (checkpoint, epoch) pairs merged, so a replayed epoch is
+left out, and another checkpoint starts from the results as they are.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators.merge import append_results
 from scriptorium.operators.segments import SEGMENT_TYPES, segment_column
+from scriptorium.session import scratch_dir
 from scriptorium.sources import corpus
 
-_VERSION = re.compile(r"^v(\d{10})$")
+# Hash buckets the results are partitioned into.
+RESULT_BUCKETS = 64
+BUCKET = "bucket"
+EPOCHS = "checkpoint string, epoch long, merged boolean"
 
 
 def corpus_stream(spark: SparkSession, src_path: str) -> DataFrame:
@@ -54,51 +57,68 @@ def stream_corpus(spark: SparkSession, src_path: str, sink_path: str, checkpoint
     return writer.start(sink_path)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def latest_version(spark: SparkSession, out_root: str, before: int | None = None) -> str | None:
-    """Newest complete version folder (``v##########`` with ``_SUCCESS``) below ``out_root``."""
-    root, fs = _fs(spark, out_root)
-    if not fs.exists(root):
-        return None
-    best = None
-    for st in fs.listStatus(root):
-        m = _VERSION.match(st.getPath().getName())
-        if not m:
-            continue
-        n = int(m.group(1))
-        if before is not None and n >= before:
-            continue
-        if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            continue
-        if best is None or n > best[0]:
-            best = (n, st.getPath().toString())
-    return best[1] if best else None
-
-
-def merge_into_versions(out_root: str, order_cols=("priority", "seq")):
-    """foreachBatch function: merge the batch into the newest version, write the next one."""
-
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = latest_version(spark, out_root, before=epoch_id)
-        old = spark.read.parquet(prev) if prev else None
-        merged = append_results(old, batch, order_cols=order_cols)
-        merged.write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/v{epoch_id:010d}")
-
-    return run
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _data(out_root: str) -> str:
+    return f"{out_root.rstrip('/')}/results"
+
+
+def _epochs(spark: SparkSession, out_root: str) -> DataFrame:
+    path = f"{out_root.rstrip('/')}/epochs"
+    return spark.read.schema(EPOCHS).parquet(path) if _exists(spark, path) else spark.createDataFrame([], EPOCHS)
+
+
+def read_results(spark: SparkSession, out_root: str) -> DataFrame:
+    """The accumulated results."""
+    return spark.read.parquet(_data(out_root)).drop(BUCKET)
+
+
+def merge_epoch(
+    batch: DataFrame, epoch: int, out_root: str, checkpoint: str, order_cols=("priority", "seq"), key: str = "doi",
+    buckets: int = RESULT_BUCKETS,
+) -> None:
+    """Merge one micro-batch into the results below ``out_root``, once per (checkpoint, epoch).
+
+    The first load is stored as it is.  The next one rewrites everything (the
+    first load's own duplicates are merged then); from there on each merge
+    rewrites only the buckets of the batch.  New files are made in the scratch
+    folder before they replace those they were made from.  A batch that was
+    written but not yet recorded when the job died is merged again, which
+    changes nothing unless it was the first load (its duplicates are merged).
+    """
+    spark = batch.sparkSession
+    seen = _epochs(spark, out_root)
+    if seen.where((F.col("checkpoint") == checkpoint) & (F.col("epoch") == epoch)).head():
+        return
+    path = _data(out_root)
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    first = not _exists(spark, f"{path}/_SUCCESS")
+    if first:
+        batch.withColumn(BUCKET, bucket).write.partitionBy(BUCKET).mode("overwrite").parquet(path)
+    else:
+        merged_before = seen.where("merged").head() is not None
+        old = spark.read.parquet(path)
+        if merged_before:
+            old = old.join(batch.select(bucket.alias(BUCKET)).distinct(), BUCKET, "left_semi")
+        staged = scratch_dir(spark, "results-buckets")
+        append_results(old.drop(BUCKET), batch, key, order_cols).withColumn(BUCKET, bucket).write.parquet(staged)
+        writer = spark.read.parquet(staged).write.partitionBy(BUCKET).mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic" if merged_before else "static").parquet(path)
+    record = spark.createDataFrame([(checkpoint, epoch, not first)], EPOCHS)
+    record.coalesce(1).write.mode("append").parquet(f"{out_root.rstrip('/')}/epochs")
 
 
 def stream_append_results(
-    spark: SparkSession, src_path: str, schema: str, out_root: str, checkpoint: str, fmt: str = "json", available_now: bool = True
+    spark: SparkSession, src_path: str, schema: str, out_root: str, checkpoint: str, fmt: str = "json", available_now: bool = True,
+    **options,
 ) -> StreamingQuery:
-    """Landed records (``fmt`` files with ``schema``) merged batch by batch into versioned results."""
-    stream = spark.readStream.format(fmt).schema(schema).load(src_path)
-    writer = stream.writeStream.foreachBatch(merge_into_versions(out_root)).option("checkpointLocation", checkpoint)
+    """Landed records (``fmt`` files with ``schema``) merged batch by batch into the results."""
+    stream = spark.readStream.format(fmt).schema(schema).options(**options).load(src_path)
+    writer = stream.writeStream.foreachBatch(lambda batch, epoch: merge_epoch(batch, epoch, out_root, checkpoint))
+    writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -1,49 +1,87 @@
-"""Exact fast word key, idempotent streaming reruns, incremental export skip."""
-
-import random
+"""Streaming merges that survive restarts and replays; exports that replace, retry and resume."""
 
+from settings import SF_SMALL
 from pyspark.sql import functions as F
 
-from scriptorium.functions import text
+from scriptorium.operators import merge
 from scriptorium.plans import catalog
 from scriptorium.plans import fixtures as fx
 from scriptorium.session import scratch_dir
 from scriptorium.sources import corpus
 from scriptorium.streaming import incremental
-from conftest import SF_SMALL
+
+RECORD = "doi string, title string, source string, priority int, seq long"
+
+
+def _records(spark, rows):
+    return spark.createDataFrame(rows, RECORD)
+
+
+def _found(spark, out):
+    df = merge.join_multi(incremental.read_results(spark, out))
+    return sorted((r.doi, r.title, r.source) for r in df.collect())
 
 
-def test_word_key_fast_is_exact(spark):
-    rnd = random.Random(3)
-    alphabet = ["a", "é", "_", "7", " ", ".", "-", "\n", "ü", "!", "中"]
-    rows = []
-    for i in range(300):
-        n = rnd.choice([0, 5, 99, 100, 101, 399, 400, 401, 900, 2000])
-        weights = [1] * 5 + [rnd.choice([1, 20, 200])] * 6
-        rows.append((i, "".join(rnd.choices(alphabet, weights=weights, k=n))))
-    df = spark.createDataFrame(rows, "i int, t string")
-    out = df.select((text.word_key_fast(F.col("t")) == text.word_key(F.col("t"))).alias("same")).collect()
-    assert all(r.same for r in out)
+def test_three_epochs_a_replay_and_a_new_checkpoint(spark):
+    out = scratch_dir(spark, "t-results")
+    first = _records(spark, [(f"d{i}", f"old {i}", "scopus", 0, i) for i in range(20)] + [("d3", "again", "pubmed", 0, 90)])
+    incremental.merge_epoch(first, 0, out, "a")
+    assert len(_found(spark, out)) == 21  # the first load is stored as it is
+    second = _records(spark, [("d1", "new", "crossref", 1, 1), ("d50", "fifty", "crossref", 1, 2)])
+    incremental.merge_epoch(second, 1, out, "a")
+    expected = {f"d{i}": (f"old {i}", "scopus") for i in range(20)} | {"d50": ("fifty", "crossref")}
+    expected |= {"d1": ("old 1", "crossref|scopus"), "d3": ("old 3", "pubmed|scopus")}
+    assert _found(spark, out) == sorted((k, *v) for k, v in expected.items())
+    incremental.merge_epoch(second, 1, out, "a")  # replayed: left out
+    assert _found(spark, out) == sorted((k, *v) for k, v in expected.items())
+    # another checkpoint counts its epochs from 0; nothing is lost
+    incremental.merge_epoch(_records(spark, [("d60", "sixty", "pubmed", 2, 1), ("d2", "x", "pubmed", 2, 2)]), 0, out, "b")
+    expected |= {"d60": ("sixty", "pubmed"), "d2": ("old 2", "pubmed|scopus")}
+    assert _found(spark, out) == sorted((k, *v) for k, v in expected.items())
 
 
-def test_stream_append_rerun_without_new_files_is_a_no_op(spark):
+def test_a_merge_rewrites_only_the_buckets_of_its_records(spark):
+    out = scratch_dir(spark, "t-results")
+    incremental.merge_epoch(_records(spark, [(f"d{i}", "t", "scopus", 0, i) for i in range(40)]), 0, out, "a")
+    incremental.merge_epoch(_records(spark, [("d1", "t", "pubmed", 1, 1)]), 1, out, "a")
+    data = spark.read.parquet(incremental._data(out)).select("bucket", F.input_file_name().alias("file")).distinct()
+    before = {(r.bucket, r.file) for r in data.collect()}
+    incremental.merge_epoch(_records(spark, [("d2", "t", "pubmed", 1, 2)]), 2, out, "a")
+    data = spark.read.parquet(incremental._data(out)).select("bucket", F.input_file_name().alias("file")).distinct()
+    changed = {b for b, _ in before ^ {(r.bucket, r.file) for r in data.collect()}}
+    assert len(changed) == 1
+
+
+def test_stream_rerun_without_new_files_changes_nothing(spark):
     land, out, ckpt = scratch_dir(spark, "t-land"), scratch_dir(spark, "t-out"), scratch_dir(spark, "t-ckpt")
     p = fx.papers(spark, SF_SMALL)
-    p.where(F.col("priority") == 0).write.mode("append").json(land)
-    incremental.stream_append_results(spark, land, catalog.PAPER_SCHEMA, out, ckpt).awaitTermination()
-    first = incremental.latest_version(spark, out)
-    incremental.stream_append_results(spark, land, catalog.PAPER_SCHEMA, out, ckpt).awaitTermination()
-    assert incremental.latest_version(spark, out) == first
-    p.where(F.col("priority") == 1).write.mode("append").json(land)
-    incremental.stream_append_results(spark, land, catalog.PAPER_SCHEMA, out, ckpt).awaitTermination()
-    assert incremental.latest_version(spark, out) != first
+    counts = []
+    for engine in (0, None, 1):
+        if engine is not None:
+            p.where(F.col("priority") == engine).write.mode("append").json(land)
+        incremental.stream_append_results(spark, land, catalog.PAPER_SCHEMA, out, ckpt).awaitTermination()
+        counts.append(incremental.read_results(spark, out).count())
+    assert counts[0] == counts[1] != counts[2]
 
 
-def test_second_export_skips_everything(spark):
+def test_exports_skip_retry_and_replace(spark):
     out = scratch_dir(spark, "t-corpus")
-    first = {r.status: r.n for r in catalog._export(spark, SF_SMALL, out).collect()}
-    second = {r.status: r.n for r in catalog._export(spark, SF_SMALL, out).collect()}
-    assert first["exported"] > 0 and second["exported"] == 0
-    assert second["skipped"] == first["exported"] + first["skipped"]
-    keys = corpus.exported_keys(spark, out)
-    assert keys.count() == first["exported"]
+
+    def report(**kwargs):
+        return {r.status: r.n for r in catalog._export(spark, SF_SMALL, out, **kwargs).collect()}
+
+    def keys():
+        found = [r.item_key for r in corpus.exported_keys(spark, out).collect()]
+        assert len(found) == len(set(found))
+        return set(found)
+
+    first = report(damaged=True)
+    assert first["exported"] > 0 and first["failed"] > 0 and first["skipped"] == 0
+    assert len(keys()) == first["exported"]
+    second = report()
+    assert second["exported"] == first["failed"] and second["skipped"] == first["exported"] and second["failed"] == 0
+    everything = keys()
+    third = report()
+    assert third["exported"] == 0 and third["skipped"] == len(everything) == len(keys())
+    fourth = report(overwrite=True)
+    assert fourth["exported"] == len(everything) and keys() == everything

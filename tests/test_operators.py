@@ -82,17 +82,16 @@ def test_table_headings(spark):
 def test_last_words(spark):
     long = " ".join(f"w{i}" for i in range(400))
     df = spark.createDataFrame([("a b\tc  d",), (long,)], "t string")
-    got = [r[0] for r in df.select(scr.last_words(F.col("t"))).collect()]
+    got = [r[0] for r in df.select(scr.last_words(F.col("t"), 300)).collect()]
     assert got[0] == "a bc d"
     assert got[1].split(" ") == [f"w{i}" for i in range(100, 400)]
+    assert [r[0] for r in df.select(scr.last_words(F.col("t"))).collect()] == ["a bc d", long]
 
 
 def test_match_choice(spark):
     df = spark.createDataFrame([("Other, maybe color fundus",), ("Foo. ",)], "r string")
     got = [r[0] for r in df.select(scr.match_choice(F.col("r"), ["color fundus"])).collect()]
     assert got == ["color fundus", "foo"]
-    assert scr.match_choice_py("Other, maybe color fundus", ["color fundus"]) == "color fundus"
-    assert scr.match_choice_py("Foo. ", ["color fundus"]) == "foo"
 
 
 def test_countries(spark):
@@ -131,9 +130,12 @@ def test_cap_per_group_exact_with_hot_group(spark):
     df = spark.createDataFrame(rows, "year int, seq long, v double")
     pdf = pd.DataFrame(rows, columns=["year", "seq", "v"]).sort_values(["v", "seq"]).groupby("year").head(30)
     want = sorted(map(tuple, pdf.itertuples(index=False)))
-    for salted in (False, True):
-        got = sorted(map(tuple, search.cap_per_group(df, 30, ["year"], ["v", "seq"], salt_buckets=8, force_salt=salted).collect()))
+    for buckets in (1, 8):
+        got = sorted(map(tuple, search.cap_per_group(df, 30, ["year"], ["v", "seq"], salt_buckets=buckets).collect()))
         assert got == want
+    assert search.cap_per_group(df, 0, ["year"], ["v", "seq"]).count() == len(rows)
+    with pytest.raises(ValueError):
+        search.cap_per_group(df, -1, ["year"], ["v", "seq"])
 
 
 def test_search_rejects_bad_range():

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF_SMALL
+from settings import SF_SMALL
 
 import __spark_entry__ as entry
 from scriptorium.plans import catalog, oracle

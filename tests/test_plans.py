@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import SF_SMALL
+from settings import SF_SMALL
 
 from scriptorium.operators import search
 from scriptorium.plans import catalog
@@ -36,15 +36,51 @@ def test_merge_combines_map_side(spark):
     assert len(_hash_exchanges(plan)) == 1
 
 
-def test_cap_gets_partial_group_limit(spark):
+def test_cap_has_one_plan_of_two_phases(spark):
+    o = fx.table(spark, SF_SMALL, "orders").selectExpr("o_orderkey", "year(o_orderdate) AS year")
+    for n in (5, 5000):
+        plan = _plan(search.cap_per_group(o, n, ["year"], ["o_orderkey"]))
+        assert plan.count("row_number()") >= 2 and "_salt" in plan
     plan = _plan(catalog.q_cap_per_year(spark, SF_SMALL))
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_salted_cap_has_two_phases(spark):
-    o = fx.table(spark, SF_SMALL, "orders").selectExpr("o_orderkey", "year(o_orderdate) AS year")
-    plan = _plan(search.cap_per_group(o, 5000, ["year"], ["o_orderkey"]))
-    assert plan.count("row_number()") >= 2 and "_salt" in plan
+def test_list_local_path_is_one_join_tree(spark):
+    plan = _plan(catalog.q_list_local_path(spark, SF_SMALL))
+    assert len(re.findall(r"(SortMerge|BroadcastHash|ShuffledHash)Join", plan)) <= 9
+
+
+def test_token_frequency_scans_once(spark):
+    plan = _plan(catalog.q_token_frequency(spark, SF_SMALL))
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_field_pivot_reuses_the_item_join(spark):
+    plan = _plan(catalog.q_fetch_item_fields(spark, SF_SMALL))
+    assert not any(k.startswith("zoteroID") for k in _hash_exchanges(plan))
+
+
+def test_has_doi_does_not_shuffle_values(spark):
+    plan = _plan(catalog.q_has_doi(spark, SF_SMALL))
+    assert not any(k.startswith("value") for k in _hash_exchanges(plan))
+
+
+def test_distinct_titles_ranks_without_sort_aggregate(spark):
+    plan = _plan(catalog.q_distinct_titles(spark, SF_SMALL))
+    assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
+
+
+def test_doi_fill_takes_null_keys_around_the_join(spark):
+    from scriptorium.sources import records
+
+    df = spark.createDataFrame([(None, None, "a", 2000), (None, "t", "a", 2000), ("d", "t", "a", 2000), (None, "t", "a", None)], "doi string, title string, first_author string, year int")
+    works = spark.createDataFrame([("T ", "A", 2000, "w")], "title string, author string, year int, DOI string")
+    filled = records.fill_missing_doi(df, works)
+    assert sorted(str(r.doi) for r in filled.collect()) == ["None", "None", "d", "w"]
+
+
+def test_scans_are_left_alone_unless_asked(spark):
+    assert "RoundRobin" not in _plan(fx.table(spark, SF_SMALL, "documents"))
 
 
 def test_filters_reach_the_scan(spark):

@@ -1,88 +1,110 @@
-"""Section pipeline: Spark windows vs a sequential plain-Python model."""
-
-from collections import defaultdict
+"""Section pipeline against hand-worked papers, and its independence of row order and partitioning."""
 
 import pytest
-from conftest import SF_SMALL
-from section_model import classify
+from settings import SF_SMALL
+from pyspark.sql import functions as F
 
 from scriptorium.operators import sections as secops
 from scriptorium.plans import fixtures as fx
 
-COLS = ["heading", "num", "text", "publication_refs", "figure_refs", "table_refs", "type"]
+SCHEMA = (
+    "item_key long, pos int, heading string, num string, text string, "
+    "publication_refs array<string>, figure_refs array<string>, table_refs array<string>"
+)
+# input rows (heading, num, text) -> expected sections (heading, num, text, type), worked out by hand from the rules
+CASES = {
+    "intro_fallback": (
+        [("a", "", "x"), ("b", "", "y")],
+        [("a", "", "x", "introduction"), ("b", "", "y", "method")],
+    ),
+    "override": ([("introduction and results", "", "t")], [("introduction and results", "", "t", "evaluation")]),
+    "method_fallback_overwrites": (
+        [("introduction", "", "a"), ("related work", "", "b"), ("results", "", "c")],
+        [("introduction", "", "a", "introduction"), ("related work", "", "b", "method"), ("results", "", "c", "evaluation")],
+    ),
+    "stop_at_conclusion": (
+        [("introduction", "", "a"), ("method", "", "b"), ("conclusion", "", "c"), ("appendix", "", "d")],
+        [("introduction", "", "a", "introduction"), ("method", "", "b", "method"), ("conclusion", "", "c", "conclusion"), ("appendix", "", "d", "")],
+    ),
+    "carried_forward": (
+        [("introduction", "", "a"), ("our method", "", "b"), ("more", "", "c"), ("results", "", "d"), ("tables", "", "e")],
+        [("introduction", "", "a", "introduction"), ("our method", "", "b", "method"), ("more", "", "c", "method"),
+         ("results", "", "d", "evaluation"), ("tables", "", "e", "evaluation")],
+    ),
+    "numbering": (
+        [("A", "1", "a"), ("B", "2", "b"), ("C", "2.1", "c"), ("D", "", "d")],
+        [("a", "1", "a", "introduction"), ("b", "2", "b\n\n2.1 C\n-----\ncD d\nd", "method")],
+    ),
+    "numbering_dot": (
+        [("A", "1.", "a"), ("B", "1.1", "b"), ("C", "2.", "c")],
+        [("a", "1.", "a\n\n1.1 B\n-----\nb", "introduction"), ("c", "2.", "c", "method")],
+    ),
+    "roman": (
+        [("I. Intro", "", "a"), ("IX. End", "", "b"), ("X. More", "", "c")],
+        [(" intro", "1.", "a", "introduction"), (" end", "9.", "b\n\n X. More\n--------\nc", "method")],
+    ),
+    "capitals": (
+        [("INTRODUCTION", "", "a"), ("Data", "", "b"), ("RESULTS And more", "", "c")],
+        [("introduction", "0.", "a\n\n Data\n-----\nb", "introduction"), ("results", "1.", "c", "method")],
+    ),
+    "replace_on_repeat": (
+        [("Intro", "1.", "a"), ("Sub", "1.1", "b"), ("Intro", "1.", "c"), ("Next", "2.", "d")],
+        [("intro", "1.", "c", "introduction"), ("next", "2.", "d", "method")],
+    ),
+    "kind_empty_first": (
+        [("", "", "pre"), ("Intro", "1.", "a"), ("", "", "b"), ("Q", "3.1", "")],
+        [("Introduction", "", " pre\npre", "introduction"), ("intro", "1.", "a b\nbQ ", "method")],
+    ),
+    "headings_merge": (
+        [("Alpha", "", "a"), ("", "", "b"), ("Beta", "", "c"), ("alpha", "", "d")],
+        [("alpha", "", "a b\nb\nd", "introduction"), ("beta", "", "c", "method")],
+    ),
+}
 
 
-def _model_rows(pdf):
-    papers = defaultdict(list)
-    for r in pdf.sort_values(["item_key", "pos"]).to_dict("records"):
-        papers[r["item_key"]].append(
-            {k: (list(v) if k.endswith("_refs") else v) for k, v in r.items() if k not in ("item_key", "pos")}
-        )
-    out = {}
-    for key, rows in papers.items():
-        out[key] = classify(rows)
-    return out
+def _paper(spark, rows):
+    return spark.createDataFrame([(1, i, h, n, t, [f"b{i}"], [], [f"t{i}"]) for i, (h, n, t) in enumerate(rows)], SCHEMA)
 
 
-def _spark_rows(df):
-    out = defaultdict(list)
-    for r in df.orderBy("item_key", "sec_idx").collect():
-        d = r.asDict()
-        out[d["item_key"]].append({c: (list(d[c]) if c.endswith("_refs") else d[c]) for c in COLS})
-    return out
+def _sections(df):
+    return [(r.heading, r.num, r.text, r.type) for r in df.orderBy("sec_idx").collect()]
 
 
-def test_pipeline_matches_sequential_model(spark):
-    raw = fx.sections(spark, SF_SMALL)
-    model = _model_rows(raw.toPandas())
-    got = _spark_rows(secops.classify_sections(raw))
-    assert set(model) == set(got)
-    for key in model:
-        assert got[key] == model[key], f"paper {key}"
-
-
-def _one_paper(spark, rows):
-    data = [
-        (1, i, h, n, t, [], [], []) for i, (h, n, t) in enumerate(rows)
-    ]
-    df = spark.createDataFrame(
-        data,
-        "item_key long, pos int, heading string, num string, text string, "
-        "publication_refs array<string>, figure_refs array<string>, table_refs array<string>",
-    )
-    got = [r.asDict() for r in secops.classify_sections(df).orderBy("sec_idx").collect()]
-    want = classify([dict(heading=h, num=n, text=t, publication_refs=[], figure_refs=[], table_refs=[]) for h, n, t in rows])
-    return got, want
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_hand_cases(spark, name):
+    rows, expected = CASES[name]
+    assert _sections(secops.classify_sections(_paper(spark, rows))) == expected
 
 
-CASES = {
-    "intro_fallback": [("a", "", "x"), ("b", "", "y")],
-    "override": [("introduction and results", "", "t")],
-    "method_fallback_overwrites": [("introduction", "", "a"), ("related work", "", "b"), ("results", "", "c")],
-    "stop_at_conclusion": [("introduction", "", "a"), ("method", "", "b"), ("conclusion", "", "c"), ("appendix", "", "d")],
-    "numbering": [("A", "1", "a"), ("B", "2", "b"), ("C", "2.1", "c"), ("D", "", "d")],
-    "numbering_dot": [("A", "1.", "a"), ("B", "1.1", "b"), ("C", "2.", "c")],
-    "roman": [("I. Intro", "", "a"), ("IX. End", "", "b"), ("X. More", "", "c")],
-    "capitals": [("INTRODUCTION", "", "a"), ("Data", "", "b"), ("RESULTS And more", "", "c")],
-    "replace_on_repeat": [("Intro", "1.", "a"), ("Sub", "1.1", "b"), ("Intro", "1.", "c"), ("Next", "2.", "d")],
-    "merge_text": [("H", "", "x"), ("A", "", "y")],
-    "kind_empty_first": [("", "", "pre"), ("Intro", "1.", "a"), ("", "", "b"), ("Q", "3.1", "")],
-    "headings_merge": [("Alpha", "", "a"), ("", "", "b"), ("Beta", "", "c"), ("alpha", "", "d")],
-}
+def test_refs_follow_their_sections(spark):
+    found = secops.classify_sections(_paper(spark, CASES["numbering"][0])).orderBy("sec_idx").collect()
+    assert [r.publication_refs for r in found] == [["b0"], ["b1", "b2", "b3"]]
+    assert [r.table_refs for r in found] == [["t0"], ["t1", "t2", "t3"]] and found[0].figure_refs == []
 
 
-@pytest.mark.parametrize("name", sorted(CASES))
-def test_hand_cases(spark, name):
-    got, want = _one_paper(spark, CASES[name])
-    assert [{c: g[c] for c in COLS} for g in got] == want
+def test_near_duplicates(spark):
+    long = "w" * 300
+    df = _paper(spark, [("S", "1.", long), ("S", "1.", "w" * 200 + "!"), ("T", "2.", "z")])
+    assert _sections(secops.classify_sections(df)) == [("s", "1.", long, "introduction"), ("t", "2.", "z", "method")]
+    # compared whole, the second is another section, and replaces the first
+    whole = _sections(secops.classify_sections(df, n_word_chars=None))
+    assert whole == [("s", "1.", "w" * 200 + "!", "introduction"), ("t", "2.", "z", "method")]
 
 
-def test_near_duplicate_keeps_longest(spark):
-    long_text = "w" * 300
-    rows = [("S", "1.", long_text), ("S", "1.", "w" * 200 + "!"), ("T", "2.", "z")]
-    got, want = _one_paper(spark, rows)
-    assert [{c: g[c] for c in COLS} for g in got] == want
-    assert got[0]["text"] == long_text
+def test_row_order_and_partitioning_do_not_matter(spark):
+    raw = fx.sections(spark, SF_SMALL)
+    expected = sorted(map(str, secops.classify_sections(raw).collect()))
+    mixed = raw.repartition(7).orderBy(F.rand(3))
+    assert sorted(map(str, secops.classify_sections(mixed).collect())) == expected
+
+
+def test_every_line_of_a_heading_paper_is_kept(spark):
+    # headings only (scheme H) append, so all texts that near-duplicate removal keeps come back
+    raw = fx.sections(spark, SF_SMALL).where(F.col("item_key") % 4 == 3)
+    kept = raw.join(secops.drop_near_duplicates(raw).select("item_key", "pos"), ["item_key", "pos"])
+    joined = {r.item_key: "\n".join(x.text for x in sorted(r.s, key=lambda x: x.sec_idx)) for r in
+              secops.classify_sections(raw).groupBy("item_key").agg(F.collect_list(F.struct("sec_idx", "text")).alias("s")).collect()}
+    assert all(r.text in joined[r.item_key] for r in kept.collect())
 
 
 def test_empty_input_gives_no_sections(spark):

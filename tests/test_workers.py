@@ -5,7 +5,7 @@ import subprocess
 import sys
 import tempfile
 
-from conftest import ROOT
+from settings import ROOT
 
 SCRIPT = f"""
 import sys
@@ -13,7 +13,7 @@ sys.path.insert(0, {ROOT!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 from scriptorium.sources.tei import shred_tei
-df = spark.createDataFrame([(1, '<TEI><text><body><div><head>H</head><p>x</p></div></body></text></TEI>')], "item_key long, content string")
+df = spark.createDataFrame([(1, '<TEI><text><body><div xmlns="http://www.tei-c.org/ns/1.0"><head>H</head><p>x</p></div></body></text></TEI>')], "item_key long, content string")
 print("HEADINGS", [s.heading for r in shred_tei(df).collect() for s in r.sections])
 spark.stop()
 """
