@@ -46,8 +46,9 @@ GRAM = 16
 LAST = 2**63 - 1  # the order of documents without an id
 SHALLOW = 24
 PORTION = 100_000
-MARK = "ord long, th long, start long, end long"
-CONTEXT = "gram long, context binary, before int, after int, ord long, th long, pos long"
+MARK = "ord long, tag long, start long, end long"
+CONTEXT = "context binary, before int, after int, ord long, tag long, pos long"
+HASH_BITS = 48  # kept of an anchor's hash; equal ones are told apart by their bytes
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -81,7 +82,7 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     # a place's hash is at least every minimum of the windows over it; an anchor's equals one of them
     edge = np.zeros(width - 1, dtype=np.uint64)
     found = np.flatnonzero(h == sliding(np.concatenate([edge, low, edge]), width, np.maximum))
-    return found, h[found].view(np.int64)
+    return found, (h[found] >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
 def blind_order(strings: np.ndarray) -> list[int]:
@@ -186,26 +187,24 @@ def repeats(
 
 
 def _document_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(ord, text) -> (gram, ord), each anchor of a document once."""
+    """Documents -> (gram, ord), each anchor of a document once."""
     for batch in batches:
-        grams = [np.unique(anchors(np.frombuffer(t.as_buffer(), dtype=np.uint8), length)[1]) for t in batch.column(1)]
-        orders = np.repeat(batch.column(0).to_numpy(), [len(g) for g in grams])
+        texts = batch.column("text")
+        grams = [np.unique(anchors(np.frombuffer(t.as_buffer(), dtype=np.uint8), length)[1]) for t in texts]
+        orders = np.repeat(batch.column("ord").to_numpy(), [len(g) for g in grams])
         if len(orders):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(orders)], ["gram", "ord"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(ord, th, text, grams) -> the contexts of the anchors among ``grams``."""
+    """Documents with ``grams`` -> the contexts of the anchors among these."""
     left = length - GRAM
     names = [f.split()[0] for f in CONTEXT.split(", ")]
     for batch in batches:
-        for order, th, text, grams in zip(*batch.columns, strict=True):
+        for order, tag, text, grams in zip(*[batch.column(c) for c in ("ord", "tag", "text", "grams")], strict=True):
             data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
             place, gram = anchors(data, length)
-            kept = np.isin(gram, grams.values.to_numpy())
-            place, gram = place[kept], gram[kept]
-            if not len(place):
-                continue
+            place = place[np.isin(gram, grams.values.to_numpy())]
             framed = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
             for at in range(0, len(place), PORTION):
                 p = place[at : at + PORTION]
@@ -215,12 +214,11 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(gram[at : at + PORTION]),
                         fixed.cast(pa.binary()),
                         pa.array(np.minimum(p, left).astype(np.int32)),
                         pa.array(np.minimum(len(data) - p, length).astype(np.int32)),
                         pa.array(np.full(len(p), order.as_py(), dtype=np.int64)),
-                        pa.array(np.full(len(p), th.as_py(), dtype=np.int64)),
+                        pa.array(np.full(len(p), tag.as_py(), dtype=np.int64)),
                         pa.array(p.astype(np.int64)),
                     ],
                     names,
@@ -228,67 +226,71 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 
 
 def _marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by gram, context and order -> repeated stretches (ord, th, start, end)."""
-    width = 2 * length - GRAM
+    """Contexts sorted by anchor, context and order -> repeated stretches (ord, tag, start, end)."""
+    left, width = length - GRAM, 2 * length - GRAM
     names = [f.split()[0] for f in MARK.split(", ")]
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # distinct contexts of whole grams, and of the last one
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # distinct contexts of whole anchors, and of the last one
     carry: tuple | None = None  # (key, smallest order) of the last context seen
 
     def marks(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 3], rows[:, 4], start, end)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 2], rows[:, 3], start, end)], names)
+
+    def anchor_starts(context: np.ndarray) -> np.ndarray:
+        gram = context[:, left : left + GRAM]
+        return np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]).any(axis=1))))
 
     def settle(rows: np.ndarray, context: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, inverse, counts = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
-        several = counts[inverse] > 1  # an anchor with one context left has nothing to be compared with
+        counts = np.diff(np.append(anchor_starts(context), len(rows)))
+        several = np.repeat(counts > 1, counts)  # an anchor with one context left has nothing to be compared with
         rows, context = rows[several], context[several]
         if len(rows):
-            most, least = repeats(context, rows[:, 1], rows[:, 2], rows[:, 3], length)
+            most, least = repeats(context, rows[:, 0], rows[:, 1], rows[:, 2], length)
             hit = most >= 0
             rows, most, least = rows[hit], most[hit], least[hit]
-            yield marks(rows, rows[:, 5] - most, rows[:, 5] - least + length)
+            yield marks(rows, rows[:, 4] - most, rows[:, 4] - least + length)
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        # gram, before, after, ord, th, pos
-        rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in (0, 2, 3, 4, 5, 6)], axis=1)
-        texts = batch.column(1)
-        offset = texts.offset * width
-        context = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[: (texts.offset + n) * width][offset:].reshape(n, width)
-        keys = rows[:, :3]
+        # before, after, ord, tag, pos
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[1:]], axis=1)
+        texts = batch.column(0)
+        context = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[texts.offset * width :][: n * width].reshape(n, width)
+        keys = rows[:, :2]
         same = np.zeros(n, dtype=bool)
         same[1:] = (keys[1:] == keys[:-1]).all(axis=1) & (context[1:] == context[:-1]).all(axis=1)
         first = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-        smallest = rows[first, 3]
+        smallest = rows[first, 2]
         if carry and carry[0] == (*keys[0].tolist(), context[0].tobytes()):
             smallest = np.where(first == 0, carry[1], smallest)
-            same[0] = True
         carry = ((*keys[-1].tolist(), context[-1].tobytes()), int(smallest[-1]))
         # the same context in an earlier document: all of it is a repeat
-        later = rows[:, 3] > smallest
+        later = rows[:, 2] > smallest
         if later.any():
             full = rows[later]
-            yield marks(full, full[:, 5] - full[:, 1], full[:, 5] + full[:, 2])
+            yield marks(full, full[:, 4] - full[:, 0], full[:, 4] + full[:, 1])
         held.append((rows[~later], context[~later].copy()))
         if sum(len(r) for r, _ in held) >= PORTION:
             rows, context = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            last = int(anchor_starts(context)[-1])
             if last:
                 yield from settle(rows[:last], context[:last])
             held = [(rows[last:], context[last:])]
     if held:
-        yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        rows, context = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(rows):
+            yield from settle(rows, context)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text, marks) -> what is left of each document."""
+    """Documents with their marks -> what is left of each."""
     for batch in batches:
         found = []
-        for th, text, marks in zip(*batch.columns[1:], strict=True):
-            data, own = text.as_buffer().to_pybytes(), th.as_py()
+        for th, text, marks in zip(*[batch.column(c) for c in ("th", "text", "marks")], strict=True):
+            data, tags = text.as_buffer().to_pybytes(), (0, th.as_py())
             spans: list[list[int]] = []
-            for mark in sorted((m["start"], m["end"]) for m in marks.as_py() or () if m["th"] == own):
+            for mark in sorted((m["start"], m["end"]) for m in marks.as_py() or () if m["tag"] in tags):
                 if spans and mark[0] <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], mark[1])
                 else:
@@ -299,7 +301,7 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
         columns = [pa.array([f[k] for f in found], t) for k, t in enumerate(types)]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names[: len(columns) + 1])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names[: len(columns) + 1])
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -311,28 +313,33 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
         F.xxhash64(text).alias("th"),
         F.encode(text, "UTF-8").alias("text"),
     )
-    # documents equal to an earlier one
+    # documents equal to an earlier one; a tag tells apart different texts of one doc_id (0: there is one only)
     known = texts.select("ord", "th", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("n"))
     known = staged(known, "document-hashes")
     first = known.groupBy("sha").agg(F.min("ord").alias("first"))
     known = known.join(first, "sha").withColumn("copy", (F.col("ord") > F.col("first")) & (F.col("n") >= length))
-    known = staged(known.groupBy("ord", "th", "n").agg(F.bool_and("copy").alias("copy")), "document-copies")
-    whole = known.where("copy").select("ord", "th", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
-    copies = known.groupBy("ord").agg(F.bool_and("copy").alias("copy")).where("copy").select("ord")
-    # anchors of more than one document, per document that still needs them
-    grams = map_batches(texts.select("ord", "text"), lambda it: _document_anchors(it, length), "gram long, ord long")
+    known = known.groupBy("ord", "th").agg(F.max("n").alias("n"), F.bool_and("copy").alias("copy"))
+    texts_of = Window.partitionBy("ord")
+    known = known.withColumn("tag", F.when(F.count("*").over(texts_of) > 1, F.col("th")).otherwise(0).cast("long"))
+    known = staged(known, "document-copies")
+    whole = known.where("copy").select("ord", "tag", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    needed = known.where("NOT copy").select("ord", "tag")
+    # The three joins below read all of ``texts`` by ord, so that Spark moves the texts once and reuses the exchange.
+    mine = (F.col("tag") == 0) | (F.col("tag") == F.col("th"))
+    asked = texts.join(needed, "ord").where(mine).select("doc_id", "ord", "th", "text")
+    # anchors of more than one document, per document
+    grams = map_batches(asked, lambda it: _document_anchors(it, length), "gram long, ord long")
     everywhere = Window.partitionBy("gram")
     shared = grams.withColumns({"low": F.min("ord").over(everywhere), "high": F.max("ord").over(everywhere)})
-    wanted = (
-        shared.where("low < high").select("ord", "gram").join(copies, "ord", "left_anti")
-        .groupBy("ord").agg(F.collect_list("gram").alias("grams"))
-    )
+    wanted = shared.where("low < high").groupBy("ord").agg(F.collect_list("gram").alias("grams"))
     # their contexts, sorted; the stretches found, per document
-    asked = texts.join(wanted, "ord").select("ord", "th", "text", "grams")
+    wanted = needed.join(wanted, "ord")
+    asked = texts.join(wanted, "ord").where(mine).select("doc_id", "ord", "th", "text", "tag", "grams")
     contexts = map_batches(asked, lambda it: _contexts(it, length), CONTEXT)
-    ordered = contexts.repartition("gram").sortWithinPartitions("gram", "context", "before", "after", "ord")
+    gram = F.substring("context", length - GRAM + 1, GRAM)
+    ordered = contexts.repartition(gram).sortWithinPartitions(gram, "context", "before", "after", "ord")
     marks = map_batches(ordered, lambda it: _marks(it, length), MARK).unionByName(whole)
-    per_document = marks.groupBy("ord").agg(F.collect_list(F.struct("th", "start", "end")).alias("marks"))
-    joined = texts.join(per_document, "ord", "left").select("doc_id", "th", "text", "marks")
+    per_document = marks.groupBy("ord").agg(F.collect_list(F.struct("tag", "start", "end")).alias("marks"))
+    joined = texts.join(per_document, "ord", "left").select("doc_id", "ord", "th", "text", "marks")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return map_batches(joined, lambda it: _cut(it, with_text), schema + (", kept binary" if with_text else ""))
