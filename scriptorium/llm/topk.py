@@ -2,16 +2,18 @@
 
 Vectors become integers, floor(scale * x).  The index is cut into blocks of
 about ``block`` vectors.  A block keeps, per dimension, its members in order of
-their quantised impact (component divided by ``step``, rounded down), cut into
-posting segments of equal impact, besides the exact integers.
+their quantised impact (component divided by ``step``, rounded), cut into
+posting segments of equal impact, besides the exact integers and the length of
+what quantising leaves of each vector.
 
 A query processes the segments of all dimensions by descending |weight x
-impact|, adding weight x impact to one accumulator per vector.  What is left,
-per dimension the range of the impacts not yet processed, plus the remainder
-lost by quantising, bounds every score from both sides.  Processing stops only
-when these bounds prove that few vectors can still be among the block's k
-best (or the segments are used up); all vectors the bounds leave possible are
-then rescored exactly, ties included, so nothing depends on where it stopped.
+impact|, adding weight x impact to one accumulator per vector.  What is left is
+bounded from both sides: per dimension by the range of the impacts not yet
+processed, and for the quantising remainder by the product of the two lengths
+(Cauchy-Schwarz).  Processing stops only when these bounds prove that few
+vectors can still be among the block's k best (or the segments are used up);
+all vectors the bounds leave possible are then rescored exactly, ties included,
+so nothing depends on where it stopped.
 
 Queries are cut into chunks and each pair of an index block and a query chunk
 is one group of bounded size; a block gives k rows per query at most, and the
@@ -35,11 +37,11 @@ from scriptorium.llm.common import staged
 from scriptorium.session import ship_package
 
 SCALE = 256
-STEP = 16
-BLOCK = 4096
+STEP = 8
+BLOCK = 16_384
 QUERY_CHUNK = 4096
 FEW = 4  # times k: so few possible members are worth rescoring at once
-SEGMENTS_AT_ONCE = 64
+LOOKS = 4  # times the bounds are looked at
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -59,7 +61,8 @@ class BlockIndex:
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, step: int = STEP):
         self.ids, self.matrix, self.step = ids, matrix, step
-        impacts = np.floor_divide(matrix, step)
+        impacts = np.floor_divide(matrix + step // 2, step)
+        self.rest = np.sqrt(((matrix - step * impacts).astype(np.float64) ** 2).sum(axis=1))
         order = np.argsort(impacts, axis=0, kind="stable")
         self.members: list[np.ndarray] = []  # of each segment
         dims, levels = [], []
@@ -70,7 +73,7 @@ class BlockIndex:
             found = ranked[np.concatenate(([0], cuts))]
             dims += [d] * len(found)
             levels += found.tolist()
-        self.dims, self.levels = np.array(dims), np.array(levels, dtype=np.int64)
+        self.dims, self.levels = np.array(dims, dtype=np.int64), np.array(levels, dtype=np.int64)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, exact scores) of all that may be among the k best candidates, ranked; at most k."""
@@ -80,22 +83,24 @@ class BlockIndex:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         worth = query[self.dims] * self.levels
         order = np.argsort(-np.abs(worth), kind="stable")
-        # a component is step * impact + remainder, 0 <= remainder < step
-        slack_low = (self.step - 1) * int(np.minimum(query, 0).sum())
-        slack_high = (self.step - 1) * int(np.maximum(query, 0).sum())
         total = np.zeros(len(self.ids), dtype=np.int64)
         possible = candidates
-        for at in range(0, len(order), SEGMENTS_AT_ONCE):
-            for s in order[at : at + SEGMENTS_AT_ONCE]:
-                total[self.members[s]] += worth[s]
-            rest = order[at + SEGMENTS_AT_ONCE :]
+        part = max(1, -(-len(order) // LOOKS))
+        for at in range(0, len(order), part):
+            for s in order[at : at + part]:
+                if worth[s]:
+                    total[self.members[s]] += worth[s]
+            rest = order[at + part :]
             # a vector's impact in a dimension has been processed (nothing is left) or is among the rest
             least = np.zeros(self.matrix.shape[1], dtype=np.int64)
             most = least.copy()
             np.minimum.at(least, self.dims[rest], worth[rest])
             np.maximum.at(most, self.dims[rest], worth[rest])
-            low = self.step * (total + least.sum()) + slack_low
-            high = self.step * (total + most.sum()) + slack_high
+            known = (self.step * total).astype(np.float64)
+            # what quantising left, and room for the rounding of these floats
+            slack = np.sqrt((query.astype(np.float64) ** 2).sum()) * self.rest + 1e-9 * np.abs(known) + 1
+            low = known + self.step * float(least.sum()) - slack
+            high = known + self.step * float(most.sum()) + slack
             bar = np.partition(low[candidates], -wanted)[-wanted]
             possible = candidates & (high >= bar)
             if possible.sum() <= FEW * k:
