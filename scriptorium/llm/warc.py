@@ -49,18 +49,20 @@ RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record
 def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """One row per page: id, payload, digest, size, copy number, record type and what it refers to."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long"), payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.length("payload").cast("long")})
-    keys = staged(rows.select("page_id", "digest", "size").distinct(), "page-digests")
-    first = keys.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_page"))
-    decided = keys.join(first, "digest", "left").select(
-        F.col("page_id").alias("d_page"), F.col("digest").alias("d_digest"), "first_page"
-    )
-    copies = Window.partitionBy("digest", "page_id").orderBy("size")
-    numbered = rows.withColumn("copy", F.row_number().over(copies))
-    joined = numbered.join(
-        decided, (F.col("digest") == F.col("d_digest")) & F.col("page_id").eqNullSafe(F.col("d_page"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload"))
+    # the key is never null, so counting copies and joining decisions share one exchange of the payloads
+    rows = rows.withColumns(
+        {
+            "digest": F.sha2("payload", 256),
+            "size": F.length("payload").cast("long"),
+            "page_key": F.coalesce(F.col("page_id").cast("string"), F.lit("none")),
+        }
     )
+    keys = staged(rows.select("page_id", "page_key", "digest", "size").distinct(), "page-digests")
+    first = keys.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_page"))
+    decided = keys.join(first, "digest", "left").select("digest", "page_key", "first_page")
+    copies = Window.partitionBy("digest", "page_key").orderBy("size")
+    joined = rows.withColumn("copy", F.row_number().over(copies)).join(decided, ["digest", "page_key"])
     responds = (F.col("size") < min_revisit) | (F.col("page_id").eqNullSafe(F.col("first_page")) & (F.col("copy") == 1))
     return joined.select(
         "page_id", "payload", "digest", "size", "copy",
