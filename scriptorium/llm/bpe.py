@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,14 +31,21 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import map_batches, text_or_empty
+from scriptorium.llm.common import map_batches, staged, text_or_empty
 from scriptorium.session import scratch_dir
 
-LEXICON_WORDS = 65_536
-CACHED_WORDS = 150_000
+LEXICON_WORDS = 262_144
+CACHED_PIECES = 200_000
+SHORT_WORD = 64
+WORDS_AT_ONCE = 20_000
+CHARACTERS_AT_ONCE = 2_000_000
+NO_ID = -1
+NO_RANK = 2**40
+# Python's split() takes these for white space, Unicode's White_Space property does not.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 ENCODE_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -60,54 +68,121 @@ class Vocabulary:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
+        self.numerals = {i: str(i) for i in self.tokens}
         self.suffix = model["end_of_word_suffix"] or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, tuple[int, int]] = {}  # left id << 32 | right id -> (rank, merged id)
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            merged = self.ids[left + right]
-            self.merges.setdefault((self.ids[left], self.ids[right]), (rank, merged))
+            self.merges.setdefault(self.ids[left] << 32 | self.ids[right], (rank, self.ids[left + right]))
+        self.pairs = np.array(sorted(self.merges), dtype=np.int64)
+        self.rank_of = np.array([self.merges[p][0] for p in self.pairs.tolist()], dtype=np.int64)
+        self.merged_by = np.zeros(len(model["merges"]), dtype=np.int64)  # by rank
+        for rank, merged in self.merges.values():
+            self.merged_by[rank] = merged
+        characters = byte_characters()
+        self.inner = np.array([self.ids.get(c, NO_ID) for c in characters], dtype=np.int64)
+        self.ending = np.array([self.ids.get(c + self.suffix, NO_ID) for c in characters], dtype=np.int64)
         splits = [s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
         pattern = splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.characters = byte_characters()
-
-    def merge(self, word: str) -> list[int]:
-        """Ids of one word: lowest rank first, leftmost first among equal ranks."""
-        shown = [self.characters[b] for b in word.encode("utf-8")]
-        shown[-1] += self.suffix
-        ids = [self.ids[c] for c in shown if c in self.ids]
-        n = len(ids)
+
+    def merge(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word: lowest rank first, leftmost first among equal ranks.
+
+        Short words are merged together, one merge of every word at a time.
+        """
+        spelled = [w.encode("utf-8") for w in words]
+        out: list[list[int]] = [[] for _ in words]
+        by_width: dict[int, list[int]] = {}
+        for k, s in enumerate(spelled):
+            by_width.setdefault(max(8, 1 << (len(s) - 1).bit_length()), []).append(k)
+        for width, members in by_width.items():
+            for at in range(0, len(members), WORDS_AT_ONCE):
+                some = members[at : at + WORDS_AT_ONCE]
+                starts = [self._characters(spelled[k]) for k in some]
+                merged = self._merge_rows(starts, width) if width <= SHORT_WORD else map(self._merge_by_queue, starts)
+                for k, ids in zip(some, merged, strict=True):
+                    out[k] = ids
+        return out
+
+    def _characters(self, spelled: bytes) -> list[int]:
+        data = np.frombuffer(spelled, dtype=np.uint8)
+        ids = self.inner[data]
+        ids[-1] = self.ending[data[-1]]
+        return ids[ids != NO_ID].tolist()
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.pairs[at] == key), self.rank_of[at], NO_RANK)
+
+    def _merge_rows(self, starts: list[list[int]], width: int) -> list[list[int]]:
+        ids = np.full((len(starts), width + 1), NO_ID, dtype=np.int64)  # the last column stays empty
+        for row, start in zip(ids, starts, strict=True):
+            row[: len(start)] = start
+        ranks = np.full((len(starts), width + 1), NO_RANK, dtype=np.int64)
+        ranks[:, :width] = self._rank(ids[:, :-1], ids[:, 1:])
+        done = ids.copy()
+        rows, columns = np.arange(len(starts)), np.arange(width)
+        while len(rows):
+            place = ranks.argmin(axis=1)
+            k = np.arange(len(rows))
+            least = ranks[k, place]
+            more = least < NO_RANK
+            if not more.all():
+                done[rows[~more]] = ids[~more]
+                rows, ids, ranks, place, least = rows[more], ids[more], ranks[more], place[more], least[more]
+                k = np.arange(len(rows))
+                if not len(rows):
+                    break
+            ids[k, place] = self.merged_by[least]
+            after = columns[None, :] + (columns[None, :] > place[:, None])
+            ids[:, :width] = np.take_along_axis(ids, after, axis=1)
+            # the merged pair's rank and those of its neighbours change, the others move up
+            shifted = columns[None, :] + (columns[None, :] >= place[:, None])
+            ranks[:, :width] = np.take_along_axis(ranks, shifted, axis=1)
+            ranks[k, place] = self._rank(ids[k, place], ids[k, place + 1])
+            inside = np.flatnonzero(place > 0)
+            ranks[inside, place[inside] - 1] = self._rank(ids[inside, place[inside] - 1], ids[inside, place[inside]])
+        return [[i for i in row if i != NO_ID] for row in done.tolist()]
+
+    def _merge_by_queue(self, ids: list[int]) -> list[int]:
+        """The same for one long word, in n log n steps."""
+        n, merges = len(ids), self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
-        heapq.heapify(queue)
+        queue: list[tuple[int, int, int]] = []  # rank, place, pair
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n and (pair := ids[i] << 32 | ids[after[i]]) in merges:
+                heapq.heappush(queue, (merges[pair][0], i, pair))
+
+        for i in range(n):
+            offer(i)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
+            _, i, pair = heapq.heappop(queue)
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if ids[i] == NO_ID or j >= n or ids[i] << 32 | ids[j] != pair:
                 continue
-            ids[i], ids[j] = self.merges[left, right][1], -1
+            ids[i], ids[j] = merges[pair][1], NO_ID
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if m := self.merges.get((ids[i], ids[after[i]])):
-                    heapq.heappush(queue, (m[0], i, ids[i], ids[after[i]]))
-            if before[i] >= 0 and (m := self.merges.get((ids[before[i]], ids[i]))):
-                heapq.heappush(queue, (m[0], before[i], ids[before[i]], ids[i]))
-        return [i for i in ids if i >= 0]
+            offer(before[i])
+            offer(i)
+        return [i for i in ids if i != NO_ID]
 
     def split(self, text: str) -> list[str]:
-        """The words of a text, special tokens among them under their own spelling."""
-        parts = self.marks.split(text) if "<|" in text else [text]
-        words: list[str] = []
-        for k, part in enumerate(parts):
+        """Pieces that are encoded apart: runs without white space, and special tokens after a space."""
+        pieces: list[str] = []
+        for k, part in enumerate(self.marks.split(text) if "<|" in text else [text]):
             if k % 2:
-                words.append(part)
+                pieces.append(" " + part)
             else:
                 # lower-casing is by character: the capital sigma has one form
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                words += self.words.findall(part)
-        return words
+                pieces += self.words.findall(part) if SEPARATORS.search(part) else part.split()
+        return pieces
 
 
 def compile_lexicon(words: dict[str, list[int]]) -> bytes:
@@ -122,13 +197,18 @@ def compile_lexicon(words: dict[str, list[int]]) -> bytes:
     edges: list[dict[int, int]] = [{}]
     final = [False]
     known: dict[tuple, int] = {}
+    spare: list[int] = []  # numbers of states that turned out equal to earlier ones
     path: list[tuple[int, int]] = []  # (parent, byte) of the unfinished states
 
     def finish(depth: int) -> None:
         while len(path) > depth:
             parent, byte = path.pop()
             child = edges[parent][byte]
-            edges[parent][byte] = known.setdefault((final[child], tuple(edges[child].items())), child)
+            same = known.setdefault((final[child], tuple(edges[child].items())), child)
+            if same != child:
+                edges[parent][byte] = same
+                edges[child], final[child] = {}, False
+                spare.append(child)
 
     last = b""
     for word, _ in entries:
@@ -136,11 +216,15 @@ def compile_lexicon(words: dict[str, list[int]]) -> bytes:
         finish(common)
         state = edges[path[-1][0]][path[-1][1]] if path else 0
         for byte in word[common:]:
-            edges.append({})
-            final.append(False)
-            edges[state][byte] = len(edges) - 1
+            if spare:
+                child = spare.pop()
+            else:
+                child = len(edges)
+                edges.append({})
+                final.append(False)
+            edges[state][byte] = child
             path.append((state, byte))
-            state = len(edges) - 1
+            state = child
         final[state] = True
         last = word
     finish(0)
@@ -152,7 +236,7 @@ def compile_lexicon(words: dict[str, list[int]]) -> bytes:
                 live[child] = len(live)
                 stack.append(child)
     counts: dict[int, int] = {}
-    for state in sorted(live, reverse=True):  # children are made after their parents or were known before
+    for state in live:
         stack = [state]
         while stack:
             top = stack[-1]
@@ -183,7 +267,7 @@ class Lexicon:
     """A compiled lexicon file, memory-mapped; looks up many words at once."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, dtype=np.int64, mode="r")
+        data = np.asarray(np.memmap(path, dtype=np.int64, mode="r"))  # still mapped; plain arrays index faster
         sizes = data[:6].tolist()
         starts = np.cumsum([6, *sizes]).tolist()
         self.keys, self.targets, self.ahead, self.final, self.offsets, self.pool = (
@@ -212,10 +296,9 @@ class Lexicon:
             state[alive] = self.targets[at]
             depth += 1
         found = (state >= 0) & (self.final[np.maximum(state, 0)] > 0) & (lengths > 0)
-        return [
-            self.pool[self.offsets[k] : self.offsets[k + 1]].tolist() if ok else None
-            for ok, k in zip(found.tolist(), number.tolist(), strict=True)
-        ]
+        number = np.where(found, number, 0)
+        spans = zip(found.tolist(), self.offsets[number].tolist(), self.offsets[number + 1].tolist(), strict=True)
+        return [self.pool[a:b].tolist() if ok else None for ok, a, b in spans]
 
 
 class Coder:
@@ -223,33 +306,43 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.spelled: dict[str, str] = {}  # word -> ids, as decimal text
-        self.decoded: dict[str, str] = {}  # word -> its tokens, joined
+        self.spelled: dict[str, str] = {}  # piece -> ids, as decimal text
+        self.decoded: dict[str, str] = {}  # piece -> its tokens, joined
 
-    def learn(self, words: list[str]) -> None:
-        """Make ids and tokens of all the words known."""
-        new = [w for w in set(words) if w not in self.spelled]
+    def learn(self, pieces: list[str]) -> None:
+        """Make ids and tokens of all the pieces known: their words from the lexicon, or else merged."""
+        new = [p for p in set(pieces) if p not in self.spelled]
         if not new:
             return
-        if len(self.spelled) + len(new) > CACHED_WORDS:
-            self.spelled.clear()
-            self.decoded.clear()
-            new = list(set(words))
+        if len(self.spelled) + len(new) > CACHED_PIECES:  # keep what these texts use
+            used = set(pieces) & self.spelled.keys()
+            self.spelled = {p: self.spelled[p] for p in used}
+            self.decoded = {p: self.decoded[p] for p in used}
         v = self.vocabulary
-        known = self.lexicon.find(new) if self.lexicon else [None] * len(new)
-        for word, ids in zip(new, known, strict=True):
-            if word in v.special:
-                ids = [v.special[word]]
-            elif ids is None:
-                ids = v.merge(word)
-            self.spelled[word] = " ".join(map(str, ids))
-            self.decoded[word] = " ".join([v.tokens[i] for i in ids])
-
-    def encode(self, text: str) -> tuple[str, str]:
-        """(ids joined by a space, decoded text)."""
-        words = self.vocabulary.split(text)
-        self.learn(words)
-        return " ".join([self.spelled[w] for w in words]), " ".join([self.decoded[w] for w in words])
+        words = {p: [] if p[0] == " " else v.words.findall(p) for p in new}
+        distinct = list({w for found in words.values() for w in found})
+        known = self.lexicon.find(distinct) if self.lexicon else [None] * len(distinct)
+        unseen = [w for w, k in zip(distinct, known, strict=True) if k is None]
+        ids = {w: k for w, k in zip(distinct, known, strict=True) if k is not None}
+        ids.update(zip(unseen, v.merge(unseen), strict=True))
+        for piece in new:
+            own = [v.special[piece[1:]]] if piece[0] == " " else [i for w in words[piece] for i in ids[w]]
+            self.spelled[piece] = " ".join([v.numerals[i] for i in own])
+            self.decoded[piece] = " ".join([v.tokens[i] for i in own])
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """(ids joined by a space, decoded text) of each text; new pieces of many texts are learnt together."""
+        at = 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and (to == at or held + len(texts[to]) <= CHARACTERS_AT_ONCE):
+                held += len(texts[to])
+                to += 1
+            split = [self.vocabulary.split(t) for t in texts[at:to]]
+            self.learn([p for pieces in split for p in pieces])
+            for pieces in split:
+                yield " ".join(map(self.spelled.__getitem__, pieces)), " ".join(map(self.decoded.__getitem__, pieces))
+            at = to
 
 
 @lru_cache(maxsize=2)
@@ -258,10 +351,17 @@ def worker_coder(tokenizer: str, lexicon_file: str | None) -> Coder:
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent letter runs of the whole corpus (ties by spelling), ``words`` at most."""
-    runs = F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"\p{L}+"), 0)).alias("word")
-    counts = docs.select(runs).groupBy("word").agg(F.count("*").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    """The most frequent letter runs of the whole corpus, ``words`` at most.
+
+    Words are taken by count: the least count at which they are not too many is
+    found on the counts' histogram, so only the words kept reach the driver.
+    """
+    runs = F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
+    counts = staged(docs.select(runs).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    histogram = counts.groupBy("n").agg(F.count("*").alias("words"))
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+    least = histogram.withColumn("upto", upto).where(F.col("upto") <= words).agg(F.min("n")).first()[0]
+    return [r.word for r in counts.where(F.col("n") >= least).select("word").collect()] if least else []
 
 
 def publish_lexicon(spark: SparkSession, content: bytes) -> str:
@@ -285,14 +385,13 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS,
     spark = docs.sparkSession
     vocabulary = Vocabulary(tokenizer)
     words = frequent_words(docs, lexicon_words)
-    name = publish_lexicon(spark, compile_lexicon({w: vocabulary.merge(w) for w in words}))
+    name = publish_lexicon(spark, compile_lexicon(dict(zip(words, vocabulary.merge(words), strict=True))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(tokenizer, name)
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                ids, decoded = coder.encode(text.as_py())
+            for ids, decoded in coder.encode(batch.column(1).to_pylist()):
                 rows.append(
                     (
                         ids.count(" ") + 1 if ids else 0,

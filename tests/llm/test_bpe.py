@@ -40,7 +40,7 @@ def test_empty(no_docs):
 def test_odd_texts(spark):
     texts = [
         "İstanbul ΑΣ ΑΣ. KKelvin ﬁ é  x y\x1cz\x85q", "a" * 3000, "\U0001f600‍\U0001f525!!!???", "''s 'll'd",
-        "<|startoftext|>x<|endoftext|><|endoftext", "１２３ ½ ⅷ 中文字 ไทย", "\x00\x01 �",
+        "<|startoftext|>x<|endoftext|><|endoftext", "<|ENDOFTEXT|> <|endoftext|> q<|EndOfText|>", "１２３ ½ ⅷ 中文字 ไทย", "\x00\x01 �",
     ]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check(frame, 5)
