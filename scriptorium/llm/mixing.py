@@ -36,6 +36,7 @@ CELL = 64
 ROUNDS = 24
 SEED = 17
 SOURCES_BROADCAST = 10_000
+SLOTS_PER_TASK = 100_000
 
 
 def size_of(column: str = "text"):
@@ -105,9 +106,10 @@ def slots(sources: DataFrame, total: int, shard: int = SHARD, seed: int = SEED)
     draws = spark.range(total).select(
         F.expr(f"id div {shard}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("u")
     )
+    # both sides grow with the mix: they are merged, never broadcast (their sizes before the explode mislead)
     drawn = (
         draws.withColumn("cell", F.expr(f"u div {CELL}"))
-        .join(cells, "cell")
+        .join(cells.hint("merge"), "cell")
         .where("u >= first AND u < first + quota")
         .select("shard", "sid")
     )
@@ -120,7 +122,8 @@ def slots(sources: DataFrame, total: int, shard: int = SHARD, seed: int = SEED)
     scaled = counts.withColumn("share", share).join(quotas, "sid")
     scaled = scaled.withColumn("end", F.floor(F.col("share") * F.col("quota")))
     scaled = scaled.withColumn("begin", F.coalesce(F.lag("end").over(upto), F.lit(0)))
-    spread = scaled.where("end > begin").repartition("sid", "shard")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SLOTS_PER_TASK))
+    spread = scaled.where("end > begin").repartition(parts, "sid", "shard")
     numbered = spread.select(
         "sid", "shard", "blocks", F.explode(F.expr("sequence(begin, end - 1)")).alias("k")
     ).selectExpr("sid", "shard", "blocks", "k AS slot", "k div blocks AS pass", "k % blocks AS x")
@@ -160,7 +163,7 @@ def mixed(rows: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = S
     count, total = drawable.agg(F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))).first()
     buckets = max(1, round(rows.count() ** 0.5))
     placed = positions(with_source(rows, sources, count), buckets)
-    taken = pieces(placed, block).join(slots(drawable, total, shard, seed), ["sid", "block"])
+    taken = pieces(placed, block).join(slots(drawable, total, shard, seed).hint("merge"), ["sid", "block"])
     return sources, taken.select("row_id", "shard", "slot", "pass", "begin", "words")
 
 
