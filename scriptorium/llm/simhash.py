@@ -64,15 +64,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (signed long) of every row."""
+    """doc_id, hash of the text (th) and fingerprint (signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], dtype=np.uint64)
+            columns = [batch.column(0), batch.column(1), pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "fp"])
 
-    source = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return map_batches(source, run, "doc_id long, fp long")
+    text = text_or_empty()
+    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return map_batches(source, run, "doc_id long, th long, fp long")
 
 
 def byte_at(position: int):
@@ -194,6 +196,23 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
+def labelled(docs: DataFrame, shingle: int, max_bits: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): the fingerprint of each row, and the first row of each fingerprint's component.
+
+    ``first`` holds the smallest doc_id of the component and, among rows that
+    share it, the smallest text hash; it is null where no row has a doc_id.
+    """
+    rows = staged(fingerprints(docs, shingle), "fingerprints")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))
+    distinct = rows.groupBy("fp").agg(F.min(named).alias("first_row"))
+    found = components(links(distinct.select("fp"), max_bits, block))
+    owned = distinct.join(found, distinct.fp == found.node, "left").select(
+        "fp", "first_row", F.coalesce("component", "fp").alias("component")
+    )
+    smallest = owned.groupBy("component").agg(F.min("first_row").alias("first"))
+    return rows, staged(owned.join(smallest, "component").select("fp", "first"), "components")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK
 ) -> DataFrame:
@@ -202,26 +221,31 @@ def near_duplicates(
     component_id is the smallest doc_id that a chain of links reaches, the
     row's own included.
     """
-    rows = staged(fingerprints(docs, shingle), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    found = components(links(distinct.select("fp"), max_bits, block))
-    owned = distinct.join(found, distinct.fp == found.node, "left").select(
-        "fp", "first_doc", F.coalesce("component", "fp").alias("component")
-    )
-    smallest = owned.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    labels = staged(owned.join(smallest, "component").select("fp", "component_id"), "components")
+    rows, labels = labelled(docs, shingle, max_bits, block)
     return rows.join(labels, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"),
     )
 
 
-def keep_one_per_component(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents whose doc_id is their component's smallest (all of docs' columns).
+def keep_one_per_component(
+    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK
+) -> DataFrame:
+    """The first document of each component, with all of docs' columns.
 
-    Of rows that repeat that doc_id one stays.  Rows without a doc_id cannot be
-    named as a component's member and stay.
+    The first is the one of smallest doc_id; of different texts that share it
+    one stays if they are near, and each of them where they are not.  Of rows
+    equal in doc_id and text one stays.  Rows without a doc_id cannot be named
+    as a component's member and stay.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+    _, labels = labelled(docs, shingle, max_bits, block)
+    kept = labels.where("first IS NOT NULL").select("first.doc_id", "first.th").distinct().toDF("kept_id", "kept_th")
+    prefix = "th_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    hashed = docs.withColumn(prefix, F.xxhash64(text_or_empty()))
+    named = hashed.join(
+        kept, (hashed["doc_id"].cast("long") == kept["kept_id"]) & (hashed[prefix] == kept["kept_th"]), "left_semi"
+    ).dropDuplicates(["doc_id", prefix])
+    return named.drop(prefix).unionByName(docs.where(docs["doc_id"].isNull()))

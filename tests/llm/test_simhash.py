@@ -96,6 +96,20 @@ def test_triples_cover_every_five_positions():
         assert any(set(t) <= set(five) for t in simhash.TRIPLES)
 
 
+def test_different_texts_of_one_doc_id(spark):
+    first, second = "one text about rivers and the towns along them", "quite another text, on glass and how it breaks"
+    rows = [(1, first), (3, first), (3, second), (3, second), (5, second), (4, first + "!"), (6, None), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {t: slow_fingerprint(t) for _, t in rows}
+    groups = slow_components(prints.values())
+    least = {}
+    for i, t in rows:
+        least[groups[prints[t]]] = min((i, t or ""), least.get(groups[prints[t]], (i, t or "")), key=lambda r: r[0])
+    kept = [(r.doc_id, r.text or "") for r in simhash.keep_one_per_component(frame).collect()]
+    assert sorted(kept) == sorted(least.values())
+    assert (3, second) in kept and (3, first) not in kept
+
+
 def test_one_of_each_component_stays(spark, edge_docs):
     kept = simhash.keep_one_per_component(edge_docs)
     assert kept.columns == edge_docs.columns
