@@ -129,27 +129,30 @@ def confident_patterns(
 ) -> DataFrame:
     """Patterns that the graph of patterns and identifiers makes confident.
 
-    Edges are counted once; only patterns with enough different seeds can
-    become confident or pass a score on, so the graph starts from those.
+    Edges are counted once and all stay.  A pattern's support are the different
+    identifiers behind it that are seeds or have so far scored ``confidence``;
+    in each round only patterns with enough support pass a score on.
     """
     counted = tokens.groupBy("pattern", "identifier").agg(
         F.count("*").alias("n"), F.max(F.col("seed").cast("double")).alias("seed")
     )
-    rich = counted.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    edges = staged(counted.join(rich.select("pattern"), "pattern", "left_semi"), "pii-graph")
+    edges = staged(counted, "pii-graph")
     scored = edges.withColumn("score", F.col("seed"))
     patterns = None
     for _ in range(rounds):
         patterns = scored.groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("belief")
+            (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("belief"),
+            F.count_if((F.col("seed") > 0) | (F.col("score") >= confidence)).alias("support"),
         )
-        patterns = staged(patterns, "pii-patterns")
+        patterns = staged(patterns.where(F.col("support") >= min_seeds).select("pattern", "belief"), "pii-patterns")
+        passed = F.sum(F.col("n") * F.col("belief")) / F.sum(F.when(F.col("belief").isNotNull(), F.col("n")))
         identifiers = (
-            edges.join(patterns, "pattern")
+            edges.join(patterns, "pattern", "left")
             .groupBy("identifier")
-            .agg(F.greatest(F.max("seed"), F.sum(F.col("n") * F.col("belief")) / F.sum("n")).alias("score"))
+            .agg(F.greatest(F.max("seed"), passed).alias("score"))
+            .where(F.col("score") > 0)
         )
-        scored = edges.join(identifiers, "identifier")
+        scored = edges.join(identifiers, "identifier", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return patterns.where(F.col("belief") >= confidence).select("pattern")
 
 

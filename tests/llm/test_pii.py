@@ -93,3 +93,16 @@ def test_scores_travel_through_identifiers(spark):
     tokens = pii.candidates(pii.occurrences(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))[1])
     confident = {r.pattern for r in pii.confident_patterns(tokens).collect()}
     assert confident == {"write to"}
+
+
+def test_second_hop_patterns_become_confident(spark):
+    # no seed ever follows "badge number", but identifiers that stand behind the seeds' pattern do
+    seeds = [f"write to {i}x{i}@h.example now" for i in range(200)]
+    first = [f"write to X{i} now" for i in range(20)]
+    second = [f"badge number X{i}" for i in range(20)] + ["badge number Y7", "badge pin Y8"]
+    rows = list(enumerate(seeds + first + second))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = pii.candidates(pii.occurrences(frame)[1])
+    assert {r.pattern for r in pii.confident_patterns(tokens).collect()} == {"write to", "badge number"}
+    found = {r.doc_id: r.spans for r in pii.extract(frame).withColumn("spans", pii.spans_text()).collect()}
+    assert found[240] == "context:13:15" and found[241] == ""
