@@ -3,7 +3,8 @@
 Base spans (email, ip, card, phone) are found by patterns and checks and are
 the seeds.  Every other token with a digit or an at-sign is a candidate
 identifier.  The last two words before a token, folded, are its lexical
-pattern.  Patterns and identifiers form a graph with counted edges; each round
+pattern, whatever they hold and however far they stand; the later tokens of a
+seed that spans several have none.  Patterns and identifiers form a graph with counted edges; each round
 scores a pattern by the weighted share of known identifiers behind it and an
 identifier by the patterns before it.  Tokens behind patterns of high
 confidence, with enough different seeds, are reported as kind ``context``.
@@ -35,7 +36,6 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = rf"(?:\G|(?<=[{SPACE}]))[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
-CONTEXT_CHARS = 48
 PATTERN_WORDS = 2
 ROUNDS = 3
 MIN_SEEDS = 3
@@ -44,14 +44,20 @@ LEAD, TRAIL = "\"'([{<", "\"')]}>.,;:!?"
 CANDIDATE_KIND = len(KINDS) - 1
 
 
+def last_words(piece: Column) -> Column:
+    """The last words of a piece, as they stand; matched from its end, so that a long piece is not split."""
+    pattern = rf"^[{SPACE}]*+([^{SPACE}]++(?:[{SPACE}]++[^{SPACE}]++){{0,{PATTERN_WORDS - 1}}}+)"
+    return F.reverse(F.regexp_extract(F.reverse(piece), pattern, 1))
+
+
 def matches(kind: int, pattern: str, when: Column) -> Column:
-    """Array of (kind, pos, gap, context, value): each match and the piece of text before it."""
+    """Array of (kind, pos, gap, context, value): each match and the last words of the piece of text before it."""
     pieces = F.split("text", pattern, -1)
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(pieces.alias("piece"), found.alias("value"))
 
     def row(pair: Column, pos: Column) -> Column:
-        context = F.right(pair["piece"], F.lit(CONTEXT_CHARS)) if kind == CANDIDATE_KIND else F.lit("")
+        context = last_words(pair["piece"]) if kind == CANDIDATE_KIND else F.lit("")
         return F.struct(
             F.lit(kind).alias("kind"),
             pos.alias("pos"),
@@ -95,12 +101,20 @@ def occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = rows.select("row_id", F.explode("hits").alias("hit")).select("row_id", "hit.*")
     upto = Window.partitionBy("row_id", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(upto).cast("long"))
+    # candidates are whole words, so the words before one are those of its piece, the candidate before it, and so on
+    in_order = Window.partitionBy("row_id", "kind").orderBy("pos")
+    before = [F.lag(c, k).over(in_order) for k in range(PATTERN_WORDS, 0, -1) for c in ("context", "value")]
+    context = F.when(F.col("kind") == CANDIDATE_KIND, last_words(F.concat_ws(" ", *before, "context"))).otherwise("")
+    each = each.withColumn("context", context)
     each = each.withColumn("start", F.col("end") - F.length("value")).where(valid())
     return rows.select("row_id", "doc_id"), each.select("row_id", "kind", "start", "end", "context", "value")
 
 
 def candidates(spans: DataFrame) -> DataFrame:
-    """Candidate tokens without their quotes and punctuation: pattern, identifier, and whether a seed touches them."""
+    """Candidate tokens without their quotes and punctuation: pattern, identifier, and whether a seed touches them.
+
+    Later parts of a seed are left out.
+    """
     lead = F.length("value") - F.length(F.ltrim("value", F.lit(LEAD)))
     inner = F.rtrim(F.ltrim("value", F.lit(LEAD)), F.lit(TRAIL))
     is_candidate = F.col("kind") == CANDIDATE_KIND
@@ -116,9 +130,13 @@ def candidates(spans: DataFrame) -> DataFrame:
     reached = F.max(base_end).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     follows = F.min(base_start).over(by_place.rowsBetween(1, Window.unboundedFollowing))
     touched = F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(follows < F.col("end"), F.lit(False))
+    # a token after the start of a base span that reaches into it is a later part of that seed
+    earlier = Window.partitionBy("row_id").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    later_part = F.coalesce(F.max(base_end).over(earlier) > F.col("start"), F.lit(False))
     words = F.regexp_extract_all(F.lower("context"), F.lit(rf"[^{SPACE}]+"), F.lit(0))
     pattern = F.array_join(F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), words), -PATTERN_WORDS, PATTERN_WORDS), " ")
-    rows = cut.withColumn("seed", touched).where(is_candidate & (F.length("value") > 0))
+    rows = cut.withColumns({"seed": touched, "later_part": later_part})
+    rows = rows.where(is_candidate & ~F.col("later_part") & (F.length("value") > 0))
     return rows.select(
         "row_id", "start", "end", pattern.alias("pattern"), F.lower("value").alias("identifier"), "seed"
     )

@@ -106,3 +106,23 @@ def test_second_hop_patterns_become_confident(spark):
     assert {r.pattern for r in pii.confident_patterns(tokens).collect()} == {"write to", "badge number"}
     found = {r.doc_id: r.spans for r in pii.extract(frame).withColumn("spans", pii.spans_text()).collect()}
     assert found[240] == "context:13:15" and found[241] == ""
+
+
+def test_patterns_are_the_last_two_words(spark):
+    long_word = "w" * 60
+    texts = [
+        "Room 12 code X9", "a 1 2 b 3", "1 2 3 \t4", "code" + " " * 80 + "is \n" + " " * 90 + "X8", f"{long_word} {long_word} 5 ",
+        "call +1 (988) 555-2485 or pay 4111 1111 1111 1111 till 7", "ΟΔΟΣ  Σ 6",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, spans = pii.occurrences(frame)
+    rows, spans = pii.staged(rows, "rows"), pii.staged(spans, "spans")
+    found = pii.candidates(spans).join(rows, "row_id").orderBy("doc_id", "start").collect()
+    got = [[(r.pattern, r.identifier, r.seed) for r in found if r.doc_id == i] for i in range(len(texts))]
+    assert got[0] == [("^ room", "12", False), ("12 code", "x9", False)]
+    assert got[1] == [("^ a", "1", False), ("a 1", "2", False), ("2 b", "3", False)]
+    assert got[2] == [("^ ^", "1", False), ("^ 1", "2", False), ("1 2", "3", False), ("2 3", "4", False)]
+    assert got[3] == [("code is", "x8", False)]
+    assert got[4] == [(f"{long_word} {long_word}", "5", False)]
+    assert got[5] == [("^ call", "+1", True), ("or pay", "4111", True), ("1111 till", "7", False)]
+    assert got[6] == [("οδος σ", "6", False)]
