@@ -34,7 +34,7 @@ ASSIGN = re.compile(
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs of [0-9a-f]+ that are long enough
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""\b(?:https?|s3|ftp|postgres|mysql|redis|amqp)://[^\x20\x09-\x0D"'<>]+""")
 MIN_SECRET, MIN_ACCESS = 6, 20
 SCAN_SCHEMA = (

@@ -77,3 +77,15 @@ def test_redaction(spark):
         assert r.n_chars == len(r.text)
         assert all(original[a:b] not in r.text for a, _, b in spans)
         assert "[SECRET]" in r.text
+
+
+def test_long_weak_tokens(spark):
+    token = (WEAK * 13)[:300]
+    texts = [f"{KEY} {token} x", f"{KEY} {token}== x", f"{KEY} {token}=== x", f"{token} at s3://bucket/x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r[0]: r[5] for r in check(frame, list(enumerate(texts)))}
+    assert spans[0] == "access:0:20,weak:21:321"
+    assert spans[1] == "access:0:20,weak:21:323"
+    assert spans[2] == "access:0:20"
+    assert spans[3] == "weak:0:300"
+    assert token not in "".join(r.text for r in secret_scan.redact(frame.where("doc_id <> 2")).collect())
