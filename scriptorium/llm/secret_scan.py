@@ -3,10 +3,12 @@
 Base spans (assignments, access identifiers, long hex runs) are always
 reported.  Weak candidates are parts that mean little alone: random-looking
 tokens (kind ``weak``) and service addresses (kind ``endpoint``).  An interval
-join within a scope of ``scope`` code points around each part decides: a token
-is reported where an access identifier or an address stands in its scope, an
-address where both an identifier and a token or assignment do.  The join is a
-range window over a document's parts ordered by position, so no pairs are
+join decides: two parts are linked if at most ``scope`` code points lie between
+them (none where they touch or overlap).  A token is reported where it is
+linked to an access identifier or an address, an address where it is linked to
+both an identifier and a secret part (token, assignment or hex run).  The join
+is a running window over both edges of a document's parts: of the parts that
+start before the end of one's scope, the furthest end decides, so no pairs are
 emitted.
 
 Spans are code points, end exclusive, of whole texts.  Null texts count as
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,6 +31,7 @@ from scriptorium.llm.common import map_batches, staged, text_or_empty, with_row_
 
 SCOPE = 400
 KINDS = ("assign", "access", "hex", "weak", "endpoint")
+SECRET_PARTS = (0, 2, 3)
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
 )
@@ -104,16 +108,22 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak candidates of (row_id, start, kind, end) whose complementary parts stand in scope."""
-    near = Window.partitionBy("row_id").orderBy("start").rangeBetween(-scope, scope)
+    # each part counts from its start on; a weak candidate asks where its scope ends, after the parts that start there
+    own = F.struct(F.col("start").alias("at"), F.lit(False).alias("asks"))
+    asking = F.struct((F.col("end") + scope).alias("at"), F.lit(True).alias("asks"))
+    edges = F.when(F.col("kind") >= 3, F.array(own, asking)).otherwise(F.array(own))
+    placed = parts.withColumn("edge", F.explode(edges)).select("row_id", "start", "kind", "end", "edge.*")
+    so_far = Window.partitionBy("row_id").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
 
     def seen(*kinds: int):
-        return F.max(F.col("kind").isin(*kinds)).over(near)
+        furthest = F.max(F.when(~F.col("asks") & F.col("kind").isin(*kinds), F.col("end"))).over(so_far)
+        return F.coalesce(furthest >= F.col("start") - scope, F.lit(False))
 
-    marked = parts.withColumns({"access": seen(1), "address": seen(4), "hidden": seen(0, 3)})
+    marked = placed.withColumns({"access": seen(1), "address": seen(4), "hidden": seen(*SECRET_PARTS)})
     supported = F.when(F.col("kind") == 3, F.col("access") | F.col("address")).when(
         F.col("kind") == 4, F.col("access") & F.col("hidden")
     )
-    return marked.where(supported).select("row_id", "start", "kind", "end")
+    return marked.where(F.col("asks") & supported).select("row_id", "start", "kind", "end")
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -166,23 +176,21 @@ def linked_spans(text: str, scope: int = SCOPE) -> list[tuple[int, int, int]]:
     """All reported spans of one text: the rule of ``linked_parts`` on a single text."""
     base = base_spans(text)
     parts = sorted(base + weak_parts(text, base))
-    starts: dict[str, list[int]] = {
-        "access": [s for s, kind, _ in parts if kind == 1],
-        "address": [s for s, kind, _ in parts if kind == 4],
-        "hidden": [s for s, kind, _ in parts if kind in (0, 3)],
-    }
-
-    def seen(what: str, start: int) -> bool:
-        at = starts[what]
-        k = bisect.bisect_left(at, start - scope)
-        return k < len(at) and at[k] <= start + scope
-
-    def kept(start: int, kind: int) -> bool:
+    groups = {"access": (1,), "address": (4,), "hidden": SECRET_PARTS}
+    of = {what: [(s, e) for s, kind, e in parts if kind in kinds] for what, kinds in groups.items()}
+    starts = {what: [s for s, _ in spans] for what, spans in of.items()}
+    furthest = {what: list(itertools.accumulate((e for _, e in spans), max)) for what, spans in of.items()}
+
+    def seen(what: str, start: int, end: int) -> bool:
+        k = bisect.bisect_right(starts[what], end + scope)
+        return k > 0 and furthest[what][k - 1] >= start - scope
+
+    def kept(start: int, kind: int, end: int) -> bool:
         if kind == 3:
-            return seen("access", start) or seen("address", start)
-        return kind < 3 or (seen("access", start) and seen("hidden", start))
+            return seen("access", start, end) or seen("address", start, end)
+        return kind < 3 or (seen("access", start, end) and seen("hidden", start, end))
 
-    return [p for p in parts if kept(p[0], p[1])]
+    return [p for p in parts if kept(*p)]
 
 
 def masked(text: str | None, scope: int, mark: str) -> tuple[str | None, bool]:

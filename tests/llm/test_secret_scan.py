@@ -89,3 +89,30 @@ def test_long_weak_tokens(spark):
     assert spans[2] == "access:0:20"
     assert spans[3] == "weak:0:300"
     assert token not in "".join(r.text for r in secret_scan.redact(frame.where("doc_id <> 2")).collect())
+
+
+def slow_links(text, scope=secret_scan.SCOPE):
+    """All pairs of intervals, by the characters between them."""
+    base = secret_scan.base_spans(text)
+    parts = sorted(base + secret_scan.weak_parts(text, base))
+    found = []
+    for a, kind, b in parts:
+        near = {k for c, k, d in parts if max(c - b, a - d, 0) <= scope}
+        secret = bool(near & {0, 2, 3})
+        if kind < 3 or (kind == 3 and near & {1, 4}) or (kind == 4 and 1 in near and secret):
+            found.append((a, kind, b))
+    return secret_scan.joined(found)
+
+
+def test_links_by_the_gap_between_parts(spark):
+    url, filler, random = "https://h.example/" + "p" * 600, " -" * 195, __import__("random").Random(3)
+    texts = [f"{url} {KEY} {WEAK}", f"token={'x' * 500} {url} {KEY}", f"{KEY} {'0a' * 20} https://h.example/x"]
+    texts += [f"{KEY}{' ' * n}{WEAK}" for n in (400, 401)] + [f"{WEAK}{' ' * n}{KEY}" for n in (400, 401)]
+    pieces = [url, KEY, WEAK, WEAK * 20, filler, filler, "secret=" + "y" * 450, "0a" * 300, "s3://b/k"]
+    texts += [" ".join(random.choice(pieces) for _ in range(random.randrange(2, 12))) for _ in range(150)]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r[0]: r[5] for r in check(frame, rows)}
+    assert spans == {i: slow_links(t) for i, t in rows}
+    assert "endpoint" in spans[0] and "weak" in spans[0] and "endpoint" in spans[1] and "endpoint" in spans[2]
+    assert ["weak" in spans[i] for i in range(3, 7)] == [True, False, True, False]
