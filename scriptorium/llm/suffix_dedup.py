@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import map_batches, staged, text_or_empty
@@ -186,21 +186,32 @@ def repeats(
     return most, least
 
 
-def _document_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Documents -> (gram, ord), each anchor of a document once."""
+def unrepeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without rows equal in ord and tag (so in text) to the row before: their anchors and marks would be the same."""
+    last = None
     for batch in batches:
+        keys = list(zip(batch.column("ord").to_pylist(), batch.column("tag").to_pylist(), strict=True))
+        fresh = [k != before for k, before in zip(keys, [last, *keys], strict=False)]
+        last = keys[-1] if keys else last
+        yield batch if all(fresh) else batch.filter(pa.array(fresh, pa.bool_()))
+
+
+def _document_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Documents -> (gram, ord, part), each anchor of a document once."""
+    for batch in unrepeated(batches):
         texts = batch.column("text")
         grams = [np.unique(anchors(np.frombuffer(t.as_buffer(), dtype=np.uint8), length)[1]) for t in texts]
-        orders = np.repeat(batch.column("ord").to_numpy(), [len(g) for g in grams])
-        if len(orders):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(orders)], ["gram", "ord"])
+        sizes = [len(g) for g in grams]
+        if sum(sizes):
+            keys = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("ord", "part")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), *keys], ["gram", "ord", "part"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Documents with ``grams`` -> the contexts of the anchors among these."""
     left = length - GRAM
     names = [f.split()[0] for f in CONTEXT.split(", ")]
-    for batch in batches:
+    for batch in unrepeated(batches):
         for order, tag, text, grams in zip(*[batch.column(c) for c in ("ord", "tag", "text", "grams")], strict=True):
             data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
             place, gram = anchors(data, length)
@@ -304,6 +315,11 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names[: len(columns) + 1])
 
 
+def _part(text_hash: str) -> Column:
+    """Divides the one order that all documents without an id share: their text's hash, 0 for other documents."""
+    return F.when(F.col("ord") == LAST, F.col(text_hash)).otherwise(0).cast("long")
+
+
 def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, ``with_text``)."""
     text = text_or_empty()
@@ -312,34 +328,37 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),
         F.xxhash64(text).alias("th"),
         F.encode(text, "UTF-8").alias("text"),
-    )
+    ).withColumn("part", _part("th"))
     # documents equal to an earlier one; a tag tells apart different texts of one doc_id (0: there is one only)
     known = texts.select("ord", "th", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("n"))
     known = staged(known, "document-hashes")
     first = known.groupBy("sha").agg(F.min("ord").alias("first"))
     known = known.join(first, "sha").withColumn("copy", (F.col("ord") > F.col("first")) & (F.col("n") >= length))
     known = known.groupBy("ord", "th").agg(F.max("n").alias("n"), F.bool_and("copy").alias("copy"))
-    texts_of = Window.partitionBy("ord")
-    known = known.withColumn("tag", F.when(F.count("*").over(texts_of) > 1, F.col("th")).otherwise(0).cast("long"))
+    texts_of = Window.partitionBy("ord", _part("th"))  # documents without an id are not gathered, each has its tag
+    several = (F.col("ord") == LAST) | (F.count("*").over(texts_of) > 1)
+    known = known.withColumn("tag", F.when(several, F.col("th")).otherwise(0).cast("long"))
     known = staged(known, "document-copies")
     whole = known.where("copy").select("ord", "tag", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
-    needed = known.where("NOT copy").select("ord", "tag")
-    # The three joins below read all of ``texts`` by ord, so that Spark moves the texts once and reuses the exchange.
+    needed = known.where("NOT copy").select("ord", _part("th").alias("part"), "tag")
+    # The three joins below read all of ``texts`` by ord and part, so that Spark moves the texts once and reuses the exchange.
+    key = ["ord", "part"]
     mine = (F.col("tag") == 0) | (F.col("tag") == F.col("th"))
-    asked = texts.join(needed, "ord").where(mine).select("doc_id", "ord", "th", "text")
+    asked = texts.join(needed, key).where(mine).select("doc_id", "ord", "part", "th", "text", "tag")
     # anchors of more than one document, per document
-    grams = map_batches(asked, lambda it: _document_anchors(it, length), "gram long, ord long")
+    grams = map_batches(asked, lambda it: _document_anchors(it, length), "gram long, ord long, part long")
     everywhere = Window.partitionBy("gram")
     shared = grams.withColumns({"low": F.min("ord").over(everywhere), "high": F.max("ord").over(everywhere)})
-    wanted = shared.where("low < high").groupBy("ord").agg(F.collect_list("gram").alias("grams"))
+    wanted = shared.where("low < high").groupBy(*key).agg(F.collect_list("gram").alias("grams"))
     # their contexts, sorted; the stretches found, per document
-    wanted = needed.join(wanted, "ord")
-    asked = texts.join(wanted, "ord").where(mine).select("doc_id", "ord", "th", "text", "tag", "grams")
+    wanted = needed.join(wanted, key)
+    asked = texts.join(wanted, key).where(mine).select("doc_id", "ord", "part", "th", "text", "tag", "grams")
     contexts = map_batches(asked, lambda it: _contexts(it, length), CONTEXT)
     gram = F.substring("context", length - GRAM + 1, GRAM)
     ordered = contexts.repartition(gram).sortWithinPartitions(gram, "context", "before", "after", "ord")
     marks = map_batches(ordered, lambda it: _marks(it, length), MARK).unionByName(whole)
-    per_document = marks.groupBy("ord").agg(F.collect_list(F.struct("tag", "start", "end")).alias("marks"))
-    joined = texts.join(per_document, "ord", "left").select("doc_id", "ord", "th", "text", "marks")
+    marks = marks.withColumn("part", _part("tag"))
+    per_document = marks.groupBy(*key).agg(F.collect_set(F.struct("tag", "start", "end")).alias("marks"))
+    joined = texts.join(per_document, key, "left").select("doc_id", "ord", "part", "th", "text", "marks")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return map_batches(joined, lambda it: _cut(it, with_text), schema + (", kept binary" if with_text else ""))

@@ -78,3 +78,27 @@ def test_kept_bytes(spark):
     frame = spark.createDataFrame([(1, shared), (2, "before " + shared + " after")], "doc_id long, text string")
     kept = {r.doc_id: bytes(r.kept) for r in suffix_dedup.deduplicate(frame, with_text=True).collect()}
     assert kept == {1: shared.encode(), 2: b"before  after"}
+
+
+def test_rows_without_ids_meet_only_their_own_text(spark, monkeypatch):
+    """No join pairs the texts of rows that share a null doc_id, and each gets its own marks only."""
+    rng = random.Random(4)
+    shared = ["".join(rng.choice("abcdef ") for _ in range(70)) for _ in range(4)]
+    rows = [(k, f"{k} {p} {k}") for k, p in enumerate(shared)]
+    rows += [(None, f"{k} {shared[k % 4]} {rng.random()} {'z' * (k % 3)}") for k in range(40)]
+    rows += rows[-3:] * 3 + [(7, "x" + shared[0]), (7, "y" + shared[1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = suffix_dedup.map_batches
+
+    def counted(df, function, schema):
+        seen.append((df, df.columns))
+        return real(df, function, schema)
+
+    monkeypatch.setattr(suffix_dedup, "map_batches", counted)
+    check(frame, rows)
+    searched, asked, _, cut = [df for df, _ in seen]
+    distinct = len({(i, t) for i, t in rows})
+    assert searched.select("ord", "th").distinct().count() == distinct and searched.count() == len(rows)
+    assert max(len(r.marks or ()) for r in cut.select("marks").collect()) <= 4
+    assert max(len(r.grams) for r in asked.select("grams").collect()) <= 40
