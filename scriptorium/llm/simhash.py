@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import map_batches, staged, text_or_empty
+from scriptorium.llm.common import map_batches, staged, text_or_empty, with_row_id
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -199,11 +199,11 @@ def components(edges: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, shingle: int, max_bits: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): the fingerprint of each row, and the first row of each fingerprint's component.
 
-    ``first`` holds the smallest doc_id of the component and, among rows that
-    share it, the smallest text hash; it is null where no row has a doc_id.
+    ``first`` holds the smallest doc_id of the component, null only where no
+    row has one, and the smallest text hash among rows that share it.
     """
     rows = staged(fingerprints(docs, shingle), "fingerprints")
-    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
     distinct = rows.groupBy("fp").agg(F.min(named).alias("first_row"))
     found = components(links(distinct.select("fp"), max_bits, block))
     owned = distinct.join(found, distinct.fp == found.node, "left").select(
@@ -240,7 +240,7 @@ def keep_one_per_component(
     as a component's member and stay.
     """
     _, labels = labelled(docs, shingle, max_bits, block)
-    kept = labels.where("first IS NOT NULL").select("first.doc_id", "first.th").distinct().toDF("kept_id", "kept_th")
+    kept = labels.where("first.doc_id IS NOT NULL").select("first.doc_id", "first.th").distinct().toDF("kept_id", "kept_th")
     prefix = "th_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
@@ -249,3 +249,26 @@ def keep_one_per_component(
         kept, (hashed["doc_id"].cast("long") == kept["kept_id"]) & (hashed[prefix] == kept["kept_th"]), "left_semi"
     ).dropDuplicates(["doc_id", prefix])
     return named.drop(prefix).unionByName(docs.where(docs["doc_id"].isNull()))
+
+
+def keep_one_row_per_component(
+    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK
+) -> DataFrame:
+    """Exactly one row of each component, with all of docs' columns.
+
+    The one of smallest doc_id (rows without one come last), then of smallest
+    text hash, then the first as the rows were numbered.  Unlike
+    ``keep_one_per_component``, rows without a doc_id are members like any other.
+    """
+    prefix = "row_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    th, number = f"{prefix}th", f"{prefix}number"
+    numbered = with_row_id(docs.withColumn(th, F.xxhash64(text_or_empty())), number)
+    numbered = staged(numbered, "numbered-documents")
+    _, labels = labelled(numbered, shingle, max_bits, block)
+    kept = labels.select("first.doc_id", "first.th").distinct().toDF(f"{prefix}id", f"{prefix}kept")
+    # rows of one doc_id and text are of one component, so the least number of each pair is one row of it
+    keys = numbered.groupBy(F.col("doc_id").cast("long").alias("doc_id"), th).agg(F.min(number).alias(number))
+    same = keys["doc_id"].eqNullSafe(kept[f"{prefix}id"]) & (keys[th] == kept[f"{prefix}kept"])
+    return numbered.join(keys.join(kept, same, "left_semi").select(number), number, "left_semi").drop(th, number)

@@ -117,3 +117,20 @@ def test_one_of_each_component_stays(spark, edge_docs):
     component = {r.doc_id: r.component_id for r in simhash.near_duplicates(edge_docs).collect()}
     assert ids == sorted(i for i, c in component.items() if i is not None and i == c)
     assert kept.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_one_row_of_each_component_with_null_ids(spark, edge_docs):
+    import corpus_pipeline
+
+    first, second = "one text about rivers and the towns along them", "quite another text, on glass and how it breaks"
+    rows = [(None, first), (None, first), (None, first + "!"), (4, second), (None, second), (4, second), (None, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = slow_components([slow_fingerprint(t) for _, t in rows])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()]
+    assert sorted(groups[slow_fingerprint(t)] for _, t in kept) == sorted(set(groups.values()))
+    assert [i for i, t in kept if t == second] == [4]
+    stage = corpus_pipeline.near_duplicate_stage(spark, edge_docs, "")
+    members = [slow_fingerprint(r.text) for r in edge_docs.collect()]
+    groups = slow_components(members)
+    assert stage.columns == edge_docs.columns
+    assert sorted(groups[slow_fingerprint(r.text)] for r in stage.collect()) == sorted(set(groups.values()))
