@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, imatch, mixing, pii, quality, secret_scan, simhash, suffix_dedup, topk, warc
+from scriptorium.llm import (
+    bpe, codebook, imatch, langid, mixing, pii, quality, runs, secret_scan, simhash, sql, suffix_dedup, topk, warc,
+)
 from scriptorium.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +69,30 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document (each tenth with a periodic tail) and the text without repeats."""
+    found = runs.word_runs(runs.with_periodic_tails(table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", runs.longest_run())
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs.run_lines(), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; texts beyond a centroid's radius are marked, not renamed."""
+    return langid.identify(table(spark, sf_dir, "documents"), und_if_rejected=False)
+
+
+def op13_value_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector by learned codebooks."""
+    return codebook.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -110,10 +136,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_mix_sources, op2_bpe_codec, op3_warc_round_trip, op4_quality_cnn, op5_exact_top_k, op6_secret_scan,
-        op7_suffix_dedup, op8_pii_bootstrap, op9_imatch, op10_simhash_components, pipeline,
+        op7_suffix_dedup, op8_pii_bootstrap, op9_imatch, op10_simhash_components, op11_word_runs,
+        op12_nearest_centroid, op13_value_dictionaries, pipeline,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_round_trip": SQL_WARC, "op5_exact_top_k": SQL_TOP_K}
+    return {
+        "op3_warc_round_trip": SQL_WARC, "op5_exact_top_k": SQL_TOP_K,
+        "op11_word_runs": sql.RUNS, "op13_value_dictionaries": sql.CODES,
+    }

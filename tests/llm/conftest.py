@@ -32,13 +32,13 @@ EDGE = [
 
 
 @pytest.fixture(scope="session")
-def edge_docs(spark):
-    return make_docs(spark, EDGE).cache()
+def edge_docs(spark):  # nothing is cached here: Spark would plan the library's queries on the cached tables
+    return make_docs(spark, EDGE)
 
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+    return spark.read.parquet(f"{SF}/documents.parquet")
 
 
 @pytest.fixture(scope="session")

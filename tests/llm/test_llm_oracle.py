@@ -11,7 +11,7 @@ from scriptorium.llm import queries
 def test_query_matches_sql(spark, name):
     found = queries.queries()[name](spark, SF_SMALL)
     con = duckdb.connect()
-    for table in ("pages", "embeddings"):
+    for table in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF_SMALL}/{table}.parquet')")
     cursor = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]

@@ -7,16 +7,17 @@ SF_SMALL = "/root/testdata/sf0.001"
 from pyspark.sql import functions as F
 
 from scriptorium.llm import mixing, quality, secret_scan
+from scriptorium.llm.common import staged
 from tests.llm.test_bpe import expected as encoded
 from tests.llm.test_simhash import slow_components, slow_fingerprint
 
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    held = docs.cache()
+    held = docs
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
-        result = stage(spark, held, SF_SMALL).cache()
+        result = staged(stage(spark, held, SF_SMALL), "pipeline-test")
         if name != "bpe_encoding":
             assert result.columns == docs.columns
         seen[name] = (held, result)
@@ -68,5 +69,5 @@ def test_names():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
