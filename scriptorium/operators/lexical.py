@@ -74,6 +74,43 @@ def term_frequency(
     )
 
 
+def term_hits(
+    df: DataFrame,
+    words: Sequence[str] = (),
+    column: str = "abstract",
+    year_col: str = "year",
+    labelled: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """What ``term_frequency`` divides, in a form that adds up: per year the number of texts
+    (``n_docs``) and, by word position, how many of them match (``hits``)."""
+    table = word_table(words, labelled)
+    base = df.select(F.col(year_col).cast("int").alias("year"), F.lower(F.col(column)).alias("_lc")).where(F.col("year").isNotNull())
+    found = base.groupBy("year").agg(F.count("_lc").alias("n_docs"), *[F.count_if(F.col("_lc").rlike(p)).alias(f"f{i}") for i, p, _ in table])
+    return found.select("year", "n_docs", F.array(*[f"f{i}" for i, _, _ in table]).alias("hits"))
+
+
+def add_hits(hits: DataFrame) -> DataFrame:
+    """The sum per year of any number of ``term_hits`` results of the same words, stacked."""
+    rows = hits.select("year", "n_docs", F.posexplode("hits").alias("slot", "n"))
+    per_word = rows.groupBy("year", "slot").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    return per_word.groupBy("year").agg(
+        F.max("n_docs").alias("n_docs"), F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda s: s["n"]).alias("hits")
+    )
+
+
+def frequency_of_hits(hits: DataFrame, words: Sequence[str] = (), labelled: Mapping[str, str] | None = None) -> DataFrame:
+    """``term_frequency`` of all texts counted in ``hits`` (one row per year, see ``add_hits``)."""
+    table = word_table(words, labelled)
+    long = hits.select("year", "n_docs", F.posexplode("hits").alias("word_pos", "n"))
+    return long.select(
+        "word_pos",
+        F.element_at(F.array(*[F.lit(p) for _, p, _ in table]), F.col("word_pos") + 1).alias("word"),
+        F.element_at(F.array(*[F.lit(lab) for _, _, lab in table]), F.col("word_pos") + 1).alias("label"),
+        "year",
+        F.when(F.col("n_docs") > 0, F.col("n") / F.col("n_docs")).alias("freq"),
+    )
+
+
 def chronology(tf: DataFrame) -> DataFrame:
     """Add ``chrono_score``: centre-of-mass year of each word's cubed, max-normalised series.
 
@@ -158,7 +195,11 @@ def freq_series(
 
     Columns: ``word_pos, word, label, year, freq, smoothed, chrono_score, chrono_rank``.
     """
-    tf = term_frequency(df, words, column=column, year_col=year_col, labelled=labelled)
+    return series_of(term_frequency(df, words, column=column, year_col=year_col, labelled=labelled), keep_order)
+
+
+def series_of(tf: DataFrame, keep_order: bool = False) -> DataFrame:
+    """A frequency table with its smoothed curves and the order of the words."""
     return chrono_rank(smooth(chronology(tf)), keep_order=keep_order)
 
 

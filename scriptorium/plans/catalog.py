@@ -325,6 +325,15 @@ def q_export_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exported(spark, sf_dir, out)
 
 
+def q_export_after_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + S8 + J8: a flat corpus folder (every document) that exports add to and write over; every paper stays."""
+    out = scratch_dir(spark, "corpus")
+    corpus.write_corpus(_corpus_rows(spark, sf_dir), out)
+    _export(spark, sf_dir, out)
+    _export(spark, sf_dir, out, overwrite=True)
+    return corpus.read_corpus(spark, out)
+
+
 def q_exported_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8 + S9: the classified sections of exported papers with their refs, read back from the corpus."""
     out = scratch_dir(spark, "corpus")
@@ -546,6 +555,18 @@ def q_stream_append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv_edge(incremental.read_results(spark, out))
 
 
+def q_stream_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 + A5: documents land in three rounds; their term counts are added up and give the flagship series."""
+    land, out, ckpt = (scratch_dir(spark, f"terms-{name}") for name in ("land", "out", "ckpt"))
+    docs = fx.documents_with_year(spark, sf_dir).select("doc_id", "year", "text")
+    for k in range(3):
+        docs.where(F.col("doc_id") % 3 == k).write.mode("append").parquet(land)
+        stream = spark.readStream.schema(docs.schema).parquet(land)
+        incremental.stream_term_counts(spark, stream, out, ckpt, TF_WORDS, TF_LABELLED, column="text").awaitTermination()
+    s = lexical.series_of(incremental.read_term_frequency(spark, out))
+    return s.select("word", "label", "year", _r6("freq"), _r6("smoothed"), _r6("chrono_score"), "chrono_rank")
+
+
 # --- storage round trips -------------------------------------------------------------
 
 
@@ -611,6 +632,8 @@ def queries() -> dict[str, QueryFn]:
         "export_overwrite": q_export_overwrite,
         "export_failed": q_export_failed,
         "export_resume": q_export_resume,
+        "export_after_flat": q_export_after_flat,
+        "stream_term_frequency": q_stream_term_frequency,
         "exported_sections": q_exported_sections,
         "paper_xml_sections": q_paper_xml_sections,
         "paper_xml_parts": q_paper_xml_parts,

@@ -1048,7 +1048,14 @@ SELECT CAST(d.doc_id AS VARCHAR) AS item_key, '10.1/' || md5(d.text) AS doi, spl
 FROM documents d JOIN segs ON segs.item_key = d.doc_id
 """
 
-_ORACLE_SECTIONS.update({"stream_corpus": STREAM_CORPUS, "stream_append_results": MERGE_DUPLICATES})
+EXPORT_AFTER_FLAT = f"""
+SELECT * FROM ({STREAM_CORPUS}) UNION ALL BY NAME SELECT * EXCLUDE (year) FROM ({EXPORT_CORPUS})
+"""
+
+_ORACLE_SECTIONS.update({
+    "stream_corpus": STREAM_CORPUS, "stream_append_results": MERGE_DUPLICATES, "stream_term_frequency": TERM_FREQUENCY,
+    "export_after_flat": EXPORT_AFTER_FLAT,
+})
 
 
 # --- storage round trips -------------------------------------------------------------

@@ -7,17 +7,24 @@ figures, tables with cells, formulas, and ``text_segments`` with one ``<segments
 type=..>`` element per segment.  Explicit schemas everywhere: inference would
 read a section number ``1.`` as the double 1.0.
 
-A corpus that an export keeps up to date is partitioned by a hash of the key,
-so replacing papers rewrites only the buckets they are in.
+A corpus that exports keep up to date grows by generations (``generations``):
+each export is a sub-folder that becomes visible when it has been written.
+Papers written over others stand in a generation that says so, and readers take
+each of its keys from there.  Nothing is rewritten or deleted, so an export that
+dies leaves the corpus as it was.  XML files that stand directly in the folder
+(one per paper or many per file), or in the bucket folders of earlier versions,
+are read as what came before the first generation.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.segments import SEGMENT_TYPES, segment_column
-from scriptorium.session import scratch_dir
+from scriptorium.sources import generations
 
 ROW_TAG = "paper"
 ROOT_TAG = "papers"
@@ -37,9 +44,9 @@ CORPUS_SCHEMA = (
     f"{PARTS_XML}, text_segments struct<segments:array<struct<_type:string, _VALUE:string>>>"
 )
 PAPER_XML_SCHEMA = f"_item_key string, {PARTS_XML}"
-# Hash buckets an exported corpus is partitioned into.
-CORPUS_BUCKETS = 64
-BUCKET = "bucket"
+# Files outside of generations: directly in the folder, or in folders of a hash of the key.
+LOOSE = {False: ("*.xml*", r"[^_.].*\.xml"), True: ("bucket=*/*.xml*", r"bucket=")}
+GENERATION = "_generation"
 
 
 def _texts(c: str):
@@ -156,42 +163,54 @@ def write_corpus(papers: DataFrame, path: str, mode: str = "append") -> None:
     papers.write.format("xml").option("rowTag", ROW_TAG).option("rootTag", ROOT_TAG).mode(mode).save(path)
 
 
-def _bucketed(papers: DataFrame, buckets: int) -> DataFrame:
-    return papers.withColumn(BUCKET, F.pmod(F.xxhash64("_zoteroID"), F.lit(buckets)).cast("int"))
+def add_papers(papers: DataFrame, path: str) -> None:
+    """Append papers whose keys the corpus does not have yet."""
+    generations.add(papers.sparkSession, path, lambda folder: write_corpus(papers, folder))
 
 
-def _write_buckets(papers: DataFrame, path: str, replace: bool) -> None:
-    writer = papers.write.format("xml").option("rowTag", ROW_TAG).option("rootTag", ROOT_TAG).partitionBy(BUCKET)
-    if replace:  # only the buckets that the rows are in
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.mode("overwrite" if replace else "append").save(path)
+def replace_papers(papers: DataFrame, path: str) -> None:
+    """Write papers over those of the same key; other papers stay as they are."""
+    generations.add(papers.sparkSession, path, lambda folder: write_corpus(papers, folder), {"replaces": True})
 
 
-def add_papers(papers: DataFrame, path: str, buckets: int = CORPUS_BUCKETS) -> None:
-    """Append papers whose keys the corpus does not have yet."""
-    _write_buckets(_bucketed(papers, buckets), path, replace=False)
+def _key() -> F.Column:
+    return F.coalesce(F.col("_zoteroID"), F.regexp_replace(F.col("_file"), r"\.xml$", ""))
 
 
-def replace_papers(papers: DataFrame, path: str, buckets: int = CORPUS_BUCKETS) -> None:
-    """Write papers over those of the same key; other papers of their buckets are carried over.
+def _read_xml(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    number = F.regexp_extract(F.col("_metadata.file_path"), f"/{generations.PREFIX}(\\d+)/[^/]*$", 1)
+    return (
+        spark.read.format("xml").option("rowTag", ROW_TAG).schema(schema).load(paths)
+        .withColumns({"_file": F.col("_metadata.file_name"), GENERATION: F.coalesce(number.try_cast("int"), F.lit(0))})
+    )
 
-    The new buckets are written to the scratch folder first, since they are made from
-    the files they replace.
-    """
-    spark = papers.sparkSession
-    new = _bucketed(papers, buckets)
-    old = spark.read.format("xml").option("rowTag", ROW_TAG).schema(f"{CORPUS_SCHEMA}, {BUCKET} int").load(path)
-    kept = old.join(new.select(BUCKET).distinct(), BUCKET, "left_semi").join(new.select("_zoteroID"), "_zoteroID", "left_anti")
-    staged = scratch_dir(spark, "corpus-buckets")
-    kept.unionByName(new).write.parquet(staged)
-    _write_buckets(spark.read.parquet(staged), path, replace=True)
+
+def _visible(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The corpus rows that count, with file name and generation; None where nothing has been written."""
+    root = path.rstrip("/")
+    if not generations.is_folder(spark, root):  # a file or a pattern
+        return _read_xml(spark, [path], schema) if any(c in path for c in "*?[{") or root.endswith(".xml") else None
+    standing = generations.entries(spark, root)
+    paths = [f"{root}/{glob}" for folder, (glob, name) in LOOSE.items() if any(f == folder and re.match(name, n) for n, f in standing)]
+    found = generations.live(spark, root)
+    paths += [g.path for g in found]
+    if not paths:
+        return None
+    rows = _read_xml(spark, paths, schema)
+    replacing = [g.path for g in found if g.note.get("replaces")]
+    if not replacing:
+        return rows
+    newest = _read_xml(spark, replacing, "_zoteroID string").groupBy(_key().alias("_newest_key")).agg(F.max(GENERATION).alias("_newest"))
+    joined = rows.join(newest, _key() == F.col("_newest_key"), "left")
+    return joined.where(F.col("_newest").isNull() | (F.col(GENERATION) >= F.col("_newest"))).drop("_newest_key", "_newest")
 
 
 def read_corpus_raw(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.format("xml").option("rowTag", ROW_TAG).schema(CORPUS_SCHEMA).load(path)
-        .withColumn("_file", F.col("_metadata.file_name"))
-    )
+    """The papers of a corpus folder as ``CORPUS_SCHEMA``, with the name of their file."""
+    rows = _visible(spark, path, CORPUS_SCHEMA)
+    if rows is None:
+        raise FileNotFoundError(f"no corpus at {path}")
+    return rows.drop(GENERATION)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -207,9 +226,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
             lambda s: F.struct(s["_type"], F.coalesce(s["_VALUE"], F.lit(""))),
         )
     )
-    stem = F.regexp_replace(F.col("_file"), r"\.xml$", "")
     cols = [
-        F.coalesce(F.col("_zoteroID"), stem).alias("item_key"),
+        _key().alias("item_key"),
         F.col("_DOI").alias("doi"),
         F.col("_title").alias("title"),
         F.col("_path").alias("path"),
@@ -224,9 +242,5 @@ def exported_keys(spark: SparkSession, path: str) -> DataFrame | None:
 
     Only the key attribute is asked of the reader; texts are skipped over.
     """
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return None
-    raw = spark.read.format("xml").option("rowTag", ROW_TAG).schema("_zoteroID string").load(path)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.xml$", "")
-    return raw.select(F.coalesce(F.col("_zoteroID"), stem).alias("item_key"))
+    rows = _visible(spark, path, "_zoteroID string")
+    return None if rows is None else rows.select(_key().alias("item_key"))
