@@ -49,7 +49,7 @@ BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
 CENTROIDS = 4
 SAMPLE_PER_LANG = 600
-RANK_PARTS = 64
+RANK_PARTS = (4096, 256, 16, 4, 1)
 ROUNDS = 12
 LEAST_SHARE = 0.05
 REACH = 1.2
@@ -144,16 +144,16 @@ def inverse_frequencies(learning: DataFrame) -> np.ndarray:
 def learning_sample(learning: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     """(lang, th, text): per language the different texts of least hash.
 
-    Only hashes are ranked, within parts of a language first, so that no task
-    ranks more than a part of it or ``RANK_PARTS`` x ``per_lang`` hashes.  Texts
-    are fetched for the chosen ones, one of each; these are languages x
-    ``per_lang`` pairs at most, so they are broadcast and no text is moved that
-    is not in the sample.
+    Only hashes are ranked, first within small parts of a language, then within
+    ever larger ones: a task ranks a 4096th of a language, or 16 x ``per_lang``
+    hashes.  Texts are fetched for the chosen ones, one of each; these are
+    languages x ``per_lang`` pairs at most, so they are broadcast and no text is
+    moved that is not in the sample.
     """
     keyed = learning.withColumn("th", F.xxhash64("text"))
-    chosen = keyed.select("lang", "th").distinct().withColumn("part", F.pmod("th", F.lit(RANK_PARTS)))
-    for group in (["lang", "part"], ["lang"]):
-        ranked = Window.partitionBy(*group).orderBy("th")
+    chosen = keyed.select("lang", "th").distinct()
+    for parts in RANK_PARTS:
+        ranked = Window.partitionBy("lang", F.pmod("th", F.lit(parts))).orderBy("th")
         chosen = chosen.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_lang)
     chosen = F.broadcast(chosen.select("lang", "th"))
     return keyed.join(chosen, ["lang", "th"], "left_semi").groupBy("lang", "th").agg(F.min("text").alias("text"))
