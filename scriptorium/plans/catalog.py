@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import lexical, merge, search
+from scriptorium.operators import lexical, matching, merge, search
 from scriptorium.operators import library as libops
 from scriptorium.operators import sections as secops
 from scriptorium.operators import segments as segops
@@ -385,6 +385,12 @@ def q_import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*RECORD_OUT)
 
 
+def q_best_match_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with subtitles and misspelt titles find their works by similarity, the best one wins."""
+    filled = matching.fill_best_doi(fx.cited_records(spark, sf_dir), fx.works(spark, sf_dir))
+    return filled.select("seq", "title", "doi", "match_score")
+
+
 def q_import_generic_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + P5: a CSV with the record columns already in place; year and citations become numbers."""
     path = scratch_dir(spark, "generic-csv")
@@ -632,6 +638,7 @@ def queries() -> dict[str, QueryFn]:
         "export_overwrite": q_export_overwrite,
         "export_failed": q_export_failed,
         "export_resume": q_export_resume,
+        "best_match_doi": q_best_match_doi,
         "export_after_flat": q_export_after_flat,
         "stream_term_frequency": q_stream_term_frequency,
         "exported_sections": q_exported_sections,

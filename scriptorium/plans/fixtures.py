@@ -393,6 +393,26 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records cited from memory, none with a DOI.
+
+    By ``doc_id % 4`` the title is as it is, has a subtitle, has its first word
+    misspelt, or lacks its last word; authors come with a surname, every fifth
+    publication is missing, every third year is one too late.
+    """
+    d = table(spark, sf_dir, "documents")
+    i, line = F.col("doc_id"), first_line(F.col("text"))
+    title = (
+        F.when(i % 4 == 1, F.concat(line, F.lit(": a view from "), F.col("source"), F.lit(" and beyond")))
+        .when(i % 4 == 2, F.concat(F.lit("q"), line)).when(i % 4 == 3, F.regexp_replace(line, "[^ ]+$", "")).otherwise(line)
+    )
+    return d.select(
+        F.lit(None).cast("string").alias("doi"), title.alias("title"), F.concat(F.col("source"), F.lit(" Smith")).alias("first_author"),
+        F.when(i % 5 != 0, F.col("lang")).alias("publication"), (doc_year(i) + F.when(i % 3 == 0, 1).otherwise(0)).cast("int").alias("year"),
+        i.alias("seq"),
+    )
+
+
 def _docs_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     c = table(spark, sf_dir, "customer")

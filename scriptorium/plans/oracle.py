@@ -850,6 +850,45 @@ SELECT coalesce(rec.doi, works.w) AS doi, title, first_author, authors, publicat
 FROM rec LEFT JOIN works ON rec.doi IS NULL AND works.t = lower(trim(rec.title)) AND works.a = lower(trim(rec.first_author)) AND works.y = rec.year
 """
 
+def _words(c: str) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]+')))"
+
+
+def _variants(c: str) -> str:
+    return f"list_distinct(list_filter([{_words(c)}, {_words(f"regexp_replace({c}, '[:\u2013\u2014].*$', '', 's')")}], lambda s: len(s) > 0))"
+
+
+def _jaccard(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"(CASE WHEN len({a}) + len({b}) = 0 THEN 0 ELSE 1000 * {both} // (len({a}) + len({b}) - {both}) END)"
+
+
+# all pairs of records and works
+BEST_MATCH_DOI = f"""
+WITH r AS (
+  SELECT doc_id AS seq, CASE doc_id % 4 WHEN 1 THEN t || ': a view from ' || source || ' and beyond' WHEN 2 THEN 'q' || t WHEN 3 THEN regexp_replace(t, '[^ ]+$', '') ELSE t END AS title,
+    source || ' Smith' AS author, CASE WHEN doc_id % 5 <> 0 THEN lang END AS publication,
+    2000 + doc_id % 25 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS year
+  FROM (SELECT *, split_part(text, chr(10), 1) AS t FROM documents)
+), w AS (
+  SELECT split_part(text, chr(10), 1) AS title, source AS author, lang AS publication, 2000 + doc_id % 25 AS year, '10.1/' || md5(text) AS doi
+  FROM documents WHERE doc_id % 2 = 0
+), rs AS (
+  SELECT seq, year, {_words("author")} AS a, {_words("publication")} AS p, unnest({_variants("title")}) AS s FROM r
+), ws AS (
+  SELECT DISTINCT doi, year, {_words("author")} AS a, {_words("publication")} AS p, unnest({_variants("title")}) AS s FROM w
+), sets AS (
+  SELECT x.s AS xs, y.s AS ys, {_jaccard("x.s", "y.s")} AS sim FROM (SELECT DISTINCT s FROM rs) x, (SELECT DISTINCT s FROM ws) y
+), scored AS (
+  SELECT rs.seq, ws.doi, 6 * sim + 2 * {_jaccard("rs.a", "ws.a")} + {_jaccard("rs.p", "ws.p")}
+    + CASE abs(rs.year - ws.year) WHEN 0 THEN 1000 WHEN 1 THEN 500 ELSE 0 END AS score
+  FROM sets JOIN rs ON rs.s = xs JOIN ws ON ws.s = ys WHERE sim >= 600
+), best AS (
+  SELECT seq, doi, score FROM scored QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, doi) = 1
+)
+SELECT r.seq, r.title, best.doi, CAST(best.score AS INTEGER) AS match_score FROM r LEFT JOIN best USING (seq)
+"""
+
 RESULTS_CSV = f"""
 WITH {PAPERS_CTE},
 b AS ({_BLANKED} FROM papers),
@@ -913,6 +952,7 @@ _ORACLE_SECTIONS.update({
     "import_generic_csv": IMPORT_GENERIC_CSV,
     "corrupt_records": CORRUPT_RECORDS,
     "import_csv": IMPORT_CSV,
+    "best_match_doi": BEST_MATCH_DOI,
     "results_csv": RESULTS_CSV,
     "normalize_scopus": NORMALIZE_SCOPUS,
     "normalize_pubmed": NORMALIZE_PUBMED,
