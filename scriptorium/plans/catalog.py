@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import lexical, matching, merge, search
+from scriptorium.operators import lexical, matching, merge, search, textindex
 from scriptorium.operators import library as libops
 from scriptorium.operators import sections as secops
 from scriptorium.operators import segments as segops
@@ -100,6 +100,23 @@ def q_search_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv_edge(merge.merge_duplicates(hits.drop("period")), ("doi", "title", "first_author", "year", "source", "query"))
 
 
+def q_search_papers_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index that the papers were added to in two parts."""
+    root, p = scratch_dir(spark, "papers-index"), fx.papers(spark, sf_dir)
+    for k in range(2):
+        textindex.add_records(p.where(F.col("seq") % 2 == k), root, ["title", "abstract"])
+    hits = textindex.search_papers(spark, root, "the of", min_year=2003, max_year=2018, max_per_year=5)
+    return _csv_edge(merge.merge_duplicates(hits.drop("period")), ("doi", "title", "first_author", "year", "source", "query"))
+
+
+def q_term_frequency_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 + F11: the flagship series, each pattern put only to texts that hold its literals."""
+    root = scratch_dir(spark, "terms-index")
+    textindex.add_records(fx.documents_with_year(spark, sf_dir).select("doc_id", "year", "text"), root, ["text"])
+    s = lexical.series_of(textindex.term_frequency(spark, root, TF_WORDS, labelled=TF_LABELLED))
+    return s.select("word", "label", "year", _r6("freq"), _r6("smoothed"), _r6("chrono_score"), "chrono_rank")
+
+
 def q_search_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P7 + P9 + U1 + U3 + A1 + A3: one scan of all engines merged into the records of an earlier one."""
     p = fx.papers(spark, sf_dir)
@@ -638,6 +655,8 @@ def queries() -> dict[str, QueryFn]:
         "export_overwrite": q_export_overwrite,
         "export_failed": q_export_failed,
         "export_resume": q_export_resume,
+        "search_papers_indexed": q_search_papers_indexed,
+        "term_frequency_indexed": q_term_frequency_indexed,
         "best_match_doi": q_best_match_doi,
         "export_after_flat": q_export_after_flat,
         "stream_term_frequency": q_stream_term_frequency,

@@ -1093,7 +1093,7 @@ SELECT * FROM ({STREAM_CORPUS}) UNION ALL BY NAME SELECT * EXCLUDE (year) FROM (
 """
 
 _ORACLE_SECTIONS.update({
-    "stream_corpus": STREAM_CORPUS, "stream_append_results": MERGE_DUPLICATES, "stream_term_frequency": TERM_FREQUENCY,
+    "stream_corpus": STREAM_CORPUS, "stream_append_results": MERGE_DUPLICATES, "stream_term_frequency": TERM_FREQUENCY, "term_frequency_indexed": TERM_FREQUENCY, "search_papers_indexed": SEARCH_PAPERS,
     "export_after_flat": EXPORT_AFTER_FLAT,
 })
 
