@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.session import checkpoint_root
+
 # Savitzky-Golay weights for window 5, polynomial order 3
 # (least-squares cubic through five points).  Interior rows use the centre
 # row of the fit; the first two and last two rows evaluate the cubic fitted
@@ -238,6 +240,65 @@ def top_terms(counts: DataFrame, k: int, group_cols: Sequence[str] = ()) -> Data
     return counts.withColumn("term_rank", F.row_number().over(w)).where(F.col("term_rank") <= k)
 
 
+def _terms(df: DataFrame, column: str, group_cols: Sequence[str], buckets: int) -> DataFrame:
+    terms = df.select(*group_cols, F.explode(F.regexp_extract_all(F.lower(F.col(column)), F.lit(TERM_PATTERN), 0)).alias("term"))
+    return terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+
+
+# Buckets of the sketch per group, the fullest ones (per term wanted) that are counted
+# exactly at first, and the most that a filter is broadcast for.
+SKETCH_BUCKETS = 1 << 16
+FULLEST = 4
+MOST_BROADCAST = 1 << 20
+
+
+def _count_in(terms: DataFrame, chosen: DataFrame, n_chosen: int, group_cols: Sequence[str]) -> DataFrame:
+    """Exact counts of the terms in the chosen buckets (of all terms where these are too many to be sent round)."""
+    if n_chosen <= MOST_BROADCAST:
+        same = [F.col(f"terms.{c}").eqNullSafe(F.col(f"chosen.{c}")) for c in (*group_cols, "bucket")]
+        condition = same[0]
+        for c in same[1:]:
+            condition = condition & c
+        terms = terms.alias("terms").join(F.broadcast(chosen.alias("chosen")), condition, "left_semi")
+    return terms.groupBy(*group_cols, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def heavy_terms(
+    df: DataFrame, k: int, column: str = "text", group_cols: Sequence[str] = (), buckets: int = SKETCH_BUCKETS, fullest: int = FULLEST
+) -> DataFrame:
+    """``top_terms`` of ``term_counts`` without shuffling the vocabulary; same rows, exact.
+
+    A sketch per group counts terms by hash bucket; sketches add up, so a map
+    task sends one row per bucket at most.  A bucket's count bounds each of its
+    terms from above.  The terms of the fullest ``fullest * k`` buckets are
+    counted exactly; where another bucket holds as much as the k-th of them, or
+    a group has found fewer than k, the terms of all buckets that hold at least
+    as much are counted, which proves the result: a term of any other bucket is
+    rarer than the k-th found.
+    """
+    if not 0 < k or not 0 < buckets:
+        raise ValueError("k and the number of buckets must be positive")
+    terms = _terms(df, column, group_cols, buckets)
+    checkpoint_root(df.sparkSession)
+    sketch = terms.groupBy(*group_cols, "bucket").agg(F.count(F.lit(1)).alias("held")).checkpoint()
+    place = F.row_number().over(Window.partitionBy(*group_cols).orderBy(F.desc("held"), "bucket"))
+    first = sketch.withColumn("_place", place).where(F.col("_place") <= fullest * k).checkpoint()
+    found = _count_in(terms, first, first.count(), group_cols).checkpoint()
+    ranked = top_terms(found, k, group_cols)
+    kth = ranked.where(F.col("term_rank") == k).select(*[F.col(c).alias(f"_{c}") for c in group_cols], F.col("n").alias("least"))
+    same = F.lit(True)
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    open_buckets = sketch.join(kth, same, "left").where(F.col("held") >= F.coalesce("least", F.lit(0)))
+    open_buckets = open_buckets.select(*group_cols, "bucket").checkpoint()
+    condition = F.lit(True)
+    for c in (*group_cols, "bucket"):
+        condition = condition & F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}"))
+    if open_buckets.alias("o").join(first.alias("f"), condition, "left_anti").isEmpty():
+        return ranked
+    return top_terms(_count_in(terms, open_buckets, open_buckets.count(), group_cols), k, group_cols)
+
+
 def token_frequency(
     df: DataFrame, words: Sequence[str], column: str = "abstract", year_col: str = "year"
 ) -> DataFrame:

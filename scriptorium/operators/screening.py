@@ -3,14 +3,20 @@
 A cascade is a declared list of questions.  Each step asks its question for all
 rows that are still open, in batches, and matches the answers against the
 choices with a column expression; the answer decides whether the row stays open
-for the next step.  Steps are cut by ``checkpoint()``: a row is asked a question
-once, and a worker holds one model at a time.
+for the next step.
+
+Answers are kept in a table by the digest of their prompt, written step by step
+(or in several waves a step).  A prompt that has an answer is not asked again,
+by other rows with the same prompt or by a job that goes on after another died;
+failures are kept for the report and asked again by the next job.  Only row
+numbers, digests and prompts cross a step: titles and abstracts stay where they
+were written once, and the answers are joined to them at the end.
 
 The model is any callable ``predict(prompts) -> responses`` over a list of
 prompts (lists of role/content messages); a factory builds it at the start of
-each task.  Where a batch raises, its prompts are asked one by one, so a failing
-row is reported in ``error`` and the others go on.  Earlier answers are brought
-back by DOI so only pending articles reach the model.
+each task.  Where a batch raises or gives another number of answers, its halves
+are asked, so a failing row is reported in ``error`` and the others go on.
+Earlier results are brought back by DOI so only pending articles reach the model.
 """
 
 from __future__ import annotations
@@ -19,9 +25,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.session import checkpoint_root, scratch_dir
+from scriptorium.sources import generations
+
 # System messages, questions and their choices.
 SYSTEM_INTRO = (
     "You are an accurate AI assistant answering Multiple-Choices questions on research papers. "
@@ -142,18 +151,28 @@ def prompt_messages(
     return F.array(*fixed(SYSTEM_INTRO, SYSTEM_EXAMPLES), *examples, *fixed(SYSTEM_SEPARATOR, SYSTEM_READY), paper, asked)
 
 
+# Prompts given to the model at a time.
+BATCH_SIZE = 64
+
+
 def _ask(model: Model, prompts: list[list[Message]]) -> list[tuple[str | None, str | None]]:
-    """(response, error) of each prompt: the batch at once, or one by one where it raises."""
+    """(response, error) of each prompt: the batch at once, or its halves where that fails."""
     try:
-        return [(r, None) for r in model(prompts)]
+        found = list(model(prompts))
+        if len(found) != len(prompts):
+            raise ValueError(f"{len(found)} answers to {len(prompts)} prompts")
+        return [(r, None) for r in found]
     except Exception as e:  # noqa: BLE001 - reported per row
         if len(prompts) == 1:
             return [(None, f"{type(e).__name__}: {e}")]
-        return [_ask(model, [p])[0] for p in prompts]
+        half = len(prompts) // 2
+        return _ask(model, prompts[:half]) + _ask(model, prompts[half:])
 
 
-def answer_prompts(df: DataFrame, model_factory: Callable[[], Model], messages_col: str = "messages") -> DataFrame:
-    """Adds ``response`` and ``error``: the model's answer to each row's prompt."""
+def answer_prompts(
+    df: DataFrame, model_factory: Callable[[], Model], messages_col: str = "messages", batch_size: int = BATCH_SIZE
+) -> DataFrame:
+    """Adds ``response`` and ``error``: the model's answer to each row's prompt, ``batch_size`` prompts at a time."""
     from scriptorium.session import ship_package
 
     ship_package(df.sparkSession)
@@ -163,12 +182,43 @@ def answer_prompts(df: DataFrame, model_factory: Callable[[], Model], messages_c
         model = model_factory()
         for pdf in batches:
             prompts = [[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf[messages_col]]
-            found = _ask(model, prompts) if prompts else []
+            found = [x for at in range(0, len(prompts), batch_size) for x in _ask(model, prompts[at : at + batch_size])]
             yield pdf.assign(response=[r for r, _ in found], error=[e for _, e in found])
 
     return df.mapInPandas(run, f"{schema}, response string, error string")
 
 
+ANSWERS = "digest string, response string, error string"
+
+
+def prompt_digest(messages: Column) -> Column:
+    return F.sha2(F.to_json(messages), 256)
+
+
+def known_answers(spark: SparkSession, path: str) -> DataFrame:
+    """``digest, response, error``: one row per prompt asked so far; the latest error where none was answered."""
+    paths = [g.path for g in generations.live(spark, path)]
+    if not paths:
+        return spark.createDataFrame([], ANSWERS)
+    rows = spark.read.schema(ANSWERS).parquet(*paths).withColumn("_file", F.col("_metadata.file_path"))
+    order = F.struct(F.col("error").isNull(), F.col("_file"))
+    return rows.groupBy("digest").agg(F.max_by(F.struct("response", "error"), order).alias("a")).select("digest", "a.*")
+
+
+def ask_new(prompts: DataFrame, path: str, model_factory: Callable[[], Model], batch_size: int = BATCH_SIZE, waves: int = 1) -> None:
+    """Ask the prompts (``digest, messages``) that have no answer below ``path`` yet, each once, and keep the answers.
+
+    With several ``waves`` the prompts are dealt by digest, and each wave is kept before the next is asked.
+    """
+    spark = prompts.sparkSession
+    for wave in range(waves):
+        dealt = prompts.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == wave) if waves > 1 else prompts
+        answered = known_answers(spark, path).where("error IS NULL").select("digest")
+        new = dealt.join(answered, "digest", "left_anti").groupBy("digest").agg(F.any_value("messages").alias("messages"))
+        found = answer_prompts(new, model_factory, batch_size=batch_size).select("digest", "response", "error")
+        generations.add(spark, path, lambda folder, found=found: found.write.mode("append").parquet(folder))
+
+
 def screen_abstracts(
     df: DataFrame,
     model_factory: Callable[[], Model],
@@ -177,35 +227,46 @@ def screen_abstracts(
     few_shot=(),
     n_words: int | None = None,
     cascade: Sequence[Question] = CASCADE,
+    answers_path: str | None = None,
+    batch_size: int = BATCH_SIZE,
+    waves: int = 1,
 ) -> DataFrame:
     """Adds the answer columns, the flags and ``error`` to every row of ``df``.
 
-    A row whose question failed has an error and no answers.
+    A row whose question failed has an error and no answers.  ``answers_path``
+    is the folder of the answer table of this model; without one, a fresh
+    scratch folder is used.
     """
+    spark = df.sparkSession
+    path = answers_path or scratch_dir(spark, "answers")
+    checkpoint_root(spark)
     answers = [q.column for q in cascade]
     flags = [q.flag for q in cascade if q.flag]
     kept = [c for c in df.columns if c not in (*answers, *flags, "error")]
-    out = [*kept, *answers, *[c for c in FLAG_COLUMNS if c in flags], *[c for c in flags if c not in FLAG_COLUMNS], "error"]
-    rows = df.select(
-        *kept, *[F.lit(None).cast("string").alias(c) for c in answers], *[F.lit(False).alias(c) for c in flags]
-    )
-    done = []
+    rows = df.select(*kept, F.monotonically_increasing_id().alias("_row")).checkpoint()
+    open_rows = rows.select("_row")
+    steps = None
     for q in cascade:
         prompt = prompt_messages(q.message(), title_col, abstract_col, few_shot, n_words)
-        asked = answer_prompts(rows.withColumn("_messages", prompt), model_factory, "_messages").checkpoint()
+        asking = rows.join(open_rows, "_row", "left_semi").select("_row", prompt.alias("messages"))
+        asking = asking.withColumn("digest", prompt_digest(F.col("messages")))
+        ask_new(asking.select("digest", "messages"), path, model_factory, batch_size, waves)
         ok, answer = F.col("error").isNull(), match_choice(F.col("response"), q.choices)
-        flagged = F.lit(False) if q.flag is None else answer.contains(q.flag_word)
-        goes_on = F.lit(False) if q.goes_on is None else answer.contains(q.goes_on) & ~flagged
-        asked = asked.withColumn("_open", ok & goes_on).withColumn(q.column, F.when(ok, answer))
-        if q.flag:
-            asked = asked.withColumn(q.flag, F.coalesce(F.col(q.column).contains(q.flag_word), F.lit(False)))
-        closed = asked.where(~F.coalesce("_open", F.lit(False)))
-        done.append(closed.select(*[F.when(ok, F.col(c)).alias(c) if c in (*answers, *flags) else F.col(c) for c in out]))
-        rows = asked.where("_open").select(*rows.columns)
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
-    return result
+        told = asking.select("_row", "digest").join(known_answers(spark, path), "digest")
+        step = told.select("_row", F.lit(q.column).alias("column"), F.when(ok, answer).alias("answer"), "error").checkpoint()
+        flagged = F.lit(False) if q.flag is None else F.col("answer").contains(q.flag_word)
+        goes_on = F.lit(False) if q.goes_on is None else F.col("answer").contains(q.goes_on) & ~flagged
+        open_rows = step.where(goes_on).select("_row")
+        steps = step if steps is None else steps.unionByName(step)
+    of = lambda q: F.max(F.when(F.col("column") == q.column, F.col("answer")))
+    gathered = steps.groupBy("_row").agg(*[of(q).alias(q.column) for q in cascade], F.max("error").alias("error"))
+    ok = F.col("error").isNull()
+    result = rows.join(gathered, "_row", "left")
+    by_flag = {q.flag: F.when(ok, F.coalesce(F.col(q.column).contains(q.flag_word), F.lit(False))) for q in cascade if q.flag}
+    ordered = [*[c for c in FLAG_COLUMNS if c in flags], *[c for c in flags if c not in FLAG_COLUMNS]]
+    return result.select(
+        *kept, *[F.when(ok, F.col(c)).alias(c) for c in answers], *[by_flag[c].alias(c) for c in ordered], "error"
+    )
 
 
 def resume_screening(articles: DataFrame, previous: DataFrame | None, key: str = "doi") -> DataFrame:
@@ -233,12 +294,12 @@ def pending(df: DataFrame) -> DataFrame:
 
 
 def analyse_abstracts(
-    articles: DataFrame, previous: DataFrame | None, model_factory, key: str = "doi", few_shot=(), n_words: int | None = None
+    articles: DataFrame, previous: DataFrame | None, model_factory, key: str = "doi", few_shot=(), n_words: int | None = None, **asking
 ) -> DataFrame:
     """Resume, screen the pending articles, and return all articles with answers."""
     resumed = resume_screening(articles, previous, key).withColumn("error", F.lit(None).cast("string"))
     done = resumed.where(F.col("language").isNotNull())
-    return done.unionByName(screen_abstracts(pending(resumed), model_factory, few_shot=few_shot, n_words=n_words))
+    return done.unionByName(screen_abstracts(pending(resumed), model_factory, few_shot=few_shot, n_words=n_words, **asking))
 
 
 def screening_report(results: DataFrame) -> DataFrame:

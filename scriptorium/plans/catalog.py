@@ -387,6 +387,12 @@ def q_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_terms(counts, 20, ["lang"]).select("lang", "term", "n", "term_rank")
 
 
+def q_heavy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15 + O6: the 20 most frequent terms of each language, found by sketches and counted exactly."""
+    docs = fx.table(spark, sf_dir, "documents")
+    return lexical.heavy_terms(docs, 20, "text", ["lang"]).select("lang", "term", "n", "term_rank")
+
+
 # --- landed search results ---------------------------------------------------------
 
 RECORD_OUT = ("doi", "title", "first_author", "authors", "publication", "publication_type", "year",
@@ -655,6 +661,7 @@ def queries() -> dict[str, QueryFn]:
         "export_overwrite": q_export_overwrite,
         "export_failed": q_export_failed,
         "export_resume": q_export_resume,
+        "heavy_terms": q_heavy_terms,
         "search_papers_indexed": q_search_papers_indexed,
         "term_frequency_indexed": q_term_frequency_indexed,
         "best_match_doi": q_best_match_doi,

@@ -826,7 +826,7 @@ SELECT lang, term, n, CAST(rn AS INTEGER) AS term_rank FROM (
 _ORACLE_SECTIONS.update({
     "publications_by_country": PUBLICATIONS_BY_COUNTRY,
     "unknown_countries": UNKNOWN_COUNTRIES,
-    "top_terms": TOP_TERMS,
+    "top_terms": TOP_TERMS, "heavy_terms": TOP_TERMS,
 })
 
 
