@@ -16,7 +16,8 @@ WS_CLASS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
 NON_WS_RUN = r"[^\t\n\x0B\f\r\x{85}\p{Z}]+"
 STRIP_PATTERN = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 NON_WORD = r"[^\p{L}\p{N}_]"
-# Fixed value: word characters compared by the near-duplicate rule of sections.
+# Fixed value: word characters that the near-duplicate rule of sections compares where asked to
+# (the default compares whole texts).
 WORD_KEY_LEN = 100
 
 
@@ -34,8 +35,8 @@ def split_ws(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NON_WS_RUN), 0)
 
 
-def word_key(c: Column, n: int | None = WORD_KEY_LEN) -> Column:
-    """The first ``n`` word characters of a text (everything else removed); all of them if ``n`` is None."""
+def word_key(c: Column, n: int | None = None) -> Column:
+    """The word characters of a text (everything else removed), the first ``n`` only if given."""
     words = F.regexp_replace(c, NON_WORD, "")
     return words if n is None else F.substring(words, 1, n)
 

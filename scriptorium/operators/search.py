@@ -186,8 +186,9 @@ def filter_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def missing_dois(papers: DataFrame, known: DataFrame, key: str = "doi", seed: int | None = None) -> DataFrame:
-    """Work list: distinct DOIs not yet present; optionally in a seeded random order."""
+    """Work list: distinct DOIs not yet present; optionally in a seeded random order
+    (by a hash of DOI and seed, so it does not depend on the partitions)."""
     todo = exclude_keys(papers.select(key).where(F.col(key).isNotNull()).distinct(), known, key)
     if seed is not None:
-        todo = todo.orderBy(F.rand(seed))
+        todo = todo.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
     return todo

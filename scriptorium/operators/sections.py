@@ -62,10 +62,10 @@ def flag_duplicates(df: DataFrame, keys=("heading", "num"), out_col: str = "is_d
     return df.withColumn(out_col, F.count(F.lit(1)).over(Window.partitionBy(KEY, *keys)) > 1)
 
 
-def drop_near_duplicates(sections: DataFrame, n_word_chars: int | None = tx.WORD_KEY_LEN) -> DataFrame:
+def drop_near_duplicates(sections: DataFrame, n_word_chars: int | None = None) -> DataFrame:
     """In each group of equal raw (heading, num) keep the longest text (first on
-    ties) and drop the rows whose first ``n_word_chars`` word characters equal
-    its own (None: all word characters of the text).
+    ties) and drop the rows whose word characters equal its own (the first
+    ``n_word_chars`` only, if given: the original's rule takes 100).
 
     All windows share one ordering (length desc, pos), hence one sort.
     """
@@ -283,7 +283,7 @@ def classify_merged(merged: DataFrame) -> DataFrame:
 
 
 def classify_sections(
-    sections: DataFrame, repartition: bool = True, n_word_chars: int | None = tx.WORD_KEY_LEN
+    sections: DataFrame, repartition: bool = True, n_word_chars: int | None = None
 ) -> DataFrame:
     """The whole pipeline: near duplicates, cleaning, scheme, tree, merge, classes.
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import WORD_KEY_LEN
 from scriptorium.operators import lexical, matching, merge, search, textindex
 from scriptorium.operators import library as libops
 from scriptorium.operators import sections as secops
@@ -232,7 +233,7 @@ def q_flag_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_drop_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3 + F12: near-duplicate sections removed (longest of a group kept)."""
-    s = secops.drop_near_duplicates(fx.sections(spark, sf_dir).repartition("item_key"))
+    s = secops.drop_near_duplicates(fx.sections(spark, sf_dir).repartition("item_key"), n_word_chars=WORD_KEY_LEN)
     return s.select("item_key", "pos", "heading", "num")
 
 

@@ -60,7 +60,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("|", F.col("source"), F.col("lang")).alias("authors"),
         blank_if(i % 6 == 0, F.col("lang")).alias("publication"),
         doc_year(i).alias("year"),
-        blank_if(i % 2 == 0, F.col("text")).alias("abstract"),
+        F.col("text").alias("abstract"),
         F.element_at(F.array(*[F.lit(e) for e in ENGINES]), (i % 3 + 1).cast("int")).alias("source"),
         (i % 3).cast("int").alias("priority"),
         i.alias("seq"),
@@ -86,7 +86,7 @@ def library(spark: SparkSession, sf_dir: str):
     """A reference library derived from conversations (items) and documents (DOIs).
 
     * every conversation is an item (library 2 when ``conv_id % 3 = 2``, else 1);
-      its title is the first line of turn 0, its abstract turn 1, its date is
+      its title is the first line of turn 0, its abstract all its turns, its date is
       built from the id (``n.d.`` every 11th, ``Spring YYYY`` every 13th), and its
       DOI is the DOI of the document with the same id (missing every 5th);
     * every turn is an attachment item: user -> PDF, assistant -> HTML,
@@ -131,8 +131,9 @@ def library(spark: SparkSession, sf_dir: str):
     )
     title_v = parents.select("itemID", F.lit(1).cast("long").alias("fieldID"), first_line(F.col("text")).alias("value"))
     date_v = parents.select("itemID", F.lit(8).cast("long").alias("fieldID"), date.alias("value"))
-    abstract_v = conv.where(F.col("turn") == 1).select(
-        (cid + 1).cast("long").alias("itemID"), F.lit(2).cast("long").alias("fieldID"), F.col("text").alias("value")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
+    abstract_v = conv.groupBy("conv_id").agg(F.array_join(turns, "\n").alias("value")).select(
+        (cid + 1).cast("long").alias("itemID"), F.lit(2).cast("long").alias("fieldID"), "value"
     )
     doi_v = (
         parents.where(cid % 5 != 4)
@@ -260,15 +261,14 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of papers: every document line with ``pos % 10 = 7`` is a figure caption;
-    figures of lines with ``pos % 30 = 7`` have no head."""
+    """Figures of papers: every document line is a figure caption too; every third figure has no head."""
     d = table(spark, sf_dir, "documents")
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("line") % 10 == 7)
-    n = (F.floor(F.col("line") / 10) + 1).cast("string")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    n = (F.col("line") + 1).cast("string")
     return lines.select(
         F.col("doc_id").alias("item_key"),
         F.col("line").cast("int").alias("pos"),
-        F.when(F.col("line") % 30 == 7, F.lit("")).otherwise(F.concat(F.lit("Figure "), n)).alias("label"),
+        F.when(F.col("line") % 3 == 1, F.lit("")).otherwise(F.concat(F.lit("Figure "), n)).alias("label"),
         F.col("text").alias("caption"),
         F.lit("figure").alias("type"),
         F.concat(F.lit("fig"), F.col("line").cast("string")).alias("figure_id"),

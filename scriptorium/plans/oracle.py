@@ -81,7 +81,7 @@ papers AS (
     d.source || '|' || d.lang AS authors,
     CASE WHEN d.doc_id % 6 = 0 THEN '' ELSE d.lang END AS publication,
     CAST(2000 + d.doc_id % 25 AS INTEGER) AS year,
-    CASE WHEN d.doc_id % 2 = 0 THEN '' ELSE d.text END AS abstract,
+    d.text AS abstract,
     CASE d.doc_id % 3 WHEN 0 THEN 'scopus' WHEN 1 THEN 'crossref' ELSE 'pubmed' END AS source,
     CAST(d.doc_id % 3 AS INTEGER) AS priority,
     d.doc_id AS seq
@@ -236,7 +236,7 @@ vals AS (
                          ELSE CAST(2000 + conv_id % 25 AS VARCHAR) || '-' || lpad(CAST(1 + conv_id % 9 AS VARCHAR), 2, '0') || '-15' END
   FROM parents
   UNION ALL
-  SELECT conv_id + 1, 2, text FROM conversations WHERE turn = 1
+  SELECT conv_id + 1, 2, string_agg(text, chr(10) ORDER BY turn, text) FROM conversations GROUP BY conv_id
   UNION ALL
   SELECT p.itemID, 59, '10.1/' || md5(d.text) FROM parents p JOIN documents d ON d.doc_id = p.conv_id WHERE p.conv_id % 5 <> 4),
 itemData AS (SELECT itemID, fieldID, itemID * 100 + fieldID AS valueID FROM vals),
@@ -331,11 +331,11 @@ SELECT doi FROM keys WHERE doi NOT IN (
 
 
 # --- sections ---------------------------------------------------------------
-from scriptorium.functions import text as _tx  # noqa: E402
 from scriptorium.plans import fixtures as _fx  # noqa: E402
 
-WS = _tx.WS_CLASS
-STRIP = _tx.STRIP_PATTERN
+# white space as Unicode defines it, and the white space at both ends of a text
+WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
+STRIP = rf"^{WS}+|{WS}+$"
 
 
 def _list(values) -> str:
@@ -386,7 +386,7 @@ sections AS (
 _NEAR_DUP = """
 d1 AS (
   SELECT *, count(*) OVER g AS n_grp, first_value(pos) OVER gl AS lpos, first_value(wk) OVER gl AS lkey
-  FROM (SELECT *, substr(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g'), 1, 100) AS wk FROM sections)
+  FROM (SELECT *, regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g') AS wk FROM sections)
   WINDOW g AS (PARTITION BY item_key, heading, num),
          gl AS (PARTITION BY item_key, heading, num ORDER BY length(text) DESC, pos)),
 dedup AS (SELECT * FROM d1 WHERE n_grp = 1 OR pos = lpos OR wk <> lkey)"""
@@ -397,12 +397,15 @@ SELECT item_key, pos, count(*) OVER (PARTITION BY item_key, heading, num) > 1 AS
 """
 
 DROP_NEAR_DUPLICATES_WHOLE = f"""
-WITH {SECTIONS_CTE}, {_NEAR_DUP.replace("substr(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g'), 1, 100)", "regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g')")}
+WITH {SECTIONS_CTE}, {_NEAR_DUP}
 SELECT item_key, pos, heading, num FROM dedup
 """
 
+# the rule on the first 100 word characters
+_NEAR_DUP_100 = _NEAR_DUP.replace(" AS wk FROM", "[1:100] AS wk FROM")
+
 DROP_NEAR_DUPLICATES = f"""
-WITH {SECTIONS_CTE}, {_NEAR_DUP}
+WITH {SECTIONS_CTE}, {_NEAR_DUP_100}
 SELECT item_key, pos, heading, num FROM dedup
 """
 
@@ -587,9 +590,9 @@ tabs AS (
   FROM part),
 figs AS (
   SELECT doc_id AS item_key, pos, text AS caption,
-         CASE WHEN pos % 30 = 7 THEN '' ELSE 'Figure ' || CAST(pos // 10 + 1 AS VARCHAR) END AS label FROM (
+         CASE WHEN pos % 3 = 1 THEN '' ELSE 'Figure ' || CAST(pos + 1 AS VARCHAR) END AS label FROM (
     SELECT doc_id, unnest(arr) AS text, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS pos
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents)) WHERE pos % 10 = 7)"""
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents)))"""
 
 _KEEP = "(h IS NOT NULL AND h <> '' AND NOT regexp_matches(replace(h, '.', ''), '^\\p{N}+$'))"
 

@@ -161,3 +161,11 @@ def test_existing_paths_with_file_listing(spark, tmp_path):
         "zoteroID string, path string",
     )
     assert [r.zoteroID for r in lib.existing_paths(df, listing).collect()] == ["k1"]
+
+
+def test_the_random_work_list_does_not_depend_on_the_partitions(spark):
+    papers = spark.createDataFrame([(f"d{i}",) for i in range(300)], "doi string")
+    none = papers.limit(0)
+    orders = [[r.doi for r in search.missing_dois(papers.repartition(n), none, seed=7).collect()] for n in (1, 5)]
+    other = [r.doi for r in search.missing_dois(papers, none, seed=8).collect()]
+    assert orders[0] == orders[1] != other and sorted(orders[0]) == sorted(other) != orders[0]
