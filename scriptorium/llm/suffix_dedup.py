@@ -10,7 +10,10 @@ sorted:
    anchors at equal places.  Spark finds the anchors that occur in more than
    one document.
 2. For those, the bytes around the anchor that a window can hold (its context)
-   go to one place per anchor string.
+   go to one place per anchor string: a row per document and context, with all
+   places of it.  Of the documents of a batch that have the same context only
+   the first one's goes there; the others are settled at once, so a passage that
+   very many documents share sends a row per batch, not per document.
 3. There the suffixes that start at the anchors, and the reversed strings that
    end there, are sorted by deep-shallow sorting: multikey quicksort on words
    of 8 bytes to a shallow depth, then blind tries order the groups that still
@@ -21,8 +24,11 @@ sorted:
 4. The windows found are merged per document and cut out.
 
 Contexts equal to an earlier document's are settled while they stream by; only
-distinct contexts are sorted, in portions of whole anchors.  Documents equal to
-an earlier one are settled by their hash alone and give no contexts.
+distinct contexts are sorted, in portions of whole anchors, so a task holds the
+distinct contexts of one anchor string (84 bytes each).  Documents equal to an
+earlier one are settled by their hash alone and give no contexts.  The sort is
+multikey in words of 8 bytes (numpy's lexsort on the rows that still agree),
+then blind tries.
 
 Defined cases: null texts are empty; null doc_ids sort after all others and do
 not remove each other's bytes, nor do rows that repeat a doc_id; texts shorter
@@ -47,7 +53,10 @@ LAST = 2**63 - 1  # the order of documents without an id
 SHALLOW = 24
 PORTION = 100_000
 MARK = "ord long, tag long, start long, end long"
-CONTEXT = "context binary, before int, after int, ord long, tag long, pos long"
+# ``around``: the bytes of the document before and after the place (as before x AROUND + after);
+# ``places``: 32-bit numbers.  A row without context is settled: all that is around its places is repeated.
+CONTEXT = "context binary, around int, ord long, tag long, places binary"
+AROUND = 1 << 8
 HASH_BITS = 48  # kept of an anchor's hash; equal ones are told apart by their bytes
 
 
@@ -197,21 +206,74 @@ def unrepeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Documents -> (gram, ord, part), each anchor of a document once."""
+    """Documents -> (gram, ord, part, spread), each anchor of a document once.
+
+    An anchor that several documents of the batch have is known to be shared:
+    its first and last document stand for them (spread 0, as for the rest), and
+    the others are dealt out by document, not to one place per anchor.
+    """
     for batch in unrepeated(batches):
         texts = batch.column("text")
         grams = [np.unique(anchors(np.frombuffer(t.as_buffer(), dtype=np.uint8), length)[1]) for t in texts]
         sizes = [len(g) for g in grams]
         if sum(sizes):
-            keys = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("ord", "part")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), *keys], ["gram", "ord", "part"])
+            gram = np.concatenate(grams)
+            order, part = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("ord", "part"))
+            ranked = np.lexsort((order, gram))
+            g, o = gram[ranked], order[ranked]
+            first = np.concatenate(([True], g[1:] != g[:-1]))
+            inner = ~first & ~np.append(first[1:], True)  # neither the first nor the last document of the anchor
+            low = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
+            last = np.append(np.flatnonzero(first)[1:], len(g)) - 1
+            several = o[last][np.cumsum(first) - 1] > o[low]
+            spread = np.zeros(len(g), dtype=np.int64)
+            spread[ranked] = np.where(inner & several, (o ^ part[ranked]) | 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, order, part, spread)], ["gram", "ord", "part", "spread"])
+
+
+def _once(
+    context: np.ndarray, around: np.ndarray, order: np.ndarray, tag: np.ndarray, place: np.ndarray
+) -> pa.RecordBatch:
+    """Places with their contexts as rows of ``CONTEXT``, one per document and context."""
+    n, width = context.shape
+    wide = np.zeros((n, -(-width // 8) + 1), dtype=np.uint64)
+    wide[:, :-1].view(np.uint8)[:, :width] = context
+    wide[:, -1] = around
+    hashes = np.zeros(n, dtype=np.uint64)
+    for column in wide.T:
+        hashes = (hashes ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    ranked = np.lexsort((place, tag, order, hashes))
+    wide, order, tag = wide[ranked], order[ranked], tag[ranked]
+    # contexts of one hash that differ only make more groups
+    new = np.concatenate(([True], (wide[1:] != wide[:-1]).any(axis=1)))
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    row = new | np.concatenate(([True], (order[1:] != order[:-1]) | (tag[1:] != tag[:-1])))
+    # rows as they stand in the texts: neighbouring contexts overlap, and so are stored small
+    starts, sizes = np.flatnonzero(row), np.diff(np.append(np.flatnonzero(row), n))
+    by_text = np.argsort(ranked[starts], kind="stable")
+    starts, sizes = starts[by_text], sizes[by_text]
+    settled = order[starts] > order[first[starts]]
+    held = ranked[starts]
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    flat = place[ranked][np.repeat(starts - at[:-1], sizes) + np.arange(n)].astype(np.int32)
+    bytes_of = np.ascontiguousarray(context[held[~settled]])
+    ends = np.concatenate(([0], np.cumsum(np.where(settled, 0, width)))).astype(np.int32)
+    contexts = pa.BinaryArray.from_buffers(
+        pa.binary(), len(held), [pa.array(~settled).buffers()[1], pa.py_buffer(ends.tobytes()), pa.py_buffer(bytes_of.tobytes())]
+    )
+    places = pa.BinaryArray.from_buffers(
+        pa.binary(), len(held), [None, pa.py_buffer((4 * at).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]
+    )
+    columns = [contexts, pa.array(around[held].astype(np.int32)), pa.array(order[starts]), pa.array(tag[starts]), places]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in CONTEXT.split(", ")])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Documents with ``grams`` -> the contexts of the anchors among these."""
     left = length - GRAM
-    names = [f.split()[0] for f in CONTEXT.split(", ")]
     for batch in unrepeated(batches):
+        waiting: list[tuple[np.ndarray, ...]] = []
         for order, tag, text, grams in zip(*[batch.column(c) for c in ("ord", "tag", "text", "grams")], strict=True):
             data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
             place, gram = anchors(data, length)
@@ -219,54 +281,62 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             framed = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
             for at in range(0, len(place), PORTION):
                 p = place[at : at + PORTION]
-                rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(framed, left + length)[p])
-                fixed = pa.FixedSizeBinaryArray.from_buffers(
-                    pa.binary(left + length), len(p), [None, pa.py_buffer(rows.tobytes())]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        fixed.cast(pa.binary()),
-                        pa.array(np.minimum(p, left).astype(np.int32)),
-                        pa.array(np.minimum(len(data) - p, length).astype(np.int32)),
-                        pa.array(np.full(len(p), order.as_py(), dtype=np.int64)),
-                        pa.array(np.full(len(p), tag.as_py(), dtype=np.int64)),
-                        pa.array(p.astype(np.int64)),
-                    ],
-                    names,
-                )
+                rows = np.lib.stride_tricks.sliding_window_view(framed, left + length)[p]
+                own = (np.full(len(p), x.as_py(), dtype=np.int64) for x in (order, tag))
+                waiting.append((rows, np.minimum(p, left) * AROUND + np.minimum(len(data) - p, length), *own, p))
+                if sum(len(w[0]) for w in waiting) >= PORTION:
+                    yield _once(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                    waiting = []
+        if waiting:
+            yield _once(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
 
 
 def _marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by anchor, context and order -> repeated stretches (ord, tag, start, end)."""
     left, width = length - GRAM, 2 * length - GRAM
     names = [f.split()[0] for f in MARK.split(", ")]
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # distinct contexts of whole anchors, and of the last one
+    held: list[tuple[np.ndarray, np.ndarray, list]] = []  # distinct contexts of whole anchors, and of the last one
     carry: tuple | None = None  # (key, smallest order) of the last context seen
 
-    def marks(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 2], rows[:, 3], start, end)], names)
+    def marks(rows: np.ndarray, places: list, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        """A mark around every place of the rows."""
+        sizes = [len(p) for p in places]
+        at = np.concatenate([np.zeros(0, dtype=np.int64), *places])
+        order, tag, start, end = (np.repeat(x, sizes) for x in (rows[:, 2], rows[:, 3], start, end))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (order, tag, at + start, at + end)], names)
+
+    def chosen(places: list, which: np.ndarray) -> list:
+        return [places[k] for k in np.flatnonzero(which)]
 
     def anchor_starts(context: np.ndarray) -> np.ndarray:
         gram = context[:, left : left + GRAM]
         return np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]).any(axis=1))))
 
-    def settle(rows: np.ndarray, context: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def settle(rows: np.ndarray, context: np.ndarray, places: list) -> Iterator[pa.RecordBatch]:
         counts = np.diff(np.append(anchor_starts(context), len(rows)))
         several = np.repeat(counts > 1, counts)  # an anchor with one context left has nothing to be compared with
-        rows, context = rows[several], context[several]
+        rows, context, places = rows[several], context[several], chosen(places, several)
         if len(rows):
             most, least = repeats(context, rows[:, 0], rows[:, 1], rows[:, 2], length)
             hit = most >= 0
-            rows, most, least = rows[hit], most[hit], least[hit]
-            yield marks(rows, rows[:, 4] - most, rows[:, 4] - least + length)
+            yield marks(rows[hit], chosen(places, hit), -most[hit], length - least[hit])
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        # before, after, ord, tag, pos
-        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[1:]], axis=1)
-        texts = batch.column(0)
+        # before, after, ord, tag
+        around, order, tag = (c.to_numpy().astype(np.int64) for c in batch.columns[1:4])
+        rows = np.stack([around // AROUND, around % AROUND, order, tag], axis=1)
+        places = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in batch.column(4)]
+        told = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        if told.any():
+            yield marks(rows[told], chosen(places, told), -rows[told, 0], rows[told, 1])
+            rows, places = rows[~told], chosen(places, ~told)
+            n = len(rows)
+            if not n:
+                continue
+        texts = batch.column(0).filter(pa.array(~told))
         context = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[texts.offset * width :][: n * width].reshape(n, width)
         keys = rows[:, :2]
         same = np.zeros(n, dtype=bool)
@@ -279,19 +349,19 @@ def _marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         # the same context in an earlier document: all of it is a repeat
         later = rows[:, 2] > smallest
         if later.any():
-            full = rows[later]
-            yield marks(full, full[:, 4] - full[:, 0], full[:, 4] + full[:, 1])
-        held.append((rows[~later], context[~later].copy()))
-        if sum(len(r) for r, _ in held) >= PORTION:
-            rows, context = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield marks(rows[later], chosen(places, later), -rows[later, 0], rows[later, 1])
+        held.append((rows[~later], context[~later].copy(), chosen(places, ~later)))
+        if sum(len(r) for r, _, _ in held) >= PORTION:
+            rows, context = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            places = [p for h in held for p in h[2]]
             last = int(anchor_starts(context)[-1])
             if last:
-                yield from settle(rows[:last], context[:last])
-            held = [(rows[last:], context[last:])]
+                yield from settle(rows[:last], context[:last], places[:last])
+            held = [(rows[last:], context[last:], [p.copy() for p in places[last:]])]
     if held:
-        rows, context = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows, context = (np.concatenate([h[k] for h in held]) for k in (0, 1))
         if len(rows):
-            yield from settle(rows, context)
+            yield from settle(rows, context, [p for h in held for p in h[2]])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -330,9 +400,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
         F.encode(text, "UTF-8").alias("text"),
     ).withColumn("part", _part("th"))
     # documents equal to an earlier one; a tag tells apart different texts of one doc_id (0: there is one only)
-    known = texts.select("ord", "th", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("n"))
+    known = texts.select("ord", "th", F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").cast("long").alias("n"))
     known = staged(known, "document-hashes")
-    first = known.groupBy("sha").agg(F.min("ord").alias("first"))
+    # written, so that the join below stands alone and Spark can split the copies of one text
+    first = staged(known.groupBy("sha").agg(F.min("ord").alias("first")), "first-copies")
     known = known.join(first, "sha").withColumn("copy", (F.col("ord") > F.col("first")) & (F.col("n") >= length))
     known = known.groupBy("ord", "th").agg(F.max("n").alias("n"), F.bool_and("copy").alias("copy"))
     texts_of = Window.partitionBy("ord", _part("th"))  # documents without an id are not gathered, each has its tag
@@ -346,16 +417,18 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     mine = (F.col("tag") == 0) | (F.col("tag") == F.col("th"))
     asked = texts.join(needed, key).where(mine).select("doc_id", "ord", "part", "th", "text", "tag")
     # anchors of more than one document, per document
-    grams = map_batches(asked, lambda it: _document_anchors(it, length), "gram long, ord long, part long")
-    everywhere = Window.partitionBy("gram")
+    grams = map_batches(asked, lambda it: _document_anchors(it, length), "gram long, ord long, part long, spread long")
+    everywhere = Window.partitionBy("gram", "spread")
     shared = grams.withColumns({"low": F.min("ord").over(everywhere), "high": F.max("ord").over(everywhere)})
-    wanted = shared.where("low < high").groupBy(*key).agg(F.collect_list("gram").alias("grams"))
+    wanted = shared.where("low < high OR spread <> 0").groupBy(*key).agg(F.collect_list("gram").alias("grams"))
     # their contexts, sorted; the stretches found, per document
     wanted = needed.join(wanted, key)
     asked = texts.join(wanted, key).where(mine).select("doc_id", "ord", "part", "th", "text", "tag", "grams")
     contexts = map_batches(asked, lambda it: _contexts(it, length), CONTEXT)
     gram = F.substring("context", length - GRAM + 1, GRAM)
-    ordered = contexts.repartition(gram).sortWithinPartitions(gram, "context", "before", "after", "ord")
+    # settled rows go anywhere
+    place = F.when(F.col("context").isNull(), F.xxhash64("ord", "tag", "places")).otherwise(F.xxhash64(gram))
+    ordered = contexts.repartition(place).sortWithinPartitions(gram, "context", "around", "ord")
     marks = map_batches(ordered, lambda it: _marks(it, length), MARK).unionByName(whole)
     marks = marks.withColumn("part", _part("tag"))
     per_document = marks.groupBy(*key).agg(F.collect_set(F.struct("tag", "start", "end")).alias("marks"))
