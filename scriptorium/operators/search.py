@@ -18,7 +18,7 @@ from scriptorium.operators.merge import append_results, merge_duplicates, union_
 ENGINE_NAMES = ("crossref", "pubmed", "scopus", "external")
 DEFAULT_ENGINES = ("scopus", "pubmed")
 
-# Salt buckets of the first phase of ``cap_per_group``: a hot group is sorted
+# Salt buckets of the first phase of ``cap_per_group``: a hot group is ranked
 # in this many pieces, and the second phase sees at most SALT * n rows of it.
 CAP_SALT_BUCKETS = 64
 
@@ -91,17 +91,22 @@ def cap_per_group(
 ) -> DataFrame:
     """At most ``n`` rows per group, the first ones in ``order_cols`` order. Exact.
 
-    A first phase ranks inside (group, salt) pieces, so a hot group is ranked by
-    many tasks, and keeps ``n`` per piece; the second phase ranks the at most
-    ``salt_buckets * n`` survivors of each group.  ``order_cols`` must make the
-    order total.  ``n`` of None or 0 means no cap; a negative one is an error.
+    The salt is the input's partition, so a task's rows of a group share one
+    piece and the group limit that Spark puts before the exchange leaves ``n``
+    of them: what is shuffled does not grow with a group.  The first phase ranks
+    those pieces, the second the at most ``salt_buckets * n`` survivors of each
+    group.  Limits above ``spark.sql.optimizer.windowGroupLimitThreshold`` have
+    no limit before the exchange; a hot group is still ranked in pieces.
+    Whatever piece a row falls into, the result is the same.  ``order_cols``
+    must make the order total.  ``n`` of None or 0 means no cap; a negative one
+    is an error.
     """
     if n is not None and n < 0:
         raise ValueError("a cap cannot be negative")
     if not n:
         return df
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in order_cols]), F.lit(salt_buckets))
+    salt = F.pmod(F.spark_partition_id(), F.lit(salt_buckets))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
     phase1 = df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= n)
     return phase1.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= n).drop("_salt", "_rn")

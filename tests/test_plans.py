@@ -17,6 +17,13 @@ def _hash_exchanges(plan: str) -> list[str]:
     return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
 
 
+def _shuffled_rows(df) -> list[int]:
+    """Rows that each exchange of an executed plan wrote."""
+    spark = df.sparkSession
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return [int(n) for n in re.findall(r"ShuffleQueryStage .*rowCount=(\d+)", df._jdf.queryExecution().explainString(mode))]
+
+
 def test_section_pipeline_shuffles_once_by_paper(spark):
     plan = _plan(catalog.q_classify_sections(spark, SF_SMALL))
     keys = _hash_exchanges(plan)
@@ -45,6 +52,15 @@ def test_cap_has_one_plan_of_two_phases(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_cap_shuffles_a_bounded_number_of_rows_per_task(spark):
+    """What a task sends of a group is at most the cap, however large the group is."""
+    rows = spark.range(0, 40_000, 1, 4).selectExpr("id AS seq", "int(if(id % 10 < 9, 2000, 2001)) AS year")
+    capped = search.cap_per_group(rows, 5, ["year"], ["seq"])
+    assert len(capped.collect()) == 10
+    sent = _shuffled_rows(capped)
+    assert sent and max(sent) <= 4 * 2 * 5
+
+
 def test_list_local_path_is_one_join_tree(spark):
     plan = _plan(catalog.q_list_local_path(spark, SF_SMALL))
     assert len(re.findall(r"(SortMerge|BroadcastHash|ShuffledHash)Join", plan)) <= 9
