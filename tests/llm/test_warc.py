@@ -1,6 +1,7 @@
 """Archives against a plain reading of the contract."""
 
 import hashlib
+import re
 
 import pytest
 
@@ -72,3 +73,90 @@ def test_changed_payload_is_found(spark):
     warc.write_archives(table.withColumn("data", F.expr("encode(replace(decode(data, 'UTF-8'), 'a', 'b'), 'UTF-8')")), path)
     with pytest.raises(Exception, match="declared digest"):
         warc.read_records(spark, path).collect()
+
+
+def members(path):
+    """The gzip members of all archives, each inflated alone."""
+    import glob
+    import zlib
+
+    for name in sorted(glob.glob(path.removeprefix("file:") + "/part-*")):
+        with open(name, "rb") as f:
+            rest = f.read()
+        while rest:
+            stream = zlib.decompressobj(31)
+            yield stream.decompress(rest) + stream.flush()
+            assert stream.eof
+            rest = stream.unused_data
+
+
+@pytest.mark.parametrize("records_per_file", [None, 3])
+def test_archives_are_of_the_format(spark, records_per_file):
+    """One member per record, the format's mandatory fields, and fields only where it allows them."""
+    same = "é" * 80
+    rows = [
+        (5, "http://a/5", same), (3, "http://a/3 x", same), (3, "http://a/3 a", same), (9, None, "short"),
+        (None, "", "short"), (4, "http://a/4", "long " * 700), (6, "http://a/6", None),
+    ]
+    path = scratch_dir(spark, "t-warc")
+    table = warc.segments(warc.decide(spark.createDataFrame(rows, PAGES)), 1000)
+    warc.write_archives(table, path, records_per_file)
+    found = []
+    for member in members(path):
+        head, block = member.split(b"\r\n\r\n", 1)
+        first, *lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        assert first == "WARC/1.1" and len(fields) == len(lines)
+        assert block.endswith(b"\r\n\r\n") and len(block) == int(fields["Content-Length"]) + 4
+        found.append((fields, block[:-4]))
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"} <= set(f) for f, _ in found)
+    uuid = r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}>"
+    assert all(re.fullmatch(uuid, f["WARC-Record-ID"]) for f, _ in found)
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"]) for f, _ in found)
+    assert len({f["WARC-Record-ID"] for f, _ in found}) == len(found)
+    by_type = {}
+    for f, block in found:
+        by_type.setdefault(f["WARC-Type"], []).append((f, block))
+    assert {t: len(x) for t, x in by_type.items()} == {"response": 5, "revisit": 2, "continuation": 3}
+    heads = {f["WARC-Record-ID"]: (f, block) for f, block in by_type["response"]}
+    for f, block in by_type["response"] + by_type["revisit"]:
+        status, _, payload = block.partition(b"\r\n\r\n")
+        assert status.startswith(b"HTTP/1.1 200 OK\r\n") and f["Content-Type"] == "application/http;msgtype=response"
+        if f["WARC-Type"] == "response" and "WARC-Segment-Number" not in f:
+            assert f["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+            assert f"Content-Length: {len(payload)}".encode() in status
+    for f, block in by_type["revisit"]:
+        origin, _ = heads[f["WARC-Refers-To"]]
+        assert origin["X-Page-ID"] == "3" and f["WARC-Payload-Digest"] == origin["WARC-Payload-Digest"]
+        assert f["WARC-Profile"] == warc.SAME_PAYLOAD and f["WARC-Refers-To-Target-URI"] == origin["WARC-Target-URI"]
+        assert block.endswith(b"\r\n\r\n")
+    parts = sorted(by_type["continuation"], key=lambda x: int(x[0]["WARC-Segment-Number"]))
+    origin, start = heads[parts[0][0]["WARC-Segment-Origin-ID"]]
+    assert origin["WARC-Segment-Number"] == "1" and [f["WARC-Segment-Number"] for f, _ in parts] == ["2", "3", "4"]
+    whole = start + b"".join(block for _, block in parts)
+    assert [f.get("WARC-Segment-Total-Length") for f, _ in parts] == [None, None, str(len(whole))]
+    assert whole.partition(b"\r\n\r\n")[2].decode() == "long " * 700
+    uris = {f["X-Page-ID"]: f["WARC-Target-URI"] for f, _ in by_type["response"] if "X-Page-ID" in f}
+    assert uris == {"3": "http://a/3%20a", "9": "urn:page:9", "4": "http://a/4", "6": "http://a/6"}
+    assert {f["WARC-Target-URI"] for f, _ in by_type["response"] if "X-Page-ID" not in f} == {"urn:page:none"}
+
+
+def test_many_copies_of_one_page(spark):
+    """More copies than one row of the work list stands for, with and without page_id."""
+    n, text = warc.COPIES * 2 + 3, "copied " * 20
+    frame = spark.range(n).selectExpr("cast(7 AS long) AS page_id", f"'{text}' AS html")
+    frame = frame.unionByName(spark.range(n).selectExpr("cast(NULL AS long) AS page_id", f"'{text}' AS html"))
+    frame = frame.unionByName(spark.range(n).selectExpr("cast(NULL AS long) AS page_id", "'few' AS html"))
+    got = {tuple(r)[:-1]: r["count"] for r in warc.round_trip(frame).groupBy("page_id", "record_type", "refers_to", "payload_bytes").count().collect()}
+    size = len(text)
+    assert got == {
+        (7, "response", None, size): 1, (7, "revisit", 7, size): n - 1, (None, "revisit", 7, size): n, (None, "response", None, 3): n,
+    }
+
+
+def test_a_record_across_archives_is_digested_from_its_parts(spark):
+    rows = [(k, "u", f"{k} " * 900 * (k + 1)) for k in range(6)]
+    frame = spark.createDataFrame(rows, PAGES).coalesce(1)
+    assert ordered(warc.round_trip(frame, chunk_bytes=500, records_per_file=7).collect()) == ordered(
+        expected([(i, h) for i, _, h in rows])
+    )
