@@ -9,9 +9,10 @@ length have subsets that hold only a few of their terms.  The likeness of two
 fingerprints is the share of equal hashes among the subsets in which either has
 a term.
 
-The lexicon's size is bounded by the average number of distinct terms of a
-document times exp(max_idf), whatever the number of documents, so the terms
-travel as literals of the plan and texts are fingerprinted without a shuffle.
+The lexicon is a table: (term, the subsets it belongs to).  Texts and edited
+texts are exploded into terms once, joined with it, and the terms that stay are
+gathered per document.  Spark broadcasts the lexicon only where its size at run
+time is below the session's threshold and joins by term otherwise.
 
 Defined cases: null texts count as empty; a document without lexicon terms is
 fingerprinted by the hash of all its distinct terms, or of its text where it
@@ -32,41 +33,75 @@ MAX_IDF = 5.5
 TERM = r"[\p{L}\p{N}]+"
 # one in so many lexicon terms belongs to each subset
 RATES = (4, 8) + (16,) * 2 + (32,) * 3 + (64,) * 4 + (128,) * 4 + (256,) * 4 + (512,) * 3 + (1024,) * 2
+# copies of a document that one piece of its result stands for
+COPIES = 1024
 
 
 def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> list[str]:
+def in_subsets(words: DataFrame) -> DataFrame:
+    """(term, subsets): bit k of ``subsets`` says whether the term belongs to subset k."""
+    subsets = F.lit(0).cast("long")
+    for k, rate in enumerate(RATES):
+        subsets = subsets + F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(rate)) == 0, F.lit(1 << k)).otherwise(0)
+    return words.select("term", subsets.alias("subsets"))
+
+
+def lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
     """Terms whose document frequency over the whole corpus lies in the band; at least two documents."""
     total = docs.count()
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = F.log(F.lit(float(max(total, 1))) / F.col("df")).between(min_idf, max_idf) & (F.col("df") >= 2)
-    return [r.term for r in counts.where(band).select("term").collect()]
+    return in_subsets(counts.where(band))
 
 
-def with_fingerprint(rows: DataFrame, text: str, name: str, words: list[str]) -> DataFrame:
-    """Add the fingerprint of column ``text`` as ``name``: an array of hashes, null where a subset has no term.
+def fingerprints(rows: DataFrame, keys: list[str], carried: list[str], texts: dict[str, str], words: DataFrame) -> DataFrame:
+    """One row per distinct ``keys``: ``carried`` columns, ``copies`` (rows of the key) and fingerprints.
 
-    Its last element is set only where no subset has a term.  The sorted terms
-    are used twice, which keeps the optimizer from copying them into the
-    subsets' lambda.
+    ``texts`` maps a text column to the name of its fingerprint: an array with
+    a hash per subset, null where the subset has no term; its last element is
+    set only where no subset has a term.  Rows of one key must be equal.
     """
-    rows = rows.withColumn("all_terms", terms(F.col(text)))
-    rows = rows.withColumn("kept", F.array_sort(F.filter("all_terms", lambda t: t.isin(words) if words else F.lit(False))))
-    rates = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("rate")) for k, r in enumerate(RATES)])
-
-    def digest(subset: Column) -> Column:
-        chosen = F.filter("kept", lambda t: F.pmod(F.xxhash64(t, subset["k"]), subset["rate"]) == 0)
-        return F.when(F.size(chosen) > 0, F.hash(chosen))
-
-    rows = rows.withColumn("hashes", F.transform(rates, digest)).withColumn("n_terms", F.size("kept"))
-    rest = F.when(F.size("all_terms") > 0, F.hash(F.array_sort("all_terms"))).otherwise(F.hash(text))
-    none = (F.col("n_terms") == 0) | ~F.exists("hashes", lambda h: h.isNotNull())
-    return rows.withColumn(name, F.concat("hashes", F.array(F.when(none, rest)))).drop(
-        "all_terms", "kept", "hashes", "n_terms"
+    names = list(texts.values())
+    rows = rows.withColumns({f"{n}_terms": terms(F.col(c)) for c, n in texts.items()})
+    rest = {
+        f"{n}_rest": F.when(F.size(f"{n}_terms") > 0, F.xxhash64(F.array_sort(f"{n}_terms"))).otherwise(F.xxhash64(c))
+        for c, n in texts.items()
+    }
+    # each text's terms under its place, and under -1 one row that holds what is carried along
+    lists = [F.struct(F.lit(i).alias("place"), F.col(f"{n}_terms").alias("found")) for i, n in enumerate(names)]
+    lists.append(F.struct(F.lit(-1).alias("place"), F.array(F.lit(None).cast("string")).alias("found")))
+    kept = [*carried, *rest]
+    dealt = rows.withColumns(rest).select(*keys, *kept, F.explode(F.array(*lists)).alias("part"))
+    dealt = dealt.select(*keys, *kept, "part.place", F.explode("part.found").alias("term"))
+    own = F.col("place") == -1
+    dealt = dealt.select(*keys, *[F.when(own, F.col(c)).alias(c) for c in kept], "place", "term")
+    hits = dealt.join(words.where("subsets <> 0"), "term", "left").where(own | F.col("subsets").isNotNull())
+    term = F.struct("term", "subsets")
+    gathered = hits.groupBy(*keys).agg(
+        F.count(F.when(own, True)).alias("copies"),
+        *[F.max(c).alias(c) for c in kept],
+        *[F.collect_set(F.when(F.col("place") == i, term)).alias(f"{n}_kept") for i, n in enumerate(names)],
+        *[F.coalesce(F.bit_or(F.when(F.col("place") == i, F.col("subsets"))), F.lit(0)).alias(f"{n}_used") for i, n in enumerate(names)],
     )
+    gathered = gathered.withColumns({f"{n}_kept": F.array_sort(f"{n}_kept") for n in names})
+    bits = F.array(*[F.lit(1 << k).cast("long") for k in range(len(RATES))])
+
+    def fingerprint(n: str) -> Column:
+        def digest(bit: Column) -> Column:
+            chosen = F.filter(f"{n}_kept", lambda t: t["subsets"].bitwiseAND(bit) != 0)
+            return F.when(F.col(f"{n}_used").bitwiseAND(bit) != 0, half(F.xxhash64(F.transform(chosen, lambda t: t["term"]))))
+
+        return F.concat(F.transform(bits, digest), F.array(F.when(F.col(f"{n}_used") == 0, half(F.col(f"{n}_rest")))))
+
+    return gathered.select(*keys, "copies", *carried, *[fingerprint(n).alias(n) for n in names])
+
+
+def half(h: Column) -> Column:
+    """The upper 32 bits of a 64-bit hash."""
+    return F.shiftright(h, 32).cast("int")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -135,10 +170,9 @@ def fingerprint_edits(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float
         F.length("text").cast("long").alias("n_chars"),
         F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 4)))"), "gift").alias("edited"),
     )
-    found = with_fingerprint(with_fingerprint(texts, "text", "own", words), "edited", "other", words)
-    found = staged(
-        found.select("doc_id", "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "other"), "fingerprints"
-    )
+    texts = texts.withColumn("edited_sha256", F.sha2("edited", 256))
+    names = {"text": "own", "edited": "other"}
+    found = staged(fingerprints(texts, ["doc_id", "th"], ["n_chars", "edited_sha256"], names, words), "fingerprints")
     nexts = order.select(F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), "next_id", "next_th")
     ahead = (
         found.select("doc_id", "th", F.col("own").alias("ahead"))
@@ -146,6 +180,9 @@ def fingerprint_edits(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float
         .groupBy("to_id", "to_th")
         .agg(F.max("ahead").alias("ahead"))
     )
+    # a row per row of the document, made in pieces so that no array grows with its copies
+    found = found.withColumn("copy", F.explode(F.expr(f"sequence(1L, copies, {COPIES}L)")))
+    found = found.withColumn("copy", F.explode(F.expr(f"sequence(copy, least(copies, copy + {COPIES - 1}))")))
     return found.join(ahead, same("to_id", "to_th")).select(
         "doc_id",
         "n_chars",
