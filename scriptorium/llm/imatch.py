@@ -11,8 +11,9 @@ a term.
 
 The lexicon is a table: (term, the subsets it belongs to).  Texts and edited
 texts are exploded into terms once, joined with it, and the terms that stay are
-gathered per document.  Spark broadcasts the lexicon only where its size at run
-time is below the session's threshold and joins by term otherwise.
+gathered per document.  The lexicon is written first, so Spark knows its size
+before it plans: below the session's broadcast threshold the terms stay where
+their text is, beyond it they are joined by term.
 
 Defined cases: null texts count as empty; a document without lexicon terms is
 fingerprinted by the hash of all its distinct terms, or of its text where it
@@ -54,7 +55,7 @@ def lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF)
     total = docs.count()
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = F.log(F.lit(float(max(total, 1))) / F.col("df")).between(min_idf, max_idf) & (F.col("df") >= 2)
-    return in_subsets(counts.where(band))
+    return staged(in_subsets(counts.where(band)), "lexicon")
 
 
 def fingerprints(rows: DataFrame, keys: list[str], carried: list[str], texts: dict[str, str], words: DataFrame) -> DataFrame:
