@@ -144,6 +144,11 @@ def following(docs: DataFrame) -> DataFrame:
     )
 
 
+def document_key(doc_id: str, text_hash: str) -> Column:
+    """One value for a document, never null: equal where doc_id (null included) and text hash are."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), F.hex(text_hash))
+
+
 def fingerprint_edits(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
     """Fingerprint every text and its edited text, and compare with it and with the next document.
 
@@ -154,37 +159,37 @@ def fingerprint_edits(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float
     words = lexicon(docs, min_idf, max_idf)
     docs = docs.withColumn("th", F.xxhash64("text"))
     order = staged(following(docs), "document-successors")
-
-    def same(left_id: str, left_hash: str) -> Column:
-        return F.col(left_id).eqNullSafe(F.col("doc_id")) & (F.col(left_hash) == F.col("th"))
-
-    asks = order.select(F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), "next_id", "next_th", "given")
+    links = order.select(
+        F.col("doc_id"), document_key("doc_id", "th").alias("to_key"), document_key("next_id", "next_th").alias("next_key"), "given"
+    )
+    # both joins read the same two columns, so the texts are exchanged once; by one key, so that the
+    # terms of a document are gathered in the partition its text came to
+    texts = docs.select(document_key("doc_id", "th").alias("key"), "text")
     gifts = (
-        docs.join(asks, same("next_id", "next_th"))
-        .groupBy("to_id", "to_th")
-        .agg(F.max(F.expr("left(text, int(given))")).alias("gift"))
+        texts.join(links, F.col("key") == F.col("next_key"))
+        .groupBy("to_key")
+        .agg(F.max(F.expr("left(text, int(given))")).alias("gift"), F.max("doc_id").alias("doc_id"))
     )
-    texts = docs.join(gifts, same("to_id", "to_th")).select(
+    texts = texts.join(gifts, F.col("key") == F.col("to_key")).select(
+        "key",
         "doc_id",
-        "th",
         "text",
         F.length("text").cast("long").alias("n_chars"),
         F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 4)))"), "gift").alias("edited"),
     )
     texts = texts.withColumn("edited_sha256", F.sha2("edited", 256))
     names = {"text": "own", "edited": "other"}
-    found = staged(fingerprints(texts, ["doc_id", "th"], ["n_chars", "edited_sha256"], names, words), "fingerprints")
-    nexts = order.select(F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), "next_id", "next_th")
+    found = staged(fingerprints(texts, ["key"], ["doc_id", "n_chars", "edited_sha256"], names, words), "fingerprints")
     ahead = (
-        found.select("doc_id", "th", F.col("own").alias("ahead"))
-        .join(nexts, same("next_id", "next_th"))
-        .groupBy("to_id", "to_th")
+        found.select("key", F.col("own").alias("ahead"))
+        .join(links.select("to_key", "next_key"), F.col("key") == F.col("next_key"))
+        .groupBy("to_key")
         .agg(F.max("ahead").alias("ahead"))
     )
     # a row per row of the document, made in pieces so that no array grows with its copies
     found = found.withColumn("copy", F.explode(F.expr(f"sequence(1L, copies, {COPIES}L)")))
     found = found.withColumn("copy", F.explode(F.expr(f"sequence(copy, least(copies, copy + {COPIES - 1}))")))
-    return found.join(ahead, same("to_id", "to_th")).select(
+    return found.join(ahead, F.col("key") == F.col("to_key")).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
