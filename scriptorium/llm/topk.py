@@ -16,13 +16,19 @@ all vectors the bounds leave possible are then rescored exactly, ties included,
 so nothing depends on where it stopped.
 
 Queries are cut into chunks and each pair of an index block and a query chunk
-is one group of bounded size; a block gives k rows per query at most, and the
-k best of all blocks are ranked per query.
+is one group of bounded size, and a task of its own as long as there are few.
+Blocks are as large as they may be, since a larger one proves more at once; where
+that leaves fewer groups than ``GROUPS_PER_CORE`` for each core, the queries are
+cut finer, down to ``LEAST_CHUNK``, beside which building an index again is
+little work.  A block gives k rows per query at most, and the k best of all
+blocks are ranked per query.
 
 Defined cases: vectors that are null, hold null or non-finite components, or
 have no id take no part; shorter vectors count as padded with zeros; rows that
-share the query's id are its own and no candidates; a repeated query row is
-answered once; an empty table gives an empty result.  Components must be below
+share the query's id are its own and no candidates; a query's id is answered
+once, for the least of its vectors (as arrays of integers) if it has several;
+candidates are rows, so a repeated vec_id is listed as often as its rows rank; an
+empty table gives an empty result.  Components must be below
 2^31 / scale in size.
 """
 
@@ -40,6 +46,9 @@ SCALE = 256
 STEP = 8
 BLOCK = 16_384
 QUERY_CHUNK = 4096
+LEAST_CHUNK = 64
+GROUPS_PER_CORE = 4
+GROUP_TASKS = 20_000  # beyond so many groups several share a task
 FEW = 4  # times k: so few possible members are worth rescoring at once
 LOOKS = 4  # times the bounds are looked at
 RESULT = "query_id long, vec_id long, score long"
@@ -131,6 +140,13 @@ def search_group(rows: pd.DataFrame, k: int, step: int) -> pd.DataFrame:
     return pd.DataFrame(np.array(found, dtype=np.int64).reshape(-1, 3), columns=["query_id", "vec_id", "score"])
 
 
+def grid(vectors: int, queries: int, cores: int, block: int = BLOCK) -> tuple[int, int]:
+    """Numbers of index blocks and of query chunks."""
+    blocks = -(-vectors // block)
+    wanted = -(-GROUPS_PER_CORE * cores // max(1, blocks))
+    return blocks, max(-(-queries // QUERY_CHUNK), min(wanted, -(-queries // LEAST_CHUNK)))
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE, block: int = BLOCK, step: int = STEP
 ) -> DataFrame:
@@ -139,23 +155,27 @@ def top_k(
     ``vectors`` and ``queries`` have vec_id and embedding; ties go to the
     smaller vec_id.
     """
-    ship_package(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship_package(spark)
     held = staged(quantised(vectors, scale), "vectors")
-    asked = staged(quantised(queries, scale).distinct(), "vector-queries")
-    blocks, chunks = -(-held.count() // block), -(-asked.count() // QUERY_CHUNK)
+    asked = staged(quantised(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "vector-queries")
+    blocks, chunks = grid(held.count(), asked.count(), spark.sparkContext.defaultParallelism, block)
     if not blocks or not chunks:
-        return held.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    grid = {"b": blocks, "c": chunks}
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    tasks = min(blocks * chunks, GROUP_TASKS)
     dealt = []
-    for frame, own, other, is_query in ((held, "b", "c", False), (asked, "c", "b", True)):
+    for frame, own, own_count, other, other_count in ((held, "b", blocks, "c", chunks), (asked, "c", chunks, "b", blocks)):
         placed = frame.select(
-            "*",
-            F.lit(is_query).alias("is_query"),
-            F.pmod(F.xxhash64("vec_id", "v"), F.lit(grid[own])).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid[other] - 1).cast("long"))).alias(other),
+            F.lit(own == "c").alias("is_query"),
+            "vec_id",
+            "v",
+            F.pmod(F.xxhash64("vec_id", "v"), F.lit(own_count)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_count - 1).cast("long"))).alias(other),
         )
-        dealt.append(placed.select("b", "c", "is_query", "vec_id", "v"))
-    groups = dealt[0].unionByName(dealt[1]).groupBy("b", "c")
+        task = ((F.col("b") * chunks + F.col("c")) % tasks).cast("int")
+        dealt.append(placed.select(task.alias("task"), "b", "c", "is_query", "vec_id", "v"))
+    # groups go to tasks by number: hashes of so few small numbers would put several into one and leave others empty
+    groups = dealt[0].unionByName(dealt[1]).repartitionById(tasks, F.col("task")).groupBy("task", "b", "c")
     local = groups.applyInPandas(lambda rows: search_group(rows, k, step), RESULT)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

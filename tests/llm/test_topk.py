@@ -14,7 +14,11 @@ def brute(rows, asked, k):
 
     held = [(r[0], np.floor(256 * np.array(r[1], dtype=np.float32).astype(np.float64)).astype(np.int64)) for r in rows if whole(r)]
     out = set()
-    for q, a in {(i, tuple(v.tolist())) for i, v in held if asked(i)}:
+    asking = {}
+    for i, v in held:
+        if asked(i):
+            asking[i] = min(asking.get(i, tuple(v.tolist())), tuple(v.tolist()))
+    for q, a in asking.items():
         scores = []
         for i, v in held:
             if i != q:
@@ -51,6 +55,26 @@ def test_edges(spark):
     check(spark, rows[:1], lambda i: True, 5)
 
 
+def test_an_id_with_several_vectors_asks_with_the_least(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 30, v.tolist()) for i, v in enumerate(rng.normal(0, 0.2, (120, 8)).astype(np.float32))]
+    check(spark, rows + rows[:40], lambda i: i % 5 == 0, 7)
+
+
+def test_few_blocks_are_searched_by_many_tasks(spark):
+    assert topk.grid(0, 10, 8) == (0, 1) and topk.grid(10, 0, 8) == (1, 0)
+    assert topk.grid(100, 3, 8) == (1, 1)
+    assert topk.grid(51_000, 1020, 6) == (4, 6)
+    assert topk.grid(10**9, 2 * 10**7, 4000) == (61_036, 4883)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).normal(0, 0.2, (600, 4)).astype(np.float32))]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
+    found = topk.top_k(frame, frame, block=200)
+    blocks, chunks = topk.grid(600, 600, spark.sparkContext.defaultParallelism, 200)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert chunks > 1 and "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 2  # the groups', the ranking's
+    check(spark, rows, lambda i: True, 5, block=200)
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], VECTORS)
     assert topk.top_k(frame, frame).collect() == []
