@@ -14,7 +14,9 @@ the sample best.
 
 Defined cases: null and empty texts are one empty chunk and get its constant
 score; a null doc_id is not held out; without labels of both classes every
-score is 0.5; repeated rows get equal scores.
+score is 0.5; repeated rows get equal scores.  Of labels of one doc_id that
+differ the smaller counts, and of its texts that differ the one of least hash,
+so the sample does not depend on how the tables are divided.
 """
 
 from __future__ import annotations
@@ -182,8 +184,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
         docs.select("doc_id", text_or_empty().alias("text"))
         .where(F.length("text") <= SAMPLE_CHARS)
         .join(F.broadcast(taken), F.col("doc_id") == F.col("label_id"))
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "text", "quality")
+        .groupBy("doc_id", "quality")
+        .agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
         .collect()
     )
     rows.sort(key=lambda r: r.doc_id)

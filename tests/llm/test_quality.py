@@ -8,6 +8,43 @@ SF_MID = "/root/testdata/sf0.01"
 from scriptorium.llm import quality
 
 
+def slow_logit(text, network):
+    """The forward pass by definition, over the whole document at once."""
+    data = (text or "").encode("utf-8") or b"\0"
+    bytes_at = [np.frombuffer((data + b"\0" * j)[j:], dtype=np.uint8) for j in range(quality.WIDTH)]
+    response = sum(network.filters[j].astype(np.float64)[at] for j, at in enumerate(bytes_at))
+    starts = range(0, max(1, len(data) - quality.CELL), quality.CELL)  # a chunk is two cells long and starts at every cell
+    chunks = np.array([response[a : a + 2 * quality.CELL].max(axis=0) for a in starts])
+    hidden = np.maximum(chunks + network.bias, 0)
+    return hidden.mean(axis=0) @ network.mean + hidden.max(axis=0) @ network.top + network.last[0]
+
+
+def slow_scores(docs, labels):
+    """[(doc_id, text, score)]: one plain pass over each document by the trained network."""
+    network = quality.train(*quality.labelled_sample(docs, labels))
+    rows = docs.select("doc_id", "text").collect()
+    return [(r.doc_id, r.text, 1 / (1 + np.exp(-slow_logit(r.text, network)))) for r in rows]
+
+
+def test_scores_by_definition(spark, docs, edge_docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    few = spark.createDataFrame([(2, 0, 0), (3, 1, 0), (4, 1, 0), (5, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    for frame, known in ((docs, labels), (edge_docs, few)):
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        expected = sorted(((i, s) for i, _, s in slow_scores(frame, known)), key=key)
+        found = sorted(((r.doc_id, r.score) for r in quality.score(frame, known).collect()), key=key)
+        assert [i for i, _ in found] == [i for i, _ in expected]
+        assert np.allclose([s for _, s in found], [s for _, s in expected], atol=1e-4)
+
+
+def test_sample_does_not_depend_on_the_layout(spark):
+    rows = [(i % 20, f"text {i} of {i % 20}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 20, i % 3 % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    samples = [quality.labelled_sample(docs.repartition(n), labels.repartition(n)) for n in (1, 3, 8)]
+    assert samples[0] == samples[1] == samples[2] and len(set(samples[0][0])) == len(samples[0][0]) > 5
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
     labels = spark.read.parquet(f"{SF_MID}/labels.parquet")
