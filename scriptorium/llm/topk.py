@@ -83,6 +83,7 @@ class BlockIndex:
             dims += [d] * len(found)
             levels += found.tolist()
         self.dims, self.levels = np.array(dims, dtype=np.int64), np.array(levels, dtype=np.int64)
+        self.sizes = np.array([len(m) for m in self.members], dtype=np.int64)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, exact scores) of all that may be among the k best candidates, ranked; at most k."""
@@ -92,20 +93,22 @@ class BlockIndex:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         worth = query[self.dims] * self.levels
         order = np.argsort(-np.abs(worth), kind="stable")
-        total = np.zeros(len(self.ids), dtype=np.int64)
+        total = np.zeros(len(self.ids))
         possible = candidates
         part = max(1, -(-len(order) // LOOKS))
         for at in range(0, len(order), part):
-            for s in order[at : at + part]:
-                if worth[s]:
-                    total[self.members[s]] += worth[s]
-            rest = order[at + part :]
+            now, rest = order[at : at + part], order[at + part :]
+            now = now[worth[now] != 0]
+            if len(now):
+                # the sums are integers below 2^53 in size, so adding them as doubles is exact
+                adds = np.repeat(worth[now].astype(np.float64), self.sizes[now])
+                total += np.bincount(np.concatenate([self.members[s] for s in now]), adds, len(total))
             # a vector's impact in a dimension has been processed (nothing is left) or is among the rest
             least = np.zeros(self.matrix.shape[1], dtype=np.int64)
             most = least.copy()
             np.minimum.at(least, self.dims[rest], worth[rest])
             np.maximum.at(most, self.dims[rest], worth[rest])
-            known = (self.step * total).astype(np.float64)
+            known = self.step * total
             # what quantising left, and room for the rounding of these floats
             slack = np.sqrt((query.astype(np.float64) ** 2).sum()) * self.rest + 1e-9 * np.abs(known) + 1
             low = known + self.step * float(least.sum()) - slack
