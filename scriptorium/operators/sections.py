@@ -5,19 +5,18 @@ publication_refs, figure_refs, table_refs`` (``pos`` orders sections inside a
 paper).  Output: one row per merged main section with its class.
 
 The sequential per-paper walk of the original (a dict of main sections that
-sub-sections are appended to) is expressed with windows over ``item_key``:
-
-* the current main section of every row is a forward fill of the last main
-  row's key (``last(..., ignorenulls)`` over ``ROWS UNBOUNDED PRECEDING``);
-* a main key met again *replaces* the earlier list in the numbered and roman
-  schemes (rows before the key's last main row are lost) but keeps the
-  position of its first appearance; the heading scheme *appends*;
-* the text fold becomes one string piece per row, concatenated in order.
-
-The input is hash-partitioned once by ``item_key``; every later window,
-including those keyed by ``(item_key, heading, num)`` or ``(item_key, key)``,
-and the group-by of merged sections reuse that partitioning: one shuffle for
-the whole pipeline.  A paper's sections are bounded by the paper's size.
+sub-sections are appended to) is one fold per paper over its sections, gathered
+in order by one aggregate after one shuffle by ``item_key``:
+
+* the rows are cut at the main ones, so each part has one main section;
+* parts are sorted by key and cut where it changes; a main key met again
+  *replaces* the earlier part in the numbered and roman schemes but keeps the
+  place of its first appearance; the heading scheme *appends*;
+* the text fold is one string piece per row, joined in order.
+
+Every step takes time linear in the paper's sections (but for the sorts), no
+window is used, and texts are only referred to until they are joined.  A paper
+is held as one row, as the corpus it is exported to holds it.
 """
 
 from __future__ import annotations
@@ -49,12 +48,6 @@ INITIAL_TITLE = "Introduction"
 ROMAN_MAIN = r"^(?:ix|iv|v?i{0,3})\."
 ROMAN_FIRST = "i. "
 
-_UNB = Window.unboundedPreceding
-_UNF = Window.unboundedFollowing
-
-
-def _ordered(*cols) -> Window:
-    return Window.partitionBy(KEY, *cols).orderBy("pos")
 
 
 def flag_duplicates(df: DataFrame, keys=("heading", "num"), out_col: str = "is_duplicated") -> DataFrame:
@@ -75,7 +68,7 @@ def drop_near_duplicates(sections: DataFrame, n_word_chars: int | None = None) -
         key = F.sha2(key, 256)  # a whole text is compared by its digest, so windows do not carry it twice
     sections = sections.select("*", F.length(text).alias("_len"), key.alias("_wkey"))
     by_len = Window.partitionBy(KEY, "heading", "num").orderBy(F.col("_len").desc(), F.col("pos").asc())
-    whole = by_len.rowsBetween(_UNB, _UNF)
+    whole = by_len.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     flagged = sections.select(
         "*",
         F.count(F.lit(1)).over(whole).alias("_n"),
@@ -86,166 +79,197 @@ def drop_near_duplicates(sections: DataFrame, n_word_chars: int | None = None) -
     return flagged.where(keep).drop("_n", "_len", "_lpos", "_lkey", "_wkey")
 
 
-def clean_sections(sections: DataFrame) -> DataFrame:
-    """NULL -> "", heading and num stripped of white space; text and refs (when
-    present) default to "" and []."""
-    cols = {
-        "num": tx.strip(F.coalesce(F.col("num"), F.lit(""))),
-        "heading": tx.strip(F.coalesce(F.col("heading"), F.lit(""))),
-    }
-    if "text" in sections.columns:
-        cols["text"] = F.coalesce(F.col("text"), F.lit(""))
-    for c in REF_COLS:
-        if c in sections.columns:
-            cols[c] = F.coalesce(F.col(c), F.array().cast("array<string>"))
-    return sections.withColumns(cols)
-
+def section_rows(sections: DataFrame, n_word_chars: int | None = None) -> DataFrame:
+    """Per section one struct ``row``, led by ``pos``: cleaned values, and each
+    test of the numbering schemes, worked out once.
 
-def section_strategy(df: DataFrame) -> DataFrame:
-    """Per paper: numbering scheme N (numbers), R (roman), C (capitals), H (headings).
-
-    Also the running count of capitalised main headings (``_cap``), which does
-    not depend on the scheme: same partition and order as the scheme
-    aggregates, so the same window operator evaluates both.
+    NULL becomes "" (refs: []), heading and num are stripped of white space; the
+    raw heading and num stay as the key of near duplicates.
     """
-    wp = _ordered().rowsBetween(_UNB, _UNF)
-    upto = _ordered().rowsBetween(_UNB, 0)
-    h = F.lower("heading")
-    is_one = F.col("num").isin("1", "1.")
-    tests = df.withColumn("_main_c", (F.col("heading") != "") & tx.is_upper(tx.first_word(F.col("heading"))))
-    return tests.select(
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = tx.word_key(text, n_word_chars)
+    empty = F.array().cast("array<string>")
+    base = sections.select(
+        KEY, "pos", F.col("heading").alias("raw_heading"), F.col("num").alias("raw_num"),
+        tx.strip(F.coalesce("heading", F.lit(""))).alias("heading"),
+        tx.strip(F.coalesce("num", F.lit(""))).alias("num"),
+        text.alias("text"), F.length(text).alias("len"),
+        (key if n_word_chars else F.sha2(key, 256)).alias("word_key"),
+        *[F.coalesce(F.col(c), empty).alias(c) if c in sections.columns else empty.alias(c) for c in REF_COLS],
+    )
+    num, heading = F.col("num"), F.col("heading")
+    tests = base.select(
         "*",
-        F.max(h.contains(INTRO_HEADING).cast("int")).over(wp).alias("_has_intro"),
-        F.when(F.max(is_one.cast("int")).over(wp) == 1, F.lit("N"))
-        .when(F.max(h.startswith(ROMAN_FIRST).cast("int")).over(wp) == 1, F.lit("R"))
-        .when(F.max((tx.is_upper(F.col("heading")) & (F.col("heading") != "")).cast("int")).over(wp) == 1, F.lit("C"))
-        .otherwise(F.lit("H"))
-        .alias("strategy"),
-        (F.min_by(F.col("num"), F.when(is_one, F.col("pos"))).over(wp) == "1").alias("_no_dot"),
-        (F.sum(F.col("_main_c").cast("int")).over(upto) - 1).alias("_cap"),
+        F.lower(heading).alias("title"),
+        num.rlike(r"^\p{Nd}+$").alias("plain_number"),
+        num.rlike(r"^\p{Nd}+\.$").alias("dotted_number"),
+        F.lower(heading).rlike(ROMAN_MAIN).alias("roman"),
+        (tx.is_upper(heading) & (heading != "")).alias("upper"),
+        F.coalesce((heading != "") & tx.is_upper(tx.first_word(heading)), F.lit(False)).alias("capitals"),
     )
+    after_dot = F.expr("substring(heading, instr(heading, '.') + 1)")
+    roman_num = F.concat(tx.roman_to_int(F.substring_index("heading", ".", 1)).cast("string"), F.lit("."))
+    marked = tests.select(
+        "*",
+        num.isin("1", "1.").alias("one"),
+        F.col("title").startswith(ROMAN_FIRST).alias("roman_first"),
+        F.col("title").contains(INTRO_HEADING).alias("intro"),
+        F.when(F.col("roman"), roman_num).alias("roman_num"),
+        F.when(F.col("roman"), F.lower(after_dot)).alias("roman_title"),
+        F.when(F.col("capitals"), F.lower(tx.leading_upper_words(heading))).alias("capitals_title"),
+    )
+    return marked.select(KEY, F.struct(*[c for c in marked.columns if c != KEY]).alias("row"))
 
 
-def assign_main_sections(df: DataFrame) -> DataFrame:
-    """Mark main rows, give every row the key of its current main section and a kind.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Adds ``key_num``, ``key_title``, ``kind`` ('section', 'subsection', '').
-    Roman main rows also get their number converted and heading cut.
-    Per-row tests are materialised once as columns and referenced afterwards.
-    """
-    s = F.col("strategy")
-    num, heading = F.col("num"), F.col("heading")
-    tests = df.select(
-        "*",
-        F.lower(heading).alias("_h"),
-        ((num != "") & F.when(F.col("_no_dot"), num.rlike(r"^\p{Nd}+$")).otherwise(num.rlike(r"^\p{Nd}+\.$"))).alias("_main_n"),
-        F.expr("substring(heading, instr(heading, '.') + 1)").alias("_after_dot"),
-    )
-    h = F.col("_h")
-    is_main = (
-        F.when(s == "N", F.col("_main_n")).when(s == "R", h.rlike(ROMAN_MAIN)).when(s == "C", F.col("_main_c")).otherwise(heading != "")
-    )
-    roman_num = F.when(s == "R", F.concat(tx.roman_to_int(F.substring_index(heading, ".", 1)).cast("string"), F.lit(".")))
-    key_title = F.when(s == "R", F.lower("_after_dot")).when(s == "C", F.lower(tx.leading_upper_words(heading))).otherwise(h)
-    marked = tests.select("*", is_main.alias("_main"), roman_num.alias("_roman"), key_title.alias("_ktitle"))
-    key_num = F.when(s == "R", F.col("_roman")).when(s == "C", F.concat(F.col("_cap").cast("string"), F.lit("."))).otherwise(num)
-    mkey = F.when(F.col("_main"), F.struct(key_num.alias("n"), F.col("_ktitle").alias("t")))
-    cur = F.last("_mkey", ignorenulls=True).over(_ordered().rowsBetween(_UNB, 0))
-    initial = F.struct(F.lit("").alias("n"), F.when(F.col("_has_intro") == 1, F.lit("")).otherwise(F.lit(INITIAL_TITLE)).alias("t"))
-    keyed = marked.withColumn("_mkey", mkey).withColumn("_key", F.coalesce(cur, initial))
-    cur_num = F.col("_key.n")
-    kind = (
-        F.when(F.col("_main"), F.lit("section"))
-        .when(s == "N", F.when(num == "", F.lit("")).when(num.startswith(cur_num), F.lit("subsection")).otherwise(F.lit("")))
-        .when(s.isin("R", "C"), F.lit("subsection"))
-        .otherwise(F.lit(""))
-    )
-    roman_main = (s == "R") & F.col("_main")
-    return keyed.select(
-        *[c for c in df.columns if c not in ("num", "heading")],
-        F.when(roman_main, F.col("_roman")).otherwise(num).alias("num"),
-        F.when(roman_main, tx.strip(F.col("_after_dot"))).otherwise(heading).alias("heading"),
-        F.col("_key.n").alias("key_num"),
-        F.col("_key.t").alias("key_title"),
-        kind.alias("kind"),
-        F.col("_main"),
-    )
 
+def _indexes(items: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(items) - 1)
 
-def keep_current_lists(df: DataFrame) -> DataFrame:
-    """Apply replace-on-repeat (schemes N and R) and record each key's first position."""
-    grp = Window.partitionBy(KEY, "key_num", "key_title").orderBy("pos").rowsBetween(_UNB, _UNF)
-    with_pos = df.select(
-        "*",
-        F.min("pos").over(grp).alias("first_pos"),
-        F.max(F.when(F.col("_main"), F.col("pos"))).over(grp).alias("_last_main"),
-    )
-    replaced = F.col("strategy").isin("N", "R") & F.col("_last_main").isNotNull() & (F.col("pos") < F.col("_last_main"))
-    return with_pos.where(~replaced).drop("_last_main")
 
+def _first_index(items: Column, test) -> Column:
+    """Index of the first item that passes; NULL if none does."""
+    return F.get(F.filter(_indexes(items), lambda i: test(F.get(items, i), i)), F.lit(0))
 
-def piece_flags(df: DataFrame) -> DataFrame:
-    """``_has_prev``: did an earlier kept row of the same main section produce text?
 
-    Needs only ``kind`` and ``_has_text`` (not the text itself).
-    """
-    grp_prev = Window.partitionBy(KEY, "key_num", "key_title").orderBy("pos").rowsBetween(_UNB, -1)
-    produces = (F.col("kind") != "section") | F.col("_has_text")
-    return df.withColumn("_has_prev", F.coalesce(F.max(produces.cast("int")).over(grp_prev), F.lit(0)) == 1)
+def _cut(items: Column, starts: Column) -> Column:
+    """The items from each of ``starts`` (ascending indexes) up to the next one."""
+    return F.transform(starts, lambda s, j: F.slice(items, s + 1, F.coalesce(F.get(starts, j + 1), F.size(items)) - s))
 
 
-def text_pieces(df: DataFrame) -> DataFrame:
-    """One string per row such that concatenating a group's pieces in order gives
-    the merged text: sections add their text, sub-sections an underlined title
-    then their text, rows of kind '' extend the previous line then add their text.
-    """
-    if "_has_text" not in df.columns:
-        df = df.withColumn("_has_text", F.col("text") != "")
-    if "_has_prev" not in df.columns:
-        df = piece_flags(df)
-    t = F.col("text")
-    has_text = F.col("_has_text")
-    sep = F.when(F.col("_has_prev"), F.lit("\n")).otherwise(F.lit(""))
-    then_text = F.when(has_text, F.concat(F.lit("\n"), t)).otherwise(F.lit(""))
-    sub_title = F.concat(F.col("num"), F.lit(" "), F.col("heading"))
-    piece = (
-        F.when(F.col("kind") == "section", F.when(has_text, F.concat(sep, t)).otherwise(F.lit("")))
-        .when(F.col("kind") == "subsection", F.concat(sep, F.lit("\n"), tx.underline(sub_title), then_text))
-        .otherwise(F.concat(F.col("heading"), F.lit(" "), t, then_text))
-    )
-    return df.withColumn("_piece", piece)
+def _runs(items: Column, fields: tuple[str, ...], body) -> Column:
+    """``body`` of each run of neighbours that agree in ``fields``."""
 
+    def begins(i: Column) -> Column:
+        here, before = F.get(items, i), F.get(items, i - 1)
+        same = F.lit(True)
+        for f in fields:
+            same = same & here[f].eqNullSafe(before[f])
+        return (i == 0) | ~same
 
-def _ordered_concat(value: str, sep: str = "") -> Column:
-    items = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(value).alias("v"))))
-    return F.array_join(F.transform(items, lambda x: x["v"]), sep)
+    return _let(F.filter(_indexes(items), begins), lambda starts: F.transform(_cut(items, starts), body))
 
 
-def _ordered_flatten(value: str) -> Column:
-    items = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(value).alias("v"))))
-    return F.flatten(F.transform(items, lambda x: x["v"]))
+def without_near_duplicates(rows: Column) -> Column:
+    """The rows of a paper, in order, by the rule of ``drop_near_duplicates``."""
 
+    def kept(group: Column) -> Column:
+        def unlike_longest(longest: Column) -> Column:
+            keep = F.filter(group, lambda g: (g["pos"] == longest["pos"]) | (g["row"]["word_key"] != longest["row"]["word_key"]))
+            return F.transform(keep, lambda g: g["row"])
 
-def merge_subsections(df: DataFrame) -> DataFrame:
-    """One row per (paper, main section): merged text and concatenated refs, with
-    ``sec_idx`` = position of the section in the paper (first appearance)."""
-    merged = df.groupBy(KEY, "key_num", "key_title", F.col("first_pos").alias("_order")).agg(
-        _ordered_concat("_piece").alias("text"), *[_ordered_flatten(c).alias(c) for c in REF_COLS]
+        return _let(F.get(group, F.lit(0)), unlike_longest)
+
+    keyed = F.transform(
+        rows,
+        lambda r: F.struct(
+            r["raw_heading"].alias("heading"), r["raw_num"].alias("num"), (-r["len"]).alias("shorter"), r["pos"].alias("pos"), r.alias("row")
+        ),
     )
-    idx = F.row_number().over(Window.partitionBy(KEY).orderBy("_order")) - 1
-    return merged.select(
-        KEY,
-        idx.alias("sec_idx"),
-        F.col("key_title").alias("heading"),
-        F.col("key_num").alias("num"),
-        "text",
-        *REF_COLS,
-        "_order",
+    return F.array_sort(_let(F.array_sort(keyed), lambda k: F.flatten(_runs(k, ("heading", "num"), kept))))
+
+
+def section_scheme(rows: Column) -> Column:
+    """Numbering scheme of a paper: N (numbers), R (roman), C (capitals), H (headings).
+
+    ``no_dot``: the first section 1 is numbered without a dot.  ``first_title``:
+    title of the sections before the first main one.
+    """
+    strategy = (
+        F.when(F.exists(rows, lambda r: r["one"]), F.lit("N"))
+        .when(F.exists(rows, lambda r: r["roman_first"]), F.lit("R"))
+        .when(F.exists(rows, lambda r: r["upper"]), F.lit("C"))
+        .otherwise(F.lit("H"))
     )
+    first_one = F.get(F.filter(rows, lambda r: r["one"]), F.lit(0))
+    first_title = F.when(F.exists(rows, lambda r: r["intro"]), F.lit("")).otherwise(F.lit(INITIAL_TITLE))
+    return F.struct(strategy.alias("is"), (first_one["num"] == "1").alias("no_dot"), first_title.alias("first_title"))
 
 
-def classify_merged(merged: DataFrame) -> DataFrame:
-    """Class of every merged section from its title, then forward-filled.
+def main_sections(rows: Column, scheme: Column) -> Column:
+    """The rows cut at the main ones: (num, title, at, main, rows).
+
+    What stands before the first main row is a part of its own, ``main`` false.
+    """
+    s = scheme["is"]
+
+    def is_main(r: Column) -> Column:
+        number = F.when(scheme["no_dot"], r["plain_number"]).otherwise(r["dotted_number"])
+        return F.when(s == "N", number).when(s == "R", r["roman"]).when(s == "C", r["capitals"]).otherwise(r["heading"] != "")
+
+    def part(rows_of: Column, at: Column, nth: Column, main: Column) -> Column:
+        head = F.get(rows_of, F.lit(0))
+        num = F.when(s == "R", head["roman_num"]).when(s == "C", F.concat(nth.cast("string"), F.lit("."))).otherwise(head["num"])
+        title = F.when(s == "R", head["roman_title"]).when(s == "C", head["capitals_title"]).otherwise(head["title"])
+        return F.struct(
+            F.when(main, num).otherwise(F.lit("")).alias("num"),
+            F.when(main, title).otherwise(scheme["first_title"]).alias("title"),
+            at.alias("at"), main.alias("main"), rows_of.alias("rows"),
+        )
+
+    def parts(mains: Column) -> Column:
+        # 1 if rows stand before the first main one
+        early = F.when(F.coalesce(F.get(mains, F.lit(0)), F.lit(1)) > 0, F.lit(1)).otherwise(F.lit(0))
+        starts = F.concat(F.array_repeat(F.lit(0), early), mains)
+        return _let(F.struct(early.alias("early"), starts.alias("starts")), lambda c: F.transform(
+            _cut(rows, c["starts"]),
+            lambda rows_of, j: part(rows_of, F.get(c["starts"], j), j - c["early"], j >= c["early"]),
+        ))
+
+    return _let(F.filter(_indexes(rows), lambda i: is_main(F.get(rows, i))), parts)
+
+
+def merged_section(parts: Column, scheme: Column) -> Column:
+    """The main section of the parts that share a key: (at, heading, num, text, refs).
+
+    The last part replaces the earlier ones in the numbered and roman schemes;
+    the section keeps the place of the first.
+    """
+    s = scheme["is"]
+
+    def kind(r: Column, i: Column, part: Column) -> Column:
+        return (
+            F.when(part["main"] & (i == 0), F.lit("section"))
+            .when(s == "N", F.when((r["num"] != "") & r["num"].startswith(part["num"]), F.lit("subsection")).otherwise(F.lit("")))
+            .when(s == "H", F.lit(""))
+            .otherwise(F.lit("subsection"))
+        )
+
+    def piece(row: Column, after_text: Column) -> Column:
+        """What a row adds: sections their text, sub-sections an underlined title and
+        their text, rows of kind '' extend the line before and add their text."""
+        r, text = row["row"], row["row"]["text"]
+        sep = F.when(after_text, F.lit("\n")).otherwise(F.lit(""))
+        then_text = F.when(text != "", F.concat(F.lit("\n"), text)).otherwise(F.lit(""))
+        title = F.concat(r["num"], F.lit(" "), r["heading"])
+        return (
+            F.when(row["kind"] == "section", F.when(text != "", F.concat(sep, text)).otherwise(F.lit("")))
+            .when(row["kind"] == "subsection", F.concat(sep, F.lit("\n"), tx.underline(title), then_text))
+            .otherwise(F.concat(r["heading"], F.lit(" "), text, then_text))
+        )
+
+    def values(rows: Column, name: str) -> Column:
+        return F.transform(rows, lambda r: r["row"][name])
+
+    def merged(rows: Column) -> Column:
+        first_text = _first_index(rows, lambda r, i: (r["kind"] != "section") | (r["row"]["text"] != ""))
+        text = _let(first_text, lambda f: F.array_join(F.transform(rows, lambda r, i: piece(r, F.coalesce(i > f, F.lit(False)))), ""))
+        head = F.get(parts, F.lit(0))
+        return F.struct(
+            head["at"].alias("at"), head["title"].alias("heading"), head["num"].alias("num"), text.alias("text"),
+            *[F.flatten(values(rows, c)).alias(c) for c in REF_COLS],
+        )
+
+    current = F.when(s.isin("N", "R"), F.slice(parts, F.size(parts), F.lit(1))).otherwise(parts)
+    of_part = lambda p: F.transform(p["rows"], lambda r, i: F.struct(kind(r, i, p).alias("kind"), r.alias("row")))
+    return _let(F.flatten(F.transform(current, of_part)), merged)
+
+
+def section_classes(titles: Column) -> Column:
+    """Class of every merged section of a paper from the lower-case titles, then carried forward.
 
     Rules (later override earlier): the first title matching introduction/
     background (else the first section) is the introduction; related work;
@@ -254,53 +278,67 @@ def classify_merged(merged: DataFrame) -> DataFrame:
     whatever it was.  Classes are then carried forward until the first
     conclusion; sections after it keep their own class.
     """
-    # every window orders by the same key as sec_idx was numbered from: one sort
-    order = "_order" if "_order" in merged.columns else "sec_idx"
-    wp = Window.partitionBy(KEY).orderBy(order).rowsBetween(_UNB, _UNF)
-    wo = Window.partitionBy(KEY).orderBy(order).rowsBetween(_UNB, 0)
-    t = F.lower("heading")
-    intro_idx = F.coalesce(F.min(F.when(t.rlike(INTRO_PATTERN), F.col("sec_idx"))).over(wp), F.lit(0))
-    base = (
-        F.when(t.rlike(EVALUATION_PATTERN), F.lit(EVALUATION))
-        .when(t.rlike(CONCLUSION_PATTERN), F.lit(CONCLUSION))
-        .when(t.rlike(RELATED_PATTERN), F.lit(RELATED_WORK))
-        .when(F.col("sec_idx") == F.col("_intro"), F.lit(INTRODUCTION))
-        .otherwise(F.lit(""))
-    )
-    step1 = merged.withColumn("_intro", intro_idx).withColumn("_c0", base)
-    is_m = t.contains(METHOD_PATTERN) & (F.col("_c0") == "")
-    step2 = step1.withColumn("_m", is_m).withColumn("_any_m", F.max(is_m.cast("int")).over(wp) == 1)
-    c1 = (
-        F.when(F.col("_any_m") & F.col("_m"), F.lit(METHOD))
-        .when(~F.col("_any_m") & (F.col("sec_idx") == F.col("_intro") + 1), F.lit(METHOD))
-        .otherwise(F.col("_c0"))
-    )
-    step3 = step2.withColumn("_c1", c1)
-    first_concl = F.min(F.when(F.col("_c1") == CONCLUSION, F.col("sec_idx"))).over(wp)
-    filled = F.coalesce(F.last(F.when(F.col("_c1") != "", F.col("_c1")), ignorenulls=True).over(wo), F.lit(""))
-    typ = F.when(first_concl.isNotNull() & (F.col("sec_idx") > first_concl), F.col("_c1")).otherwise(filled)
-    return step3.withColumn("type", typ).drop("_intro", "_c0", "_m", "_any_m", "_c1", "_order")
+
+    def own(intro: Column) -> Column:
+        by_title = F.transform(
+            titles,
+            lambda t, i: F.when(t.rlike(EVALUATION_PATTERN), F.lit(EVALUATION))
+            .when(t.rlike(CONCLUSION_PATTERN), F.lit(CONCLUSION))
+            .when(t.rlike(RELATED_PATTERN), F.lit(RELATED_WORK))
+            .when(i == intro, F.lit(INTRODUCTION))
+            .when(t.contains(METHOD_PATTERN), F.lit(METHOD))
+            .otherwise(F.lit("")),
+        )
+
+        def with_method(classes: Column) -> Column:
+            second = F.transform(classes, lambda c, i: F.when(i == intro + 1, F.lit(METHOD)).otherwise(c))
+            return F.when(F.array_contains(classes, METHOD), classes).otherwise(second)
+
+        return _let(by_title, with_method)
+
+    def carried(classes: Column) -> Column:
+        def spread(starts: Column) -> Column:
+            before = F.array_repeat(F.lit(""), F.coalesce(F.get(starts, F.lit(0)), F.size(classes)))
+            each = F.transform(_cut(classes, starts), lambda run: F.transform(run, lambda c: F.get(run, F.lit(0))))
+            return F.concat(before, F.flatten(each))
+
+        def until(c: Column) -> Column:
+            last = F.coalesce(c["conclusion"], F.size(classes))
+            return F.transform(classes, lambda own, i: F.when(i > last, own).otherwise(F.get(c["filled"], i)))
+
+        filled = _let(F.filter(_indexes(classes), lambda i: F.get(classes, i) != ""), spread)
+        conclusion = _first_index(classes, lambda c, i: c == CONCLUSION)
+        return _let(F.struct(filled.alias("filled"), conclusion.alias("conclusion")), until)
+
+    intro = F.coalesce(_first_index(titles, lambda t, i: t.rlike(INTRO_PATTERN)), F.lit(0))
+    return _let(_let(intro, own), carried)
+
+
+def paper_sections(rows: Column) -> Column:
+    """The classified main sections of one paper, an array of structs, from its rows in order."""
+
+    def of_scheme(kept: Column, scheme: Column) -> Column:
+        by_key = F.array_sort(main_sections(kept, scheme))
+        return F.array_sort(_let(by_key, lambda parts: _runs(parts, ("num", "title"), lambda group: merged_section(group, scheme))))
+
+    def classified(sections: Column) -> Column:
+        titles = F.transform(sections, lambda x: F.lower(x["heading"]))
+        return _let(_let(titles, section_classes), lambda types: F.transform(sections, lambda x, i: F.struct(
+            i.alias("sec_idx"), *[x[c].alias(c) for c in ("heading", "num", "text", *REF_COLS)], F.get(types, i).alias("type")
+        )))
+
+    return _let(_let(without_near_duplicates(rows), lambda kept: _let(section_scheme(kept), lambda s: of_scheme(kept, s))), classified)
 
 
-def classify_sections(
-    sections: DataFrame, repartition: bool = True, n_word_chars: int | None = None
-) -> DataFrame:
+def classify_sections(sections: DataFrame, n_word_chars: int | None = None) -> DataFrame:
     """The whole pipeline: near duplicates, cleaning, scheme, tree, merge, classes.
 
-    One shuffle by paper; every later window and the merge aggregate reuse it.
-    ``n_word_chars``: see ``drop_near_duplicates``.
+    One row per merged main section, ``sec_idx`` its place in the paper (first
+    appearance).  One shuffle by paper and one aggregate.  ``n_word_chars``: see
+    ``drop_near_duplicates``.
     """
-    df = sections.repartition(KEY) if repartition else sections
-    df = drop_near_duplicates(df, n_word_chars)
-    df = clean_sections(df)
-    for c in REF_COLS:
-        if c not in df.columns:
-            df = df.withColumn(c, F.array().cast("array<string>"))
-    df = section_strategy(df)
-    df = assign_main_sections(df)
-    df = keep_current_lists(df)
-    df = text_pieces(df)
-    return classify_merged(merge_subsections(df))
+    papers = section_rows(sections, n_word_chars).groupBy(KEY).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return papers.select(KEY, F.inline(paper_sections(F.col("rows"))))
 
 
 def merge_section_list(sections: DataFrame, group_cols=(KEY,)) -> DataFrame:

@@ -30,6 +30,10 @@ def test_section_pipeline_shuffles_once_by_paper(spark):
     assert len(keys) == 1 and keys[0].startswith("item_key")
 
 
+def test_section_pipeline_has_no_window(spark):
+    assert "Window" not in _plan(catalog.q_classify_sections(spark, SF_SMALL))
+
+
 def test_text_segments_moves_section_text_once(spark):
     plan = _plan(catalog.q_text_segments(spark, SF_SMALL))
     # sections repartitioned by paper once; the other exchanges carry the small sides only

@@ -107,6 +107,31 @@ def test_every_line_of_a_heading_paper_is_kept(spark):
     assert all(r.text in joined[r.item_key] for r in kept.collect())
 
 
+def test_a_very_long_paper(spark):
+    """Work is linear in the sections: headings that repeat append, numbered ones replace."""
+    n = 20_000
+    headings = _paper(spark, [(f"Head {i * 7919 % 5000}", "", f"t{i}") for i in range(n)])
+    expected = {}
+    for i in range(n):
+        expected.setdefault(f"head {i * 7919 % 5000}", []).append(f"t{i}")
+    found = _sections(secops.classify_sections(headings))
+    assert [(h, t) for h, _, t, _ in found] == [(h, "\n".join(t)) for h, t in expected.items()]
+    numbered = [("Part", f"{i % 3000 + 1}.", f"t{i}") for i in range(n)] + [("Sub", "2000.1", "last")]
+    found = _sections(secops.classify_sections(_paper(spark, numbered)))
+    last = {f"{i % 3000 + 1}.": f"t{i}" for i in range(n)}
+    assert found[1999][2] == "t19999\n\n2000.1 Sub\n----------\nlast" and len(found) == 3000
+    assert all(text == last[num] for _, num, text, _ in found if num != "2000.")
+
+
+def test_sections_without_paper_and_missing_values(spark):
+    rows = [(None, 0, "Alpha", "", "a", None, None, ["t"]), (None, 1, None, None, None, ["b"], [], None), (None, 2, "Beta", None, "c", [], [], [])]
+    found = secops.classify_sections(spark.createDataFrame(rows, SCHEMA)).orderBy("sec_idx").collect()
+    assert [(r.item_key, r.heading, r.num, r.text) for r in found] == [(None, "alpha", "", "a "), (None, "beta", "", "c")]
+    assert found[0].publication_refs == ["b"] and found[0].table_refs == ["t"]
+    bare = secops.classify_sections(spark.createDataFrame(rows, SCHEMA).select("item_key", "pos", "heading", "num", "text"))
+    assert bare.orderBy("sec_idx").first().figure_refs == []
+
+
 def test_empty_input_gives_no_sections(spark):
     df = fx.sections(spark, SF_SMALL).limit(0)
     assert secops.classify_sections(df).count() == 0
