@@ -15,7 +15,6 @@ from pyspark.sql.types import ArrayType
 
 from scriptorium.functions.dates import iso_date, year_prefix
 from scriptorium.operators.merge import MULTI_SEPARATOR, blank_to_null, tag_source
-from scriptorium.session import checkpoint_root
 
 # Fixed value: the column marking a Publish-or-Perish export.
 POP_MARKER = "CitesPerAuthor"
@@ -143,9 +142,14 @@ def read_landed(spark: SparkSession, path: str, schema: str, fmt: str = "json",
     ``keep_corrupt`` adds the column ``_corrupt_record`` with the text of rows
     that cannot be read (null on good rows), so they can be counted and set
     aside; without it such rows come as nulls, as Spark's readers give them.
+
+    Spark's newer XML parser reads a file anew for each row it cannot read and
+    gives the text of the whole file; the older one gives the row's own text.
     """
     if keep_corrupt:
         schema, options = f"{schema}, {CORRUPT} string", {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        if fmt == "xml":
+            options = {"useLegacyXMLParser": "true", **options}
     return spark.read.schema(schema).options(**options).format(fmt).load(path)
 
 
@@ -157,13 +161,13 @@ def read_json_records(spark: SparkSession, path: str, schema: str, keep_corrupt:
 def corrupt_report(df: DataFrame) -> DataFrame:
     """``status, n``: rows read and rows that could not be read.
 
-    The rows are parsed whole and kept first: a reader that is asked for fewer
-    columns also finds fewer faults.
+    The values of every column are counted with them: a reader that is asked for
+    fewer columns also finds fewer faults.
     """
-    checkpoint_root(df.sparkSession)
-    rows = df.checkpoint()
     status = F.when(F.col(CORRUPT).isNotNull(), "corrupt").otherwise("read")
-    return rows.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    values = F.array(*[F.count(F.col(f"`{c}`")) for c in df.columns])
+    counted = df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), values.alias("_values"))
+    return counted.where(F.array_max("_values") >= 0).select("status", "n")
 
 
 def _set(values: Column) -> Column:
