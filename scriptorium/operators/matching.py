@@ -9,8 +9,10 @@ prefix-filtered join, not by comparing everything:
 * the words of a set are ordered by rarity, and two sets that are alike share
   a word among the first n - ceil(threshold n) + 1 of each, so only these few
   rare words are joined on;
-* sizes and positions of the shared word rule most candidates out, and what is
-  left is checked exactly.
+* sizes and positions of the shared word rule many candidates out where they
+  meet, and so does a small map of each set's words: words that only one of two
+  sets has are at least as many as the bits that differ in their maps;
+* what is left is checked exactly.
 
 No pair that reaches the threshold is lost.  Among the works alike, the best
 one is ranked by title, author, publication and year in whole thousandths, so
@@ -27,6 +29,8 @@ from scriptorium.operators.lexical import TERM_PATTERN
 THRESHOLD = 600
 # Shares of title, author, publication and year in the score.
 WEIGHTS = (6, 2, 1, 1)
+# Longs of the map of a set's words: 64 bits each, a bit for each word by its hash.
+MAP_LONGS = 4
 # Where a subtitle begins (fixed value).
 SUBTITLE = "[:–—].*$"
 
@@ -50,9 +54,29 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def _prefixes(sets: DataFrame, rarity: DataFrame, threshold: int) -> DataFrame:
     words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word")).join(rarity, "word")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("n_sets", "word"))
+    of_set = Window.partitionBy("id")
+    place = F.row_number().over(of_set.orderBy("n_sets", "word"))
     kept = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 1000) + 1
-    return words.withColumn("place", place).where(F.col("place") <= kept).select("word", "id", "n", "place")
+    hashed = words.withColumn("bit", F.pmod(F.xxhash64("word"), F.lit(64 * MAP_LONGS)).cast("int"))
+    one = F.expr("shiftleft(1L, bit % 64)")
+    maps = {f"map{k}": F.bit_or(F.when(F.floor(F.col("bit") / 64) == k, one).otherwise(F.lit(0))).over(of_set) for k in range(MAP_LONGS)}
+    placed = hashed.withColumns({**maps, "place": place}).where(F.col("place") <= kept)
+    return placed.select("word", "id", "n", "place", *maps)
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``left_id, right_id`` of the pairs that are to be checked, all that reach the threshold among them."""
+    words = left.select(F.explode("words").alias("word")).unionAll(right.select(F.explode("words").alias("word")))
+    rarity = words.groupBy("word").agg(F.count(F.lit(1)).alias("n_sets"))
+    a, b = (_prefixes(s, rarity, threshold).alias(name) for s, name in ((left, "a"), (right, "b")))
+    sizes = (F.lit(1000) * F.col("a.n") >= threshold * F.col("b.n")) & (F.lit(1000) * F.col("b.n") >= threshold * F.col("a.n"))
+    # at the first word that two sets share, no more words than the rest of either can be shared
+    most = F.lit(1) + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    reach = most * (1000 + threshold) >= threshold * (F.col("a.n") + F.col("b.n"))
+    # of the words of both, at most those can be shared that the differing bits of their maps leave
+    differ = sum((F.bit_count(F.col(f"a.map{k}").bitwiseXOR(F.col(f"b.map{k}"))) for k in range(MAP_LONGS)), F.lit(0))
+    shared = (F.col("a.n") + F.col("b.n") - differ) * (1000 + threshold) >= 2 * threshold * (F.col("a.n") + F.col("b.n"))
+    return a.join(b, "word").where(sizes & reach & shared).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -63,16 +87,8 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: int = THRESHOLD)
     """
     if not 0 < threshold <= 1000:
         raise ValueError("the threshold is given in thousandths, from 1 to 1000")
-    words = left.select(F.explode("words").alias("word")).unionAll(right.select(F.explode("words").alias("word")))
-    rarity = words.groupBy("word").agg(F.count(F.lit(1)).alias("n_sets"))
-    a, b = (_prefixes(s, rarity, threshold).alias(name) for s, name in ((left, "a"), (right, "b")))
-    sizes = (F.lit(1000) * F.col("a.n") >= threshold * F.col("b.n")) & (F.lit(1000) * F.col("b.n") >= threshold * F.col("a.n"))
-    # at the first word that two sets share, no more words than the rest of either can be shared
-    most = F.lit(1) + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    reach = most * (1000 + threshold) >= threshold * (F.col("a.n") + F.col("b.n"))
-    pairs = a.join(b, "word").where(sizes & reach).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
     checked = (
-        pairs.join(left.select(F.col("id").alias("left_id"), F.col("words").alias("_a")), "left_id")
+        candidate_pairs(left, right, threshold).join(left.select(F.col("id").alias("left_id"), F.col("words").alias("_a")), "left_id")
         .join(right.select(F.col("id").alias("right_id"), F.col("words").alias("_b")), "right_id")
     )
     similarity = jaccard(F.col("_a"), F.col("_b"))

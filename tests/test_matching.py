@@ -37,6 +37,17 @@ def test_candidates_are_joined_on_rare_words_only(spark):
     assert matching.similar_sets(left, left, 800).count() == 300
 
 
+def test_pairs_that_only_share_a_few_words_are_ruled_out_where_they_meet(spark):
+    rng = random.Random(3)
+    left, right = (sorted({frozenset(rng.sample(range(60), 14)) for _ in range(150)}, key=sorted) for _ in range(2))
+    right += [s - {min(s)} for s in left[:20]]
+    a, b = (_sets(spark, [{f"v{i}" for i in s} for s in side]) for side in (left, right))
+    pairs = {(int(r.left_id), int(r.right_id)) for r in matching.candidate_pairs(a, b, 600).collect()}
+    alike = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if 1000 * len(x & y) >= 600 * len(x | y)}
+    assert alike <= pairs and len(alike) >= 20
+    assert len(pairs) < 2 * len(alike)  # 13,073 by their rare words, sizes and places alone
+
+
 RECORD = "doi string, title string, first_author string, publication string, year int"
 WORK = "title string, author string, publication string, year int, DOI string"
 
