@@ -159,8 +159,11 @@ def paper_rows(meta: DataFrame, shredded: DataFrame, classified: DataFrame, segm
 
 
 def write_corpus(papers: DataFrame, path: str, mode: str = "append") -> None:
-    """Write corpus rows (see ``CORPUS_SCHEMA``) as XML part files below ``path``."""
-    papers.write.format("xml").option("rowTag", ROW_TAG).option("rootTag", ROOT_TAG).mode(mode).save(path)
+    """Write corpus rows (see ``CORPUS_SCHEMA``) as XML part files below ``path``.
+
+    A paper holds its text as sections, segments and captions, so the files are compressed.
+    """
+    papers.write.format("xml").options(rowTag=ROW_TAG, rootTag=ROOT_TAG, compression="gzip").mode(mode).save(path)
 
 
 def add_papers(papers: DataFrame, path: str) -> None:
@@ -174,7 +177,7 @@ def replace_papers(papers: DataFrame, path: str) -> None:
 
 
 def _key() -> F.Column:
-    return F.coalesce(F.col("_zoteroID"), F.regexp_replace(F.col("_file"), r"\.xml$", ""))
+    return F.coalesce(F.col("_zoteroID"), F.regexp_replace(F.col("_file"), r"\.xml(\.gz)?$", ""))
 
 
 def _read_xml(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
