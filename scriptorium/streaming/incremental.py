@@ -49,7 +49,7 @@ def corpus_stream(spark: SparkSession, src_path: str) -> DataFrame:
         F.transform(F.coalesce(F.col("text_segments.segments"), F.array()), lambda s: F.struct(s["_type"], F.coalesce(s["_VALUE"], F.lit(""))))
     )
     cols = [
-        F.coalesce(F.col("_zoteroID"), F.regexp_replace(F.col("_file"), r"\.xml$", "")).alias("item_key"),
+        F.coalesce(F.col("_zoteroID"), F.regexp_replace(F.col("_file"), r"\.xml(\.gz)?$", "")).alias("item_key"),
         F.col("_DOI").alias("doi"),
         F.col("_title").alias("title"),
         F.col("_path").alias("path"),
@@ -61,7 +61,8 @@ def corpus_stream(spark: SparkSession, src_path: str) -> DataFrame:
 
 def stream_corpus(spark: SparkSession, src_path: str, sink_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """New corpus files -> Parquet table at ``sink_path``."""
-    writer = corpus_stream(spark, src_path).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    table = corpus_stream(spark, src_path).writeStream.format("parquet").option("compression", "zstd")
+    writer = table.option("checkpointLocation", checkpoint).outputMode("append")
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start(sink_path)
