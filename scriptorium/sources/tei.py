@@ -6,17 +6,16 @@ references) do not carry one and are no sections, though their children may be.
 
 Shredding needs an XML parser that keeps mixed content in order, walks a
 variable number of nested ``div`` elements and reports namespace declarations,
-which neither the XML data source nor ``xpath_*`` can do; it runs in
-``mapInPandas`` (Arrow batches, stdlib pull parser, one paper per row).
+which neither the XML data source nor ``xpath_*`` can do; it runs in a Python
+function of one paper's text (stdlib pull parser).  Spark hands such functions
+100 rows at a time, where an Arrow batch holds up to 10,000 whole papers.
 Everything after it is plain DataFrame work on the exploded children.
 """
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +31,7 @@ SECTION_STRUCT = (
 TABLE_STRUCT = "struct<pos:int, label:string, caption:string, figure_id:string, cells:array<array<string>>>"
 FIGURE_STRUCT = "struct<pos:int, label:string, caption:string, type:string, figure_id:string>"
 SHREDDED_SCHEMA = (
-    f"item_key {{key_type}}, title string, abstract string, sections array<{SECTION_STRUCT}>, "
+    f"title string, abstract string, sections array<{SECTION_STRUCT}>, "
     f"tables array<{TABLE_STRUCT}>, figures array<{FIGURE_STRUCT}>, references array<string>, "
     "formulas array<string>, error string"
 )
@@ -141,30 +140,15 @@ def shred_one(content: str | None) -> dict:
     }
 
 
-# Papers parsed before their rows are handed on: bounds what a worker holds.
-PAPERS_AT_ONCE = 64
-
-
-def _shred_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["title", "abstract", "sections", "tables", "figures", "references", "formulas", "error"]
-    for pdf in batches:
-        for start in range(0, len(pdf), PAPERS_AT_ONCE):
-            part = pdf.iloc[start : start + PAPERS_AT_ONCE]
-            parsed = [shred_one(c) for c in part["content"]]
-            out = pd.DataFrame({c: [p[c] for p in parsed] for c in cols})
-            out.insert(0, "item_key", part["item_key"].values)
-            yield out
-
-
 def shred_tei(tei: DataFrame) -> DataFrame:
     """``item_key, content`` -> one row per paper with nested sections, tables,
     figures, references and formulas (see ``SHREDDED_SCHEMA``)."""
     from scriptorium.session import ship_package
 
     ship_package(tei.sparkSession)
-    slim = tei.select("item_key", "content")
-    key_type = slim.schema["item_key"].dataType.simpleString()
-    return slim.mapInPandas(_shred_batches, SHREDDED_SCHEMA.format(key_type=key_type))
+    # not deterministic to the planner: a filter on a part of the paper does not parse it twice
+    shred = F.udf(shred_one, SHREDDED_SCHEMA, useArrow=False).asNondeterministic()
+    return tei.select("item_key", shred("content").alias("paper")).select("item_key", "paper.*")
 
 
 def tei_sections(shredded: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.plans import catalog
 from scriptorium.plans import fixtures as fx
 from scriptorium.session import scratch_dir
-from scriptorium.sources import corpus
+from scriptorium.sources import corpus, tei
 
 
 def _tables(spark, n=40):
@@ -44,6 +44,14 @@ def test_tei_is_built_for_the_papers_asked_for(spark):
     assert _told(some) == _told(whole.where("item_key IN (3, 20, 40, 999)")) and some.count() == 3
 
 
+def test_papers_are_shredded_a_few_at_a_time_and_once(spark):
+    texts = [(k, f"<TEI><text><body><p>{k}</p></body></text></TEI>" if k % 7 else "<TEI>") for k in range(300)]
+    good = tei.shred_tei(spark.createDataFrame(texts, "item_key long, content string")).where("error IS NULL")
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 1
+    assert sorted(r.item_key for r in good.collect()) == [k for k in range(300) if k % 7]
+
+
 def test_corpus_files_are_compressed_and_read_by_their_names(spark, tmp_path):
     folder, out = _tables(spark, 200), f"{tmp_path}/corpus"
     rows = catalog._corpus_rows(spark, folder)
