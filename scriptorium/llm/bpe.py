@@ -5,7 +5,12 @@ once and compiled into a minimal acyclic automaton (equal suffixes are shared)
 whose paths number the words, and the number selects the word's ids.  The
 automaton is one flat file: it is written to the shared folder, fetched once
 per executor and memory-mapped by its workers.  Words it does not hold are
-merged exactly, by rank, with a bounded cache.
+merged exactly, by rank.
+
+Texts are taken some megabytes at a time.  What stands between white space is a
+piece; the pieces of all these texts are looked up together, each different one
+once, and Arrow puts the results back in the texts' order.  Nothing is kept
+from one lot of texts to the next.
 
 The vocabulary file must be a ``tokenizers`` BPE over byte characters with a
 word-end suffix, NFC + lower-case normalisation, and a splitting pattern whose
@@ -26,9 +31,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,10 +45,9 @@ from scriptorium.llm.common import map_batches, staged, text_or_empty
 from scriptorium.session import scratch_dir
 
 LEXICON_WORDS = 262_144
-CACHED_PIECES = 200_000
 SHORT_WORD = 64
 WORDS_AT_ONCE = 20_000
-CHARACTERS_AT_ONCE = 2_000_000
+CHARACTERS_AT_ONCE = 4_000_000
 NO_ID = -1
 NO_RANK = 2**40
 # Python's split() takes these for white space, Unicode's White_Space property does not.
@@ -67,8 +73,9 @@ class Vocabulary:
         model = spec["model"]
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.ids | self.special).items()}
-        self.numerals = {i: str(i) for i in self.tokens}
+        tokens = {i: t for t, i in (self.ids | self.special).items()}
+        self.tokens = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)], pa.large_string())  # by id
+        self.numerals = pa.array([str(i) for i in range(len(self.tokens))], pa.large_string())
         self.suffix = model["end_of_word_suffix"] or ""
         self.merges: dict[int, tuple[int, int]] = {}  # left id << 32 | right id -> (rank, merged id)
         for rank, pair in enumerate(model["merges"]):
@@ -85,7 +92,9 @@ class Vocabulary:
         splits = [s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
         pattern = splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern)
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        marks = "|".join(map(regex.escape, self.special))
+        self.marks = regex.compile(f"({marks})")
+        self.words_and_ends = regex.compile(rf"\n(?:{marks})|{pattern}|\x20")  # of pieces, a space after each
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word: lowest rank first, leftmost first among equal ranks.
@@ -100,31 +109,36 @@ class Vocabulary:
         for width, members in by_width.items():
             for at in range(0, len(members), WORDS_AT_ONCE):
                 some = members[at : at + WORDS_AT_ONCE]
-                starts = [self._characters(spelled[k]) for k in some]
-                merged = self._merge_rows(starts, width) if width <= SHORT_WORD else map(self._merge_by_queue, starts)
-                for k, ids in zip(some, merged, strict=True):
-                    out[k] = ids
+                ids, ends = self._characters([spelled[k] for k in some])
+                if width <= SHORT_WORD:
+                    merged = self._merge_rows(ids, np.diff(ends), width)
+                else:
+                    merged = [self._merge_by_queue(ids[a:b].tolist()) for a, b in pairwise(ends)]
+                for k, own in zip(some, merged, strict=True):
+                    out[k] = own
         return out
 
-    def _characters(self, spelled: bytes) -> list[int]:
-        data = np.frombuffer(spelled, dtype=np.uint8)
+    def _characters(self, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words' characters, one word after the other, and where words start and end there."""
+        data = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        ends = np.cumsum([0, *map(len, spelled)])
         ids = self.inner[data]
-        ids[-1] = self.ending[data[-1]]
-        return ids[ids != NO_ID].tolist()
+        ids[ends[1:] - 1] = self.ending[data[ends[1:] - 1]]
+        held = ids != NO_ID
+        return ids[held], np.append(0, np.cumsum(held))[ends]
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.pairs[at] == key), self.rank_of[at], NO_RANK)
 
-    def _merge_rows(self, starts: list[list[int]], width: int) -> list[list[int]]:
-        ids = np.full((len(starts), width + 1), NO_ID, dtype=np.int64)  # the last column stays empty
-        for row, start in zip(ids, starts, strict=True):
-            row[: len(start)] = start
-        ranks = np.full((len(starts), width + 1), NO_RANK, dtype=np.int64)
+    def _merge_rows(self, starts: np.ndarray, lengths: np.ndarray, width: int) -> list[list[int]]:
+        ids = np.full((len(lengths), width + 1), NO_ID, dtype=np.int64)  # the last column stays empty
+        ids[np.arange(width + 1) < lengths[:, None]] = starts
+        ranks = np.full((len(lengths), width + 1), NO_RANK, dtype=np.int64)
         ranks[:, :width] = self._rank(ids[:, :-1], ids[:, 1:])
         done = ids.copy()
-        rows, columns = np.arange(len(starts)), np.arange(width)
+        rows, columns = np.arange(len(lengths)), np.arange(width)
         while len(rows):
             place = ranks.argmin(axis=1)
             k = np.arange(len(rows))
@@ -145,7 +159,9 @@ class Vocabulary:
             ranks[k, place] = self._rank(ids[k, place], ids[k, place + 1])
             inside = np.flatnonzero(place > 0)
             ranks[inside, place[inside] - 1] = self._rank(ids[inside, place[inside] - 1], ids[inside, place[inside]])
-        return [[i for i in row if i != NO_ID] for row in done.tolist()]
+        held = done != NO_ID
+        merged, ends = done[held].tolist(), np.cumsum([0, *held.sum(axis=1)]).tolist()
+        return [merged[a:b] for a, b in pairwise(ends)]
 
     def _merge_by_queue(self, ids: list[int]) -> list[int]:
         """The same for one long word, in n log n steps."""
@@ -172,17 +188,17 @@ class Vocabulary:
             offer(i)
         return [i for i in ids if i != NO_ID]
 
-    def split(self, text: str) -> list[str]:
-        """Pieces that are encoded apart: runs without white space, and special tokens after a space."""
+    def pieces(self, text: str) -> str:
+        """The text with its pieces one space apart: runs without white space, and special tokens after a line feed."""
         pieces: list[str] = []
         for k, part in enumerate(self.marks.split(text) if "<|" in text else [text]):
             if k % 2:
-                pieces.append(" " + part)
+                pieces.append("\n" + part)
             else:
                 # lower-casing is by character: the capital sigma has one form
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 pieces += self.words.findall(part) if SEPARATORS.search(part) else part.split()
-        return pieces
+        return " ".join(pieces)
 
 
 def compile_lexicon(words: dict[str, list[int]]) -> bytes:
@@ -270,18 +286,18 @@ class Lexicon:
         data = np.asarray(np.memmap(path, dtype=np.int64, mode="r"))  # still mapped; plain arrays index faster
         sizes = data[:6].tolist()
         starts = np.cumsum([6, *sizes]).tolist()
-        self.keys, self.targets, self.ahead, self.final, self.offsets, self.pool = (
+        self.keys, self.targets, self.ahead, self.final, offsets, pool = (
             data[a : a + n] for a, n in zip(starts, sizes, strict=False)
         )
-
-    def find(self, words: list[str]) -> list[list[int] | None]:
-        """Ids of each word, None for words that are not in the lexicon."""
-        if not words or not len(self.keys):
-            return [None] * len(words)
-        spelled = [w.encode("utf-8") for w in words]
-        lengths = np.array([len(s) for s in spelled])
-        flat = np.frombuffer(b"".join(spelled), dtype=np.uint8).astype(np.int64)
-        starts = np.cumsum(lengths) - lengths
+        self.ids = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(pool))  # by word number
+
+    def look_up(self, words: pa.LargeStringArray) -> pa.LargeListArray:
+        """Ids of each word, null for words that are not in the lexicon."""
+        if not len(words) or not len(self.keys):
+            return pa.nulls(len(words), self.ids.type)
+        ends, flat = (np.frombuffer(b, kind) for b, kind in zip(words.buffers()[1:], (np.int64, np.uint8), strict=True))
+        starts = ends[words.offset : words.offset + len(words)]
+        lengths = ends[words.offset + 1 : words.offset + 1 + len(words)] - starts
         state = np.zeros(len(words), dtype=np.int64)
         number = np.zeros(len(words), dtype=np.int64)
         alive = np.arange(len(words))
@@ -296,58 +312,75 @@ class Lexicon:
             state[alive] = self.targets[at]
             depth += 1
         found = (state >= 0) & (self.final[np.maximum(state, 0)] > 0) & (lengths > 0)
-        number = np.where(found, number, 0)
-        spans = zip(found.tolist(), self.offsets[number].tolist(), self.offsets[number + 1].tolist(), strict=True)
-        return [self.pool[a:b].tolist() if ok else None for ok, a, b in spans]
+        return self.ids.take(pa.array(number, mask=~found))
+
+    def find(self, words: list[str]) -> list[list[int] | None]:
+        """The same as lists."""
+        return self.look_up(pa.array(words, pa.large_string())).to_pylist()
+
+
+def joined(offsets: np.ndarray, parts: pa.Array) -> pa.LargeStringArray:
+    """The strings between every two offsets, joined by a space."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), parts), pa.scalar(" ", pa.large_string()))
 
 
 class Coder:
     """Encodes and decodes texts in one worker process."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.spelled: dict[str, str] = {}  # piece -> ids, as decimal text
-        self.decoded: dict[str, str] = {}  # piece -> its tokens, joined
-
-    def learn(self, pieces: list[str]) -> None:
-        """Make ids and tokens of all the pieces known: their words from the lexicon, or else merged."""
-        new = [p for p in set(pieces) if p not in self.spelled]
-        if not new:
-            return
-        if len(self.spelled) + len(new) > CACHED_PIECES:  # keep what these texts use
-            used = set(pieces) & self.spelled.keys()
-            self.spelled = {p: self.spelled[p] for p in used}
-            self.decoded = {p: self.decoded[p] for p in used}
+
+    def word_ids(self, words: pa.LargeStringArray) -> pa.LargeListArray:
+        """Ids of each word, from the lexicon, or else merged."""
         v = self.vocabulary
-        words = {p: [] if p[0] == " " else v.words.findall(p) for p in new}
-        distinct = list({w for found in words.values() for w in found})
-        known = self.lexicon.find(distinct) if self.lexicon else [None] * len(distinct)
-        unseen = [w for w, k in zip(distinct, known, strict=True) if k is None]
-        ids = {w: k for w, k in zip(distinct, known, strict=True) if k is not None}
-        ids.update(zip(unseen, v.merge(unseen), strict=True))
-        for piece in new:
-            own = [v.special[piece[1:]]] if piece[0] == " " else [i for w in words[piece] for i in ids[w]]
-            self.spelled[piece] = " ".join([v.numerals[i] for i in own])
-            self.decoded[piece] = " ".join([v.tokens[i] for i in own])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """(ids joined by a space, decoded text) of each text; new pieces of many texts are learnt together."""
+        known = self.lexicon.look_up(words)
+        unseen = np.flatnonzero(known.is_null())
+        spelled = words.take(pa.array(unseen)).to_pylist()
+        merged = [[v.special[w[1:]]] if w[0] == "\n" else ids for w, ids in zip(spelled, v.merge(spelled), strict=True)]
+        place = np.arange(len(words))
+        place[unseen] = len(words) + np.arange(len(unseen))
+        return pa.concat_arrays([known, pa.array(merged, known.type)]).take(pa.array(place))
+
+    def piece_ids(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, pa.Array]:
+        """Ids of all the pieces, one after the other, and where each piece starts and ends there."""
+        together = joined(np.array([0, len(pieces)]), pieces)[0].as_py() + " "
+        found = pa.array(self.vocabulary.words_and_ends.findall(together), pa.large_string())
+        end = pc.equal(found, " ")
+        ends = np.flatnonzero(end) - np.arange(len(pieces))  # in words
+        coded = found.filter(pc.invert(end)).dictionary_encode()
+        ids = self.word_ids(coded.dictionary).take(coded.indices)
+        return ids.offsets.to_numpy()[np.append(0, ends)], ids.values
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, pa.LargeStringArray, pa.LargeStringArray]]:
+        """Numbers of tokens, ids joined by a space and decoded texts, of some of the texts at a time."""
         at = 0
         while at < len(texts):
             to, held = at, 0
             while to < len(texts) and (to == at or held + len(texts[to]) <= CHARACTERS_AT_ONCE):
                 held += len(texts[to])
                 to += 1
-            split = [self.vocabulary.split(t) for t in texts[at:to]]
-            self.learn([p for pieces in split for p in pieces])
-            for pieces in split:
-                yield " ".join(map(self.spelled.__getitem__, pieces)), " ".join(map(self.decoded.__getitem__, pieces))
+            yield self._encode_together(texts[at:to])
             at = to
 
+    def _encode_together(self, texts: list[str]) -> tuple[np.ndarray, pa.LargeStringArray, pa.LargeStringArray]:
+        v = self.vocabulary
+        split = pc.split_pattern(pa.array(map(v.pieces, texts), pa.large_string()), " ")
+        texts_at, of_texts = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
+        pieces_at, ids = self.piece_ids(of_texts.dictionary)
+        lengths = np.diff(pieces_at)[of_texts.indices.to_numpy()]
+        spelled, decoded = (
+            joined(texts_at, joined(pieces_at, names.take(ids)).take(of_texts.indices)) for names in (v.numerals, v.tokens)
+        )
+        return np.diff(np.cumsum(np.append(0, lengths))[texts_at]), spelled, decoded
+
+
+def sha256(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())
+
 
 @lru_cache(maxsize=2)
-def worker_coder(tokenizer: str, lexicon_file: str | None) -> Coder:
-    return Coder(Vocabulary(tokenizer), Lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None)
+def worker_coder(tokenizer: str, lexicon_file: str) -> Coder:
+    return Coder(Vocabulary(tokenizer), Lexicon(SparkFiles.get(lexicon_file)))
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
@@ -386,24 +419,19 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS,
     vocabulary = Vocabulary(tokenizer)
     words = frequent_words(docs, lexicon_words)
     name = publish_lexicon(spark, compile_lexicon(dict(zip(words, vocabulary.merge(words), strict=True))))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if keep_texts else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(tokenizer, name)
         for batch in batches:
-            rows = []
-            for ids, decoded in coder.encode(batch.column(1).to_pylist()):
-                rows.append(
-                    (
-                        ids.count(" ") + 1 if ids else 0,
-                        hashlib.sha256(ids.encode()).hexdigest(),
-                        hashlib.sha256(decoded.encode("utf-8")).hexdigest(),
-                        *(([int(i) for i in ids.split()], decoded) if keep_texts else ()),
-                    )
-                )
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if keep_texts else ())]
-            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            columns = [pa.array([r[k] for r in rows], types[k]) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            at = 0
+            for n_tokens, ids, decoded in coder.encode(batch.column(1).to_pylist()):
+                columns = [batch.column(0).slice(at, len(ids)), pa.array(n_tokens, pa.int64()), sha256(ids), sha256(decoded)]
+                if keep_texts:
+                    numbers = [[int(i) for i in t.split()] for t in ids.to_pylist()]
+                    columns += [pa.array(numbers, pa.list_(pa.int32())), decoded.cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(ids)
 
     schema = ENCODE_SCHEMA + (", ids array<int>, decoded string" if keep_texts else "")
     return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, schema)

@@ -1,6 +1,7 @@
 """Encoding and decoding against the tokenizers library."""
 
 import hashlib
+import sys
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -62,3 +63,47 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     assert lexicon.find(asked) == [[1, 2], [3], [4], [5, 6, 7], [8], [10], None, None, None, None, None, None]
     # tap/top share the states after their vowel; "", t, ta|to, tap|top, s-end and the path of straße remain
     assert len(lexicon.final) == 4 + 1 + len("traße".encode())
+
+
+def coder(tmp_path, words):
+    vocabulary = bpe.Vocabulary(PATH)
+    file = tmp_path / f"{len(words)}.bin"
+    file.write_bytes(bpe.compile_lexicon(dict(zip(words, vocabulary.merge(words), strict=True))))
+    return bpe.Coder(vocabulary, bpe.Lexicon(str(file)))
+
+
+def rows(parts):
+    digest = lambda t: hashlib.sha256(t.as_py().encode()).hexdigest()
+    return [(n, digest(i), digest(d)) for ns, ids, texts in parts for n, i, d in zip(ns, ids, texts, strict=True)]
+
+
+def test_pieces_are_not_taken_one_by_one(tmp_path):
+    words = [a + b for a in "abcdefghij" for b in ("nder", "ing", "tion", "ous", "ly", "ment", "e", "ist", "hood", "ness")]
+    texts = [" ".join(f"{a}-{b}" for b in words) for a in words]  # 10,000 different pieces
+    encoder = coder(tmp_path, words)
+    calls = 0
+
+    def count(frame, event, argument):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        parts = list(encoder.encode(texts))
+    finally:
+        sys.setprofile(None)
+    assert calls < 5000
+    assert rows(parts) == [expected(t) for t in texts]
+
+
+def test_a_few_texts_at_a_time(tmp_path, monkeypatch):
+    texts = [
+        "", "the end", " \n ", "", "the<|endoftext|>the the.the", "<|endoftext|><|startoftext|>", "it's 'llama ''s\x1cnot", "a b" * 90,
+        "x" * 70 + " " + "日本" * 30, "<|ENDOFTEXT|>", "the", "\ufeff\u200b", "",
+    ]
+    encoder = coder(tmp_path, ["the", "end"])
+    for characters in (0, 1, 12, 10_000):
+        monkeypatch.setattr(bpe, "CHARACTERS_AT_ONCE", characters)
+        assert rows(encoder.encode(texts)) == [expected(t) for t in texts]
+    assert coder(tmp_path, []).lexicon.find(["the", ""]) == [None, None]
+    assert encoder.lexicon.find(["", ""]) == [None, None]
